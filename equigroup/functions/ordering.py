@@ -2,9 +2,14 @@
 
 ``row_number() over (partition by g order by o)`` puts a whole group in one
 task; with a hot group (a class holding a third of the rows) that task holds a
-third of the table. Here the rows are range-partitioned on (g, o), numbered
-locally, and each (partition, group) gets the count of the same group in all
-earlier partitions from a small table (rows = partitions x groups).
+third of the table. Here every row also carries a *bucket*: a value that is
+monotone in the order (a prefix of the md5 order key, or a quantile bucket of
+a numeric order column) and derived from the row alone, so the plan does not
+depend on physical partitioning. Then
+* counts per (group, bucket) form a small table (groups x buckets rows) whose
+  running sums give each bucket's offset;
+* rows are numbered within (group, bucket), a window whose partitions are
+  ``1 / buckets`` of a group each, spread over all tasks by the shuffle.
 """
 
 from __future__ import annotations
@@ -12,50 +17,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equigroup.session import num_partitions
+HASH_BUCKET_DIGITS = 4   # 65,536 buckets for md5-ordered ranks
+
+
+def hash_bucket(hex_hash: Column | str, digits: int = HASH_BUCKET_DIGITS) -> Column:
+    c = F.col(hex_hash) if isinstance(hex_hash, str) else hex_hash
+    return F.substring(c, 1, digits)
+
+
+def quantile_bucket(df: DataFrame, column: str, buckets: int = 1024, rel_error: float = 1e-3) -> Column:
+    """A bucket id monotone in ``column``: position among approximate quantile
+    split points (one aggregate; the split list is bounded by ``buckets``)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    splits = df.agg(F.percentile_approx(F.col(column).cast("double"), probs,
+                                        int(1 / rel_error)).alias("q")).first()["q"] or []
+    splits = sorted(set(x for x in splits if x is not None))
+    arr = F.array(*[F.lit(float(x)) for x in splits]) if splits else F.array().cast("array<double>")
+    # number of split points <= value (monotone non-decreasing in value)
+    c = F.col(column).cast("double")
+    return F.size(F.filter(arr, lambda s: s <= c))
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def ranked(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "pos",
-           with_group_size: str | None = None, partitions: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Column,
+           out: str = "pos", with_group_size: str | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row within its group in the given
-    order (the order must be total, e.g. end in a unique key or hash).
-    Optionally add the group size as ``with_group_size``."""
-    n = partitions or num_partitions(df.sparkSession)
-    g = _cols(group_cols)
-    o = _cols(order_cols)
-    r = (df.repartitionByRange(n, *g, *o)
-           .sortWithinPartitions(*g, *o)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    stats = r.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"),
-                                                F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*group_cols).orderBy("_pid")
+    order. The order must be total (end in a unique key or hash) and ``bucket``
+    monotone non-decreasing in it. Optionally add the group size."""
+    g = list(group_cols)
+    b = df.withColumn("_b", bucket)
+    stats = b.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*g).orderBy("_b")
     stats = stats.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    keep = [*g, "_b", "_off"]
     if with_group_size:
-        stats = stats.withColumn(with_group_size, F.sum("_cnt").over(Window.partitionBy(*group_cols)))
-    keep = ["_pid", *group_cols, "_first", "_off"] + ([with_group_size] if with_group_size else [])
-    out_df = r.join(stats.select(*keep), on=["_pid", *group_cols], how="inner")
-    out_df = out_df.withColumn(out, (F.col("_mid") - F.col("_first") + F.col("_off")).cast("bigint"))
-    return out_df.drop("_pid", "_mid", "_first", "_off")
+        stats = stats.withColumn(with_group_size, F.sum("_cnt").over(Window.partitionBy(*g)))
+        keep.append(with_group_size)
+    lw = Window.partitionBy(*g, "_b").orderBy(*_cols(order_cols))
+    local = b.withColumn("_lrn", F.row_number().over(lw) - 1)
+    res = local.join(stats.select(*keep), on=[*g, "_b"], how="inner")
+    return res.withColumn(out, (F.col("_lrn") + F.col("_off")).cast("bigint")).drop("_b", "_lrn", "_off")
 
 
 def running_total(df: DataFrame, group_cols: list[str], order_cols: list, value: str,
-                  out: str = "before", partitions: int | None = None) -> DataFrame:
+                  bucket: Column, out: str = "before") -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows strictly before each row
-    within its group, in the given total order."""
-    n = partitions or num_partitions(df.sparkSession)
-    g = _cols(group_cols)
-    o = _cols(order_cols)
-    r = df.repartitionByRange(n, *g, *o).withColumn("_pid", F.spark_partition_id())
-    lw = Window.partitionBy("_pid", *group_cols).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_local", F.coalesce(F.sum(value).over(lw), F.lit(0)))
-    stats = r.groupBy("_pid", *group_cols).agg(F.sum(value).alias("_tot"))
-    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    within its group, in the given total order (``bucket`` monotone in it)."""
+    g = list(group_cols)
+    b = df.withColumn("_b", bucket)
+    stats = b.groupBy(*g, "_b").agg(F.sum(value).alias("_tot"))
+    w = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")
-    res = r.join(stats, on=["_pid", *group_cols], how="inner")
-    return res.withColumn(out, F.col("_local") + F.col("_off")).drop("_pid", "_local", "_off")
+    lw = Window.partitionBy(*g, "_b").orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, -1)
+    local = b.withColumn("_local", F.coalesce(F.sum(value).over(lw), F.lit(0)))
+    res = local.join(stats, on=[*g, "_b"], how="inner")
+    return res.withColumn(out, F.col("_local") + F.col("_off")).drop("_b", "_local", "_off")

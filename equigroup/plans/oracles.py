@@ -30,3 +30,132 @@ from full_m f join rm a on a.fi = f.fi join rm b on b.fi = f.fj cross join g""")
 
 def all_oracles():
     return dict(ORACLES)
+
+
+# ---------------------------------------------------------------- 2.1/2.2 projections
+H42 = "md5(concat(cast({k} as varchar), '|42'))"
+PRIORITY = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+ORD_COLS = ["o_orderkey", "o_totalprice", "c_acctbal", "n_regionkey", "c_mktsegment", "o_orderpriority",
+            "o_orderstatus"]
+ALL_SET = " and ".join(f"{c} is not null" for c in ORD_COLS)
+
+oracle("s1_load_cohort", S.C_ORD)
+oracle("p1_numeric_columns", f"select o_orderkey, o_totalprice, c_acctbal from ({S.C_ORD}) t")
+oracle("p2_drop_column", f"select o_orderkey, o_totalprice, c_acctbal, n_regionkey, o_orderpriority, "
+                         f"o_orderstatus from ({S.C_ORD}) t")
+oracle("p3_drop_null_rows", f"select * from ({S.C_NA}) t where {ALL_SET}")
+oracle("p4_null_split", f"select o_orderkey, case when c_mktsegment is null then 'missing' else 'known' end as part "
+                        f"from ({S.C_NA}) t")
+oracle("p5_target_last", S.C_ORD)
+oracle("p6_strip_prefix_int", "select c_custkey, try_cast(substr(c_name, 10) as bigint) as c_id from customer")
+oracle("p7_null_audit", "select " + ", ".join(
+    f"cast(count(*) filter (where {c} is null) as bigint) as {c}" for c in ORD_COLS) + f" from ({S.C_NA}) t")
+oracle("p8_privileged_mask", f"select doc_id, lang, coalesce(lang = 'en', false) as privileged from ({S.C_PRED}) t")
+oracle("p11_non_constant_features", f"with e as ({S.C_EMB}), v as (" + " union all ".join(
+    f"select 'f{i}' as feature, var_samp(f{i}) as variance from e" for i in range(64)) +
+    f") select feature, {r6('variance')} as variance from v where variance > 0")
+oracle("p13_deviation_filter", f"""with d as ({S.C_PRED}),
+g as (select coalesce(lang = 'en', false) as g, avg(p1) as mu from d group by 1)
+select doc_id, lang, {r6('p1')} as p1, {r6('p1 - mu')} as deviation
+from d join g on coalesce(d.lang = 'en', false) = g.g where abs(p1 - mu) > 0.05""")
+
+# ---------------------------------------------------------------- 2.5 encoding
+ONE_HOT = ", ".join(f"case when c_mktsegment = '{s}' then 1.0 else 0.0 end as \"c_mktsegment_{s}\""
+                    for s in SEGMENTS)
+PRIO_CASE = "case o_orderpriority " + " ".join(f"when '{p}' then {i}.0" for i, p in enumerate(PRIORITY)) + " end"
+oracle("e1_one_hot", f"select o_orderkey, o_totalprice, c_acctbal, n_regionkey, o_orderpriority, o_orderstatus, "
+                     f"{ONE_HOT} from ({S.C_ORD}) t")
+oracle("e2_label_code", f"""with t as ({S.C_ORD}),
+codes as (select o_orderstatus, cast(dense_rank() over (order by o_orderstatus) - 1 as integer) as code
+          from (select distinct o_orderstatus from t))
+select o_orderkey, o_totalprice, c_acctbal, n_regionkey, c_mktsegment, o_orderpriority, codes.code as o_orderstatus
+from t join codes using (o_orderstatus)""")
+oracle("e3_ordinal_code", f"select o_orderkey, o_totalprice, c_acctbal, n_regionkey, c_mktsegment, "
+                          f"{PRIO_CASE} as o_orderpriority, o_orderstatus from ({S.C_ORD}) t")
+oracle("e4_ordinal_target", f"select o_orderkey, cast(case o_orderstatus when 'F' then 0 when 'O' then 1 "
+                            f"else -1 end as integer) as o_orderstatus from ({S.C_ORD}) t")
+oracle("e5_encode_list", f"""with t as ({S.C_ORD}),
+codes as (select o_orderstatus, cast(dense_rank() over (order by o_orderstatus) - 1 as integer) as code
+          from (select distinct o_orderstatus from t))
+select o_orderkey, o_totalprice, c_acctbal, n_regionkey, o_orderpriority, codes.code as o_orderstatus, {ONE_HOT}
+from t join codes using (o_orderstatus)""")
+oracle("e6_cohort_spec", f"""with t as ({S.C_ORD}),
+codes as (select o_orderstatus, cast(dense_rank() over (order by o_orderstatus) - 1 as integer) as code
+          from (select distinct o_orderstatus from t))
+select o_orderkey, o_totalprice, c_acctbal, n_regionkey, {PRIO_CASE} as o_orderpriority, {ONE_HOT},
+       codes.code as o_orderstatus
+from t join codes using (o_orderstatus)""")
+oracle("e7_zscore", f"""with t as ({S.C_ORD}),
+m as (select avg(o_totalprice) as m1, stddev_pop(o_totalprice) as s1, avg(c_acctbal) as m2, stddev_pop(c_acctbal) as s2 from t)
+select o_orderkey, {r6('(o_totalprice - m1) / case when s1 = 0 or s1 is null then 1.0 else s1 end')} as o_totalprice,
+       {r6('(c_acctbal - m2) / case when s2 = 0 or s2 is null then 1.0 else s2 end')} as c_acctbal
+from t cross join m""")
+
+# ---------------------------------------------------------------- 2.3 splits
+M1_CTE = f"""raw as ({S.C_NA}),
+clean as (select * from raw where {ALL_SET}),
+cnt as (select (select count(*) from raw) as n_raw, (select count(*) from clean) as n_clean),
+take as (select cast(round_even(0.2 * n_raw / n_clean * n_clean, 0) as bigint) as k from cnt),
+test0 as (select c.* exclude (pos) from (select *, row_number() over (order by {H42.format(k='o_orderkey')}) - 1 as pos
+          from clean) c, take where pos < k),
+train_raw as (select * from raw where o_orderkey not in (select o_orderkey from test0))"""
+oracle("m1_test_draw", f"with {M1_CTE} select o_orderkey from test0")
+oracle("m2_train_minus_test", f"with {M1_CTE} select o_orderkey from train_raw")
+oracle("m3_disjoint_check", f"with {M1_CTE} select cast(count(*) as bigint) as n_overlap from train_raw "
+                            f"where o_orderkey in (select o_orderkey from test0)")
+oracle("m4_stratified_holdout", f"""with d as ({S.C_DOC}),
+r as (select doc_id, quality, row_number() over (partition by quality order by {H42.format(k='doc_id')}) - 1 as pos,
+      count(*) over (partition by quality) as n from d)
+select doc_id, quality, pos < round(0.15 * n, 0) as is_test from r""")
+oracle("m5_random_holdout", f"select doc_id, substr({H42.format(k='doc_id')}, 1, 8) < '33333333' as is_test "
+                            f"from ({S.C_DOC}) d")
+oracle("m6_stratified_kfold", f"""with d as ({S.C_DOC})
+select doc_id, quality, cast((row_number() over (partition by quality order by {H42.format(k='doc_id')}) - 1) % 5 as integer) as fold
+from d""")
+oracle("m7_repeated_kfold", f"""with d as ({S.C_DOC}), reps as (select cast(range as integer) as repeat from range(10))
+select doc_id, repeat, cast((row_number() over (partition by repeat, quality
+         order by md5(concat(cast(doc_id as varchar), '|', cast(42 + repeat as varchar)))) - 1) % 5 as integer) as fold
+from d cross join reps""")
+oracle("m8_bootstrap_draw", f"""with d as ({S.C_DOC}),
+r as (select doc_id, row_number() over (order by md5(concat(cast(doc_id as varchar), '|42'))) - 1 as pos from d),
+n as (select count(*) as n from d),
+draws as (select range as draw, ('0x' || substr(md5(concat(cast(range as varchar), '|42')), 1, 8))::bigint % n as pos
+          from range(300), n)
+select draw, doc_id from draws join r using (pos)""")
+
+# ---------------------------------------------------------------- 2.4 joins
+oracle("j1_key_join", S.C_DOC)
+oracle("j2_anti_join", "select doc_id, lang from documents where doc_id not in (select doc_id from labels)")
+oracle("j3_vertical_concat", f"""with d as ({S.C_DOC}),
+r as (select doc_id, quality, row_number() over (partition by quality order by {H42.format(k='doc_id')}) - 1 as pos,
+      count(*) over (partition by quality) as n from d)
+select doc_id, quality, case when pos < round(0.15 * n, 0) then 'validation' else 'train' end as part from r""")
+oracle("j4_origin_union", f"""with d as ({S.C_DOC})
+select doc_id, n_chars, toxic, 0 as origin from d
+union all select doc_id, n_chars, toxic, 1 as origin from d where lang <> 'en'""")
+
+# ---------------------------------------------------------------- E10 flow
+E10_ENC = """select o_orderkey, o_totalprice, c_acctbal, cast(n_regionkey as double) as n_regionkey,
+   {prio} as o_orderpriority, {onehot}, cast(codes.code as double) as o_orderstatus
+   from {src} join codes using (o_orderstatus)"""
+oracle("e10_prepare", f"""with {M1_CTE},
+train0 as (select * from train_raw where {ALL_SET}),
+codes as (select o_orderstatus, dense_rank() over (order by o_orderstatus) - 1 as code
+          from (select distinct o_orderstatus from train0)),
+tr as ({E10_ENC.format(prio=PRIO_CASE, onehot=ONE_HOT, src='train0')}),
+te as ({E10_ENC.format(prio=PRIO_CASE, onehot=ONE_HOT, src='test0')}),
+m as (select avg(o_totalprice) a1, stddev_pop(o_totalprice) s1, avg(c_acctbal) a2, stddev_pop(c_acctbal) s2,
+             avg(n_regionkey) a3, stddev_pop(n_regionkey) s3, avg(o_orderpriority) a4, stddev_pop(o_orderpriority) s4 from tr),
+z as (select 'train' as split, * from tr union all select 'test', * from te),
+zz as (select split, (o_totalprice - a1) / (case when s1 = 0 then 1 else s1 end) as o_totalprice,
+          (c_acctbal - a2) / (case when s2 = 0 then 1 else s2 end) as c_acctbal,
+          (n_regionkey - a3) / (case when s3 = 0 then 1 else s3 end) as n_regionkey,
+          (o_orderpriority - a4) / (case when s4 = 0 then 1 else s4 end) as o_orderpriority,
+          {', '.join(f'"c_mktsegment_{s}"' for s in SEGMENTS)}, o_orderstatus from z cross join m)
+select split, cast(count(*) as bigint) as n_rows, {r6('sum(o_totalprice)')} as sum_o_totalprice,
+  {r6('sum(c_acctbal)')} as sum_c_acctbal, {r6('sum(n_regionkey)')} as sum_n_regionkey,
+  {r6('sum(o_orderpriority)')} as sum_o_orderpriority,
+  {', '.join(r6(f'sum("c_mktsegment_{s}")') + f' as "sum_c_mktsegment_{s}"' for s in SEGMENTS)},
+  {r6('sum(o_orderstatus)')} as sum_o_orderstatus
+from zz group by split""")

@@ -43,3 +43,201 @@ def i4_gram_spectrum(spark, sf):
 
 def all_queries():
     return dict(QUERIES)
+
+
+# ---------------------------------------------------------------- 2.1/2.2 projections
+from equigroup.functions.columns import privileged  # noqa: E402
+from equigroup.operators import flow, prep, split  # noqa: E402
+from equigroup.sources.tables import read_table  # noqa: E402
+from equigroup.spec import ORD_SPEC  # noqa: E402
+
+PRIORITY_LEVELS = ORD_SPEC.ordinal["o_orderpriority"]
+
+
+@query("s1_load_cohort")
+def s1_load_cohort(spark, sf):
+    return C.c_ord(spark, sf)
+
+
+@query("p1_numeric_columns")
+def p1_numeric_columns(spark, sf):
+    return prep.select_numeric(C.c_ord(spark, sf), exclude=["n_regionkey"])
+
+
+@query("p2_drop_column")
+def p2_drop_column(spark, sf):
+    return C.c_ord(spark, sf).drop("c_mktsegment")
+
+
+@query("p3_drop_null_rows")
+def p3_drop_null_rows(spark, sf):
+    return prep.drop_null_rows(C.c_na(spark, sf))
+
+
+@query("p4_null_split")
+def p4_null_split(spark, sf):
+    missing, known = prep.split_by_null(C.c_na(spark, sf), "c_mktsegment")
+    return (missing.select("o_orderkey", F.lit("missing").alias("part"))
+            .unionByName(known.select("o_orderkey", F.lit("known").alias("part"))))
+
+
+@query("p5_target_last")
+def p5_target_last(spark, sf):
+    return prep.target_last(C.c_ord(spark, sf), "o_orderstatus")
+
+
+@query("p6_strip_prefix_int")
+def p6_strip_prefix_int(spark, sf):
+    c = read_table(spark, sf, "customer")
+    return c.select("c_custkey", prep.strip_prefix_int("c_name", 9).alias("c_id"))
+
+
+@query("p7_null_audit")
+def p7_null_audit(spark, sf):
+    return prep.null_audit(C.c_na(spark, sf))
+
+
+@query("p8_privileged_mask")
+def p8_privileged_mask(spark, sf):
+    d = C.c_pred(spark, sf)
+    return d.select("doc_id", "lang", privileged(F.col("lang"), "en").alias("privileged"))
+
+
+@query("p11_non_constant_features")
+def p11_non_constant_features(spark, sf):
+    return prep.non_constant_features(C.c_emb(spark, sf), C.EMB_FEATURES)
+
+
+@query("p13_deviation_filter")
+def p13_deviation_filter(spark, sf):
+    d = C.c_pred(spark, sf)
+    return prep.deviation_filter(d, "p1", privileged(F.col("lang"), "en"), 0.05) \
+        .select("doc_id", "lang", "p1", "deviation")
+
+
+# ---------------------------------------------------------------- 2.5 encoding
+@query("e1_one_hot")
+def e1_one_hot(spark, sf):
+    return prep.one_hot(C.c_ord(spark, sf), "c_mktsegment")
+
+
+@query("e2_label_code")
+def e2_label_code(spark, sf):
+    return prep.label_code(C.c_ord(spark, sf), "o_orderstatus")
+
+
+@query("e3_ordinal_code")
+def e3_ordinal_code(spark, sf):
+    return prep.ordinal_code(C.c_ord(spark, sf), "o_orderpriority", PRIORITY_LEVELS)
+
+
+@query("e4_ordinal_target")
+def e4_ordinal_target(spark, sf):
+    d = C.c_ord(spark, sf).select("o_orderkey", "o_orderstatus")
+    return prep.ordinal_code(d, "o_orderstatus", ["F", "O"], is_target=True)
+
+
+@query("e5_encode_list")
+def e5_encode_list(spark, sf):
+    return prep.encode_list(C.c_ord(spark, sf), ["c_mktsegment", "o_orderstatus!"])
+
+
+@query("e6_cohort_spec")
+def e6_cohort_spec(spark, sf):
+    return prep.encode_cohort(C.c_ord(spark, sf), ORD_SPEC)
+
+
+@query("e7_zscore")
+def e7_zscore(spark, sf):
+    d = C.c_ord(spark, sf).select("o_orderkey", "o_totalprice", "c_acctbal")
+    return prep.zscore(d, ["o_totalprice", "c_acctbal"])
+
+
+@query("e10_prepare")
+def e10_prepare(spark, sf):
+    train, test = flow.prepare(C.c_na(spark, sf), ORD_SPEC)
+    return flow.split_summary(train, test, "o_orderkey")
+
+
+# ---------------------------------------------------------------- 2.3 splits
+def _m1_parts(spark, sf):
+    raw = C.c_na(spark, sf)
+    test = split.draw_test_from_clean(raw, prep.drop_null_rows(raw), "o_orderkey")
+    return raw, test
+
+
+@query("m1_test_draw")
+def m1_test_draw(spark, sf):
+    return _m1_parts(spark, sf)[1].select("o_orderkey")
+
+
+@query("m2_train_minus_test")
+def m2_train_minus_test(spark, sf):
+    raw, test = _m1_parts(spark, sf)
+    return split.train_minus_test(raw, test, "o_orderkey").select("o_orderkey")
+
+
+@query("m3_disjoint_check")
+def m3_disjoint_check(spark, sf):
+    raw, test = _m1_parts(spark, sf)
+    return split.overlap_count(split.train_minus_test(raw, test, "o_orderkey"), test, "o_orderkey")
+
+
+@query("m4_stratified_holdout")
+def m4_stratified_holdout(spark, sf):
+    return split.stratified_holdout(C.c_doc(spark, sf), "quality", "doc_id", 0.15) \
+        .select("doc_id", "quality", "is_test")
+
+
+@query("m5_random_holdout")
+def m5_random_holdout(spark, sf):
+    return split.random_holdout(C.c_doc(spark, sf), "doc_id", 0.2).select("doc_id", "is_test")
+
+
+@query("m6_stratified_kfold")
+def m6_stratified_kfold(spark, sf):
+    return split.stratified_kfold(C.c_doc(spark, sf), "quality", "doc_id", 5).select("doc_id", "quality", "fold")
+
+
+@query("m7_repeated_kfold")
+def m7_repeated_kfold(spark, sf):
+    return split.repeated_stratified_kfold(C.c_doc(spark, sf), "quality", "doc_id", 5, 10) \
+        .select("doc_id", "repeat", "fold")
+
+
+@query("m8_bootstrap_draw")
+def m8_bootstrap_draw(spark, sf):
+    return split.bootstrap_draw(C.c_doc(spark, sf), "doc_id", 300).select("draw", "doc_id")
+
+
+# ---------------------------------------------------------------- 2.4 joins
+@query("j1_key_join")
+def j1_key_join(spark, sf):
+    return C.c_doc(spark, sf)
+
+
+@query("j2_anti_join")
+def j2_anti_join(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang")
+    return docs.join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("j3_vertical_concat")
+def j3_vertical_concat(spark, sf):
+    d = split.stratified_holdout(C.c_doc(spark, sf), "quality", "doc_id", 0.15)
+    train = d.filter(~F.col("is_test")).select("doc_id", "quality", F.lit("train").alias("part"))
+    val = d.filter(F.col("is_test")).select("doc_id", "quality", F.lit("validation").alias("part"))
+    return train.unionByName(val)
+
+
+def two_populations(spark, sf):
+    d = C.c_doc(spark, sf)
+    emp = d.select("doc_id", "n_chars", "toxic", F.lit(0).alias("origin"))
+    rem = d.filter(F.col("lang") != "en").select("doc_id", "n_chars", "toxic", F.lit(1).alias("origin"))
+    return emp, rem
+
+
+@query("j4_origin_union")
+def j4_origin_union(spark, sf):
+    emp, rem = two_populations(spark, sf)
+    return emp.unionByName(rem)
