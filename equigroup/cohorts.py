@@ -72,16 +72,14 @@ EMB_FEATURES = [f"f{i}" for i in range(EMB_DIM)]
 
 def c_emb(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "embeddings")
-    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(EMB_DIM)],
-                    "label")
+    return e.selectExpr("vec_id", *[f"cast(embedding[{i}] as double) as f{i}" for i in range(EMB_DIM)], "label")
 
 
 def c_emb_binned(spark: SparkSession, sf: str, scale: float = 10.0) -> DataFrame:
     """C_emb with equal-width integer codes ``floor(x * scale)`` (Q5: raw
     continuous values make every plug-in entropy degenerate)."""
     e = c_emb(spark, sf)
-    return e.select("vec_id", *[F.floor(F.col(c) * F.lit(scale)).cast("bigint").alias(c) for c in EMB_FEATURES],
-                    "label")
+    return e.selectExpr("vec_id", *[f"cast(floor({c} * {scale}D) as bigint) as {c}" for c in EMB_FEATURES], "label")
 
 
 def c_run(spark: SparkSession, sf: str) -> DataFrame:

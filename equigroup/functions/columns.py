@@ -50,6 +50,20 @@ def symbol(c: Column, dt: T.DataType) -> Column:
     return F.when(c.isNull(), F.lit(None).cast("long")).otherwise(F.xxhash64(c))
 
 
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def symbol_sql(name: str, dt: T.DataType) -> str:
+    """SQL text of ``symbol`` (one expression string: cheap to build for
+    hundreds of columns)."""
+    c = quote(name)
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        c = (f"(case when cast({c} as double) = 0.0 then 0.0D when isnan(cast({c} as double)) "
+             f"then double('NaN') else cast({c} as double) end)")
+    return f"(case when {quote(name)} is null then cast(null as bigint) else xxhash64({c}) end)"
+
+
 def privileged(c: Column, value) -> Column:
     """Privileged mask; a NULL sensitive value counts as unprivileged."""
     return F.coalesce(c == F.lit(value), F.lit(False))

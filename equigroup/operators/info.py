@@ -19,26 +19,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equigroup.functions.columns import symbol
+from equigroup.functions.columns import symbol_sql
 from equigroup.vocab import DISSIM_EPS
 
 
+def _str_array(values: list[str]) -> F.Column:
+    return F.expr("array(" + ",".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")")
+
+
+def _int_array(values: list[int]) -> F.Column:
+    return F.expr("array(" + ",".join(str(int(v)) for v in values) + ")")
+
+
 def _names_col(names: list[str], idx) -> F.Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), idx + 1)
+    return F.element_at(_str_array(names), idx + 1)
 
 
 def _nlogn(c):
     return c * F.log2(c)
 
 
+def _symbols(df: DataFrame, features: list[str]) -> F.Column:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return F.expr("array(" + ",".join(symbol_sql(c, types[c]) for c in features) + ")")
+
+
 def entropy(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, n, entropy) per feature over its non-null values."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("f"), symbol(F.col(c), types[c]).alias("v"))
-        for i, c in enumerate(features)])).alias("cell")
-    counts = (df.select(cells).select("cell.f", "cell.v").where(F.col("v").isNotNull())
-                .groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")))
+    cells = df.select(F.posexplode(_symbols(df, features)).alias("f", "v"))
+    counts = (cells.where(F.col("v").isNotNull())
+                   .groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")))
     per = counts.groupBy("f").agg(F.sum("n").alias("n"), F.sum(_nlogn(F.col("n").cast("double"))).alias("s"))
     return per.select(_names_col(features, F.col("f")).alias("feature"),
                       F.col("n").cast("bigint").alias("n"),
@@ -46,20 +56,25 @@ def entropy(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def pair_contingency(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(a, b, x, y, z, n): counts per feature-pair cell, a < b feature indices."""
+    """(a, b, x, y, z, n): counts per feature-pair cell, a < b feature indices.
+    Each row carries one array of p value symbols; the p(p-1)/2 pair cells are
+    generated by exploding a pair index and looking both ends up, so the plan
+    stays O(p) in size whatever the number of pairs."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    syms = {c: symbol(F.col(c), types[c]) for c in features}
     pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
     if not pairs:
         raise ValueError("need at least two features")
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"),
-                 syms[features[i]].alias("x"), syms[features[j]].alias("y"))
-        for i, j in pairs])).alias("p")
-    z = symbol(F.col(target), types[target]).alias("z")
-    return (df.select(cells, z).select("p.a", "p.b", "p.x", "p.y", "z")
-              .where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
-              .groupBy("a", "b", "x", "y", "z").agg(F.count(F.lit(1)).alias("n")))
+    pa = _int_array([i for i, _ in pairs])
+    pb = _int_array([j for _, j in pairs])
+    rows = df.select(_symbols(df, features).alias("_v"), F.expr(symbol_sql(target, types[target])).alias("z")) \
+             .where(F.col("z").isNotNull())
+    cells = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("_p"), "_v", "z") \
+                .select(F.element_at(pa, F.col("_p") + 1).alias("a"), F.element_at(pb, F.col("_p") + 1).alias("b"),
+                        "_v", "z") \
+                .select("a", "b", F.element_at("_v", F.col("a") + 1).alias("x"),
+                        F.element_at("_v", F.col("b") + 1).alias("y"), "z")
+    return (cells.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+                 .groupBy("a", "b", "x", "y", "z").agg(F.count(F.lit(1)).alias("n")))
 
 
 def conditional_mutual_information(df: DataFrame, features: list[str], target: str) -> DataFrame:

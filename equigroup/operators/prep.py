@@ -59,7 +59,7 @@ def assert_no_nulls(df: DataFrame) -> None:
 def feature_variance(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, variance) with sample variance, one aggregate pass; the one
     result row is unpivoted (p rows)."""
-    one = df.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in features])
+    one = df.selectExpr(*[f"var_samp(cast({_q(c)} as double)) as {_q(c)}" for c in features])
     return one.unpivot([], features, "feature", "variance")
 
 
@@ -154,20 +154,25 @@ def encode_list(df: DataFrame, nominals: list[str], fitted: dict | None = None)
     return df.select(*out, *tail)
 
 
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
 def fit_moments(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: mean and population std per column (std 0 -> 1)."""
     aggs = []
     for c in cols:
-        sd = F.stddev_pop(F.col(c).cast("double"))
-        aggs += [F.avg(F.col(c).cast("double")).alias(f"{c}__mean"),
-                 F.when((sd == 0) | sd.isNull(), F.lit(1.0)).otherwise(sd).alias(f"{c}__scale")]
-    return df.agg(*aggs)
+        x = f"cast({_q(c)} as double)"
+        aggs += [f"avg({x}) as `{c}__mean`",
+                 f"coalesce(nullif(stddev_pop({x}), 0.0D), 1.0D) as `{c}__scale`"]
+    return df.selectExpr(*aggs)
 
 
 def apply_zscore(df: DataFrame, cols: list[str], moments: DataFrame) -> DataFrame:
     j = df.crossJoin(F.broadcast(moments))
-    return j.select(*[((F.col(c).cast("double") - F.col(f"{c}__mean")) / F.col(f"{c}__scale")).alias(c)
-                      if c in cols else F.col(c) for c in df.columns])
+    cs = set(cols)
+    return j.selectExpr(*[f"(cast({_q(c)} as double) - `{c}__mean`) / `{c}__scale` as {_q(c)}"
+                          if c in cs else _q(c) for c in df.columns])
 
 
 def zscore(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -159,3 +159,53 @@ select split, cast(count(*) as bigint) as n_rows, {r6('sum(o_totalprice)')} as s
   {', '.join(r6(f'sum("c_mktsegment_{s}")') + f' as "sum_c_mktsegment_{s}"' for s in SEGMENTS)},
   {r6('sum(o_orderstatus)')} as sum_o_orderstatus
 from zz group by split""")
+
+
+# ---------------------------------------------------------------- 2.7 grouping
+WIDE = S.cmi_cte_wide(S.C_EMB_BINNED, S.EMB, "label", "vec_id")
+ASSIGN5 = """feats as (select fi as feature from dis union select fj from dis),
+assign as (select feature, cast((row_number() over (order by md5(concat(feature, '|42')), feature) - 1) % 5 as integer)
+           as group_id from feats),
+q as (select a.group_id, avg(d.dissimilarity) as diversity, min(d.dissimilarity) as dispersion
+      from dis d join assign a on a.feature = d.fi join assign b on b.feature = d.fj and a.group_id = b.group_id
+      group by a.group_id),
+sz as (select group_id, count(*) as n_features from assign group by group_id),
+qual as (select sz.group_id, sz.n_features, q.diversity, q.dispersion from sz left join q using (group_id))"""
+oracle("i3_dissimilarity_wide", f"with {WIDE} select fi, fj, {r6('dissimilarity')} as dissimilarity from dis")
+oracle("g1_random_grouping", f"with {WIDE}, {ASSIGN5} select group_id, feature from assign")
+oracle("g3_diversity", f"with {WIDE}, {ASSIGN5} select group_id, cast(n_features as bigint) as n_features, "
+                       f"{r6('diversity')} as diversity from qual")
+oracle("g4_dispersion", f"with {WIDE}, {ASSIGN5} select group_id, {r6('dispersion')} as dispersion from qual")
+oracle("g5_score", f"with {WIDE}, {ASSIGN5} select {r6('case when count(diversity) = 5 then 0.5 * sum(diversity) + 0.5 * min(dispersion) end')} as score from qual")
+oracle("g6_grouping_report", f"""with {WIDE}, {ASSIGN5},
+rng as (select min(dissimilarity) as lo, max(dissimilarity) as hi from dis)
+select {r6('avg(diversity)')} as avg_diversity, {r6('min(dispersion)')} as min_dispersion,
+  {r6('(avg(diversity) - min(lo)) / nullif(min(hi) - min(lo), 0)')} as avg_diversity_norm,
+  {r6('(min(dispersion) - min(lo)) / nullif(min(hi) - min(lo), 0)')} as min_dispersion_norm
+from qual cross join rng""")
+oracle("g11_k_sweep", f"""with {WIDE},
+feats as (select fi as feature from dis union select fj from dis),
+ks as (select cast(range as integer) as k from range(2, 11)),
+assign as (select k, feature, cast((row_number() over (partition by k order by md5(concat(feature, '|42')), feature) - 1) % k
+           as integer) as group_id from feats cross join ks),
+q as (select a.k, a.group_id, avg(d.dissimilarity) as diversity, min(d.dissimilarity) as dispersion
+      from dis d join assign a on a.feature = d.fi join assign b on b.feature = d.fj and a.k = b.k and a.group_id = b.group_id
+      group by a.k, a.group_id),
+sz as (select k, group_id from assign group by k, group_id),
+qual as (select sz.k, q.diversity, q.dispersion from sz left join q using (k, group_id))
+select k, {r6('avg(diversity)')} as avg_diversity, {r6('min(dispersion)')} as min_dispersion from qual group by k""")
+oracle("g2_greedy_seeds", f"""with {WIDE},
+full_m as (select fi, dissimilarity as d from dis union all select fj, dissimilarity from dis),
+rs as (select fi as feature, sum(d) as row_sum from full_m group by fi),
+r as (select *, row_number() over (order by row_sum desc, feature) - 1 as rk from rs)
+select cast(4 - rk as integer) as group_id, feature, {r6('row_sum')} as row_sum from r where rk < 5""")
+oracle("g9_feature_gram", f"""with src as ({S.C_EMB}),
+lv as (select vec_id, feature, v from (unpivot src on {', '.join(S.EMB)} into name feature value v))
+select a.feature as fi, b.feature as fj, {r6('sum(a.v * b.v)')} as gram
+from lv a join lv b on a.vec_id = b.vec_id and a.feature <= b.feature group by a.feature, b.feature""")
+oracle("g10_moments", f"""with src as ({S.C_EMB}),
+lv as (select feature, v from (unpivot src on {', '.join(S.EMB)} into name feature value v)),
+mu as (select feature, avg(v) as m from lv group by feature),
+c as (select feature, avg(power(v - m, 2)) as m2, avg(power(v - m, 3)) as m3, avg(power(v - m, 4)) as m4
+      from lv join mu using (feature) group by feature)
+select feature, {r6('m3 / power(m2, 1.5)')} as skewness, {r6('m4 / (m2 * m2) - 3.0')} as kurtosis from c""")

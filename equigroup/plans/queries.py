@@ -241,3 +241,97 @@ def two_populations(spark, sf):
 def j4_origin_union(spark, sf):
     emp, rem = two_populations(spark, sf)
     return emp.unionByName(rem)
+
+
+# ---------------------------------------------------------------- 2.7 grouping
+from equigroup.operators import grouping as G  # noqa: E402
+from equigroup.operators import moments  # noqa: E402
+
+GROUPS_K = 5
+
+
+def emb_matrix(spark, sf):
+    """Dissimilarity of the 64 binned embedding features given the label."""
+    return info.dissimilarity(C.c_emb_binned(spark, sf), C.EMB_FEATURES, "label")
+
+
+def emb_random_assignment(spark, sf):
+    m = emb_matrix(spark, sf)
+    return m, G.random_grouping(G.features_of(m), GROUPS_K)
+
+
+@query("i3_dissimilarity_wide")
+def i3_dissimilarity_wide(spark, sf):
+    return emb_matrix(spark, sf)
+
+
+@query("g1_random_grouping")
+def g1_random_grouping(spark, sf):
+    return emb_random_assignment(spark, sf)[1]
+
+
+@query("g3_diversity")
+def g3_diversity(spark, sf):
+    m, a = emb_random_assignment(spark, sf)
+    return G.group_quality(a, m).select("group_id", "n_features", "diversity")
+
+
+@query("g4_dispersion")
+def g4_dispersion(spark, sf):
+    m, a = emb_random_assignment(spark, sf)
+    return G.group_quality(a, m).select("group_id", "dispersion")
+
+
+@query("g5_score")
+def g5_score(spark, sf):
+    m, a = emb_random_assignment(spark, sf)
+    return G.grouping_score(G.group_quality(a, m), 0.5, 0.5, k=GROUPS_K)
+
+
+@query("g6_grouping_report")
+def g6_grouping_report(spark, sf):
+    m, a = emb_random_assignment(spark, sf)
+    return G.grouping_report(G.group_quality(a, m), m, normalize=True)
+
+
+@query("g11_k_sweep")
+def g11_k_sweep(spark, sf):
+    return G.k_sweep_random(emb_matrix(spark, sf), range(2, 11))
+
+
+@query("g2_greedy_seeds")
+def g2_greedy_seeds(spark, sf):
+    return G.greedy_seeds(emb_matrix(spark, sf), GROUPS_K)
+
+
+@query("g2_greedy_grouping")
+def g2_greedy_grouping(spark, sf):
+    return G.greedy_grouping(emb_matrix(spark, sf), [GROUPS_K])
+
+
+@query("g7_bicriterion")
+def g7_bicriterion(spark, sf):
+    return G.bicriterion_grouping(line_matrix(spark, sf), [2], restarts=10)
+
+
+def emb_scaled(spark, sf):
+    e = C.c_emb(spark, sf)
+    return prep.zscore(e, C.EMB_FEATURES)
+
+
+@query("g8_kplus")
+def g8_kplus(spark, sf):
+    z = emb_scaled(spark, sf)
+    nc = [r[0] for r in prep.non_constant_features(z, C.EMB_FEATURES).select("feature").collect()]
+    aug = G.augmented_gram(moments.feature_gram(z, nc), moments.skew_kurtosis(z, nc))
+    return G.kplus_grouping(aug, [GROUPS_K])
+
+
+@query("g9_feature_gram")
+def g9_feature_gram(spark, sf):
+    return moments.feature_gram(C.c_emb(spark, sf), C.EMB_FEATURES)
+
+
+@query("g10_moments")
+def g10_moments(spark, sf):
+    return moments.skew_kurtosis(C.c_emb(spark, sf), C.EMB_FEATURES)

@@ -16,11 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        q = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = (F.round(c.cast("double"), digits) + F.lit(0.0)).alias(f.name)
-        cols.append(c)
-    return df.select(*cols)
+            cols.append(f"round(cast({q} as double), {digits}) + 0.0D as {q}")
+        else:
+            cols.append(q)
+    return df.selectExpr(*cols)
 
 
 def query(name: str, rounded: bool = True):

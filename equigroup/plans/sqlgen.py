@@ -93,3 +93,23 @@ etot as (select feature, n, sum(n) over (partition by feature) as t from ecnt),
 ent as (select feature, -sum((n / t) * log2(n / t)) as h from etot group by feature),
 dis as (select cmi.fi, cmi.fj, cmi.cmi, 1.0 - cmi.cmi / (a.h + b.h + 1e-9) as dissimilarity
         from cmi join ent a on a.feature = cmi.fi join ent b on b.feature = cmi.fj)"""
+
+
+def cmi_cte_wide(src: str, features: list[str], target: str, key: str) -> str:
+    """Same CTEs as ``cmi_cte`` (ending in ``dis``/``ent``) for many features of
+    one type: unpivot, then a self-join on the key for the pairs."""
+    cols = ", ".join(features)
+    return f"""src as ({src}),
+lv as (select {key} as k, {target} as zt, feature, v from (unpivot src on {cols} into name feature value v)),
+cells as (select a.feature as fi, b.feature as fj, cast(a.v as varchar) as x, cast(b.v as varchar) as y,
+                 cast(a.zt as varchar) as z
+          from lv a join lv b on a.k = b.k and a.feature < b.feature where a.zt is not null),
+t as (select fi, fj, x, y, z, count(*) as n from cells group by fi, fj, x, y, z),
+m as (select *, sum(n) over (partition by fi, fj, x, z) as nxz, sum(n) over (partition by fi, fj, y, z) as nyz,
+        sum(n) over (partition by fi, fj, z) as nz, sum(n) over (partition by fi, fj) as nn from t),
+cmi as (select fi, fj, greatest(sum(n / nn * log2(n * nz / (nxz * nyz))), 0.0) as cmi from m group by fi, fj),
+ecnt as (select feature, cast(v as varchar) as v, count(*) as n from lv group by feature, v),
+etot as (select feature, n, sum(n) over (partition by feature) as t from ecnt),
+ent as (select feature, -sum((n / t) * log2(n / t)) as h from etot group by feature),
+dis as (select cmi.fi, cmi.fj, cmi.cmi, 1.0 - cmi.cmi / (a.h + b.h + 1e-9) as dissimilarity
+        from cmi join ent a on a.feature = cmi.fi join ent b on b.feature = cmi.fj)"""
