@@ -209,3 +209,175 @@ mu as (select feature, avg(v) as m from lv group by feature),
 c as (select feature, avg(power(v - m, 2)) as m2, avg(power(v - m, 3)) as m3, avg(power(v - m, 4)) as m4
       from lv join mu using (feature) group by feature)
 select feature, {r6('m3 / power(m2, 1.5)')} as skewness, {r6('m4 / (m2 * m2) - 3.0')} as kurtosis from c""")
+
+
+# ---------------------------------------------------------------- 2.10 metrics
+PER_CLASS = """conf as (select y_true, y_pred, count(*) as n from d group by y_true, y_pred),
+labs as (select y_true as c from conf union select y_pred from conf),
+pc as (select c, sum(case when y_true = c and y_pred = c then n else 0 end) as tp,
+              sum(case when y_pred = c and y_true <> c then n else 0 end) as fp,
+              sum(case when y_true = c and y_pred <> c then n else 0 end) as fn
+       from labs cross join conf group by c),
+mac as (select avg(case when tp + fp > 0 then tp / (tp + fp) else 0.0 end) as macro_precision,
+               avg(case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0.0 end) as macro_f1 from pc)"""
+AUC = """lab as (select count(distinct y_true) as k, max(y_true) as pos from d),
+rk as (select y_true, rank() over (order by {s}) + (count(*) over (partition by {s}) - 1) / 2.0 as mr
+       from d where {s} is not null),
+au as (select case when (select k from lab) = 2 then
+          (sum(case when y_true = (select pos from lab) then mr else 0 end)
+           - count(*) filter (where y_true = (select pos from lab)) * (count(*) filter (where y_true = (select pos from lab)) + 1) / 2.0)
+          / (count(*) filter (where y_true = (select pos from lab)) * count(*) filter (where y_true <> (select pos from lab)))
+          end as roc_auc from rk)"""
+oracle("v1_accuracy", f"select {r6('avg(case when y_true = y_pred then 1.0 else 0.0 end)')} as accuracy from ({S.C_PRED}) d")
+oracle("v2_macro_f1", f"with d as ({S.C_PRED3}), {PER_CLASS} select {r6('macro_f1')} as macro_f1 from mac")
+oracle("v3_macro_precision", f"with d as ({S.C_PRED3}), {PER_CLASS} select {r6('macro_precision')} as macro_precision from mac")
+oracle("v4_roc_auc", f"with d as ({S.C_PRED}), {AUC.format(s='p1')} select {r6('roc_auc')} as roc_auc from au")
+oracle("v5_metric_record", f"""with d as ({S.C_PRED}), {PER_CLASS}, {AUC.format(s='p1')}
+select 'LengthRule' as "Model", {r6('(select avg(case when y_true = y_pred then 1.0 else 0.0 end) from d)')} as "Accuracy",
+  {r6('macro_precision')} as "Precision", {r6('macro_f1')} as "F1-score", {r6('roc_auc')} as "ROC AUC" from mac, au""")
+oracle("v5_metric_record_multiclass", f"""with d as (select *, cast(y_pred as double) as score from ({S.C_PRED3}) t),
+{PER_CLASS}, {AUC.format(s='score')}
+select 'PriceRule' as "Model", {r6('(select avg(case when y_true = y_pred then 1.0 else 0.0 end) from d)')} as "Accuracy",
+  {r6('macro_precision')} as "Precision", {r6('macro_f1')} as "F1-score", {r6('roc_auc')} as "ROC AUC" from mac, au""")
+
+# ---------------------------------------------------------------- 2.11 fairness
+RATES = """g as (select priv as privileged,
+    cast(sum(case when y_true in (0, 1) and y_pred in (0, 1) and y_true = 1 and y_pred = 1 then 1 else 0 end) as bigint) as tp,
+    cast(sum(case when y_true in (0, 1) and y_pred in (0, 1) and y_true = 0 and y_pred = 1 then 1 else 0 end) as bigint) as fp,
+    cast(sum(case when y_true in (0, 1) and y_pred in (0, 1) and y_true = 0 and y_pred = 0 then 1 else 0 end) as bigint) as tn,
+    cast(sum(case when y_true in (0, 1) and y_pred in (0, 1) and y_true = 1 and y_pred = 0 then 1 else 0 end) as bigint) as fn,
+    avg(case when y_pred = 1 then 1.0 else 0.0 end) as positive_rate,
+    stddev_samp(case when y_true <> y_pred then 1.0 else 0.0 end) as error_std
+  from d group by priv),
+r as (select privileged, tp, fp, tn, fn, tp / (tp + fn + 1e-6) as tpr, fp / (fp + tn + 1e-6) as fpr,
+        tp / (tp + fp + 1e-6) as precision, (fp + fn) / (tp + tn + fp + fn + 1e-6) as error_rate,
+        positive_rate, error_std from g),
+pr as (select max(case when privileged then tpr end) as tpr_p, max(case when not privileged then tpr end) as tpr_u,
+          max(case when privileged then fpr end) as fpr_p, max(case when not privileged then fpr end) as fpr_u,
+          max(case when privileged then precision end) as pre_p, max(case when not privileged then precision end) as pre_u,
+          max(case when privileged then error_rate end) as er_p, max(case when not privileged then error_rate end) as er_u,
+          max(case when privileged then positive_rate end) as pos_p, max(case when not privileged then positive_rate end) as pos_u,
+          max(case when privileged then error_std end) as sd_p, max(case when not privileged then error_std end) as sd_u from r),
+fr as (select case when pos_p <> 0 then pos_u / pos_p end as di, abs(tpr_p - tpr_u) as eo,
+          greatest(abs(tpr_p - tpr_u), abs(fpr_p - fpr_u)) as eodds, abs(pre_p - pre_u) as pp,
+          case when sqrt((sd_p * sd_p + sd_u * sd_u) / 2) > 0 then abs(er_p - er_u) / sqrt((sd_p * sd_p + sd_u * sd_u) / 2) end as ns
+       from pr)"""
+PRED_PRIV = f"d as (select *, coalesce(lang = 'en', false) as priv from ({S.C_PRED}) t)"
+FR_COLS = (f"{r6('di')} as \"Disparate Impact\", {r6('eo')} as \"Equal Opportunity\", {r6('eodds')} as \"Equalized Odds\", "
+           f"{r6('pp')} as \"Predictive Parity\", {r6('ns')} as \"N-Sigma (ErrorRate)\"")
+oracle("f1_group_rates", f"with {PRED_PRIV}, {RATES} select privileged, tp, fp, tn, fn, {r6('tpr')} as tpr, "
+                         f"{r6('fpr')} as fpr, {r6('precision')} as precision, {r6('error_rate')} as error_rate from r")
+oracle("f2_disparate_impact", f"with {PRED_PRIV}, {RATES} select {r6('di')} as \"Disparate Impact\" from fr")
+oracle("f3_equal_opportunity", f"with {PRED_PRIV}, {RATES} select {r6('eo')} as \"Equal Opportunity\" from fr")
+oracle("f4_equalized_odds", f"with {PRED_PRIV}, {RATES} select {r6('eodds')} as \"Equalized Odds\" from fr")
+oracle("f5_predictive_parity", f"with {PRED_PRIV}, {RATES} select {r6('pp')} as \"Predictive Parity\" from fr")
+oracle("f6_n_sigma", f"with {PRED_PRIV}, {RATES} select {r6('ns')} as \"N-Sigma (ErrorRate)\" from fr")
+oracle("f11_fairness_record_multiclass",
+       f"with d as (select *, coalesce(c_mktsegment = 'BUILDING', false) as priv from ({S.C_PRED3}) t), {RATES} "
+       f"select {FR_COLS} from fr")
+
+DOC_FEAT = f"""df as (select doc_id, lang, quality as y_true, case when n_chars > 1500 then 1 else 0 end as y_pred,
+  1.0 / (1.0 + exp(-(n_chars - 1500) / 1000.0)) as p1, n_chars, toxic,
+  case when lang = 'en' then 1.0 else 0.0 end as is_en from ({S.C_DOC}) c),
+bg as (select avg(cast(n_chars as double)) as m_n, avg(cast(toxic as double)) as m_t, avg(is_en) as m_e from df),
+attr as (select doc_id, 1 as class, 'n_chars' as feature, 0.001 * (n_chars - m_n) as phi from df, bg
+         union all select doc_id, 1, 'toxic', -0.5 * (toxic - m_t) from df, bg
+         union all select doc_id, 1, 'is_en', 0.2 * (is_en - m_e) from df, bg),
+mu as (select coalesce(lang = 'en', false) as priv, avg(p1) as mu from df group by 1),
+pts as (select df.doc_id, coalesce(df.lang = 'en', false) as privileged, a.phi as x, df.p1 - mu.mu as y
+        from df join mu on coalesce(df.lang = 'en', false) = mu.priv
+        join attr a on a.doc_id = df.doc_id and a.feature = 'is_en' and a.class = 1
+        where abs(df.p1 - mu.mu) > 0.05)"""
+oracle("f7_explanation_bias", f"""with {DOC_FEAT}
+select a.feature, {r6('abs(avg(case when coalesce(df.lang = ' + "'en'" + ', false) then a.phi end) - avg(case when not coalesce(df.lang = ' + "'en'" + ', false) then a.phi end))')} as bias
+from attr a join df using (doc_id) group by a.feature""")
+oracle("f8_instance_bias", f"""with {DOC_FEAT}
+select cast(count(*) as bigint) as n_points, {r6('avg(sqrt(x * x + y * y))')} as "Average distance from origin" from pts""")
+oracle("f8_quadrants", f"""with {DOC_FEAT}
+select privileged, cast(sign(x) as integer) as x_sign, cast(sign(y) as integer) as y_sign, cast(count(*) as bigint) as n
+from pts group by all""")
+oracle("f11_fairness_record", f"""with {DOC_FEAT}, d as (select *, coalesce(lang = 'en', false) as priv from df), {RATES}
+select {FR_COLS}, {r6('(select avg(sqrt(x * x + y * y)) from pts)')} as "Average distance from origin" from fr""")
+
+
+# ---------------------------------------------------------------- 2.12 attribution / 2.8 apply
+from equigroup import fixed_weights as W  # noqa: E402
+
+COEF_VALUES = ", ".join(f"('f{i}', {W.emb_coef(i)!r})" for i in range(64))
+EMB_ATTR = f"""src as ({S.C_EMB}),
+lv as (select vec_id, feature, v from (unpivot src on {', '.join(S.EMB)} into name feature value v)),
+bg as (select feature, avg(v) as m from lv group by feature),
+co as (select * from (values {COEF_VALUES}) t(feature, c)),
+attr as (select vec_id, 1 as class, feature, c * (v - m) as phi from lv join bg using (feature) join co using (feature)
+         union all select vec_id, 0 as class, feature, -c * (v - m) as phi from lv join bg using (feature) join co using (feature)),
+rng as (select class, feature, quantile_cont(phi, 0.95) - quantile_cont(phi, 0.05) as range from attr group by class, feature)"""
+oracle("a1_linear_attribution", f"with {EMB_ATTR} select vec_id, class, feature, {r6('phi')} as phi from attr")
+oracle("a5_feature_ranges", f"""with {EMB_ATTR}
+select class, feature, {r6('range')} as range,
+  cast(row_number() over (partition by class order by range desc, feature) as integer) as rank from rng""")
+oracle("a5_range_stats", f"""with {EMB_ATTR}
+select class, {r6('max(range)')} as max, {r6('min(range)')} as min, {r6('avg(range)')} as mean,
+  {r6('stddev_pop(range)')} as std from rng group by class""")
+oracle("a6_collapse_classes", f"with {EMB_ATTR} select vec_id, feature, {r6('sum(abs(phi))')} as phi from attr "
+                              f"group by vec_id, feature")
+oracle("a8_importance_top", f"""with {EMB_ATTR},
+imp as (select class, feature, avg(abs(phi)) as importance from attr group by class, feature),
+rk as (select *, cast(row_number() over (partition by class order by importance desc, feature) as integer) as rank from imp)
+select class, feature, {r6('importance')} as importance, rank from rk where rank <= 10""")
+
+
+def _latent_sql() -> tuple[str, list[str]]:
+    """Per-row latent columns from the fixed encoder weights."""
+    names, exprs = [], []
+    for g in range(W.EMB_GROUPS):
+        nd = W.emb_dims(g)
+        for d in range(nd):
+            terms = " + ".join(f"{W.enc_w(g, i, d)!r} * ((f{i} - m_f{i}) / s_f{i})"
+                               for i in range(64) if W.emb_group_of(i) == g)
+            name = f"group_{g}" if nd == 1 else f"group_{g}_dim{d}"
+            names.append(name)
+            exprs.append(f"greatest(0.0, {terms} + {W.enc_b(g, d)!r}) as {name}")
+    return ", ".join(exprs), names
+
+
+LAT_EXPR, LAT_NAMES = _latent_sql()
+MOM = ", ".join(f"avg(f{i}) as m_f{i}, coalesce(nullif(stddev_pop(f{i}), 0.0), 1.0) as s_f{i}" for i in range(64))
+LAT_CTE = f"""e as ({S.C_EMB}), mom as (select {MOM} from e),
+lat as (select vec_id, {', '.join(f'f{i}' for i in range(64))}, {', '.join(f'm_f{i}, s_f{i}' for i in range(64))},
+        {LAT_EXPR} from e cross join mom)"""
+oracle("b3_encode_latent", f"with {LAT_CTE} select vec_id, " + ", ".join(f"{r6(n)} as {n}" for n in LAT_NAMES) + " from lat")
+
+
+def _recon_sql() -> str:
+    errs = []
+    for i in range(64):
+        g = W.emb_group_of(i)
+        nd = W.emb_dims(g)
+        xhat = " + ".join(f"{W.dec_w(g, d, i)!r} * {('group_%d' % g) if nd == 1 else ('group_%d_dim%d' % (g, d))}"
+                          for d in range(nd))
+        errs.append(f"power((f{i} - m_f{i}) / s_f{i} - ({xhat} + 0.0), 2)")
+    return f"({' + '.join(errs)}) / 64.0"
+
+
+oracle("b5_reconstruction_mse", f"with {LAT_CTE} select {r6('avg(' + _recon_sql() + ')')} as mse from lat")
+
+
+def _decompose_sql() -> str:
+    lphi = []
+    for g in range(W.EMB_GROUPS):
+        nd = W.emb_dims(g)
+        for d in range(nd):
+            n = f"group_{g}" if nd == 1 else f"group_{g}_dim{d}"
+            lphi.append(f"select vec_id, {g} as group_id, {d} as dim, {W.latent_coef(g, d)!r} * ({n} - (select avg({n}) from lat)) as phi from lat")
+    dec = ", ".join(f"({W.emb_group_of(i)}, {d}, 'f{i}', {W.dec_w(W.emb_group_of(i), d, i)!r})"
+                    for i in range(64) for d in range(W.emb_dims(W.emb_group_of(i))))
+    return f"""lphi as ({' union all '.join(lphi)}),
+dec as (select * from (values {dec}) t(group_id, dim, feature, w)),
+tot as (select group_id, feature, sum(abs(w)) as t from dec group by group_id, feature),
+wt as (select dec.group_id, dim, dec.feature, abs(w) / case when t = 0 then 1.0 else t end as weight
+       from dec join tot on dec.group_id = tot.group_id and dec.feature = tot.feature)"""
+
+
+oracle("a4_decompose_latent", f"""with {LAT_CTE}, {_decompose_sql()}
+select vec_id, 1 as class, feature, {r6('sum(phi * weight)')} as phi
+from lphi join wt on lphi.group_id = wt.group_id and lphi.dim = wt.dim group by vec_id, feature""")

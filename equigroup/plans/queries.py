@@ -335,3 +335,214 @@ def g9_feature_gram(spark, sf):
 @query("g10_moments")
 def g10_moments(spark, sf):
     return moments.skew_kurtosis(C.c_emb(spark, sf), C.EMB_FEATURES)
+
+
+# ---------------------------------------------------------------- 2.10 metrics
+from equigroup.operators import metrics as V  # noqa: E402
+
+
+@query("v1_accuracy")
+def v1_accuracy(spark, sf):
+    return V.accuracy(C.c_pred(spark, sf), "y_true", "y_pred")
+
+
+@query("v2_macro_f1")
+def v2_macro_f1(spark, sf):
+    return V.macro_scores(C.c_pred3(spark, sf), "y_true", "y_pred").select("macro_f1")
+
+
+@query("v3_macro_precision")
+def v3_macro_precision(spark, sf):
+    return V.macro_scores(C.c_pred3(spark, sf), "y_true", "y_pred").select("macro_precision")
+
+
+@query("v4_roc_auc")
+def v4_roc_auc(spark, sf):
+    return V.roc_auc(C.c_pred(spark, sf), "y_true", "p1")
+
+
+@query("v5_metric_record")
+def v5_metric_record(spark, sf):
+    return V.metric_record(C.c_pred(spark, sf), "y_true", "y_pred", "p1", "LengthRule")
+
+
+@query("v5_metric_record_multiclass")
+def v5_metric_record_multiclass(spark, sf):
+    d = C.c_pred3(spark, sf).withColumn("score", F.col("y_pred").cast("double"))
+    return V.metric_record(d, "y_true", "y_pred", "score", "PriceRule")
+
+
+# ---------------------------------------------------------------- 2.11 fairness
+from equigroup.operators import fairness as FA  # noqa: E402
+
+
+def _fair_pred(spark, sf):
+    return C.c_pred(spark, sf), privileged(F.col("lang"), "en")
+
+
+@query("f1_group_rates")
+def f1_group_rates(spark, sf):
+    d, p = _fair_pred(spark, sf)
+    return FA.group_rates(d, "y_true", "y_pred", p).select("privileged", "tp", "fp", "tn", "fn", "tpr", "fpr",
+                                                           "precision", "error_rate")
+
+
+@query("f2_disparate_impact")
+def f2_disparate_impact(spark, sf):
+    d, p = _fair_pred(spark, sf)
+    return FA.fairness_record(d, "y_true", "y_pred", p).select("Disparate Impact")
+
+
+@query("f3_equal_opportunity")
+def f3_equal_opportunity(spark, sf):
+    d, p = _fair_pred(spark, sf)
+    return FA.fairness_record(d, "y_true", "y_pred", p).select("Equal Opportunity")
+
+
+@query("f4_equalized_odds")
+def f4_equalized_odds(spark, sf):
+    d, p = _fair_pred(spark, sf)
+    return FA.fairness_record(d, "y_true", "y_pred", p).select("Equalized Odds")
+
+
+@query("f5_predictive_parity")
+def f5_predictive_parity(spark, sf):
+    d, p = _fair_pred(spark, sf)
+    return FA.fairness_record(d, "y_true", "y_pred", p).select("Predictive Parity")
+
+
+@query("f6_n_sigma")
+def f6_n_sigma(spark, sf):
+    d, p = _fair_pred(spark, sf)
+    return FA.fairness_record(d, "y_true", "y_pred", p).select("N-Sigma (ErrorRate)")
+
+
+@query("f11_fairness_record_multiclass")
+def f11_fairness_record_multiclass(spark, sf):
+    d = C.c_pred3(spark, sf)
+    return FA.fairness_record(d, "y_true", "y_pred", privileged(F.col("c_mktsegment"), "BUILDING"))
+
+
+# ---------------------------------------------------------------- 2.12 attribution
+from equigroup import fixed_weights as W  # noqa: E402
+from equigroup.operators import attribution as A  # noqa: E402
+from equigroup.operators import embed as B  # noqa: E402
+
+
+def doc_features(spark, sf):
+    """C_pred plus the model's inputs (n_chars, toxic, is_en) from one join."""
+    d = C.c_doc(spark, sf)
+    return d.select(
+        "doc_id", "lang", F.col("quality").alias("y_true"),
+        F.when(F.col("n_chars") > 1500, F.lit(1)).otherwise(F.lit(0)).alias("y_pred"),
+        (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("n_chars") - 1500) / F.lit(1000.0)))).alias("p1"),
+        "n_chars", "toxic", F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("is_en"))
+
+
+def doc_attribution(spark, sf):
+    d = doc_features(spark, sf)
+    return d, A.linear_attribution(d, "doc_id", {1: W.DOC_COEFS})
+
+
+@query("f7_explanation_bias")
+def f7_explanation_bias(spark, sf):
+    d, attr = doc_attribution(spark, sf)
+    return FA.explanation_bias(attr, d, "doc_id", privileged(F.col("lang"), "en"))
+
+
+def _instance(spark, sf):
+    d, attr = doc_attribution(spark, sf)
+    prot = attr.filter((F.col("feature") == "is_en") & (F.col("class") == 1))
+    return d, FA.instance_points(d, "doc_id", "p1", privileged(F.col("lang"), "en"), prot)
+
+
+@query("f8_instance_bias")
+def f8_instance_bias(spark, sf):
+    return FA.instance_bias(_instance(spark, sf)[1])
+
+
+@query("f8_quadrants")
+def f8_quadrants(spark, sf):
+    return FA.quadrant_counts(_instance(spark, sf)[1])
+
+
+@query("f11_fairness_record")
+def f11_fairness_record(spark, sf):
+    d, pts = _instance(spark, sf)
+    rec = FA.fairness_record(d, "y_true", "y_pred", privileged(F.col("lang"), "en"))
+    return rec.crossJoin(FA.instance_bias(pts).select("Average distance from origin"))
+
+
+def emb_attribution(spark, sf):
+    coefs = {1: {f"f{i}": W.emb_coef(i) for i in range(64)}, 0: {f"f{i}": -W.emb_coef(i) for i in range(64)}}
+    return A.linear_attribution(C.c_emb(spark, sf), "vec_id", coefs)
+
+
+@query("a1_linear_attribution")
+def a1_linear_attribution(spark, sf):
+    return emb_attribution(spark, sf)
+
+
+@query("a5_feature_ranges")
+def a5_feature_ranges(spark, sf):
+    return A.feature_ranges(emb_attribution(spark, sf), 5, 95, by=["class"])
+
+
+@query("a5_range_stats")
+def a5_range_stats(spark, sf):
+    return A.range_stats(A.feature_ranges(emb_attribution(spark, sf), 5, 95, by=["class"]), by=["class"])
+
+
+@query("a6_collapse_classes")
+def a6_collapse_classes(spark, sf):
+    return A.collapse_classes(emb_attribution(spark, sf), "vec_id")
+
+
+@query("a8_importance_top")
+def a8_importance_top(spark, sf):
+    return A.importance(emb_attribution(spark, sf), top=10, by=["class"])
+
+
+def emb_encoder_tables(spark):
+    enc, eb, dec, db = [], [], [], []
+    for i in range(64):
+        g = W.emb_group_of(i)
+        for d in range(W.emb_dims(g)):
+            enc.append((g, f"f{i}", d, W.enc_w(g, i, d)))
+            dec.append((g, d, f"f{i}", W.dec_w(g, d, i)))
+        db.append((g, f"f{i}", 0.0))
+    for g in range(W.EMB_GROUPS):
+        for d in range(W.emb_dims(g)):
+            eb.append((g, d, W.enc_b(g, d)))
+    return (spark.createDataFrame(enc, "group_id int, feature string, dim int, w double"),
+            spark.createDataFrame(eb, "group_id int, dim int, b double"),
+            spark.createDataFrame(dec, "group_id int, dim int, feature string, w double"),
+            spark.createDataFrame(db, "group_id int, feature string, b double"))
+
+
+@query("b3_encode_latent")
+def b3_encode_latent(spark, sf):
+    e = C.c_emb(spark, sf)
+    enc, eb, _, _ = emb_encoder_tables(spark)
+    return B.encode(e, B.moments_table(e, C.EMB_FEATURES), enc, eb, keep=["vec_id"])
+
+
+@query("b5_reconstruction_mse")
+def b5_reconstruction_mse(spark, sf):
+    e = C.c_emb(spark, sf)
+    enc, eb, dec, db = emb_encoder_tables(spark)
+    return B.reconstruction_mse(e, B.moments_table(e, C.EMB_FEATURES), enc, eb, dec, db)
+
+
+@query("a4_decompose_latent")
+def a4_decompose_latent(spark, sf):
+    e = C.c_emb(spark, sf)
+    enc, eb, dec, _ = emb_encoder_tables(spark)
+    lat = B.encode(e, B.moments_table(e, C.EMB_FEATURES), enc, eb, keep=["vec_id"])
+    coefs = {1: {B.latent_name(g, d, W.emb_dims(g)): W.latent_coef(g, d)
+                 for g in range(W.EMB_GROUPS) for d in range(W.emb_dims(g))}}
+    lphi = A.linear_attribution(lat, "vec_id", coefs)
+    names = [(B.latent_name(g, d, W.emb_dims(g)), g, d) for g in range(W.EMB_GROUPS) for d in range(W.emb_dims(g))]
+    lmap = spark.createDataFrame(names, "feature string, group_id int, dim int")
+    lphi = lphi.join(F.broadcast(lmap), "feature").select("vec_id", "class", "group_id", "dim", "phi")
+    return A.decompose(lphi, dec, "vec_id")
