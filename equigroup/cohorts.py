@@ -106,3 +106,32 @@ def c_run(spark: SparkSession, sf: str) -> DataFrame:
                       .otherwise(F.lit("performance_metrics_Grouped_")),
                      ds, F.lit("_"), m, F.lit("_"), g, F.lit("_run"), r.cast("string"), F.lit(".json"))
     return o.select(fname.alias("file_name"), acc.alias("acc"), prec.alias("prec"), f1.alias("f1"))
+
+
+def c_fair_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Fairness run log: file names over every grouping token (incl. ungrouped)
+    and six metrics with NaN, zero, tiny (< 1e-8) and null values."""
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    ds = (F.when(F.col("o_orderkey") % 5 == 0, "Diabetes").when(F.col("o_orderkey") % 5 == 1, "Heart_disease")
+           .when(F.col("o_orderkey") % 5 == 2, "Breast_cancer").when(F.col("o_orderkey") % 5 == 3, "Obesity")
+           .otherwise("Unknown"))
+    m = (F.when(F.col("o_custkey") % 5 == 0, "XGBoost").when(F.col("o_custkey") % 5 == 1, "SVM")
+          .when(F.col("o_custkey") % 5 == 2, "MLP").when(F.col("o_custkey") % 5 == 3, "RandomForest")
+          .otherwise("LogisticRegression"))
+    g = (F.when(F.col("o_orderpriority") == "1-URGENT", "ungrouped")
+          .when(F.col("o_orderpriority") == "2-HIGH", "random")
+          .when(F.col("o_orderpriority") == "3-MEDIUM", "group_dissimilar")
+          .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "kplus").otherwise("bicriterion"))
+    k, c, p = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    fname = F.concat(F.lit("fairness_metrics_"), ds, F.lit("_"), m, F.lit("_"), g, F.lit("_run"),
+                     (k % 10).cast("string"), F.lit(".json"))
+    return o.select(
+        fname.alias("file_name"),
+        F.when(k % 23 == 0, F.lit(float("nan"))).when(k % 29 == 0, F.lit(0.0)).otherwise(p / 300000.0)
+         .alias("Disparate Impact"),
+        ((c % 50).cast("double") / 100.0).alias("Equal Opportunity"),
+        F.when(k % 31 == 0, F.lit(1e-9)).otherwise((k % 37).cast("double") / 100.0).alias("Equalized Odds"),
+        ((c % 41).cast("double") / 50.0).alias("Predictive Parity"),
+        (p / 100000.0).alias("N-Sigma (ErrorRate)"),
+        F.when(k % 13 == 0, F.lit(None).cast("double")).otherwise((k % 11).cast("double") / 20.0)
+         .alias("Average distance from origin"))

@@ -381,3 +381,115 @@ wt as (select dec.group_id, dim, dec.feature, abs(w) / case when t = 0 then 1.0
 oracle("a4_decompose_latent", f"""with {LAT_CTE}, {_decompose_sql()}
 select vec_id, 1 as class, feature, {r6('sum(phi * weight)')} as phi
 from lphi join wt on lphi.group_id = wt.group_id and lphi.dim = wt.dim group by vec_id, feature""")
+
+
+# ---------------------------------------------------------------- 2.13 run reporting
+from equigroup.vocab import (BENCH_GROUPING_ORDER, BENCH_MODEL_ORDER, BENCH_MODELS, BENCHMARK_ACCURACY,  # noqa: E402
+                             DATASETS, FAIRNESS_KEYS, GROUPINGS, MODELS, ORDERED_GROUPINGS)
+
+
+def _case(expr: str, mapping: dict) -> str:
+    return "case " + expr + " " + " ".join(f"when '{k}' then '{v}'" for k, v in mapping.items()) + " end"
+
+
+def _alt(tokens) -> str:
+    return "|".join(sorted(tokens, key=len, reverse=True))
+
+
+def _ds(expr: str) -> str:
+    fb = f"regexp_replace(regexp_replace({expr}, '__', '_', 'g'), '^_+|_+$', '', 'g')"
+    return f"coalesce({_case(expr, DATASETS)}, {_case(fb, DATASETS)})"
+
+
+G_RE = rf"^(.*)_({_alt(MODELS)})_({_alt({k: v for k, v in GROUPINGS.items() if k != 'ungrouped'})})$"
+U_RE = rf"^(.*)_({_alt(MODELS)})_ungrouped$"
+F_RE = rf"^(.*)_({_alt(MODELS)})_({_alt(GROUPINGS)})$"
+GROUPINGS_NO_U = {k: v for k, v in GROUPINGS.items() if k != "ungrouped"}
+RUN_CTE = rf"""rr as (select file_name, acc, prec, f1,
+   regexp_extract(file_name, '^performance_metrics_Grouped_(.*)_run.*\.json$', 1) as gm,
+   regexp_extract(file_name, '^performance_metrics_Ungrouped_(.*)_run.*\.json$', 1) as um from ({S.C_RUN}) c),
+pp as (select *, lower(gm) as gl, lower(um) as ul from rr),
+pr as (select file_name, acc, prec, f1,
+   case when gm <> '' and regexp_matches(gl, '{G_RE}') then {_ds(f"regexp_extract(gl, '{G_RE}', 1)")}
+        when um <> '' and regexp_matches(ul, '{U_RE}') then {_ds(f"regexp_extract(ul, '{U_RE}', 1)")} end as dataset,
+   case when gm <> '' and regexp_matches(gl, '{G_RE}') then {_case(f"regexp_extract(gl, '{G_RE}', 2)", MODELS)}
+        when um <> '' and regexp_matches(ul, '{U_RE}') then {_case(f"regexp_extract(ul, '{U_RE}', 2)", MODELS)} end as model,
+   case when gm <> '' and regexp_matches(gl, '{G_RE}') then {_case(f"regexp_extract(gl, '{G_RE}', 3)", GROUPINGS_NO_U)}
+        when um <> '' and regexp_matches(ul, '{U_RE}') then 'Ungrouped' end as grouping
+   from pp),
+rec as (select file_name, dataset, model, grouping, acc as "Accuracy", prec as "Precision", f1 as "F1-score",
+   case when prec > 0 and f1 > 0 and 2 * prec - f1 > 0 then f1 * prec / (2 * prec - f1) end as "Recall"
+   from pr where dataset is not null)"""
+DS_COLS = ["Breast Cancer", "Heart Disease", "Obesity", "Diabetes"]
+
+
+def _usable(v: str, eps: float = 0.0) -> str:
+    extra = f" and abs({v}) >= {eps!r}" if eps else ""
+    return f"case when {v} is not null and not isnan({v}) and not isinf({v}) and {v} <> 0{extra} then {v} end"
+
+
+def _pivot(long_cte: str, eps: float = 0.0) -> str:
+    cells = ", ".join(f"{r6(f'avg(case when dataset = {chr(39)}{d}{chr(39)} then uv end)')} as \"{d}\"" for d in DS_COLS)
+    return f"""{long_cte},
+u as (select *, {_usable('value', eps)} as uv from long)
+select metric, grouping, {cells} from u group by metric, grouping"""
+
+
+PERF_LONG = "long as (" + " union all ".join(
+    f"select dataset, grouping, '{m}' as metric, \"{m}\" as value from rec"
+    for m in ["Accuracy", "F1-score", "Precision", "Recall"]) + ")"
+FAIR_CTE = rf"""fr0 as (select *, regexp_extract(file_name, '^fairness_metrics_(.*)_run.*\.json$', 1) as mm from ({S.C_FAIR_RUN}) c),
+fr1 as (select *, lower(mm) as ml from fr0),
+frec as (select {_ds(f"regexp_extract(ml, '{F_RE}', 1)")} as dataset,
+   {_case(f"regexp_extract(ml, '{F_RE}', 2)", MODELS)} as model,
+   {_case(f"regexp_extract(ml, '{F_RE}', 3)", GROUPINGS)} as grouping, * exclude (mm, ml, file_name)
+   from fr1 where mm <> '' and regexp_matches(ml, '{F_RE}'))"""
+FAIR_LONG = "long as (" + " union all ".join(
+    f"select dataset, grouping, '{m}' as metric, \"{m}\" as value from frec where dataset is not null"
+    for m in FAIRNESS_KEYS) + ")"
+
+oracle("s3_parse_filename", f"with {RUN_CTE} select file_name, dataset, model, grouping from rec")
+oracle("p9_canonical_names", f"""with c as ({S.C_RUN}),
+t as (select file_name, regexp_extract(lower(file_name), '_(xgboost|randomforest|logisticregression|mlp|svm)_', 1) as model_token from c)
+select file_name, model_token, {_case('model_token', MODELS)} as model from t""")
+oracle("p10_usable_mean", f"with {RUN_CTE} select dataset, {r6('avg(' + _usable(chr(34) + 'Accuracy' + chr(34)) + ')')} as mean_accuracy "
+                          f"from rec group by dataset")
+oracle("r1_run_counts", f"with {RUN_CTE} select dataset, grouping, cast(count(*) as bigint) as runs from rec group by all")
+oracle("r2_performance_report", f"with {RUN_CTE}, {_pivot(PERF_LONG)}")
+oracle("r3_fairness_report", f"with {FAIR_CTE}, {_pivot(FAIR_LONG, 1e-8)}")
+M_RANK = "case metric " + " ".join(f"when '{m}' then {i}" for i, m in enumerate(["Accuracy", "F1-score", "Precision", "Recall"])) + " else 4 end"
+G_RANK = "case grouping " + " ".join(f"when '{g}' then {i}" for i, g in enumerate(ORDERED_GROUPINGS)) + f" else {len(ORDERED_GROUPINGS)} end"
+oracle("r4_display_order", f"""with {RUN_CTE}, {PERF_LONG}, mg as (select distinct metric, grouping from long)
+select metric, grouping, cast(row_number() over (order by {M_RANK}, {G_RANK}, grouping) as integer) as position from mg""")
+FMT = ", ".join(f"coalesce(printf('%.6f', \"{d}\"), '-') as \"{d}\"" for d in DS_COLS)
+_P7 = _pivot(PERF_LONG)
+_P7_SEL = _P7.index("select metric, grouping,")
+oracle("s7_report_format", f"""with {RUN_CTE}, {_P7[:_P7_SEL].rstrip()}, rep as ({_P7[_P7_SEL:]})
+select regexp_replace(metric, '[^A-Za-z0-9_-]+', '_', 'g') as metric_file, grouping, {FMT} from rep""")
+LONGNAME = "case model " + " ".join(f"when '{MODELS[t]}' then '{BENCH_MODELS[t]}'" for t in MODELS) + " end"
+BC = f"""bc as (select {LONGNAME} as model, grouping, avg({_usable(chr(34) + 'Precision' + chr(34))}) as value
+        from rec where dataset = 'Breast Cancer' group by 1, 2 having value is not null)"""
+BENCH = "bench as (select * from (values " + ", ".join(
+    f"('{m}', {a!r}, {b!r}, {c!r})" for m, a, b, c in BENCHMARK_ACCURACY) + ") t(model, min, mean, max))"
+oracle("r5_dataset_model_means", f"with {RUN_CTE}, {BC} select model, grouping, {r6('value')} as value from bc")
+oracle("r6_benchmark_compare", f"""with {RUN_CTE}, {BC}, {BENCH}
+select bc.model, grouping, {r6('value * 100.0')} as value_pct, {r6('min')} as min, {r6('mean')} as mean, {r6('max')} as max,
+  value * 100.0 < min as below_min, value * 100.0 >= min and value * 100.0 <= max as within, value * 100.0 > max as above_max,
+  {r6('greatest(1.0, 0.02 * (max - min))')} as pad
+from bc left join bench on bc.model = bench.model""")
+oracle("j8_benchmark_join", f"""with {RUN_CTE}, {BC}, {BENCH}
+select bc.model, grouping, {r6('value * 100.0')} as value_pct, {r6('min')} as min, {r6('mean')} as mean, {r6('max')} as max
+from bc left join bench on bc.model = bench.model""")
+MODEL_POS = "mp as (select * from (values " + ", ".join(f"({i}, '{m}')" for i, m in enumerate(BENCH_MODEL_ORDER)) + \
+    ") t(model_pos, model) where model in (select model from bc))"
+GROUP_POS = "gp as (select * from (values " + ", ".join(f"({i}, '{g}')" for i, g in enumerate(BENCH_GROUPING_ORDER)) + \
+    ") t(grouping_pos, grouping))"
+oracle("s9_overlay_long", f"""with {RUN_CTE}, {BC}, {MODEL_POS}, {GROUP_POS}
+select gp.grouping, cast(grouping_pos as integer) as grouping_pos, mp.model, cast(model_pos as integer) as model_pos,
+  {r6('round(value * 100.0, 3)')} as value_pct
+from gp cross join mp left join bc on bc.model = mp.model and bc.grouping = gp.grouping""")
+oracle("v7_run_summary", f"""with {RUN_CTE}
+select dataset, model, grouping, cast(count(*) as bigint) as num_runs, {r6('avg("Accuracy")')} as "mean_Accuracy",
+  {r6('stddev_samp("Accuracy")')} as "std_Accuracy", {r6('avg("F1-score")')} as "mean_F1-score",
+  {r6('stddev_samp("F1-score")')} as "std_F1-score" from rec group by all""")
+oracle("v8_recall", f"with {RUN_CTE} select file_name, {r6(chr(34) + 'Recall' + chr(34))} as \"Recall\" from rec")

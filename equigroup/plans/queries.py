@@ -546,3 +546,113 @@ def a4_decompose_latent(spark, sf):
     lmap = spark.createDataFrame(names, "feature string, group_id int, dim int")
     lphi = lphi.join(F.broadcast(lmap), "feature").select("vec_id", "class", "group_id", "dim", "phi")
     return A.decompose(lphi, dec, "vec_id")
+
+
+# ---------------------------------------------------------------- 2.13 run reporting
+from equigroup.operators import reports as R  # noqa: E402
+from equigroup.sources import runlog  # noqa: E402
+from equigroup.vocab import BENCH_MODELS, FAIRNESS_KEYS, MODELS, PERFORMANCE_KEYS  # noqa: E402
+
+SHORT_TO_LONG = {MODELS[t]: BENCH_MODELS[t] for t in MODELS}
+
+
+def run_records(spark, sf):
+    r = C.c_run(spark, sf)
+    m = runlog.parse_performance_name(F.col("file_name"))
+    x = r.select("file_name", m.alias("m"), F.col("acc").alias("Accuracy"), F.col("prec").alias("Precision"),
+                 F.col("f1").alias("F1-score"))
+    return x.filter(F.col("m").isNotNull()).select("file_name", "m.dataset", "m.model", "m.grouping",
+                                                   "Accuracy", "Precision", "F1-score")
+
+
+def fair_records(spark, sf):
+    r = C.c_fair_run(spark, sf)
+    m = runlog.parse_fairness_name(F.col("file_name"))
+    return r.select(m.alias("m"), *[F.col(f"`{k}`") for k in FAIRNESS_KEYS]) \
+        .filter(F.col("m").isNotNull()).select("m.dataset", "m.model", "m.grouping", *[F.col(f"`{k}`") for k in FAIRNESS_KEYS])
+
+
+@query("s3_parse_filename")
+def s3_parse_filename(spark, sf):
+    return run_records(spark, sf).select("file_name", "dataset", "model", "grouping")
+
+
+@query("p9_canonical_names")
+def p9_canonical_names(spark, sf):
+    r = C.c_run(spark, sf)
+    tok = F.regexp_extract(F.lower(F.col("file_name")), r"_(xgboost|randomforest|logisticregression|mlp|svm)_", 1)
+    vocab = F.create_map(*[x for k, v in MODELS.items() for x in (F.lit(k), F.lit(v))])
+    return r.select("file_name", tok.alias("model_token"), vocab[tok].alias("model"))
+
+
+@query("p10_usable_mean")
+def p10_usable_mean(spark, sf):
+    from equigroup.functions.columns import usable
+    return run_records(spark, sf).groupBy("dataset").agg(F.avg(usable(F.col("Accuracy"))).alias("mean_accuracy"))
+
+
+@query("r1_run_counts")
+def r1_run_counts(spark, sf):
+    return R.run_counts(run_records(spark, sf))
+
+
+def perf_report(spark, sf):
+    return R.pivot_report(R.with_recall(run_records(spark, sf)), PERFORMANCE_KEYS)
+
+
+@query("r2_performance_report")
+def r2_performance_report(spark, sf):
+    return perf_report(spark, sf)
+
+
+@query("r3_fairness_report")
+def r3_fairness_report(spark, sf):
+    return R.pivot_report(fair_records(spark, sf), FAIRNESS_KEYS, eps=1e-8)
+
+
+@query("r4_display_order")
+def r4_display_order(spark, sf):
+    return R.report_order(perf_report(spark, sf), PERFORMANCE_KEYS).select("metric", "grouping", "position")
+
+
+@query("s7_report_format")
+def s7_report_format(spark, sf):
+    return R.format_report(perf_report(spark, sf))
+
+
+def bc_precision(spark, sf):
+    rec = run_records(spark, sf)
+    vocab = F.create_map(*[x for k, v in SHORT_TO_LONG.items() for x in (F.lit(k), F.lit(v))])
+    rec = rec.withColumn("model", vocab[F.col("model")])
+    return R.dataset_model_means(rec, "Breast Cancer", "Precision")
+
+
+@query("r5_dataset_model_means")
+def r5_dataset_model_means(spark, sf):
+    return bc_precision(spark, sf)
+
+
+@query("r6_benchmark_compare")
+def r6_benchmark_compare(spark, sf):
+    return R.benchmark_compare(bc_precision(spark, sf), R.benchmark_table(spark))
+
+
+@query("j8_benchmark_join")
+def j8_benchmark_join(spark, sf):
+    return R.benchmark_compare(bc_precision(spark, sf), R.benchmark_table(spark)) \
+        .select("model", "grouping", "value_pct", "min", "mean", "max")
+
+
+@query("s9_overlay_long")
+def s9_overlay_long(spark, sf):
+    return R.overlay_long(bc_precision(spark, sf))
+
+
+@query("v7_run_summary")
+def v7_run_summary(spark, sf):
+    return V.run_summary(run_records(spark, sf), ["dataset", "model", "grouping"], ["Accuracy", "F1-score"])
+
+
+@query("v8_recall")
+def v8_recall(spark, sf):
+    return R.with_recall(run_records(spark, sf)).select("file_name", "Recall")

@@ -113,3 +113,16 @@ etot as (select feature, n, sum(n) over (partition by feature) as t from ecnt),
 ent as (select feature, -sum((n / t) * log2(n / t)) as h from etot group by feature),
 dis as (select cmi.fi, cmi.fj, cmi.cmi, 1.0 - cmi.cmi / (a.h + b.h + 1e-9) as dissimilarity
         from cmi join ent a on a.feature = cmi.fi join ent b on b.feature = cmi.fj)"""
+
+C_FAIR_RUN = """select concat('fairness_metrics_', ds, '_', m, '_', g, '_run', cast(o_orderkey % 10 as varchar), '.json') as file_name,
+  case when o_orderkey % 23 = 0 then 'NaN'::double when o_orderkey % 29 = 0 then 0.0::double else o_totalprice / 300000.0 end as "Disparate Impact",
+  cast(o_custkey % 50 as double) / 100.0 as "Equal Opportunity",
+  case when o_orderkey % 31 = 0 then 1e-9 else cast(o_orderkey % 37 as double) / 100.0 end as "Equalized Odds",
+  cast(o_custkey % 41 as double) / 50.0 as "Predictive Parity",
+  o_totalprice / 100000.0 as "N-Sigma (ErrorRate)",
+  case when o_orderkey % 13 = 0 then null else cast(o_orderkey % 11 as double) / 20.0 end as "Average distance from origin"
+from (select o_orderkey, o_custkey, o_totalprice,
+  case o_orderkey % 5 when 0 then 'Diabetes' when 1 then 'Heart_disease' when 2 then 'Breast_cancer' when 3 then 'Obesity' else 'Unknown' end as ds,
+  case o_custkey % 5 when 0 then 'XGBoost' when 1 then 'SVM' when 2 then 'MLP' when 3 then 'RandomForest' else 'LogisticRegression' end as m,
+  case o_orderpriority when '1-URGENT' then 'ungrouped' when '2-HIGH' then 'random' when '3-MEDIUM' then 'group_dissimilar'
+       when '4-NOT SPECIFIED' then 'kplus' else 'bicriterion' end as g from orders) t"""
