@@ -25,30 +25,34 @@ def hash_bucket(hex_hash: Column | str, digits: int = HASH_BUCKET_DIGITS) -> Col
     return F.substring(c, 1, digits)
 
 
-def quantile_bucket(df: DataFrame, column: str, buckets: int = 1024, rel_error: float = 1e-3) -> Column:
-    """A bucket id monotone in ``column``: position among approximate quantile
-    split points (one aggregate; the split list is bounded by ``buckets``)."""
+def quantile_bucket(df: DataFrame, column: str, out: str = "_qb", buckets: int = 1024,
+                    rel_error: float | None = None) -> DataFrame:
+    """Add ``out``: a bucket id monotone in ``column`` from approximate
+    quantile split points (one aggregate; the split list is bounded by
+    ``buckets``), assigned per row by binary search (``Bucketizer``).
+    Size ``buckets`` so that rows / buckets fits one task."""
+    from pyspark.ml.feature import Bucketizer
     probs = [i / buckets for i in range(1, buckets)]
-    splits = df.agg(F.percentile_approx(F.col(column).cast("double"), probs,
-                                        int(1 / rel_error)).alias("q")).first()["q"] or []
-    splits = sorted(set(x for x in splits if x is not None))
-    arr = F.array(*[F.lit(float(x)) for x in splits]) if splits else F.array().cast("array<double>")
-    # number of split points <= value (monotone non-decreasing in value)
-    c = F.col(column).cast("double")
-    return F.size(F.filter(arr, lambda s: s <= c))
+    acc = int(1 / rel_error) if rel_error else max(10000, 4 * buckets)
+    q = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, acc).alias("q")).first()["q"] or []
+    splits = [float("-inf")] + sorted(set(float(x) for x in q if x is not None)) + [float("inf")]
+    tmp = f"{out}__v"
+    x = df.withColumn(tmp, F.col(column).cast("double"))
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    return b.transform(x).drop(tmp)
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def ranked(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Column,
+def ranked(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Column | str,
            out: str = "pos", with_group_size: str | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row within its group in the given
     order. The order must be total (end in a unique key or hash) and ``bucket``
     monotone non-decreasing in it. Optionally add the group size."""
     g = list(group_cols)
-    b = df.withColumn("_b", bucket)
+    b = df.withColumn("_b", F.col(bucket) if isinstance(bucket, str) else bucket)
     stats = b.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*g).orderBy("_b")
     stats = stats.withColumn(
@@ -64,11 +68,11 @@ def ranked(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Colum
 
 
 def running_total(df: DataFrame, group_cols: list[str], order_cols: list, value: str,
-                  bucket: Column, out: str = "before") -> DataFrame:
+                  bucket: Column | str, out: str = "before") -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows strictly before each row
     within its group, in the given total order (``bucket`` monotone in it)."""
     g = list(group_cols)
-    b = df.withColumn("_b", bucket)
+    b = df.withColumn("_b", F.col(bucket) if isinstance(bucket, str) else bucket)
     stats = b.groupBy(*g, "_b").agg(F.sum(value).alias("_tot"))
     w = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")

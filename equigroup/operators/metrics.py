@@ -56,8 +56,8 @@ def roc_auc(df: DataFrame, y_true: str, score: str) -> DataFrame:
     t = (df.crossJoin(F.broadcast(labels))
            .groupBy(F.col(score).cast("double").alias("s"))
            .agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(y_true) == F.col("_pos")).cast("long")).alias("np")))
-    t = t.filter(F.col("s").isNotNull())
-    r = running_total(t, [], ["s"], "n", quantile_bucket(t, "s"), out="below")
+    t = quantile_bucket(t.filter(F.col("s").isNotNull()), "s", "_qb")
+    r = running_total(t, [], ["s"], "n", "_qb", out="below")
     mid = F.col("below") + (F.col("n") + F.lit(1)) / F.lit(2.0)
     agg = r.agg(F.sum(F.col("np") * mid).alias("_sr"), F.sum("np").alias("_p"),
                 F.sum(F.col("n") - F.col("np")).alias("_q"))

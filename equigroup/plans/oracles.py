@@ -493,3 +493,47 @@ select dataset, model, grouping, cast(count(*) as bigint) as num_runs, {r6('avg(
   {r6('stddev_samp("Accuracy")')} as "std_Accuracy", {r6('avg("F1-score")')} as "mean_F1-score",
   {r6('stddev_samp("F1-score")')} as "std_F1-score" from rec group by all""")
 oracle("v8_recall", f"with {RUN_CTE} select file_name, {r6(chr(34) + 'Recall' + chr(34))} as \"Recall\" from rec")
+
+
+# ---------------------------------------------------------------- F9/F10, J6/J7
+from equigroup.functions.hashing import hash_threshold  # noqa: E402
+
+KDE_CTE = f"""o as ({S.C_ORD}),
+mm as (select avg(o_totalprice) as m1, coalesce(nullif(stddev_pop(o_totalprice), 0), 1) as s1,
+              avg(c_acctbal) as m2, coalesce(nullif(stddev_pop(c_acctbal), 0), 1) as s2 from o),
+z as (select o_orderkey, c_mktsegment, (o_totalprice - m1) / s1 as x1, (c_acctbal - m2) / s2 as x2 from o, mm),
+r as (select *, row_number() over (order by md5(concat(cast(o_orderkey as varchar), '|42'))) - 1 as pos from z),
+n as (select count(*) as n from z),
+draws as (select range as point, ('0x' || substr(md5(concat(cast(range as varchar), '|42')), 1, 8))::bigint % n as pos
+          from range(300), n),
+pts as (select point, x1 as p1, x2 as p2 from draws join r using (pos)),
+de as (select point, sum(exp(-((x1 - p1) * (x1 - p1) + (x2 - p2) * (x2 - p2)) / (2 * 0.25))) / (count(*) * (2 * pi() * 0.25)) as d
+       from pts cross join z group by point),
+dr as (select point, sum(exp(-((x1 - p1) * (x1 - p1) + (x2 - p2) * (x2 - p2)) / (2 * 0.25))) / (count(*) * (2 * pi() * 0.25)) as d
+       from pts cross join (select * from z where c_mktsegment <> 'BUILDING') zr group by point)"""
+oracle("f9_observation_bias", f"""with {KDE_CTE}
+select {r6('0.5 * avg(abs(coalesce(de.d, 0) - coalesce(dr.d, 0)))')} as "Observation Bias (TV)"
+from pts left join de using (point) left join dr using (point)""")
+oracle("j6_kernel_density", f"with {KDE_CTE} select cast(point as bigint) as point, {r6('d')} as density from de")
+KNN_CTE = f"""d as ({S.C_DOC}),
+bo as (select concat('0:', cast(doc_id as varchar)) as k, cast(n_chars as double) as x, 0 as origin from d
+       union all select concat('1:', cast(doc_id as varchar)), cast(n_chars as double), 1 from d where lang <> 'en'),
+sp as (select *, substr(md5(concat(k, '|42')), 1, 8) < '{hash_threshold(0.3)}' as is_test from bo),
+tr as (select * from sp where not is_test), te as (select * from sp where is_test),
+qv as (select distinct x as q from te),
+nb as (select q, tr.k as tkey, tr.origin as lab, abs(tr.x - q) as dist,
+              row_number() over (partition by q order by abs(tr.x - q), tr.k) as rn from qv cross join tr)"""
+oracle("j7_knn_join", f"""with {KNN_CTE}
+select {r6('q')} as q, cast(rn as integer) as rank, tkey as neighbour, {r6('dist')} as distance, lab as neighbour_label
+from nb where rn <= 5""")
+oracle("f10_structural_bias", f"""with {KNN_CTE},
+pr as (select q, avg(cast(lab as double)) as p1 from nb where rn <= 5 group by q),
+d2 as (select te.origin as y_true, pr.p1 from te join pr on te.x = pr.q),
+lab as (select count(distinct y_true) as k, max(y_true) as pos from d2),
+rk as (select y_true, rank() over (order by p1) + (count(*) over (partition by p1) - 1) / 2.0 as mr from d2),
+au as (select case when (select k from lab) = 2 then
+          (sum(case when y_true = (select pos from lab) then mr else 0 end)
+           - count(*) filter (where y_true = (select pos from lab)) * (count(*) filter (where y_true = (select pos from lab)) + 1) / 2.0)
+          / (count(*) filter (where y_true = (select pos from lab)) * count(*) filter (where y_true <> (select pos from lab)))
+          end as roc_auc from rk)
+select {r6('roc_auc')} as "Structural Bias (kNN AUC)" from au""")

@@ -656,3 +656,50 @@ def v7_run_summary(spark, sf):
 @query("v8_recall")
 def v8_recall(spark, sf):
     return R.with_recall(run_records(spark, sf)).select("file_name", "Recall")
+
+
+# ---------------------------------------------------------------- F9/F10, J6/J7 population kernels
+from equigroup.functions.hashing import hash_below  # noqa: E402
+from equigroup.operators import kernels as K  # noqa: E402
+
+ORD_POINT_FEATURES = ["o_totalprice", "c_acctbal"]
+
+
+def ord_populations(spark, sf):
+    d = prep.zscore(C.c_ord(spark, sf).select("o_orderkey", "c_mktsegment", *ORD_POINT_FEATURES),
+                    ORD_POINT_FEATURES)
+    return d, d.filter(F.col("c_mktsegment") != "BUILDING")
+
+
+@query("f9_observation_bias")
+def f9_observation_bias(spark, sf):
+    emp, rem = ord_populations(spark, sf)
+    return K.observation_bias(emp, rem, "o_orderkey", ORD_POINT_FEATURES)
+
+
+@query("j6_kernel_density")
+def j6_kernel_density(spark, sf):
+    emp, _ = ord_populations(spark, sf)
+    pts = K.sample_points(emp, "o_orderkey", ORD_POINT_FEATURES)
+    return K.kernel_density_at(pts, emp, ORD_POINT_FEATURES)
+
+
+def doc_populations(spark, sf):
+    d = C.c_doc(spark, sf)
+    return d, d.filter(F.col("lang") != "en")
+
+
+@query("f10_structural_bias")
+def f10_structural_bias(spark, sf):
+    emp, rem = doc_populations(spark, sf)
+    return K.structural_bias(emp, rem, "doc_id", "n_chars")
+
+
+@query("j7_knn_join")
+def j7_knn_join(spark, sf):
+    emp, rem = doc_populations(spark, sf)
+    both = (emp.select("doc_id", "n_chars").withColumn("origin", F.lit(0))
+            .unionByName(rem.select("doc_id", "n_chars").withColumn("origin", F.lit(1))))
+    both = both.withColumn("_k", F.concat(F.col("origin").cast("string"), F.lit(":"), F.col("doc_id").cast("string")))
+    both = both.withColumn("_test", hash_below("_k", 0.3, 42))
+    return K.knn_1d(both.filter(~F.col("_test")), both.filter(F.col("_test")), "_k", "n_chars", "origin")
