@@ -39,10 +39,9 @@ def pivot_report(records: DataFrame, metrics: list[str], eps: float = 0.0,
                  datasets: list[str] = REPORT_DATASETS) -> DataFrame:
     """(metric, grouping, <dataset>...): mean over models and runs of the
     usable values (not null/NaN/inf/0, and |v| >= eps when eps > 0)."""
-    long = records.unpivot(["dataset", "grouping"], metrics, "metric", "value")
-    rep = (long.groupBy("metric", "grouping").pivot("dataset", datasets)
-               .agg(F.avg(usable(F.col("value"), eps))))
-    return rep
+    long = (records.unpivot(["dataset", "grouping"], metrics, "metric", "value")
+                   .select("dataset", "grouping", "metric", usable(F.col("value"), eps).alias("uv")))
+    return long.groupBy("metric", "grouping").pivot("dataset", datasets).agg(F.avg("uv"))
 
 
 def report_order(report: DataFrame, metrics: list[str]) -> DataFrame:

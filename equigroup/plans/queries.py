@@ -557,19 +557,16 @@ SHORT_TO_LONG = {MODELS[t]: BENCH_MODELS[t] for t in MODELS}
 
 
 def run_records(spark, sf):
-    r = C.c_run(spark, sf)
-    m = runlog.parse_performance_name(F.col("file_name"))
-    x = r.select("file_name", m.alias("m"), F.col("acc").alias("Accuracy"), F.col("prec").alias("Precision"),
-                 F.col("f1").alias("F1-score"))
-    return x.filter(F.col("m").isNotNull()).select("file_name", "m.dataset", "m.model", "m.grouping",
-                                                   "Accuracy", "Precision", "F1-score")
+    r = runlog.parse_performance_names(C.c_run(spark, sf))
+    return r.filter(F.col("dataset").isNotNull()).select(
+        "file_name", "dataset", "model", "grouping", F.col("acc").alias("Accuracy"),
+        F.col("prec").alias("Precision"), F.col("f1").alias("F1-score"))
 
 
 def fair_records(spark, sf):
-    r = C.c_fair_run(spark, sf)
-    m = runlog.parse_fairness_name(F.col("file_name"))
-    return r.select(m.alias("m"), *[F.col(f"`{k}`") for k in FAIRNESS_KEYS]) \
-        .filter(F.col("m").isNotNull()).select("m.dataset", "m.model", "m.grouping", *[F.col(f"`{k}`") for k in FAIRNESS_KEYS])
+    r = runlog.parse_fairness_names(C.c_fair_run(spark, sf))
+    return r.filter(F.col("dataset").isNotNull()).select(
+        "dataset", "model", "grouping", *[F.col(f"`{k}`") for k in FAIRNESS_KEYS])
 
 
 @query("s3_parse_filename")
@@ -703,3 +700,149 @@ def j7_knn_join(spark, sf):
     both = both.withColumn("_k", F.concat(F.col("origin").cast("string"), F.lit(":"), F.col("doc_id").cast("string")))
     both = both.withColumn("_test", hash_below("_k", 0.3, 42))
     return K.knn_1d(both.filter(~F.col("_test")), both.filter(F.col("_test")), "_k", "n_chars", "origin")
+
+
+# ---------------------------------------------------------------- 2.9 models (rows-only checks)
+from equigroup.operators import embed_fit, experiment, impute, shapley  # noqa: E402
+from equigroup.operators import models as ML  # noqa: E402
+
+DOC_X = ["n_chars", "toxic", "is_en"]
+
+
+def doc_split(spark, sf):
+    d = doc_features(spark, sf)
+    d = d.withColumn("is_test", hash_below("doc_id", 0.2, 42))
+    return d.filter(~F.col("is_test")), d.filter(F.col("is_test"))
+
+
+def _fit_predict(spark, sf, model, params):
+    train, test = doc_split(spark, sf)
+    fitted = ML.fit(train, model, DOC_X, "y_true", params)
+    return ML.predict(fitted, test, "y_true").select("doc_id", "y_true", "prediction", "p1")
+
+
+@query("t1_logistic_regression", rounded=False)
+def t1_logistic_regression(spark, sf):
+    return _fit_predict(spark, sf, "LogisticRegression", {"C": 1.0})
+
+
+@query("t2_random_forest", rounded=False)
+def t2_random_forest(spark, sf):
+    return _fit_predict(spark, sf, "RandomForest", {"n_estimators": 50, "max_depth": 6})
+
+
+@query("t3_boosted_trees", rounded=False)
+def t3_boosted_trees(spark, sf):
+    return _fit_predict(spark, sf, "XGBoost", {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1})
+
+
+def ord_encoded(spark, sf):
+    return prep.encode_cohort(C.c_ord(spark, sf), ORD_SPEC)
+
+
+ORD_X = ["o_totalprice", "c_acctbal", "n_regionkey", "o_orderpriority"]
+
+
+@query("t3_boosted_trees_multiclass", rounded=False)
+def t3_boosted_trees_multiclass(spark, sf):
+    d = ord_encoded(spark, sf).withColumn("is_test", hash_below("o_orderkey", 0.2, 42))
+    fitted = ML.fit(d.filter(~F.col("is_test")), "XGBoost", ORD_X, "o_orderstatus",
+                    {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.2})
+    return ML.predict(fitted, d.filter(F.col("is_test")), "o_orderstatus") \
+        .select("o_orderkey", "o_orderstatus", "prediction", "p1")
+
+
+@query("t4_mlp", rounded=False)
+def t4_mlp(spark, sf):
+    return _fit_predict(spark, sf, "MLP", {"hidden_layer_sizes": 16})
+
+
+@query("t5_rff_svm", rounded=False)
+def t5_rff_svm(spark, sf):
+    return _fit_predict(spark, sf, "SVM", {"C": 1.0})
+
+
+@query("t8_cv_tuning", rounded=False)
+def t8_cv_tuning(spark, sf):
+    train, _ = doc_split(spark, sf)
+    folds = split.stratified_kfold(train, "y_true", "doc_id", 3)
+    return ML.tune(folds, "LogisticRegression", DOC_X, "y_true", "fold", n_iter=4)[2]
+
+
+@query("t9_predict_proba", rounded=False)
+def t9_predict_proba(spark, sf):
+    return _fit_predict(spark, sf, "RandomForest", {"n_estimators": 20, "max_depth": 4})
+
+
+@query("t10_experiment", rounded=False)
+def t10_experiment(spark, sf):
+    train, test = flow.prepare(C.c_na(spark, sf), ORD_SPEC)
+    feats = [c for c in train.columns if c not in ("o_orderkey", "o_orderstatus")]
+    return experiment.run_experiment(train, test, "o_orderkey", "LogisticRegression", feats, "o_orderstatus",
+                                     sensitive=F.col("c_mktsegment_BUILDING") == 1.0, cv_splits=2, n_iter=2)
+
+
+@query("v6_repeated_kfold", rounded=False)
+def v6_repeated_kfold(spark, sf):
+    return experiment.repeated_kfold(doc_features(spark, sf), "doc_id", "LogisticRegression", DOC_X, "y_true",
+                                     k=3, repeats=2)
+
+
+@query("e8_impute_classifier", rounded=False)
+def e8_impute_classifier(spark, sf):
+    d = C.c_na(spark, sf)
+    return impute.impute_with_classifier(d, "c_mktsegment", ["o_totalprice", "n_regionkey"], num_trees=20) \
+        .select("o_orderkey", "c_mktsegment", "imputed")
+
+
+@query("e9_imputation_policy", rounded=False)
+def e9_imputation_policy(spark, sf):
+    d = C.c_na(spark, sf)
+    return impute.imputation_policy(d, [], [("c_mktsegment", ["o_totalprice", "n_regionkey"])])
+
+
+def emb_groups():
+    return {g: [f"f{i}" for i in range(64) if W.emb_group_of(i) == g] for g in range(W.EMB_GROUPS)}
+
+
+@query("b1_autoencoder_fit", rounded=False)
+def b1_autoencoder_fit(spark, sf):
+    res = embed_fit.embed_feature_groups(C.c_emb(spark, sf), "vec_id", emb_groups(), iterations=25, max_dim=2)
+    return res["decoder"]
+
+
+@query("b2_dim_choice", rounded=False)
+def b2_dim_choice(spark, sf):
+    res = embed_fit.embed_feature_groups(C.c_emb(spark, sf), "vec_id", emb_groups(), iterations=25, max_dim=2)
+    return res["choice"]
+
+
+def _lr_doc(spark, sf):
+    train, test = doc_split(spark, sf)
+    fitted = ML.fit(train, "LogisticRegression", DOC_X, "y_true", {"C": 1.0})
+    return train, test, fitted
+
+
+@query("a3_kmeans_background", rounded=False)
+def a3_kmeans_background(spark, sf):
+    train, _ = doc_split(spark, sf)
+    centres = shapley.kmeans_background(train, DOC_X, k=8)
+    return spark.createDataFrame([(i, f, float(c[j])) for i, c in enumerate(centres) for j, f in enumerate(DOC_X)],
+                                 "centre int, feature string, value double")
+
+
+def _shap(spark, sf):
+    train, test, fitted = _lr_doc(spark, sf)
+    bg = shapley.kmeans_background(train, DOC_X, k=8)
+    return shapley.shapley_sampling(lambda df: ML.predict(fitted, df), test, "doc_id", DOC_X, bg, n_permutations=4)
+
+
+@query("a2_shapley_sampling", rounded=False)
+def a2_shapley_sampling(spark, sf):
+    return _shap(spark, sf)
+
+
+@query("a7_attribution_dispatch", rounded=False)
+def a7_attribution_dispatch(spark, sf):
+    phi = _shap(spark, sf).withColumn("class", F.lit(1))
+    return A.range_stats(A.feature_ranges(phi, 5, 95, by=["class"]), by=["class"])

@@ -30,40 +30,44 @@ def _dataset(part: Column) -> Column:
     return F.coalesce(vocab[key], vocab[fallback])
 
 
-def parse_performance_name(name: Column) -> Column:
-    """struct(dataset, model, grouping) for a performance run file name, NULL
-    when it is not one: ``performance_metrics_{Grouped|Ungrouped}_{dataset}_
-    {model}_{grouping}_run{n}.json``; tokens are matched from the right,
-    case-insensitively, the part before the last ``_run`` is used."""
-    grouped_main = F.regexp_extract(name, r"^performance_metrics_Grouped_(.*)_run.*\.json$", 1)
-    ungrouped_main = F.regexp_extract(name, r"^performance_metrics_Ungrouped_(.*)_run.*\.json$", 1)
-    groupings = {k: v for k, v in GROUPINGS.items() if k != "ungrouped"}
-    g_re = rf"^(.*)_({_alt(MODELS)})_({_alt(groupings)})$"
-    u_re = rf"^(.*)_({_alt(MODELS)})_ungrouped$"
-    gl, ul = F.lower(grouped_main), F.lower(ungrouped_main)
-    g_ok = F.regexp_like(gl, F.lit(g_re))
-    u_ok = F.regexp_like(ul, F.lit(u_re))
-    g = F.struct(_dataset(F.regexp_extract(gl, g_re, 1)).alias("dataset"),
-                 _vocab(MODELS)[F.regexp_extract(gl, g_re, 2)].alias("model"),
-                 _vocab(groupings)[F.regexp_extract(gl, g_re, 3)].alias("grouping"))
-    u = F.struct(_dataset(F.regexp_extract(ul, u_re, 1)).alias("dataset"),
-                 _vocab(MODELS)[F.regexp_extract(ul, u_re, 2)].alias("model"),
-                 F.lit(GROUPINGS["ungrouped"]).alias("grouping"))
-    parsed = F.when((grouped_main != "") & g_ok, g).when((ungrouped_main != "") & u_ok, u)
-    return F.when(parsed.isNotNull() & parsed["dataset"].isNotNull(), parsed)
-
-
-def parse_fairness_name(name: Column) -> Column:
-    """struct(dataset, model, grouping) for ``fairness_metrics_{dataset}_{model}_
-    {grouping}_run{n}.json`` (any grouping token incl. ungrouped), else NULL."""
-    main = F.regexp_extract(name, r"^fairness_metrics_(.*)_run.*\.json$", 1)
-    ml = F.lower(main)
-    rx = rf"^(.*)_({_alt(MODELS)})_({_alt(GROUPINGS)})$"
-    ok = (main != "") & F.regexp_like(ml, F.lit(rx)) & F.lower(name).endswith(".json")
-    s = F.struct(_dataset(F.regexp_extract(ml, rx, 1)).alias("dataset"),
-                 _vocab(MODELS)[F.regexp_extract(ml, rx, 2)].alias("model"),
-                 _vocab(GROUPINGS)[F.regexp_extract(ml, rx, 3)].alias("grouping"))
-    return F.when(ok & s["dataset"].isNotNull(), s)
+PERF_MAIN_RE = r"^performance_metrics_(Grouped|Ungrouped)_(.*)_run.*\.json$"
+FAIR_MAIN_RE = r"^fairness_metrics_()(.*)_run.*\.json$"
+TOKENS_RE = rf"^(.*)_({_alt(MODELS)})_({_alt(GROUPINGS)})$"
+
+
+def _parse(df: DataFrame, name: str, main_re: str, kind_rule) -> DataFrame:
+    x = df.withColumn("_kind", F.regexp_extract(F.col(name), main_re, 1)) \
+          .withColumn("_l", F.lower(F.regexp_extract(F.col(name), main_re, 2)))
+    x = (x.withColumn("_ds", F.regexp_extract("_l", TOKENS_RE, 1))
+          .withColumn("_mt", F.regexp_extract("_l", TOKENS_RE, 2))
+          .withColumn("_gt", F.regexp_extract("_l", TOKENS_RE, 3)))
+    ok = (F.col("_l") != "") & (F.col("_gt") != "") & kind_rule(F.col("_kind"), F.col("_gt"))
+    x = x.withColumn("_ok", ok)
+    x = (x.withColumn("dataset", F.when(F.col("_ok"), _dataset(F.col("_ds"))))
+          .withColumn("model", F.when(F.col("_ok"), _vocab(MODELS)[F.col("_mt")]))
+          .withColumn("grouping", F.when(F.col("_ok"), _vocab(GROUPINGS)[F.col("_gt")])))
+    keep = F.col("dataset").isNotNull() & F.col("model").isNotNull() & F.col("grouping").isNotNull()
+    x = x.withColumn("_ok", keep)
+    x = (x.withColumn("dataset", F.when(F.col("_ok"), F.col("dataset")))
+          .withColumn("model", F.when(F.col("_ok"), F.col("model")))
+          .withColumn("grouping", F.when(F.col("_ok"), F.col("grouping"))))
+    return x.drop("_kind", "_l", "_ds", "_mt", "_gt", "_ok")
+
+
+def parse_performance_names(df: DataFrame, name: str = "file_name") -> DataFrame:
+    """Add (dataset, model, grouping) parsed from performance run file names
+    ``performance_metrics_{Grouped|Ungrouped}_{dataset}_{model}_{grouping}_
+    run{n}.json``: tokens matched from the right, case-insensitively, on the
+    part before the last ``_run``; a Grouped name may not carry the ungrouped
+    token and an Ungrouped name must; NULLs when the name is rejected."""
+    return _parse(df, name, PERF_MAIN_RE,
+                  lambda kind, g: F.when(kind == "Grouped", g != "ungrouped").otherwise(g == "ungrouped"))
+
+
+def parse_fairness_names(df: DataFrame, name: str = "file_name") -> DataFrame:
+    """Add (dataset, model, grouping) parsed from ``fairness_metrics_{dataset}_
+    {model}_{grouping}_run{n}.json`` (any grouping token incl. ungrouped)."""
+    return _parse(df, name, FAIR_MAIN_RE, lambda kind, g: F.lit(True))
 
 
 def read_run_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
@@ -79,22 +83,20 @@ def performance_records(files: DataFrame) -> DataFrame:
     """(file_name, ok, dataset, grouping, model, Accuracy, Precision, F1-score):
     the first object of each file's JSON array; ``ok`` is false for names that
     do not parse or contents that are not a non-empty array."""
-    meta = parse_performance_name(F.col("file_name"))
-    arr = F.from_json(F.col("text"), PERF_SCHEMA)
-    first = F.when(F.size(arr) > 0, F.element_at(arr, 1))
-    x = files.select("file_name", meta.alias("m"), first.alias("r"))
-    return x.select("file_name", (F.col("m").isNotNull() & F.col("r").isNotNull()).alias("ok"),
-                    "m.dataset", "m.grouping", "m.model",
-                    F.col("r.Accuracy").alias("Accuracy"), F.col("r.Precision").alias("Precision"),
-                    F.col("r.`F1-score`").alias("F1-score"))
+    x = parse_performance_names(files.select("file_name", "text"))
+    x = x.withColumn("_arr", F.from_json(F.col("text"), PERF_SCHEMA))
+    x = x.withColumn("_r", F.when(F.size("_arr") > 0, F.element_at("_arr", 1)))
+    return x.select("file_name", (F.col("dataset").isNotNull() & F.col("_r").isNotNull()).alias("ok"),
+                    "dataset", "grouping", "model",
+                    F.col("_r.Accuracy").alias("Accuracy"), F.col("_r.Precision").alias("Precision"),
+                    F.col("_r.`F1-score`").alias("F1-score"))
 
 
 def fairness_records(files: DataFrame) -> DataFrame:
-    meta = parse_fairness_name(F.col("file_name"))
-    obj = F.from_json(F.col("text"), FAIR_SCHEMA, {"allowNonNumericNumbers": "true"})
-    x = files.select("file_name", meta.alias("m"), obj.alias("r"))
-    return x.select("file_name", (F.col("m").isNotNull() & F.col("r").isNotNull()).alias("ok"),
-                    "m.dataset", "m.grouping", "m.model", *[F.col("r").getField(k).alias(k) for k in FAIRNESS_KEYS])
+    x = parse_fairness_names(files.select("file_name", "text"))
+    x = x.withColumn("_r", F.from_json(F.col("text"), FAIR_SCHEMA, {"allowNonNumericNumbers": "true"}))
+    return x.select("file_name", (F.col("dataset").isNotNull() & F.col("_r").isNotNull()).alias("ok"),
+                    "dataset", "grouping", "model", *[F.col("_r").getField(k).alias(k) for k in FAIRNESS_KEYS])
 
 
 def skipped_count(records: DataFrame) -> DataFrame:

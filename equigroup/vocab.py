@@ -81,3 +81,22 @@ KDE_SAMPLE_POINTS = 300  # observation-bias sample size (with replacement)
 KNN_NEIGHBOURS = 5       # structural-bias neighbours
 KNN_TEST_FRACTION = 0.3  # structural-bias hold-out
 BICRITERION_WEIGHTS = [0.0001, 0.001, 0.01, 0.1, 0.5, 0.99]
+
+# FIXED VALUES: hyper-parameter search spaces per model (prior, low, high) or
+# ("categorical", [choices]); sizes, depth and rates as in the reference.
+SEARCH_SPACES = {
+    "LogisticRegression": {"C": ("log-uniform", 1e-2, 1e2)},
+    "SVM": {"C": ("log-uniform", 1e-2, 1e2), "gamma": ("log-uniform", 1e-3, 1.0)},
+    "MLP": {"hidden_layer_sizes": ("categorical", [50, 100, 200]),
+            "alpha": ("log-uniform", 1e-4, 1e-1),
+            "learning_rate_init": ("log-uniform", 1e-3, 3e-1)},
+    "RandomForest": {"n_estimators": ("integer", 50, 500), "max_depth": ("integer", 3, 15),
+                     "max_features": ("categorical", ["sqrt", "log2", None])},
+    "XGBoost": {"n_estimators": ("integer", 50, 500), "max_depth": ("integer", 3, 15),
+                "learning_rate": ("log-uniform", 1e-3, 3e-1), "subsample": ("uniform", 0.6, 1.0),
+                "colsample_bytree": ("uniform", 0.6, 1.0)},
+}
+# FIXED VALUES: default model settings
+MODEL_DEFAULTS = {"LogisticRegression": {"C": 1.0}, "SVM": {"C": 1.0, "gamma": "scale"},
+                  "MLP": {"hidden_layer_sizes": 100}, "RandomForest": {"n_estimators": 100},
+                  "XGBoost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3}}
