@@ -8,15 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equigroup.operators import prep, split
+from equigroup.session import checkpoint_dir
 from equigroup.spec import CohortSpec
 
 
 def prepare(raw: DataFrame, spec: CohortSpec, normalise: bool = True, encode: bool = True,
-            base_fraction: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+            base_fraction: float = 0.2, seed: int = 42, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """With ``materialize`` the drawn test set and the cleaned training rows
+    are checkpointed (reliably, to ``spark.checkpoint.dir``) so the fits that
+    follow do not re-run the draw, and lost executors do not either."""
     raw = raw.drop(*spec.drop)
     clean = prep.drop_null_rows(raw)
     test = split.draw_test_from_clean(raw, clean, spec.key, base_fraction, seed)
+    if materialize:
+        checkpoint_dir(raw.sparkSession)
+        test = test.checkpoint()
     train = prep.drop_null_rows(split.train_minus_test(raw, test, spec.key))
+    if materialize:
+        train = train.checkpoint()
     if encode:
         fitted = prep.fit_encoding(train, spec)
         train = prep.encode_cohort(train, spec, fitted)
