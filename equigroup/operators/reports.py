@@ -68,8 +68,11 @@ def summary_json(report: DataFrame, metrics: list[str], datasets: list[str] = RE
     per_g = report.select("metric", "grouping",
                           display_rank(F.col("grouping"), ORDERED_GROUPINGS).alias("_r"),
                           F.map_from_entries(cells).alias("m"))
+    def by_rank(a, b):
+        return (F.when(a["_r"] < b["_r"], -1).when(a["_r"] > b["_r"], 1)
+                 .when(a["grouping"] < b["grouping"], -1).when(a["grouping"] > b["grouping"], 1).otherwise(0))
     per_m = per_g.groupBy("metric").agg(
-        F.array_sort(F.collect_list(F.struct("_r", "grouping", "m"))).alias("_l"))
+        F.array_sort(F.collect_list(F.struct("_r", "grouping", "m")), by_rank).alias("_l"))
     return per_m.select("metric", F.to_json(F.map_from_entries(
         F.transform("_l", lambda s: F.struct(s["grouping"], s["m"])))).alias("json"),
         display_rank(F.col("metric"), metrics).alias("position"))

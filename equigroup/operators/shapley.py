@@ -41,18 +41,18 @@ def shapley_sampling(model, rows: DataFrame, key: str, features: list[str], back
     ranks = [[perm.index(f) for f in range(p)] for perm in perms]
     combos = [(pi, bi) for pi in range(len(perms)) for bi in range(len(background))]
     combo_arr = "array(" + ", ".join(
-        f"named_struct('perm', {pi}, 'bg', {bi}, 'rk', array({', '.join(map(str, ranks[pi]))}), "
-        f"'b', array({', '.join(repr(float(v)) + 'D' for v in background[bi])}))" for pi, bi in combos) + ")"
+        f"named_struct('_perm', {pi}, '_bg', {bi}, '_rk', array({', '.join(map(str, ranks[pi]))}), "
+        f"'_bv', array({', '.join(repr(float(v)) + 'D' for v in background[bi])}))" for pi, bi in combos) + ")"
     x = rows.selectExpr(quote(key), *[quote(f) for f in features], f"inline({combo_arr})")
-    x = x.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(p))))
-    masked = x.selectExpr(quote(key), "perm", "bg", "j", "rk", *[
-        f"case when rk[{i}] < j then cast({quote(f)} as double) else b[{i}] end as {quote(f)}"
+    x = x.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(p))))
+    masked = x.selectExpr(quote(key), "_perm", "_bg", "_j", "_rk", *[
+        f"case when _rk[{i}] < _j then cast({quote(f)} as double) else _bv[{i}] end as {quote(f)}"
         for i, f in enumerate(features)])
-    scored = model(masked).select(key, "perm", "bg", "j", "rk", output)
-    w = Window.partitionBy(key, "perm", "bg").orderBy("j")
-    diffs = scored.withColumn("delta", F.col(output) - F.lag(output).over(w)).filter(F.col("j") > 0)
+    scored = model(masked).select(key, "_perm", "_bg", "_j", "_rk", output)
+    w = Window.partitionBy(key, "_perm", "_bg").orderBy("_j")
+    diffs = scored.withColumn("delta", F.col(output) - F.lag(output).over(w)).filter(F.col("_j") > 0)
     # the feature added at step j is the one whose rank is j - 1
-    feat_idx = (F.array_position(F.col("rk"), F.col("j") - 1) - 1).cast("int")
+    feat_idx = (F.array_position(F.col("_rk"), F.col("_j") - 1) - 1).cast("int")
     names = F.expr("array(" + ", ".join("'" + f + "'" for f in features) + ")")
     contrib = diffs.select(key, F.element_at(names, feat_idx + 1).alias("feature"), "delta")
     return contrib.groupBy(key, "feature").agg(F.avg("delta").alias("phi"))
