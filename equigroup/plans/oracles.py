@@ -537,3 +537,10 @@ au as (select case when (select k from lab) = 2 then
           / (count(*) filter (where y_true = (select pos from lab)) * count(*) filter (where y_true <> (select pos from lab)))
           end as roc_auc from rk)
 select {r6('roc_auc')} as "Structural Bias (kNN AUC)" from au""")
+
+oracle("p12_feature_presence", f"""with e as ({S.C_EMB}), v as (""" + " union all ".join(
+    f"select 'f{i}' as feature, var_samp(f{i}) as variance from e" for i in range(64)) + """),
+feats as (select feature from v where variance > 0),
+assign as (select feature, cast((row_number() over (order by md5(concat(feature, '|42')), feature) - 1) % 5 as integer)
+           as group_id from feats)
+select group_id, feature, feature <> 'f63' as present from assign""")

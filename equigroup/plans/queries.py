@@ -846,3 +846,12 @@ def a2_shapley_sampling(spark, sf):
 def a7_attribution_dispatch(spark, sf):
     phi = _shap(spark, sf).withColumn("class", F.lit(1))
     return A.range_stats(A.feature_ranges(phi, 5, 95, by=["class"]), by=["class"])
+
+
+@query("p12_feature_presence")
+def p12_feature_presence(spark, sf):
+    """Groups of the embedding features (random grouping of the features that
+    vary, P11) checked against the columns of the line-item cohort table."""
+    feats = prep.non_constant_features(C.c_emb(spark, sf), C.EMB_FEATURES).select("feature")
+    assign = G.random_grouping(feats, GROUPS_K)
+    return prep.feature_presence(C.c_emb(spark, sf).drop("f63"), assign)
