@@ -25,13 +25,22 @@ def hash_bucket(hex_hash: Column | str, digits: int = HASH_BUCKET_DIGITS) -> Col
     return F.substring(c, 1, digits)
 
 
-def quantile_bucket(df: DataFrame, column: str, out: str = "_qb", buckets: int = 1024,
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 200_000
+
+
+def quantile_bucket(df: DataFrame, column: str, out: str = "_qb", buckets: int | None = None,
                     rel_error: float | None = None) -> DataFrame:
     """Add ``out``: a bucket id monotone in ``column`` from approximate
     quantile split points (one aggregate; the split list is bounded by
     ``buckets``), assigned per row by binary search (``Bucketizer``).
-    Size ``buckets`` so that rows / buckets fits one task."""
+    By default ``buckets`` grows with the row count so that a bucket holds
+    about ``ROWS_PER_BUCKET`` rows (callers pass tables of distinct values, so
+    ties never pile up in one bucket)."""
     from pyspark.ml.feature import Bucketizer
+    if buckets is None:
+        n = df.count()
+        buckets = int(min(MAX_BUCKETS, max(64, n // ROWS_PER_BUCKET)))
     probs = [i / buckets for i in range(1, buckets)]
     acc = int(1 / rel_error) if rel_error else max(10000, 4 * buckets)
     q = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, acc).alias("q")).first()["q"] or []

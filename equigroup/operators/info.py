@@ -46,40 +46,44 @@ def _symbols(df: DataFrame, features: list[str]) -> F.Column:
 
 def entropy(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, n, entropy) per feature over its non-null values."""
-    cells = df.select(F.posexplode(_symbols(df, features)).alias("f", "v"))
-    counts = (cells.where(F.col("v").isNotNull())
-                   .groupBy("f", "v").agg(F.count(F.lit(1)).alias("n")))
-    per = counts.groupBy("f").agg(F.sum("n").alias("n"), F.sum(_nlogn(F.col("n").cast("double"))).alias("s"))
-    return per.select(_names_col(features, F.col("f")).alias("feature"),
-                      F.col("n").cast("bigint").alias("n"),
-                      (F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")).alias("entropy"))
+    return _entropy_from(cell_counts(df, features, None), features)
 
 
-def pair_contingency(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(a, b, x, y, z, n): counts per feature-pair cell, a < b feature indices.
-    Each row carries one array of p value symbols; the p(p-1)/2 pair cells are
-    generated by exploding a pair index and looking both ends up, so the plan
-    stays O(p) in size whatever the number of pairs."""
+def cell_counts(df: DataFrame, features: list[str], target: str | None) -> DataFrame:
+    """(a, b, x, y, z, n) from ONE scan: pair cells (a < b feature indices,
+    counted where x, y and z are set) and single-feature cells (b = -1, y = z
+    = 0, counted where x is set). Each row carries one array of p value
+    symbols; the cells come from exploding a cell index and looking both ends
+    up, so the plan stays O(p) in size whatever the number of pairs."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-    if not pairs:
-        raise ValueError("need at least two features")
-    pa = _int_array([i for i, _ in pairs])
-    pb = _int_array([j for _, j in pairs])
-    rows = df.select(_symbols(df, features).alias("_v"), F.expr(symbol_sql(target, types[target])).alias("z")) \
-             .where(F.col("z").isNotNull())
-    cells = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("_p"), "_v", "z") \
-                .select(F.element_at(pa, F.col("_p") + 1).alias("a"), F.element_at(pb, F.col("_p") + 1).alias("b"),
-                        "_v", "z") \
-                .select("a", "b", F.element_at("_v", F.col("a") + 1).alias("x"),
-                        F.element_at("_v", F.col("b") + 1).alias("y"), "z")
-    return (cells.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    p = len(features)
+    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)] if target else []
+    a_idx = [i for i, _ in pairs] + list(range(p))
+    b_idx = [j for _, j in pairs] + [-1] * p
+    z = F.expr(symbol_sql(target, types[target])) if target else F.lit(0).cast("long")
+    rows = df.select(_symbols(df, features).alias("_v"), z.alias("_z"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(len(a_idx) - 1))).alias("_k")
+    cells = (rows.select(k, "_v", "_z")
+                 .select(F.element_at(_int_array(a_idx), F.col("_k") + 1).alias("a"),
+                         F.element_at(_int_array(b_idx), F.col("_k") + 1).alias("b"), "_v", "_z")
+                 .select("a", "b", F.element_at("_v", F.col("a") + 1).alias("x"),
+                         F.when(F.col("b") >= 0, F.element_at("_v", F.col("b") + 1)).otherwise(F.lit(0).cast("long"))
+                          .alias("y"),
+                         F.when(F.col("b") >= 0, F.col("_z")).otherwise(F.lit(0).cast("long")).alias("z")))
+    return (cells.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
                  .groupBy("a", "b", "x", "y", "z").agg(F.count(F.lit(1)).alias("n")))
 
 
-def conditional_mutual_information(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(fi, fj, a, b, n, cmi) per unordered feature pair, fi < fj by name."""
-    t = pair_contingency(df, features, target)
+def _entropy_from(counts: DataFrame, features: list[str]) -> DataFrame:
+    per = (counts.filter(F.col("b") == -1)
+                 .groupBy("a").agg(F.sum("n").alias("n"), F.sum(_nlogn(F.col("n").cast("double"))).alias("s")))
+    return per.select(_names_col(features, F.col("a")).alias("feature"),
+                      F.col("n").cast("bigint").alias("n"),
+                      (F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")).alias("entropy"))
+
+
+def _cmi_from(counts: DataFrame, features: list[str]) -> DataFrame:
+    t = counts.filter(F.col("b") >= 0)
     # tag 0: (x,y,z) +, 1: (x,z) -, 2: (y,z) -, 3: (z) +
     tagged = t.select("a", "b", "z", "n", F.explode(F.array(
         F.struct(F.lit(0).alias("tag"), F.col("x").alias("u"), F.col("y").alias("v")),
@@ -98,17 +102,63 @@ def conditional_mutual_information(df: DataFrame, features: list[str], target: s
                       F.col("n").cast("bigint").alias("n"), cmi.alias("cmi"))
 
 
+def pair_contingency(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(a, b, x, y, z, n): counts per feature-pair cell, a < b feature indices."""
+    if len(features) < 2:
+        raise ValueError("need at least two features")
+    return cell_counts(df, features, target).filter(F.col("b") >= 0)
+
+
+def conditional_mutual_information(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(fi, fj, a, b, n, cmi) per unordered feature pair, fi < fj by name."""
+    return _cmi_from(pair_contingency(df, features, target), features)
+
+
 def dissimilarity(df: DataFrame, features: list[str], target: str,
                   with_parts: bool = False) -> DataFrame:
     """Feature dissimilarity 1 - I(X;Y|Z) / (H(X) + H(Y) + 1e-9), long form
-    (fi, fj, dissimilarity) with fi < fj; symmetric with zero diagonal."""
-    cmi = conditional_mutual_information(df, features, target)
-    h = entropy(df, features).select("feature", "entropy")
-    hi = h.select(F.col("feature").alias("fi"), F.col("entropy").alias("h_i"))
-    hj = h.select(F.col("feature").alias("fj"), F.col("entropy").alias("h_j"))
-    out = (cmi.join(hi, "fi").join(hj, "fj")
-              .withColumn("dissimilarity",
-                          F.lit(1.0) - F.col("cmi") / (F.col("h_i") + F.col("h_j") + F.lit(DISSIM_EPS))))
+    (fi, fj, dissimilarity) with fi < fj; symmetric with zero diagonal.
+
+    One lineage, one scan: the cell counts feed one marginal aggregation in
+    which single-feature cells carry their own tag, giving a small table with
+    one row per feature (entropy) and per pair (CMI); entropies are attached
+    to the pairs by a window over that small table (no split of the lineage,
+    which the optimizer would otherwise turn into a second scan)."""
+    if len(features) < 2:
+        raise ValueError("need at least two features")
+    counts = cell_counts(df, features, target)
+    nl = F.lit(None).cast("long")
+    pair_tags = F.array(
+        F.struct(F.lit(0).alias("tag"), F.col("x").alias("u"), F.col("y").alias("v")),
+        F.struct(F.lit(1).alias("tag"), F.col("x").alias("u"), nl.alias("v")),
+        F.struct(F.lit(2).alias("tag"), nl.alias("u"), F.col("y").alias("v")),
+        F.struct(F.lit(3).alias("tag"), nl.alias("u"), nl.alias("v")))
+    single_tag = F.array(F.struct(F.lit(4).alias("tag"), F.col("x").alias("u"), nl.alias("v")))
+    tagged = counts.select("a", "b", "z", "n", F.explode(F.when(F.col("b") >= 0, pair_tags).otherwise(single_tag))
+                           .alias("m")).select("a", "b", "z", "n", "m.tag", "m.u", "m.v")
+    marg = tagged.groupBy("a", "b", "tag", "u", "v", "z").agg(F.sum("n").alias("m"))
+    sign = F.when(F.col("tag").isin(1, 2), F.lit(-1.0)).otherwise(F.lit(1.0))
+    per = marg.groupBy("a", "b").agg(
+        F.sum(sign * _nlogn(F.col("m").cast("double"))).alias("s"),
+        F.sum(F.when(F.col("tag").isin(0, 4), F.col("m"))).alias("n"))
+    value = F.when(F.col("b") < 0, F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")) \
+             .otherwise(F.greatest(F.col("s") / F.col("n"), F.lit(0.0)))
+    per = per.select("a", "b", value.alias("value"))
+    roles = per.select("a", "b", "value", F.explode(F.when(
+        F.col("b") < 0, F.array(F.struct(F.col("a").alias("f"), F.lit(0).alias("role"))))
+        .otherwise(F.array(F.struct(F.col("a").alias("f"), F.lit(1).alias("role")),
+                           F.struct(F.col("b").alias("f"), F.lit(2).alias("role"))))).alias("r")) \
+        .select("a", "b", "value", "r.f", "r.role")
+    roles = roles.withColumn("h", F.max(F.when(F.col("role") == 0, F.col("value"))).over(Window.partitionBy("f")))
+    pairs = roles.filter(F.col("role") > 0).groupBy("a", "b").agg(
+        F.first("value").alias("cmi"), F.max(F.when(F.col("role") == 1, F.col("h"))).alias("h_i"),
+        F.max(F.when(F.col("role") == 2, F.col("h"))).alias("h_j"))
+    ni, nj = _names_col(features, F.col("a")), _names_col(features, F.col("b"))
+    out = pairs.select(F.least(ni, nj).alias("fi"), F.greatest(ni, nj).alias("fj"), "cmi",
+                       F.when(ni <= nj, F.col("h_i")).otherwise(F.col("h_j")).alias("h_i"),
+                       F.when(ni <= nj, F.col("h_j")).otherwise(F.col("h_i")).alias("h_j"))
+    out = out.withColumn("dissimilarity",
+                         F.lit(1.0) - F.col("cmi") / (F.col("h_i") + F.col("h_j") + F.lit(DISSIM_EPS)))
     cols = ["fi", "fj", "dissimilarity"] + (["cmi", "h_i", "h_j"] if with_parts else [])
     return out.select(*cols)
 
