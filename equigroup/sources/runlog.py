@@ -30,28 +30,33 @@ def _dataset(part: Column) -> Column:
     return F.coalesce(vocab[key], vocab[fallback])
 
 
-PERF_MAIN_RE = r"^performance_metrics_(Grouped|Ungrouped)_(.*)_run.*\.json$"
-FAIR_MAIN_RE = r"^fairness_metrics_()(.*)_run.*\.json$"
-TOKENS_RE = rf"^(.*)_({_alt(MODELS)})_({_alt(GROUPINGS)})$"
-
-
-def _parse(df: DataFrame, name: str, main_re: str, kind_rule) -> DataFrame:
-    x = df.withColumn("_kind", F.regexp_extract(F.col(name), main_re, 1)) \
-          .withColumn("_l", F.lower(F.regexp_extract(F.col(name), main_re, 2)))
-    x = (x.withColumn("_ds", F.regexp_extract("_l", TOKENS_RE, 1))
-          .withColumn("_mt", F.regexp_extract("_l", TOKENS_RE, 2))
-          .withColumn("_gt", F.regexp_extract("_l", TOKENS_RE, 3)))
-    ok = (F.col("_l") != "") & (F.col("_gt") != "") & kind_rule(F.col("_kind"), F.col("_gt"))
-    x = x.withColumn("_ok", ok)
-    x = (x.withColumn("dataset", F.when(F.col("_ok"), _dataset(F.col("_ds"))))
-          .withColumn("model", F.when(F.col("_ok"), _vocab(MODELS)[F.col("_mt")]))
-          .withColumn("grouping", F.when(F.col("_ok"), _vocab(GROUPINGS)[F.col("_gt")])))
-    keep = F.col("dataset").isNotNull() & F.col("model").isNotNull() & F.col("grouping").isNotNull()
-    x = x.withColumn("_ok", keep)
-    x = (x.withColumn("dataset", F.when(F.col("_ok"), F.col("dataset")))
-          .withColumn("model", F.when(F.col("_ok"), F.col("model")))
-          .withColumn("grouping", F.when(F.col("_ok"), F.col("grouping"))))
-    return x.drop("_kind", "_l", "_ds", "_mt", "_gt", "_ok")
+# One anchored pattern per file kind: the prefix is case-sensitive, the model
+# and grouping tokens are not; ``_run(?!.*_run)`` is the LAST ``_run``, and the
+# greedy dataset part makes the tokens match from the right.
+PERF_RE = (rf"^performance_metrics_(Grouped|Ungrouped)_(.*)_(?i:({_alt(MODELS)}))_(?i:({_alt(GROUPINGS)}))"
+           r"_run(?!.*_run).*\.json$")
+FAIR_RE = (rf"^fairness_metrics_()(.*)_(?i:({_alt(MODELS)}))_(?i:({_alt(GROUPINGS)}))"
+           r"_run(?!.*_run).*\.json$")
+
+
+SEP = "\u0001"
+
+
+def _parse(df: DataFrame, name: str, rx: str, kind_rule) -> DataFrame:
+    # one regex pass per row: a match is rewritten to SEP kind SEP ds SEP model
+    # SEP grouping; a name that does not match stays as it is (no leading SEP)
+    rewritten = F.regexp_replace(F.col(name), rx, SEP + "$1" + SEP + "$2" + SEP + "$3" + SEP + "$4")
+    parts = F.when(F.startswith(rewritten, F.lit(SEP)), F.split(rewritten, SEP))
+    # a one-element explode is an evaluation barrier: its output is computed
+    # once per row and never inlined into the four uses (or a pushed filter)
+    x = df.select("*", F.explode(F.array(parts)).alias("_p")).select(
+        *df.columns, F.col("_p")[1].alias("_kind"), F.lower(F.col("_p")[2]).alias("_ds"),
+        F.lower(F.col("_p")[3]).alias("_mt"), F.lower(F.col("_p")[4]).alias("_gt"))
+    ds = _dataset(F.col("_ds"))
+    ok = F.coalesce(F.col("_gt") != "", F.lit(False)) & kind_rule(F.col("_kind"), F.col("_gt")) & ds.isNotNull()
+    return x.select(*df.columns, F.when(ok, ds).alias("dataset"),
+                    F.when(ok, _vocab(MODELS)[F.col("_mt")]).alias("model"),
+                    F.when(ok, _vocab(GROUPINGS)[F.col("_gt")]).alias("grouping"))
 
 
 def parse_performance_names(df: DataFrame, name: str = "file_name") -> DataFrame:
@@ -60,14 +65,14 @@ def parse_performance_names(df: DataFrame, name: str = "file_name") -> DataFrame
     run{n}.json``: tokens matched from the right, case-insensitively, on the
     part before the last ``_run``; a Grouped name may not carry the ungrouped
     token and an Ungrouped name must; NULLs when the name is rejected."""
-    return _parse(df, name, PERF_MAIN_RE,
+    return _parse(df, name, PERF_RE,
                   lambda kind, g: F.when(kind == "Grouped", g != "ungrouped").otherwise(g == "ungrouped"))
 
 
 def parse_fairness_names(df: DataFrame, name: str = "file_name") -> DataFrame:
     """Add (dataset, model, grouping) parsed from ``fairness_metrics_{dataset}_
     {model}_{grouping}_run{n}.json`` (any grouping token incl. ungrouped)."""
-    return _parse(df, name, FAIR_MAIN_RE, lambda kind, g: F.lit(True))
+    return _parse(df, name, FAIR_RE, lambda kind, g: F.lit(True))
 
 
 def read_run_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
