@@ -38,6 +38,10 @@ def quantile_bucket(df: DataFrame, column: str, out: str = "_qb", buckets: int |
     about ``ROWS_PER_BUCKET`` rows (callers pass tables of distinct values, so
     ties never pile up in one bucket)."""
     from pyspark.ml.feature import Bucketizer
+    from equigroup.session import materialize
+    # the inputs are compact (distinct values / per-value counts); materialise
+    # them once so the split computation and the final plan share one run
+    df = materialize(df)
     if buckets is None:
         n = df.count()
         buckets = int(min(MAX_BUCKETS, max(64, n // ROWS_PER_BUCKET)))

@@ -11,7 +11,7 @@ from equigroup.operators import fairness as FA
 from equigroup.operators import metrics as V
 from equigroup.operators import models as M
 from equigroup.operators import split
-from equigroup.session import checkpoint_dir
+from equigroup.session import materialize
 
 
 def fold_metrics(pred: DataFrame, target: str) -> DataFrame:
@@ -24,8 +24,7 @@ def repeated_kfold(df: DataFrame, key: str, model: str, features: list[str], tar
                    repeats: int = 10, seed: int = 42, params: dict | None = None) -> DataFrame:
     """(repeat, fold, accuracy, f1_score, precision, roc_auc) for a model
     refitted on every (repeat, fold) split of a repeated stratified k-fold."""
-    checkpoint_dir(df.sparkSession)
-    folds = split.repeated_stratified_kfold(df, target, key, k, repeats, seed).checkpoint()
+    folds = materialize(split.repeated_stratified_kfold(df, target, key, k, repeats, seed))
     out = None
     for r in range(repeats):
         fr = folds.filter(F.col("repeat") == r)
@@ -45,14 +44,13 @@ def run_experiment(train: DataFrame, test: DataFrame, key: str, model: str, feat
     """Ungrouped flow: stratified validation hold-out, tune on the training
     part (stratified folds), refit on train + validation, score the test rows.
     One row: Model, Accuracy, Precision, F1-score, ROC AUC (+ fairness)."""
-    checkpoint_dir(train.sparkSession)
-    train, test = train.checkpoint(), test.checkpoint()
+    train, test = materialize(train), materialize(test)
     tv = split.stratified_holdout(train, target, key, val_fraction, seed)
     sub = split.stratified_kfold(tv.filter(~F.col("is_test")).drop("is_test"), target, key, cv_splits, seed)
-    sub = sub.checkpoint()
+    sub = materialize(sub)
     _, params, _ = M.tune(sub, model, features, target, "fold", n_iter, seed)
     fitted = M.fit(train, model, features, target, params, seed)
-    pred = M.predict(fitted, test, target).checkpoint()
+    pred = materialize(M.predict(fitted, test, target))
     rec = V.metric_record(pred, target, "prediction", "p1", model)
     if sensitive is not None:
         fair = FA.fairness_record(pred.withColumn("_yt", F.col(target).cast("double")), "_yt", "prediction",

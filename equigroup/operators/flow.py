@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equigroup.operators import prep, split
-from equigroup.session import checkpoint_dir
+from equigroup.session import materialize as _materialize
 from equigroup.spec import CohortSpec
 
 
@@ -21,11 +21,10 @@ def prepare(raw: DataFrame, spec: CohortSpec, normalise: bool = True, encode: bo
     clean = prep.drop_null_rows(raw)
     test = split.draw_test_from_clean(raw, clean, spec.key, base_fraction, seed)
     if materialize:
-        checkpoint_dir(raw.sparkSession)
-        test = test.checkpoint()
+        test = _materialize(test)
     train = prep.drop_null_rows(split.train_minus_test(raw, test, spec.key))
     if materialize:
-        train = train.checkpoint()
+        train = _materialize(train)
     if encode:
         fitted = prep.fit_encoding(train, spec)
         train = prep.encode_cohort(train, spec, fitted)

@@ -10,7 +10,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equigroup.session import checkpoint_dir
+from equigroup.session import materialize
 
 
 def impute_with_classifier(df: DataFrame, column: str, predictors: list[str], seed: int = 42,
@@ -45,8 +45,7 @@ def imputation_policy(df: DataFrame, drop: list[str], impute: list[tuple[str, li
     """Drop columns, impute each listed column in sequence (each sees the
     earlier results; lineage cut by a reliable checkpoint between steps), then
     drop rows with any remaining NULL."""
-    checkpoint_dir(df.sparkSession)
     cur = df.drop(*drop)
     for column, predictors in impute:
-        cur = impute_with_classifier(cur, column, predictors, seed).drop("imputed").checkpoint()
+        cur = materialize(impute_with_classifier(cur, column, predictors, seed).drop("imputed"))
     return cur.na.drop("any")

@@ -68,7 +68,12 @@ def sample_points(population: DataFrame, key: str, features: list[str], size: in
 
 def observation_bias(empirical: DataFrame, removal: DataFrame, key: str, features: list[str],
                      size: int = KDE_SAMPLE_POINTS, bandwidth: float = KDE_BANDWIDTH, seed: int = 42) -> DataFrame:
-    """One row: 0.5 * mean over sampled points of |density_emp - density_rem|."""
+    """One row: 0.5 * mean over sampled points of |density_emp - density_rem|.
+    Both populations are read three times (sampling, two density passes), so
+    their feature columns are checkpointed once (reliably)."""
+    from equigroup.session import materialize
+    empirical = materialize(empirical.select(key, *features))
+    removal = materialize(removal.select(*features))
     pts = sample_points(empirical, key, features, size, seed)
     d1 = kernel_density_at(pts, empirical, features, bandwidth).withColumnRenamed("density", "d_emp")
     d2 = kernel_density_at(pts, removal, features, bandwidth).withColumnRenamed("density", "d_rem")

@@ -51,3 +51,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def num_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def materialize(df):
+    """Reliable checkpoint that runs the lineage once: persist, checkpoint
+    (written to ``spark.checkpoint.dir``, so it survives lost executors), then
+    drop the cache. A bare ``checkpoint()`` computes the plan twice."""
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
