@@ -855,3 +855,20 @@ def p12_feature_presence(spark, sf):
     feats = prep.non_constant_features(C.c_emb(spark, sf), C.EMB_FEATURES).select("feature")
     assign = G.random_grouping(feats, GROUPS_K)
     return prep.feature_presence(C.c_emb(spark, sf).drop("f63"), assign)
+
+
+@query("g11_k_sweep_greedy", rounded=False)
+def g11_k_sweep_greedy(spark, sf):
+    """Greedy grouping at every k = 2..10 on one shared matrix (one Python
+    task per k), each rated by mean diversity and minimum dispersion."""
+    m = emb_matrix(spark, sf)
+    assign = G.greedy_grouping(m, range(2, 11)).select("k", "group_id", "feature")
+    return G.grouping_report(G.group_quality(assign, m, by=["k"]), by=["k"])
+
+
+@query("g6_searched_grouping_report", rounded=False)
+def g6_searched_grouping_report(spark, sf):
+    """Grouping report for the bicriterion groups of the line-item matrix."""
+    m = line_matrix(spark, sf)
+    assign = G.bicriterion_grouping(m, [2], restarts=10).select("k", "group_id", "feature")
+    return G.grouping_report(G.group_quality(assign, m, by=["k"]), m, normalize=True, by=["k"])
