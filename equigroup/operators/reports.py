@@ -52,10 +52,19 @@ def report_order(report: DataFrame, metrics: list[str]) -> DataFrame:
     return report.withColumn("position", F.row_number().over(w).cast("int"))
 
 
-def format_report(report: DataFrame, datasets: list[str] = REPORT_DATASETS) -> DataFrame:
+def file_safe(metric: Column, fairness: bool = False) -> Column:
+    """Metric name as used in report file names: spaces -> '_' (performance);
+    fairness also maps '-' -> '_' and drops parentheses."""
+    out = F.replace(metric, F.lit(" "), F.lit("_"))
+    if fairness:
+        out = F.regexp_replace(F.replace(out, F.lit("-"), F.lit("_")), "[()]", "")
+    return out
+
+
+def format_report(report: DataFrame, datasets: list[str] = REPORT_DATASETS, fairness: bool = False) -> DataFrame:
     """Cells as text with 6 decimals, missing as '-' (the CSV sink format);
     the metric name made file-safe."""
-    cols = [F.regexp_replace(F.col("metric"), "[^A-Za-z0-9_-]+", "_").alias("metric_file"), "grouping"]
+    cols = [file_safe(F.col("metric"), fairness).alias("metric_file"), "grouping"]
     cols += [F.coalesce(F.format_string("%.6f", F.col(f"`{d}`")), F.lit("-")).alias(d) for d in datasets]
     return report.select(*cols)
 

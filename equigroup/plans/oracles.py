@@ -465,7 +465,7 @@ FMT = ", ".join(f"coalesce(printf('%.6f', \"{d}\"), '-') as \"{d}\"" for d in DS
 _P7 = _pivot(PERF_LONG)
 _P7_SEL = _P7.index("select metric, grouping,")
 oracle("s7_report_format", f"""with {RUN_CTE}, {_P7[:_P7_SEL].rstrip()}, rep as ({_P7[_P7_SEL:]})
-select regexp_replace(metric, '[^A-Za-z0-9_-]+', '_', 'g') as metric_file, grouping, {FMT} from rep""")
+select replace(metric, ' ', '_') as metric_file, grouping, {FMT} from rep""")
 LONGNAME = "case model " + " ".join(f"when '{MODELS[t]}' then '{BENCH_MODELS[t]}'" for t in MODELS) + " end"
 BC = f"""bc as (select {LONGNAME} as model, grouping, avg({_usable(chr(34) + 'Precision' + chr(34))}) as value
         from rec where dataset = 'Breast Cancer' group by 1, 2 having value is not null)"""

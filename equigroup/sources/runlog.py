@@ -78,8 +78,8 @@ def parse_fairness_names(df: DataFrame, name: str = "file_name") -> DataFrame:
 def read_run_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """(path, file_name, text): one row per file under ``root`` whose name
     matches the glob ``pattern``, at any depth."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", pattern).text(root))
+    # wholetext must go through text(): it resets the option to its keyword default
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
                      F.col("value").alias("text"))
 

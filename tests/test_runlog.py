@@ -45,7 +45,8 @@ def test_read_run_files_and_reports(spark):
             ("performance_metrics_Ungrouped_Obesity_SVM_ungrouped_run2.json", 0.9, 0.8, 0.85)]
     for name, acc, prec, f1 in perf:
         with open(os.path.join(root, "sub", name), "w") as fh:
-            json.dump([{"Model": "x", "Accuracy": acc, "Precision": prec, "F1-score": f1, "ROC AUC": None}], fh)
+            json.dump([{"Model": "x", "Accuracy": acc, "Precision": prec, "F1-score": f1, "ROC AUC": None}], fh,
+                      indent=4)
     with open(os.path.join(root, "performance_metrics_Grouped_Obesity_MLP_random_run1.json"), "w") as fh:
         fh.write("{not json")
     with open(os.path.join(root, "fairness_metrics_Heart_disease_MLP_random_run1.json"), "w") as fh:
