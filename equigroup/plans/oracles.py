@@ -61,9 +61,9 @@ select doc_id, lang, {r6('p1')} as p1, {r6('p1 - mu')} as deviation
 from d join g on coalesce(d.lang = 'en', false) = g.g where abs(p1 - mu) > 0.05""")
 
 # ---------------------------------------------------------------- 2.5 encoding
-ONE_HOT = ", ".join(f"case when c_mktsegment = '{s}' then 1.0 else 0.0 end as \"c_mktsegment_{s}\""
+ONE_HOT = ", ".join(f"case when c_mktsegment = '{s}' then 1.0::double else 0.0::double end as \"c_mktsegment_{s}\""
                     for s in SEGMENTS)
-PRIO_CASE = "case o_orderpriority " + " ".join(f"when '{p}' then {i}.0" for i, p in enumerate(PRIORITY)) + " end"
+PRIO_CASE = "case o_orderpriority " + " ".join(f"when '{p}' then {i}.0::double" for i, p in enumerate(PRIORITY)) + " end"
 oracle("e1_one_hot", f"select o_orderkey, o_totalprice, c_acctbal, n_regionkey, o_orderpriority, o_orderstatus, "
                      f"{ONE_HOT} from ({S.C_ORD}) t")
 oracle("e2_label_code", f"""with t as ({S.C_ORD}),
