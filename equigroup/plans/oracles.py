@@ -544,3 +544,6 @@ feats as (select feature from v where variance > 0),
 assign as (select feature, cast((row_number() over (order by md5(concat(feature, '|42')), feature) - 1) % 5 as integer)
            as group_id from feats)
 select group_id, feature, feature <> 'f63' as present from assign""")
+
+oracle("j5_feature_pairs", f"""with src as ({S.C_LINE}), cells as ({S.pair_cells(S.LINE_FEATURES, 'l_returnflag')})
+select fi, fj, cast(count(*) as bigint) as n from cells group by fi, fj""")

@@ -872,3 +872,11 @@ def g6_searched_grouping_report(spark, sf):
     m = line_matrix(spark, sf)
     assign = G.bicriterion_grouping(m, [2], restarts=10).select("k", "group_id", "feature")
     return G.grouping_report(G.group_quality(assign, m, by=["k"]), m, normalize=True, by=["k"])
+
+
+@query("j5_feature_pairs")
+def j5_feature_pairs(spark, sf):
+    """All unordered feature pairs of the line-item cohort (fi < fj) with the
+    number of rows where both values and the target are set."""
+    return info.conditional_mutual_information(C.c_line(spark, sf), C.LINE_FEATURES, C.LINE_TARGET) \
+        .select("fi", "fj", "n")
