@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from equigroup import cohorts as C
 from equigroup.operators import info
 from equigroup.plans.registry import QUERIES, query
+from equigroup.session import materialize
 
 
 # ---------------------------------------------------------------- 2.6 info
@@ -430,13 +431,15 @@ from equigroup.operators import embed as B  # noqa: E402
 
 
 def doc_features(spark, sf):
-    """C_pred plus the model's inputs (n_chars, toxic, is_en) from one join."""
+    """C_pred plus the model's inputs (n_chars, toxic, is_en) from one join.
+    The result feeds several branches (rates, attributions, group means,
+    fits), so it is materialized once instead of re-running the join."""
     d = C.c_doc(spark, sf)
-    return d.select(
+    return materialize(d.select(
         "doc_id", "lang", F.col("quality").alias("y_true"),
         F.when(F.col("n_chars") > 1500, F.lit(1)).otherwise(F.lit(0)).alias("y_pred"),
         (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("n_chars") - 1500) / F.lit(1000.0)))).alias("p1"),
-        "n_chars", "toxic", F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("is_en"))
+        "n_chars", "toxic", F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("is_en")))
 
 
 def doc_attribution(spark, sf):
@@ -682,7 +685,7 @@ def j6_kernel_density(spark, sf):
 
 
 def doc_populations(spark, sf):
-    d = C.c_doc(spark, sf)
+    d = materialize(C.c_doc(spark, sf).select("doc_id", "lang", "n_chars"))
     return d, d.filter(F.col("lang") != "en")
 
 
