@@ -122,9 +122,32 @@ def one_hot(df: DataFrame, column: str, categories: list | None = None) -> DataF
     return df.select(*[x for x in df.columns if x != column], *one_hot_columns(column, cats))
 
 
-def label_code(df: DataFrame, column: str, categories: list | None = None) -> DataFrame:
-    cats = categories if categories is not None else fit_categories(df, column)
-    return df.select(*[label_code_column(x, cats) if x == column else F.col(x) for x in df.columns])
+MAX_COLLECTED_CATEGORIES = 10_000
+
+
+def label_code(df: DataFrame, column: str, categories: list | None = None,
+               max_collected: int = MAX_COLLECTED_CATEGORIES) -> DataFrame:
+    """Code 0..n-1 by sorted value. Small domains: the category list is
+    collected and applied as a map literal. Large domains (approximate
+    distinct count above ``max_collected``): the distinct values get exact
+    ranks in a distributed way (bucket = value prefix, monotone in the
+    order) and are joined back, so nothing large reaches the driver."""
+    if categories is None:
+        n = df.agg(F.approx_count_distinct(column).alias("n")).first()["n"]
+        if n > max_collected:
+            return label_code_distributed(df, column)
+        categories = fit_categories(df, column)
+    return df.select(*[label_code_column(x, categories) if x == column else F.col(x) for x in df.columns])
+
+
+def label_code_distributed(df: DataFrame, column: str) -> DataFrame:
+    from equigroup.functions.ordering import ranked
+    vals = df.select(column).where(F.col(column).isNotNull()).distinct()
+    bucket = F.substring(F.col(column).cast("string"), 1, 3) if isinstance(
+        df.schema[column].dataType, T.StringType) else F.col(column)
+    codes = ranked(vals, [], [column], bucket, out="_code").select(column, F.col("_code").cast("int").alias("_code"))
+    j = df.join(codes, column, "left")
+    return j.select(*[F.col("_code").alias(x) if x == column else F.col(x) for x in df.columns])
 
 
 def ordinal_code(df: DataFrame, column: str, levels: list, is_target: bool = False) -> DataFrame:

@@ -65,3 +65,12 @@ def test_encode_cohort_shapes(spark, sf_small):
 def test_null_audit(spark, sf_small):
     row = prep.null_audit(C.c_na(spark, sf_small)).first().asDict()
     assert row["c_mktsegment"] > 0 and row["o_orderkey"] == 0
+
+
+def test_label_code_distributed_matches_collected(spark):
+    rows = [(i, f"v{(i * 7919) % 500:04d}") for i in range(2000)]
+    d = spark.createDataFrame(rows, "k int, c string")
+    a = {r["k"]: r["c"] for r in prep.label_code(d, "c").collect()}
+    b = {r["k"]: r["c"] for r in prep.label_code(d, "c", max_collected=10).collect()}
+    assert a == b
+    assert sorted(set(a.values())) == list(range(500))
