@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from equigroup.functions.columns import usable
 from equigroup.operators.reports import with_recall
 from equigroup.sources import runlog
-from equigroup.vocab import PERFORMANCE_KEYS
+from equigroup.vocab import FAIRNESS_KEYS, PERFORMANCE_KEYS
 
 
 def stream_performance_records(spark: SparkSession, root: str, pattern: str = "performance_metrics_*.json",
@@ -29,9 +29,22 @@ def stream_performance_records(spark: SparkSession, root: str, pattern: str = "p
     return runlog.performance_records(files)
 
 
+def stream_fairness_records(spark: SparkSession, root: str, pattern: str = "fairness_metrics_*.json",
+                            max_files_per_trigger: int | None = None) -> DataFrame:
+    reader = (spark.readStream.format("text").option("wholetext", True)
+              .option("pathGlobFilter", pattern))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    files = reader.load(root).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
+    return runlog.fairness_records(files)
+
+
 def streaming_report(records: DataFrame, metrics: list[str] = PERFORMANCE_KEYS, eps: float = 0.0) -> DataFrame:
-    """(metric, grouping, dataset, n, mean) maintained incrementally."""
-    good = with_recall(records.filter(F.col("ok")))
+    """(metric, grouping, dataset, n, mean) maintained incrementally; recall
+    is derived when the records carry precision and F1."""
+    good = records.filter(F.col("ok"))
+    if "Recall" in metrics and "Recall" not in good.columns:
+        good = with_recall(good)
     long = (good.unpivot(["dataset", "grouping"], metrics, "metric", "value")
                 .select("metric", "grouping", "dataset", usable(F.col("value"), eps).alias("uv")))
     return long.groupBy("metric", "grouping", "dataset").agg(
@@ -40,8 +53,12 @@ def streaming_report(records: DataFrame, metrics: list[str] = PERFORMANCE_KEYS,
 
 
 def start_report(spark: SparkSession, root: str, checkpoint: str, query_name: str = "performance_report",
-                 sink: str = "memory"):
-    """Start the streaming report (complete mode) with its own checkpoint."""
-    rep = streaming_report(stream_performance_records(spark, root))
+                 sink: str = "memory", kind: str = "performance"):
+    """Start the streaming report (complete mode) with its own checkpoint;
+    ``kind`` is "performance" or "fairness" (|v| < 1e-8 also dropped)."""
+    if kind == "fairness":
+        rep = streaming_report(stream_fairness_records(spark, root), FAIRNESS_KEYS, eps=1e-8)
+    else:
+        rep = streaming_report(stream_performance_records(spark, root))
     return (rep.writeStream.outputMode("complete").format(sink).queryName(query_name)
                .option("checkpointLocation", checkpoint).start())

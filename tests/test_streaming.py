@@ -26,3 +26,19 @@ def test_streaming_report_updates(spark):
         assert r["n"] == 2 and r["mean"] == pytest.approx(0.6)
     finally:
         q.stop()
+
+
+def test_streaming_fairness_report(spark):
+    root = tempfile.mkdtemp(prefix="equigroup-fstream-")
+    ck = tempfile.mkdtemp(prefix="equigroup-fstream-ck-")
+    with open(os.path.join(root, "fairness_metrics_Obesity_SVM_random_run1.json"), "w") as fh:
+        fh.write('{\n "Disparate Impact": NaN,\n "Equal Opportunity": 0.2,\n "Equalized Odds": 1e-9,\n'
+                 ' "Predictive Parity": 0.1,\n "N-Sigma (ErrorRate)": 0.3,\n "Average distance from origin": 0.4\n}')
+    q = start_report(spark, root, ck, query_name="fair_report_test", kind="fairness")
+    try:
+        q.processAllAvailable()
+        rows = {r["metric"]: r for r in spark.sql("select * from fair_report_test").collect()}
+        assert rows["Equal Opportunity"]["mean"] == pytest.approx(0.2)
+        assert rows["Disparate Impact"]["n"] == 0 and rows["Equalized Odds"]["n"] == 0
+    finally:
+        q.stop()
