@@ -307,7 +307,7 @@ def g2_greedy_seeds(spark, sf):
 
 @query("g2_greedy_grouping")
 def g2_greedy_grouping(spark, sf):
-    return G.greedy_grouping(emb_matrix(spark, sf), [GROUPS_K])
+    return G.greedy_grouping(emb_matrix(spark, sf), [GROUPS_K], feature_order=C.EMB_FEATURES)
 
 
 @query("g7_bicriterion")
@@ -865,7 +865,7 @@ def g11_k_sweep_greedy(spark, sf):
     """Greedy grouping at every k = 2..10 on one shared matrix (one Python
     task per k), each rated by mean diversity and minimum dispersion."""
     m = emb_matrix(spark, sf)
-    assign = G.greedy_grouping(m, range(2, 11)).select("k", "group_id", "feature")
+    assign = G.greedy_grouping(m, range(2, 11), feature_order=C.EMB_FEATURES).select("k", "group_id", "feature")
     return G.grouping_report(G.group_quality(assign, m, by=["k"]), by=["k"])
 
 
