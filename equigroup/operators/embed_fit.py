@@ -73,8 +73,9 @@ def train_autoencoders(scaled: DataFrame, groups: dict[int, list[str]], dims: di
     m = {k: np.zeros_like(_flat(models[k])) for k in keys}
     v = {k: np.zeros_like(_flat(models[k])) for k in keys}
     b1, b2, eps = 0.9, 0.999, 1e-8
-    schema = T.StructType([T.StructField("model", T.IntegerType()), T.StructField("loss", T.DoubleType()),
-                           T.StructField("n", T.LongType()), T.StructField("grad", T.ArrayType(T.DoubleType()))])
+    # partials in long form: (model, idx, value); idx -1 = loss, -2 = row count
+    schema = T.StructType([T.StructField("model", T.IntegerType()), T.StructField("idx", T.IntegerType()),
+                           T.StructField("value", T.DoubleType())])
     losses = {}
     for it in range(1, iterations + 1):
         state = {i: [w.copy() for w in models[k]] for i, k in enumerate(keys)}
@@ -94,24 +95,34 @@ def train_autoencoders(scaled: DataFrame, groups: dict[int, list[str]], dims: di
                     acc[i] = flat if acc[i] is None else acc[i] + flat
                     lsum[i] += loss
             if n:
-                yield pd.DataFrame({"model": list(acc), "loss": [lsum[i] for i in acc], "n": n,
-                                    "grad": [acc[i].tolist() for i in acc]})
-
-        parts = data.mapInPandas(partial, schema).collect()
-        n_rows = sum(r["n"] for r in parts if r["model"] == 0)
+                for i in acc:
+                    m_ = len(acc[i])
+                    yield pd.DataFrame({"model": np.full(m_ + 2, i, dtype=np.int32),
+                                        "idx": np.arange(-2, m_, dtype=np.int32),
+                                        "value": np.concatenate([[float(n), lsum[i]], acc[i]])})
+
+        # the grouped sum runs on the executors (map-side combine); the driver
+        # receives one value per parameter, whatever the number of partitions
+        sums = (data.mapInPandas(partial, schema).groupBy("model", "idx").agg(F.sum("value").alias("v"))
+                    .collect())
+        tot = {}
+        for r in sums:
+            tot.setdefault(r["model"], {})[r["idx"]] = r["v"]
         for i, k in enumerate(keys):
-            rows = [r for r in parts if r["model"] == i]
+            if i not in tot:
+                continue
             p = len(groups[k[0]])
-            scale = 1.0 / (max(n_rows, 1) * p)
-            grad = np.sum([np.array(r["grad"]) for r in rows], axis=0) * scale
+            n_rows = tot[i][-2]
+            scale = 1.0 / (max(n_rows, 1.0) * p)
             theta = _flat(models[k])
+            grad = np.array([tot[i][j] for j in range(len(theta))]) * scale
             grad = grad + alpha * theta
             m[k] = b1 * m[k] + (1 - b1) * grad
             v[k] = b2 * v[k] + (1 - b2) * grad * grad
             mh, vh = m[k] / (1 - b1 ** it), v[k] / (1 - b2 ** it)
             theta = theta - lr * mh / (np.sqrt(vh) + eps)
             models[k] = _unflat(theta, p, k[1])
-            losses[k] = sum(r["loss"] for r in rows) * scale
+            losses[k] = tot[i][-1] * scale
     data.unpersist()
     return {"models": models, "losses": losses}
 

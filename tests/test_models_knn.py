@@ -41,3 +41,16 @@ def test_kde_matches_direct_sum(spark):
     for pid, (pa, pb) in pts:
         s = sum(math.exp(-((a - pa) ** 2 + (b - pb) ** 2) / (2 * 0.25)) for _, a, b in rows)
         assert got[pid] == pytest.approx(s / (len(rows) * 2 * math.pi * 0.25))
+
+
+def test_autoencoder_training_reduces_loss(spark):
+    import numpy as np
+    from equigroup.operators import embed_fit
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(300, 1))
+    x = np.hstack([z, 2 * z + 0.01 * rng.normal(size=(300, 1)), -z])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    groups = {0: ["a", "b", "c"]}
+    short = embed_fit.train_autoencoders(df, groups, {0: [1]}, iterations=3, lr=0.05)
+    long = embed_fit.train_autoencoders(df, groups, {0: [1]}, iterations=60, lr=0.05)
+    assert long["losses"][(0, 1)] < short["losses"][(0, 1)]
