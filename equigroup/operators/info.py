@@ -49,7 +49,7 @@ def entropy(df: DataFrame, features: list[str]) -> DataFrame:
     return _entropy_from(cell_counts(df, features, None), features)
 
 
-def cell_counts(df: DataFrame, features: list[str], target: str | None) -> DataFrame:
+def cell_counts(df: DataFrame, features: list[str], target: str | None, segment: str | None = None) -> DataFrame:
     """(a, b, x, y, z, n) from ONE scan: pair cells (a < b feature indices,
     counted where x, y and z are set) and single-feature cells (b = -1, y = z
     = 0, counted where x is set). Each row carries one array of p value
@@ -61,17 +61,18 @@ def cell_counts(df: DataFrame, features: list[str], target: str | None) -> DataF
     a_idx = [i for i, _ in pairs] + list(range(p))
     b_idx = [j for _, j in pairs] + [-1] * p
     z = F.expr(symbol_sql(target, types[target])) if target else F.lit(0).cast("long")
-    rows = df.select(_symbols(df, features).alias("_v"), z.alias("_z"))
+    sg = [segment] if segment else []
+    rows = df.select(*sg, _symbols(df, features).alias("_v"), z.alias("_z"))
     k = F.explode(F.sequence(F.lit(0), F.lit(len(a_idx) - 1))).alias("_k")
-    cells = (rows.select(k, "_v", "_z")
-                 .select(F.element_at(_int_array(a_idx), F.col("_k") + 1).alias("a"),
+    cells = (rows.select(*sg, k, "_v", "_z")
+                 .select(*sg, F.element_at(_int_array(a_idx), F.col("_k") + 1).alias("a"),
                          F.element_at(_int_array(b_idx), F.col("_k") + 1).alias("b"), "_v", "_z")
-                 .select("a", "b", F.element_at("_v", F.col("a") + 1).alias("x"),
+                 .select(*sg, "a", "b", F.element_at("_v", F.col("a") + 1).alias("x"),
                          F.when(F.col("b") >= 0, F.element_at("_v", F.col("b") + 1)).otherwise(F.lit(0).cast("long"))
                           .alias("y"),
                          F.when(F.col("b") >= 0, F.col("_z")).otherwise(F.lit(0).cast("long")).alias("z")))
     return (cells.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
-                 .groupBy("a", "b", "x", "y", "z").agg(F.count(F.lit(1)).alias("n")))
+                 .groupBy(*sg, "a", "b", "x", "y", "z").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _entropy_from(counts: DataFrame, features: list[str]) -> DataFrame:
@@ -115,9 +116,10 @@ def conditional_mutual_information(df: DataFrame, features: list[str], target: s
 
 
 def dissimilarity(df: DataFrame, features: list[str], target: str,
-                  with_parts: bool = False) -> DataFrame:
+                  with_parts: bool = False, segment: str | None = None) -> DataFrame:
     """Feature dissimilarity 1 - I(X;Y|Z) / (H(X) + H(Y) + 1e-9), long form
     (fi, fj, dissimilarity) with fi < fj; symmetric with zero diagonal.
+    With ``segment``, one matrix per value of that column, all in one job.
 
     One lineage, one scan: the cell counts feed one marginal aggregation in
     which single-feature cells carry their own tag, giving a small table with
@@ -126,7 +128,8 @@ def dissimilarity(df: DataFrame, features: list[str], target: str,
     which the optimizer would otherwise turn into a second scan)."""
     if len(features) < 2:
         raise ValueError("need at least two features")
-    counts = cell_counts(df, features, target)
+    sg = [segment] if segment else []
+    counts = cell_counts(df, features, target, segment)
     nl = F.lit(None).cast("long")
     pair_tags = F.array(
         F.struct(F.lit(0).alias("tag"), F.col("x").alias("u"), F.col("y").alias("v")),
@@ -134,32 +137,34 @@ def dissimilarity(df: DataFrame, features: list[str], target: str,
         F.struct(F.lit(2).alias("tag"), nl.alias("u"), F.col("y").alias("v")),
         F.struct(F.lit(3).alias("tag"), nl.alias("u"), nl.alias("v")))
     single_tag = F.array(F.struct(F.lit(4).alias("tag"), F.col("x").alias("u"), nl.alias("v")))
-    tagged = counts.select("a", "b", "z", "n", F.explode(F.when(F.col("b") >= 0, pair_tags).otherwise(single_tag))
-                           .alias("m")).select("a", "b", "z", "n", "m.tag", "m.u", "m.v")
-    marg = tagged.groupBy("a", "b", "tag", "u", "v", "z").agg(F.sum("n").alias("m"))
+    tagged = counts.select(*sg, "a", "b", "z", "n",
+                           F.explode(F.when(F.col("b") >= 0, pair_tags).otherwise(single_tag)).alias("m")) \
+                   .select(*sg, "a", "b", "z", "n", "m.tag", "m.u", "m.v")
+    marg = tagged.groupBy(*sg, "a", "b", "tag", "u", "v", "z").agg(F.sum("n").alias("m"))
     sign = F.when(F.col("tag").isin(1, 2), F.lit(-1.0)).otherwise(F.lit(1.0))
-    per = marg.groupBy("a", "b").agg(
+    per = marg.groupBy(*sg, "a", "b").agg(
         F.sum(sign * _nlogn(F.col("m").cast("double"))).alias("s"),
         F.sum(F.when(F.col("tag").isin(0, 4), F.col("m"))).alias("n"))
     value = F.when(F.col("b") < 0, F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")) \
              .otherwise(F.greatest(F.col("s") / F.col("n"), F.lit(0.0)))
-    per = per.select("a", "b", value.alias("value"))
-    roles = per.select("a", "b", "value", F.explode(F.when(
+    per = per.select(*sg, "a", "b", value.alias("value"))
+    roles = per.select(*sg, "a", "b", "value", F.explode(F.when(
         F.col("b") < 0, F.array(F.struct(F.col("a").alias("f"), F.lit(0).alias("role"))))
         .otherwise(F.array(F.struct(F.col("a").alias("f"), F.lit(1).alias("role")),
                            F.struct(F.col("b").alias("f"), F.lit(2).alias("role"))))).alias("r")) \
-        .select("a", "b", "value", "r.f", "r.role")
-    roles = roles.withColumn("h", F.max(F.when(F.col("role") == 0, F.col("value"))).over(Window.partitionBy("f")))
-    pairs = roles.filter(F.col("role") > 0).groupBy("a", "b").agg(
+        .select(*sg, "a", "b", "value", "r.f", "r.role")
+    roles = roles.withColumn("h", F.max(F.when(F.col("role") == 0, F.col("value")))
+                             .over(Window.partitionBy(*sg, "f")))
+    pairs = roles.filter(F.col("role") > 0).groupBy(*sg, "a", "b").agg(
         F.first("value").alias("cmi"), F.max(F.when(F.col("role") == 1, F.col("h"))).alias("h_i"),
         F.max(F.when(F.col("role") == 2, F.col("h"))).alias("h_j"))
     ni, nj = _names_col(features, F.col("a")), _names_col(features, F.col("b"))
-    out = pairs.select(F.least(ni, nj).alias("fi"), F.greatest(ni, nj).alias("fj"), "cmi",
+    out = pairs.select(*sg, F.least(ni, nj).alias("fi"), F.greatest(ni, nj).alias("fj"), "cmi",
                        F.when(ni <= nj, F.col("h_i")).otherwise(F.col("h_j")).alias("h_i"),
                        F.when(ni <= nj, F.col("h_j")).otherwise(F.col("h_i")).alias("h_j"))
     out = out.withColumn("dissimilarity",
                          F.lit(1.0) - F.col("cmi") / (F.col("h_i") + F.col("h_j") + F.lit(DISSIM_EPS)))
-    cols = ["fi", "fj", "dissimilarity"] + (["cmi", "h_i", "h_j"] if with_parts else [])
+    cols = [*sg, "fi", "fj", "dissimilarity"] + (["cmi", "h_i", "h_j"] if with_parts else [])
     return out.select(*cols)
 
 

@@ -547,3 +547,8 @@ select group_id, feature, feature <> 'f63' as present from assign""")
 
 oracle("j5_feature_pairs", f"""with src as ({S.C_LINE}), cells as ({S.pair_cells(S.LINE_FEATURES, 'l_returnflag')})
 select fi, fj, cast(count(*) as bigint) as n from cells group by fi, fj""")
+
+_SEG_FEATS = [f for f in S.LINE_FEATURES if f != "l_linestatus"]
+oracle("i3_dissimilarity_by_segment",
+       f"with {S.cmi_segment_cte(S.C_LINE, _SEG_FEATS, 'l_returnflag', 'l_linestatus')}\n"
+       f"select seg as l_linestatus, fi, fj, {r6('dissimilarity')} as dissimilarity from dis")

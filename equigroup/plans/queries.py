@@ -883,3 +883,10 @@ def j5_feature_pairs(spark, sf):
     number of rows where both values and the target are set."""
     return info.conditional_mutual_information(C.c_line(spark, sf), C.LINE_FEATURES, C.LINE_TARGET) \
         .select("fi", "fj", "n")
+
+
+@query("i3_dissimilarity_by_segment")
+def i3_dissimilarity_by_segment(spark, sf):
+    """One dissimilarity matrix per line status (two cohorts), one job."""
+    feats = [f for f in C.LINE_FEATURES if f != "l_linestatus"]
+    return info.dissimilarity(C.c_line(spark, sf), feats, C.LINE_TARGET, segment="l_linestatus")

@@ -126,3 +126,28 @@ from (select o_orderkey, o_custkey, o_totalprice,
   case o_custkey % 5 when 0 then 'XGBoost' when 1 then 'SVM' when 2 then 'MLP' when 3 then 'RandomForest' else 'LogisticRegression' end as m,
   case o_orderpriority when '1-URGENT' then 'ungrouped' when '2-HIGH' then 'random' when '3-MEDIUM' then 'group_dissimilar'
        when '4-NOT SPECIFIED' then 'kplus' else 'bicriterion' end as g from orders) t"""
+
+
+def cmi_segment_cte(src: str, features: list[str], target: str, segment: str) -> str:
+    """``cmi_cte`` with every count, marginal and entropy taken per segment."""
+    pairs = []
+    for i in range(len(features)):
+        for j in range(i + 1, len(features)):
+            a, b = sorted([features[i], features[j]])
+            pairs.append(f"select {segment} as seg, '{a}' as fi, '{b}' as fj, cast({a} as varchar) as x, "
+                         f"cast({b} as varchar) as y, cast({target} as varchar) as z from src "
+                         f"where {a} is not null and {b} is not null and {target} is not null")
+    singles = "\nunion all\n".join(f"select {segment} as seg, '{f}' as feature, cast({f} as varchar) as v "
+                                    f"from src where {f} is not null" for f in features)
+    return f"""src as ({src}),
+cells as ({' union all '.join(pairs)}),
+t as (select seg, fi, fj, x, y, z, count(*) as n from cells group by seg, fi, fj, x, y, z),
+m as (select *, sum(n) over (partition by seg, fi, fj, x, z) as nxz, sum(n) over (partition by seg, fi, fj, y, z) as nyz,
+        sum(n) over (partition by seg, fi, fj, z) as nz, sum(n) over (partition by seg, fi, fj) as nn from t),
+cmi as (select seg, fi, fj, greatest(sum(n / nn * log2(n * nz / (nxz * nyz))), 0.0) as cmi from m group by seg, fi, fj),
+lv as ({singles}),
+ecnt as (select seg, feature, v, count(*) as n from lv group by seg, feature, v),
+etot as (select seg, feature, n, sum(n) over (partition by seg, feature) as t from ecnt),
+ent as (select seg, feature, -sum((n / t) * log2(n / t)) as h from etot group by seg, feature),
+dis as (select cmi.seg, cmi.fi, cmi.fj, 1.0 - cmi.cmi / (a.h + b.h + 1e-9) as dissimilarity
+        from cmi join ent a on a.seg = cmi.seg and a.feature = cmi.fi join ent b on b.seg = cmi.seg and b.feature = cmi.fj)"""
