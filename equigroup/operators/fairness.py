@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from equigroup.vocab import INSTANCE_ALPHA, RATE_EPS
 
 
-def group_rates(df: DataFrame, y_true: str, y_pred: str, priv: Column) -> DataFrame:
-    """(privileged, tp, fp, tn, fn, tpr, fpr, precision, error_rate,
-    positive_rate, error_std, n) per group."""
+def group_rates(df: DataFrame, y_true: str, y_pred: str, priv: Column, by: list[str] = ()) -> DataFrame:
+    """(by..., privileged, tp, fp, tn, fn, tpr, fpr, precision, error_rate,
+    positive_rate, error_std, n) per group (and per segment of ``by``)."""
+    by = list(by)
     yt, yp = F.col(y_true), F.col(y_pred)
     binary = yt.isin(0, 1) & yp.isin(0, 1)
 
@@ -24,41 +25,44 @@ def group_rates(df: DataFrame, y_true: str, y_pred: str, priv: Column) -> DataFr
         return F.sum(F.when(binary & cond, 1).otherwise(0)).cast("bigint")
 
     err = F.when(yt != yp, 1.0).otherwise(0.0)
-    g = df.groupBy(priv.alias("privileged")).agg(
+    g = df.groupBy(*by, priv.alias("privileged")).agg(
         cnt((yt == 1) & (yp == 1)).alias("tp"), cnt((yt == 0) & (yp == 1)).alias("fp"),
         cnt((yt == 0) & (yp == 0)).alias("tn"), cnt((yt == 1) & (yp == 0)).alias("fn"),
         F.avg(F.when(yp == 1, 1.0).otherwise(0.0)).alias("positive_rate"),
         F.stddev_samp(err).alias("error_std"), F.count(F.lit(1)).cast("bigint").alias("n"))
     e = F.lit(RATE_EPS)
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    return g.select("privileged", "tp", "fp", "tn", "fn",
+    return g.select(*by, "privileged", "tp", "fp", "tn", "fn",
                     (tp / (tp + fn + e)).alias("tpr"), (fp / (fp + tn + e)).alias("fpr"),
                     (tp / (tp + fp + e)).alias("precision"),
                     ((fp + fn) / (tp + tn + fp + fn + e)).alias("error_rate"),
                     "positive_rate", "error_std", "n")
 
 
-def _pair(rates: DataFrame) -> DataFrame:
-    """One row with every rate for the privileged (_p) and other (_u) group."""
+def _pair(rates: DataFrame, by: list[str] = ()) -> DataFrame:
+    """One row (per segment) with every rate for the privileged (_p) and
+    other (_u) group."""
     cols = ["tpr", "fpr", "precision", "error_rate", "positive_rate", "error_std"]
     aggs = []
     for c in cols:
         aggs += [F.max(F.when(F.col("privileged"), F.col(c))).alias(f"{c}_p"),
                  F.max(F.when(~F.col("privileged"), F.col(c))).alias(f"{c}_u")]
-    return rates.agg(*aggs)
+    return rates.groupBy(*by).agg(*aggs)
 
 
-def fairness_record(df: DataFrame, y_true: str, y_pred: str, priv: Column) -> DataFrame:
-    """One row: Disparate Impact, Equal Opportunity, Equalized Odds,
-    Predictive Parity, N-Sigma (ErrorRate)."""
-    p = _pair(group_rates(df, y_true, y_pred, priv))
+def fairness_record(df: DataFrame, y_true: str, y_pred: str, priv: Column, by: list[str] = ()) -> DataFrame:
+    """One row (per segment of ``by``, e.g. per dataset or per source):
+    Disparate Impact, Equal Opportunity, Equalized Odds, Predictive Parity,
+    N-Sigma (ErrorRate). All segments come out of one grouped aggregate."""
+    by = list(by)
+    p = _pair(group_rates(df, y_true, y_pred, priv, by), by)
     di = F.when(F.col("positive_rate_p") != 0, F.col("positive_rate_u") / F.col("positive_rate_p"))
     eo = F.abs(F.col("tpr_p") - F.col("tpr_u"))
     eodds = F.greatest(eo, F.abs(F.col("fpr_p") - F.col("fpr_u")))
     pp = F.abs(F.col("precision_p") - F.col("precision_u"))
     pooled = F.sqrt((F.col("error_std_p") ** 2 + F.col("error_std_u") ** 2) / 2)
     ns = F.when(pooled > 0, F.abs(F.col("error_rate_p") - F.col("error_rate_u")) / pooled)
-    return p.select(di.alias("Disparate Impact"), eo.alias("Equal Opportunity"),
+    return p.select(*by, di.alias("Disparate Impact"), eo.alias("Equal Opportunity"),
                     eodds.alias("Equalized Odds"), pp.alias("Predictive Parity"),
                     ns.alias("N-Sigma (ErrorRate)"))
 

@@ -552,3 +552,14 @@ _SEG_FEATS = [f for f in S.LINE_FEATURES if f != "l_linestatus"]
 oracle("i3_dissimilarity_by_segment",
        f"with {S.cmi_segment_cte(S.C_LINE, _SEG_FEATS, 'l_returnflag', 'l_linestatus')}\n"
        f"select seg as l_linestatus, fi, fj, {r6('dissimilarity')} as dissimilarity from dis")
+
+# per-segment fairness: the RATES CTE with the segment carried through
+_RATES_SEG = (RATES.replace("g as (select priv as privileged,", "g as (select source, priv as privileged,")
+              .replace("from d group by priv)", "from d group by source, priv)")
+              .replace("r as (select privileged,", "r as (select source, privileged,")
+              .replace("sd_u from r),", "sd_u from r group by source),")
+              .replace("pr as (select max(", "pr as (select source, max(")
+              .replace("fr as (select case when pos_p", "fr as (select source, case when pos_p"))
+oracle("f11_fairness_by_segment", f"""with d as (select source, coalesce(lang = 'en', false) as priv, quality as y_true,
+   case when n_chars > 1500 then 1 else 0 end as y_pred from ({S.C_DOC}) c), {_RATES_SEG}
+select source, {FR_COLS} from fr""")

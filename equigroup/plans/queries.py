@@ -890,3 +890,12 @@ def i3_dissimilarity_by_segment(spark, sf):
     """One dissimilarity matrix per line status (two cohorts), one job."""
     feats = [f for f in C.LINE_FEATURES if f != "l_linestatus"]
     return info.dissimilarity(C.c_line(spark, sf), feats, C.LINE_TARGET, segment="l_linestatus")
+
+
+@query("f11_fairness_by_segment")
+def f11_fairness_by_segment(spark, sf):
+    """Fairness record per document source (20 cohorts), one aggregate."""
+    d = C.c_doc(spark, sf).select(
+        "source", "lang", F.col("quality").alias("y_true"),
+        F.when(F.col("n_chars") > 1500, F.lit(1)).otherwise(F.lit(0)).alias("y_pred"))
+    return FA.fairness_record(d, "y_true", "y_pred", privileged(F.col("lang"), "en"), by=["source"])
