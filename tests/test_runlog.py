@@ -88,3 +88,24 @@ def test_benchmark_csv_and_writers(spark):
     assert back.filter(F.col("run_id") == 3).count() == 1
     runlog.save_csv(df, os.path.join(root, "csv"))
     assert spark.read.option("header", True).csv(os.path.join(root, "csv")).columns == ["Accuracy", "F1-score"]
+
+
+def test_overlay_shapes_keep_missing(spark):
+    means = spark.createDataFrame([("Logistic Regression", "Random", 0.9), ("Xgboost Classification", "Random", 0.8),
+                                   ("Xgboost Classification", "Greedy", 0.70001)],
+                                  "model string, grouping string, value double")
+    long = R.overlay_long(means)
+    arr = {r["grouping"]: r["values_pct"] for r in R.overlay_arrays(long).collect()}
+    # model order: Xgboost first, Logistic Regression last; missing cells stay NULL
+    assert arr["Random"] == [80.0, 90.0]
+    assert arr["Greedy"] == [70.001, None]
+    assert arr["Ungrouped"] == [None, None]
+    assert len(arr) == 6
+
+
+def test_file_safe_metric_names(spark):
+    d = spark.createDataFrame([("N-Sigma (ErrorRate)",), ("F1-score",), ("Disparate Impact",)], "m string")
+    fair = [r[0] for r in d.select(R.file_safe(F.col("m"), fairness=True)).collect()]
+    perf = [r[0] for r in d.select(R.file_safe(F.col("m"))).collect()]
+    assert fair == ["N_Sigma_ErrorRate", "F1_score", "Disparate_Impact"]
+    assert perf == ["N-Sigma_(ErrorRate)", "F1-score", "Disparate_Impact"]
