@@ -18,6 +18,8 @@ def _inventory():
     rows = {}
     with open(SURVEY) as fh:
         for line in fh:
+            if line.startswith("### 2.14"):   # the inventory tables end here
+                break
             m = re.match(r"^\| ([SPMJEIGBTVFAR]\d+) \|.*\| ([^|]*) \|\s*$", line)
             if m:
                 rows[m.group(1).lower()] = m.group(2).strip()
