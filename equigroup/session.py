@@ -40,15 +40,18 @@ def get_spark(master: str | None = None, app: str = "equigroup",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The shared checkpoint folder of the session. Where none is named, a
+    local master gets a folder of its own; any other master is an error, since
+    executors don't share the driver's disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="equigroup-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
-    try:
+    if not type(spark).__module__.startswith("pyspark.sql.connect"):  # a remote server reads the setting itself
         spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # noqa: BLE001 - remote (Connect) sessions read spark.checkpoint.dir server-side
-        pass
     return path
 
 
