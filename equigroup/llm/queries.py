@@ -23,9 +23,31 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equigroup.llm.quality import fit_quality, score_quality
+    docs = read_table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equigroup.llm.exact_dedup import dedup_groups
+    return dedup_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equigroup.llm.pii import pii_report
+    return pii_report(read_table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equigroup.llm.simhash import near_groups
+    return near_groups(read_table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    from equigroup.llm import exact_dedup
+    return {"op8_exact_dedup": exact_dedup.ORACLE}
