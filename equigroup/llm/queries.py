@@ -23,6 +23,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (-7) that says the template's own strings."""
+    from equigroup.llm.chat import chat_report, format_chat
+    own = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role",
+                                    r"r'\### Assistant: </turn> ok' AS text")
+    said = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_report(format_chat(said.unionByName(own)))
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equigroup.llm.fingerprints import edited_fingerprints
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equigroup.llm.quality import fit_quality, score_quality
     docs = read_table(spark, sf_dir, "documents")
@@ -49,5 +63,5 @@ def all_queries() -> dict:
 
 
 def all_oracles() -> dict[str, str]:
-    from equigroup.llm import exact_dedup
-    return {"op8_exact_dedup": exact_dedup.ORACLE}
+    from equigroup.llm import chat, exact_dedup
+    return {"op4_chat_format": chat.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
