@@ -43,6 +43,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equigroup.llm.html_extract import extract_main, fit_labeller
+    pages = read_table(spark, sf_dir, "pages")
+    return extract_main(pages, fit_labeller(pages))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equigroup.llm.exact_dedup import dedup_groups
     return dedup_groups(read_table(spark, sf_dir, "documents"))

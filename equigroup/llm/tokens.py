@@ -21,7 +21,7 @@ import numpy as np
 #: Characters of a text that are cut into pieces at a time.
 SLICE = 1 << 20
 #: Pieces kept for reuse by a task and the longest piece that is kept.
-MAX_PIECES, MAX_PIECE_CHARS = 300_000, 64
+MAX_PIECES, MAX_PIECE_CHARS = 500_000, 64
 
 #: White space here is Python's; it also counts U+001C to U+001F, which the
 #: tokenizers' patterns don't, so texts with those are encoded in one piece.
@@ -43,38 +43,37 @@ def safe_slices(text: str, size: int = SLICE) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-class PieceTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+class _Known(dict):
+    """piece -> packed ids, worked out when first asked for."""
+
+    def __init__(self, encode: Callable[[str], list[int]], limit: int):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = pack_ids(self.encode(piece))
+        if len(piece) <= MAX_PIECE_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[piece] = packed
+        return packed
 
-    ``encode_many`` takes pieces and returns one list of ids for each."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]],
-                 max_pieces: int = MAX_PIECES):
-        self.encode_many, self.max_pieces = encode_many, max_pieces
-        self.known: dict[str, bytes] = {}
+class PieceTokenizer:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; ``encode``
+    gives the ids of one piece."""
 
-    @staticmethod
-    def _pack(ids) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def __init__(self, encode: Callable[[str], list[int]], max_pieces: int = MAX_PIECES):
+        self.encode, self.known = encode, _Known(encode, max_pieces)
 
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):
-            return self._pack(self.encode_many([text])[0])
-        return b"".join(self._slice_ids(s) for s in safe_slices(text))
-
-    def _slice_ids(self, text: str) -> bytes:
-        pieces = _PIECE.findall(text)
-        new = [p for p in set(pieces) if p not in self.known]
-        long: dict[str, bytes] = {}
-        if new:
-            if len(self.known) > self.max_pieces:
-                self.known.clear()
-                new = list(set(pieces))
-            for p, ids in zip(new, self.encode_many(new)):
-                (self.known if len(p) <= MAX_PIECE_CHARS else long)[p] = self._pack(ids)
-        if long:
-            return b"".join([long[p] if p in long else self.known[p] for p in pieces])
-        return b"".join(map(self.known.__getitem__, pieces))
+            return pack_ids(self.encode(text))
+        return b"".join([b"".join(map(self.known.__getitem__, _PIECE.findall(s))) for s in safe_slices(text)])
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def rank_encoding(rank_file: bytes, pattern: str):
@@ -85,8 +84,7 @@ def rank_encoding(rank_file: bytes, pattern: str):
 
 
 def tiktoken_pieces(encoding) -> PieceTokenizer:
-    encode = encoding.encode_ordinary
-    return PieceTokenizer(lambda pieces: [encode(p) for p in pieces])
+    return PieceTokenizer(encoding.encode_ordinary)
 
 
 def byte_letters() -> dict[int, int]:
@@ -121,7 +119,7 @@ def tokenizers_pieces(tokenizer_json: bytes, pattern: str) -> PieceTokenizer:
                 known[m] = ids
         return ids
 
-    return PieceTokenizer(lambda pieces: [[i for m in split(p) for i in match_ids(m)] for p in pieces])
+    return PieceTokenizer(lambda piece: [i for m in split(piece) for i in match_ids(m)])
 
 
 def id_list(packed: bytes) -> list[int]:
