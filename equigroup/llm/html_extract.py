@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from equigroup.llm.common import col
 from equigroup.llm.html_blocks import blocks
 
-TRAIN_PAGES, MADE_PAGES, EPOCHS, BATCH = 200, 1000, 12, 128
+TRAIN_PAGES, MADE_PAGES, EPOCHS, BATCH = 300, 800, 15, 128
 PATHS, WORDS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 2048, 1024, 24, 6, 4, 20
 
 # Fixed lists: elements that hold the parts of a page, as tag and class words.
@@ -177,14 +177,15 @@ def vectors(page: list, path_hash: Hashes, word_hash: Hashes) -> tuple[list, lis
     return paths, words, measures
 
 
-def _bag(table: np.ndarray, keys: list[list[int]]) -> np.ndarray:
-    """Mean of the rows of ``table`` that each list names (zero for none)."""
-    n = np.array([len(k) for k in keys])
+def _bag(table: np.ndarray, keys: list[list[int]], power: float) -> np.ndarray:
+    """Sum of the rows of ``table`` that each list names, over a power of
+    their number (zero for none): 1 for words, whose number may be large."""
+    n = np.array([len(k) for k in keys], np.int64)
     out = np.zeros((len(keys), table.shape[1]), np.float32)
     if n.sum():
         flat = np.concatenate([np.asarray(k, np.int64) for k in keys if len(k)])
         starts = np.concatenate([[0], np.cumsum(n[n > 0])[:-1]])
-        out[n > 0] = np.add.reduceat(table[flat], starts, axis=0) / n[n > 0][:, None]
+        out[n > 0] = np.add.reduceat(table[flat], starts, axis=0) / (n[n > 0] ** power)[:, None]
     return out
 
 
@@ -250,7 +251,7 @@ def _padded(pages: list, model: dict) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p[0]) for p in pages)
     x = np.zeros((steps, len(pages), PATH_DIM + WORD_DIM + MEASURES), np.float32)
     mask = np.zeros((steps, len(pages)), np.float32)
-    rows = np.concatenate([_bag(model["path"], [k for p in pages for k in p[0]]), _bag(model["word"], [k for p in pages for k in p[1]]),
+    rows = np.concatenate([_bag(model["path"], [k for p in pages for k in p[0]], 0.5), _bag(model["word"], [k for p in pages for k in p[1]], 1.0),
                            np.concatenate([p[2] for p in pages])], 1)
     at = 0
     for j, p in enumerate(pages):
@@ -289,14 +290,14 @@ def train(pages: list, labels: list[list[int]], epochs: int = EPOCHS, batch: int
             dx2, grad["wb"], grad["ab"] = _lstm_back(df[::-1, :, HIDDEN:2 * HIDDEN], kb, model["wb"])
             dx = dx1 + dx2[::-1] + df[:, :, 2 * HIDDEN:]
             flat = np.concatenate([dx[:len(q[0]), j] for j, q in enumerate(part)])
-            for name, at, dim, k in (("path", 0, PATH_DIM, 0), ("word", PATH_DIM, WORD_DIM, 1)):
+            for name, at, dim, k, power in (("path", 0, PATH_DIM, 0, 0.5), ("word", PATH_DIM, WORD_DIM, 1, 1.0)):
                 grad[name] = np.zeros_like(model[name])
                 keys = [b for q in part for b in q[k]]
                 n = np.array([len(b) for b in keys])
-                rows = np.repeat(flat[:, at:at + dim] / np.maximum(n, 1)[:, None], n, axis=0)
+                rows = np.repeat(flat[:, at:at + dim] / (np.maximum(n, 1) ** power)[:, None], n, axis=0)
                 np.add.at(grad[name], np.concatenate([np.asarray(b, np.int64) for b in keys]), rows)
             step += 1
-            now = rate * (0.3 if epoch >= epochs * 2 // 3 else 1.0)
+            now = rate * (1 - epoch / epochs)
             for name, g_ in grad.items():
                 first[name] = 0.9 * first[name] + 0.1 * g_
                 second[name] = 0.99 * second[name] + 0.01 * g_ * g_
