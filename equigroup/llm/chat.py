@@ -8,8 +8,8 @@ Grammar of the formatted text::
 ``</turn>`` and ``###`` are the control strings; a backslash takes the next
 character as it is. Every turn is rendered plainly first and parsed again. Where
 the parser doesn't give back the source turn, its content conflicts and is
-escaped: backslashes are doubled and control strings get backslashes inside, so
-that they no longer occur as such. The whole text is parsed once more and
+escaped: backslashes are doubled, every ``#`` and the inside of ``</turn>`` get
+one, so that control strings no longer occur as such. The whole text is parsed once more and
 compared; if it still differed, all its turns would be escaped.
 
 Defined cases: null texts and roles are empty; turns go by number, equal
@@ -30,7 +30,7 @@ OPEN, CLOSE, LOSS_ROLE = "###", "</turn>", "assistant"
 
 _TURN = "struct<role:string,text:string>"
 # raw SQL strings: r'\' can't end in a backslash, hence chr(92)
-_ESC = fr"replace(replace(replace({{}}, chr(92), concat(chr(92), chr(92))), '{CLOSE}', r'<\/turn>'), '{OPEN}', r'\#\#\#')"
+_ESC = fr"replace(replace(replace({{}}, chr(92), concat(chr(92), chr(92))), '{CLOSE}', r'<\/turn>'), '#', r'\#')"
 _UNESC = r"regexp_replace({}, r'(?s)\\(.?)', '$1')"
 
 
@@ -102,7 +102,8 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
-e AS (SELECT *, 14 + length(role) + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '\#\#\#')) AS chars FROM t)
+e AS (SELECT *, 14 + length(role) + CASE WHEN contains(text, '\') OR contains(text, '</turn>') OR contains(text, '###')
+  THEN length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '#', '\#')) ELSE length(text) END AS chars FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

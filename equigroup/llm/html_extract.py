@@ -48,7 +48,7 @@ PARTS = {
     "comments": ["section.comments", "div.comments", "ol.comment list", "div.comment", "div.reply", "section.responses",
                  "div.disqus", "ul.comments", "div.discussion", "article.comment", "section.reviews", "div.thread"],
 }
-HOLDERS = ["article", "main", "article.post", "div.article", "div.content", "div.post", "div.entry content", "div.article body",
+HOLDERS = ["article", "article", "article", "article", "main", "main", "article.post", "div.article", "div.content", "div.post", "div.entry content", "div.article body",
            "div.story", "section.body", "main.content", "div.main", "div.text", "section.article"]
 # Fixed list: marks that say what a part is, for the labels of real pages.
 BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "label", "fieldset", "title", "head", "dialog", "menu"}
@@ -119,7 +119,8 @@ def made_page(rng: random.Random, long: list[str], short: list[str]) -> tuple[st
     if rng.random() < 0.3:
         part("side")
     out.append(holder[0])
-    if rng.random() < 0.8:
+    brief = rng.random() < 0.2  # a page of short texts
+    if rng.random() < 0.7:
         block(rng.choice(["h1", "h1", "h2"]), short, 1)
     for _ in range(rng.randint(1, 10)):
         x = rng.random()
@@ -139,7 +140,7 @@ def made_page(rng: random.Random, long: list[str], short: list[str]) -> tuple[st
                 block("td", short, 1)
             out.append("</tr></table>")
         else:
-            block(rng.choice(["p", "p", "p", "p", "blockquote", "pre", "div"]), long if rng.random() < 0.8 else short, 1)
+            block(rng.choice(["p", "p", "p", "p", "blockquote", "pre", "div"]), short if brief or rng.random() < 0.2 else long, 1)
     if rng.random() < 0.25:
         part("comments")
     out.append(holder[1])
@@ -147,7 +148,8 @@ def made_page(rng: random.Random, long: list[str], short: list[str]) -> tuple[st
     for kind in ("comments", "side", "advert", "notice", "form", "menu", "footer"):
         if rng.random() < 0.4:
             part(kind)
-    return "<html><body>" + "".join(out) + "</body></html>", labels
+    page = "".join(out)
+    return page if rng.random() < 0.2 else f"<html><body>{page}</body></html>", labels
 
 
 class Hashes(dict):
@@ -246,13 +248,16 @@ def _lstm_back(grad: np.ndarray, kept: list, w: np.ndarray) -> tuple[np.ndarray,
     return dx, dw, da
 
 
-def _padded(pages: list, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (steps, pages, inputs) and mask of vectorised pages."""
+def _padded(pages: list, model: dict, heard: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (steps, pages, inputs) and mask of vectorised pages. ``heard``
+    says which blocks' words count (training leaves out half); by default all
+    count half."""
     steps = max(len(p[0]) for p in pages)
     x = np.zeros((steps, len(pages), PATH_DIM + WORD_DIM + MEASURES), np.float32)
     mask = np.zeros((steps, len(pages)), np.float32)
-    rows = np.concatenate([_bag(model["path"], [k for p in pages for k in p[0]], 0.5), _bag(model["word"], [k for p in pages for k in p[1]], 1.0),
-                           np.concatenate([p[2] for p in pages])], 1)
+    words = _bag(model["word"], [k for p in pages for k in p[1]], 1.0)
+    rows = np.concatenate([_bag(model["path"], [k for p in pages for k in p[0]], 0.5),
+                           words * (0.5 if heard is None else heard[:, None]), np.concatenate([p[2] for p in pages])], 1)
     at = 0
     for j, p in enumerate(pages):
         x[:len(p[0]), j], mask[:len(p[0]), j] = rows[at:at + len(p[0])], 1
@@ -260,8 +265,8 @@ def _padded(pages: list, model: dict) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def forward(pages: list, model: dict):
-    x, mask = _padded(pages, model)
+def forward(pages: list, model: dict, heard: np.ndarray | None = None):
+    x, mask = _padded(pages, model, heard)
     hf, kf = _lstm(x, mask, model["wf"], model["af"])
     hb, kb = _lstm(x[::-1], mask[::-1], model["wb"], model["ab"])
     features = np.concatenate([hf, hb[::-1], x], 2)
@@ -279,7 +284,8 @@ def train(pages: list, labels: list[list[int]], epochs: int = EPOCHS, batch: int
         groups = [order[k:k + batch] for k in range(0, len(order), batch)]
         for g in [groups[i] for i in rng.permutation(len(groups))]:
             part = [pages[i] for i in g]
-            p, (x, mask, features, kf, kb) = forward(part, model)
+            heard = (rng.random(sum(len(q[0]) for q in part)) < 0.5).astype(np.float32)
+            p, (x, mask, features, kf, kb) = forward(part, model, heard)
             y = np.zeros_like(p)
             for j, i in enumerate(g):
                 y[:len(labels[i]), j] = labels[i]
@@ -290,6 +296,7 @@ def train(pages: list, labels: list[list[int]], epochs: int = EPOCHS, batch: int
             dx2, grad["wb"], grad["ab"] = _lstm_back(df[::-1, :, HIDDEN:2 * HIDDEN], kb, model["wb"])
             dx = dx1 + dx2[::-1] + df[:, :, 2 * HIDDEN:]
             flat = np.concatenate([dx[:len(q[0]), j] for j, q in enumerate(part)])
+            flat[:, PATH_DIM:PATH_DIM + WORD_DIM] *= heard[:, None]
             for name, at, dim, k, power in (("path", 0, PATH_DIM, 0, 0.5), ("word", PATH_DIM, WORD_DIM, 1, 1.0)):
                 grad[name] = np.zeros_like(model[name])
                 keys = [b for q in part for b in q[k]]
