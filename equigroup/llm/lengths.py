@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equigroup.llm.bpe import bpe_lengths
+from equigroup.llm.common import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Lengths in one block of the running sums.
@@ -59,7 +60,7 @@ def token_counts(docs: DataFrame, quantiles: tuple[float, ...] = QUANTILES, **so
 
     Defined cases: null and empty texts have 0 tokens and are counted; repeated
     rows count each; an empty table gives an empty result."""
-    r = running(length_histogram(docs, **source))
+    r = running(materialize(length_histogram(docs, **source)))  # else texts are encoded for each use of it
     share = [F.ceil(F.lit(q) * F.col("all_docs")) for q in quantiles]
     hits: list[Column] = [F.when((F.col("docs_le") >= F.greatest(s, F.lit(1)))
                                  & (F.col("docs_le") - F.col("n_docs") < F.greatest(s, F.lit(1))), F.lit(float(q)))
