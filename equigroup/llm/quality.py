@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from equigroup.llm.common import col, id_text, materialize
 
-FIT_ROWS, MAX_FEATURES, MIN_ROWS = 12_000, 30_000, 3
+FIT_ROWS, MAX_FEATURES, MIN_ROWS = 8_000, 30_000, 3
 THRESHOLD = 0.7
 
 _RUNS = re.compile("a+|A+|0+")
