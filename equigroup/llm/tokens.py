@@ -21,7 +21,7 @@ import numpy as np
 #: Characters of a text that are cut into pieces at a time.
 SLICE = 1 << 20
 #: Pieces kept for reuse by a task and the longest piece that is kept.
-MAX_PIECES, MAX_PIECE_CHARS = 500_000, 64
+MAX_PIECES, MAX_PIECE_CHARS = 250_000, 64
 
 #: White space here is Python's; it also counts U+001C to U+001F, which the
 #: tokenizers' patterns don't, so texts with those are encoded in one piece.
@@ -43,32 +43,36 @@ def safe_slices(text: str, size: int = SLICE) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-class _Known(dict):
-    """piece -> packed ids, worked out when first asked for."""
+class Known(dict):
+    """text -> packed ids, worked out when first asked for and kept while
+    there is room, since common texts come early; emptied when it has missed
+    three times its room. Long texts are never kept."""
 
-    def __init__(self, encode: Callable[[str], list[int]], limit: int):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = MAX_PIECES):
         super().__init__()
-        self.encode, self.limit = encode, limit
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = pack_ids(self.encode(piece))
-        if len(piece) <= MAX_PIECE_CHARS:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = packed
+        self.encode, self.limit, self.missed = encode, limit, 0
+
+    def __missing__(self, text: str) -> bytes:
+        packed = self.encode(text)
+        self.missed += 1
+        if self.missed > 3 * self.limit:
+            self.clear()
+            self.missed = 0
+        if len(self) < self.limit and len(text) <= MAX_PIECE_CHARS:
+            self[text] = packed
         return packed
 
 
 class PieceTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes; ``encode``
-    gives the ids of one piece."""
+    gives those of one piece."""
 
-    def __init__(self, encode: Callable[[str], list[int]], max_pieces: int = MAX_PIECES):
-        self.encode, self.known = encode, _Known(encode, max_pieces)
+    def __init__(self, encode: Callable[[str], bytes], max_pieces: int = MAX_PIECES):
+        self.encode, self.known = encode, Known(encode, max_pieces)
 
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):
-            return pack_ids(self.encode(text))
+            return self.encode(text)
         return b"".join([b"".join(map(self.known.__getitem__, _PIECE.findall(s))) for s in safe_slices(text)])
 
 
@@ -84,7 +88,7 @@ def rank_encoding(rank_file: bytes, pattern: str):
 
 
 def tiktoken_pieces(encoding) -> PieceTokenizer:
-    return PieceTokenizer(encoding.encode_ordinary)
+    return PieceTokenizer(lambda piece: pack_ids(encoding.encode_ordinary(piece)))
 
 
 def byte_letters() -> dict[int, int]:
@@ -107,19 +111,14 @@ def tokenizers_pieces(tokenizer_json: bytes, pattern: str) -> PieceTokenizer:
     if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or tok.normalizer is not None:
         raise ValueError("a byte-level tokenizer without normalizer or added space is needed")
     split, letters, model = regex.compile(pattern).findall, byte_letters(), tok.model
-    known: dict[str, list[int]] = {}
-
-    def match_ids(m: str) -> list[int]:
-        ids = known.get(m)
-        if ids is None:
-            ids = [t.id for t in model.tokenize(m.encode("utf-8").decode("latin-1").translate(letters))]
-            if len(m) <= MAX_PIECE_CHARS:
-                if len(known) > MAX_PIECES:
-                    known.clear()
-                known[m] = ids
-        return ids
-
-    return PieceTokenizer(lambda piece: [i for m in split(piece) for i in match_ids(m)])
+    known = Known(lambda match: pack_ids([t.id for t in model.tokenize(match.encode("utf-8").decode("latin-1").translate(letters))]))
+
+    def encode(piece: str) -> bytes:
+        if piece[0] == " " and piece[1:].isalpha():  # one match, as most pieces are
+            return known[piece]
+        return b"".join(map(known.__getitem__, split(piece)))
+
+    return PieceTokenizer(encode)
 
 
 def id_list(packed: bytes) -> list[int]:

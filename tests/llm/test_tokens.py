@@ -42,8 +42,8 @@ def test_pieces_equal_whole_texts(hf, ranks):
 
 
 def test_small_cache_changes_nothing(ranks):
-    from equigroup.llm.tokens import PieceTokenizer
-    p = PieceTokenizer(ranks.encode_ordinary, max_pieces=2)
+    from equigroup.llm.tokens import PieceTokenizer, pack_ids
+    p = PieceTokenizer(lambda t: pack_ids(ranks.encode_ordinary(t)), max_pieces=2)
     t = "one two three one two four five one"
     assert id_list(p.ids(t)) == ranks.encode_ordinary(t) and len(p.known) <= 2
 
