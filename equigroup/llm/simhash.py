@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equigroup.llm.common import col, id_text, materialize, pack_rows, unpack_rows
+from equigroup.session import num_partitions
 
 SEED = 42
 #: Shingles hashed at a time.
@@ -81,7 +82,8 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     ``prints`` (fp) at ``bits`` or fewer differing bits."""
     if bits not in (1, 2):
         raise ValueError("two segments and one left-out bit find pairs at 1 or 2 bits")
-    v = variants(prints)
+    # 64 rows come of each, so the few small partitions of the input are spread first
+    v = variants(prints.repartition(num_partitions(prints.sparkSession), "fp"))
     shared = materialize(v.groupBy("variant").agg(
         F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     pairs = shared.where("n = 2").select("a", "b").distinct()
