@@ -43,6 +43,10 @@ def c_line(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "lineitem").select(*LINE_FEATURES, LINE_TARGET)
 
 
+def all_doc(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+
+
 def c_doc(spark: SparkSession, sf: str) -> DataFrame:
     lab = read_table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     doc = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")

@@ -3,9 +3,9 @@
 ``row_number() over (partition by g order by o)`` puts a whole group in one
 task; with a hot group (a class holding a third of the rows) that task holds a
 third of the table. Here every row also carries a *bucket*: a value that is
-monotone in the order (a prefix of the md5 order key, or a quantile bucket of
-a numeric order column) and derived from the row alone, so the plan does not
-depend on physical partitioning. Then
+monotone in the order (a prefix of the md5 order key, or a range bucket of
+the order column) and derived from the row alone, so the plan does not
+depend on physical partitioning. Null group values are a group like any other. Then
 * counts per (group, bucket) form a small table (groups x buckets rows) whose
   running sums give each bucket's offset;
 * rows are numbered within (group, bucket), a window whose partitions are
@@ -25,40 +25,31 @@ def hash_bucket(hex_hash: Column | str, digits: int = HASH_BUCKET_DIGITS) -> Col
     return F.substring(c, 1, digits)
 
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 200_000
-
-
-def quantile_bucket(df: DataFrame, column: str, out: str = "_qb", buckets: int | None = None,
-                    rel_error: float | None = None) -> DataFrame:
-    """Add ``out``: a bucket id monotone in ``column`` from approximate
-    quantile split points (one aggregate; the split list is bounded by
-    ``buckets``), assigned per row by binary search (``Bucketizer``).
-    By default ``buckets`` grows with the row count so that a bucket holds
-    about ``ROWS_PER_BUCKET`` rows (callers pass tables of distinct values, so
-    ties never pile up in one bucket)."""
-    from pyspark.ml.feature import Bucketizer
+def range_bucket(df: DataFrame, column: str, out: str = "_qb") -> DataFrame:
+    """Add ``out``: a bucket id monotone in ``column`` (nulls lowest), by one
+    range partitioning into as many buckets as the session has shuffle
+    partitions. Spark samples the bounds, so buckets are even whatever the
+    values look like; equal values share a bucket (callers pass tables of
+    distinct values or per-value counts, so ties never pile up). The bounds are
+    drawn anew in each run, so the result is written to the checkpoint folder."""
     from equigroup.session import materialize
-    # the inputs are compact (distinct values / per-value counts); materialise
-    # them once so the split computation and the final plan share one run
-    df = materialize(df)
-    if buckets is None:
-        n = df.count()
-        buckets = int(min(MAX_BUCKETS, max(64, n // ROWS_PER_BUCKET)))
-    probs = [i / buckets for i in range(1, buckets)]
-    acc = int(1 / rel_error) if rel_error else max(10000, 4 * buckets)
-    q = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, acc).alias("q")).first()["q"] or []
-    splits = [float("-inf")] + sorted(set(float(x) for x in q if x is not None)) + [float("inf")]
-    tmp = f"{out}__v"
-    x = df.withColumn(tmp, F.col(column).cast("double"))
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(x).drop(tmp)
+    return materialize(df.repartitionByRange(F.col(column)).withColumn(out, F.spark_partition_id()))
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where a null key meets a null key."""
+    other = right.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+                         *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & left[k].eqNullSafe(other[f"_key{i}"])
+    return left.join(other, same, "inner").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def ranked(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Column | str,
            out: str = "pos", with_group_size: str | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row within its group in the given
@@ -76,7 +67,7 @@ def ranked(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Colum
         keep.append(with_group_size)
     lw = Window.partitionBy(*g, "_b").orderBy(*_cols(order_cols))
     local = b.withColumn("_lrn", F.row_number().over(lw) - 1)
-    res = local.join(stats.select(*keep), on=[*g, "_b"], how="inner")
+    res = _join_keys(local, stats.select(*keep), [*g, "_b"])
     return res.withColumn(out, (F.col("_lrn") + F.col("_off")).cast("bigint")).drop("_b", "_lrn", "_off")
 
 
@@ -91,5 +82,5 @@ def running_total(df: DataFrame, group_cols: list[str], order_cols: list, value:
     stats = stats.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")
     lw = Window.partitionBy(*g, "_b").orderBy(*_cols(order_cols)).rowsBetween(Window.unboundedPreceding, -1)
     local = b.withColumn("_local", F.coalesce(F.sum(value).over(lw), F.lit(0)))
-    res = local.join(stats, on=[*g, "_b"], how="inner")
+    res = _join_keys(local, stats, [*g, "_b"])
     return res.withColumn(out, F.col("_local") + F.col("_off")).drop("_b", "_local", "_off")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equigroup.functions.columns import quote
-from equigroup.functions.ordering import quantile_bucket, running_total
+from equigroup.functions.ordering import range_bucket, running_total
 
 
 def linear_attribution(df: DataFrame, key: str, coefs: dict, background: DataFrame | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def percentiles(attr: DataFrame, group_cols: list[str], value: str, qs: list[flo
     """Exact linear-interpolation percentiles per group: (group..., q, value)."""
     g = list(group_cols)
     counts = attr.groupBy(*g, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ranked = running_total(quantile_bucket(counts, "v", "_qb"), g, ["v"], "c", "_qb", out="below")
+    ranked = running_total(range_bucket(counts, "v", "_qb"), g, ["v"], "c", "_qb", out="below")
     n = counts.groupBy(*g).agg(F.sum("c").alias("n"))
     qdf = attr.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
     want = n.crossJoin(F.broadcast(qdf)).select(

@@ -9,14 +9,15 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equigroup.session import materialize
 
 
 def impute_with_classifier(df: DataFrame, column: str, predictors: list[str], seed: int = 42,
                            num_trees: int = 100) -> DataFrame:
-    """Fill NULLs of a nominal ``column`` from numeric ``predictors``; rows
-    whose predictors are NULL too get the most frequent label. Adds
+    """Fill NULLs of a nominal ``column`` from ``predictors`` (numeric, or
+    text of few values, which is indexed); rows whose predictors are NULL too get the most frequent label. Adds
     ``imputed``."""
     known = df.filter(F.col(column).isNotNull())
     missing = df.filter(F.col(column).isNull())
@@ -24,10 +25,12 @@ def impute_with_classifier(df: DataFrame, column: str, predictors: list[str], se
     for c in predictors:
         pred_ok = pred_ok & F.col(c).isNotNull()
     idx = StringIndexer(inputCol=column, outputCol="_y", handleInvalid="keep")
-    asm = VectorAssembler(inputCols=predictors, outputCol="_x", handleInvalid="skip")
+    texts = [c for c in predictors if isinstance(df.schema[c].dataType, T.StringType)]
+    coded = [StringIndexer(inputCol=c, outputCol=f"_{c}_code", handleInvalid="keep") for c in texts]
+    asm = VectorAssembler(inputCols=[f"_{c}_code" if c in texts else c for c in predictors], outputCol="_x", handleInvalid="error")
     rf = RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_pred", numTrees=num_trees,
                                 seed=seed, probabilityCol="_prob", rawPredictionCol="_raw")
-    model = Pipeline(stages=[idx, asm, rf]).fit(known)
+    model = Pipeline(stages=[idx, *coded, asm, rf]).fit(known.filter(pred_ok))
     back = IndexToString(inputCol="_pred", outputCol="_label", labels=model.stages[0].labels)
     filled = back.transform(model.transform(missing.filter(pred_ok)))
     filled = filled.select(*[F.col("_label").alias(c) if c == column else F.col(c) for c in df.columns])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equigroup.functions.hashing import hash_below
-from equigroup.functions.ordering import quantile_bucket, ranked, running_total
+from equigroup.functions.ordering import range_bucket, ranked, running_total
 from equigroup.operators.metrics import roc_auc
 from equigroup.operators.split import bootstrap_draw
 from equigroup.vocab import KDE_BANDWIDTH, KDE_SAMPLE_POINTS, KNN_NEIGHBOURS, KNN_TEST_FRACTION
@@ -53,7 +53,7 @@ def kernel_density_at(points: list[tuple[int, list[float]]], population: DataFra
             n += len(x)
         yield pd.DataFrame({"point": ids, "ksum": acc, "n": np.full(len(ids), n, dtype=np.int64)})
 
-    sums = (population.select(*features).mapInPandas(partial, schema)
+    sums = (population.select(*features).na.drop().mapInPandas(partial, schema)
                       .groupBy("point").agg(F.sum("ksum").alias("ksum"), F.sum("n").alias("n")))
     norm = math.pow(2.0 * math.pi * h2, len(features) / 2.0)
     return sums.select("point", (F.col("ksum") / (F.col("n") * F.lit(norm))).alias("density"))
@@ -61,8 +61,9 @@ def kernel_density_at(points: list[tuple[int, list[float]]], population: DataFra
 
 def sample_points(population: DataFrame, key: str, features: list[str], size: int = KDE_SAMPLE_POINTS,
                   seed: int = 42) -> list[tuple[int, list[float]]]:
-    """``size`` points drawn with replacement (bounded by ``size``)."""
-    rows = bootstrap_draw(population, key, size, seed).select("draw", *features).collect()
+    """``size`` points drawn with replacement (bounded by ``size``) from the
+    rows whose features are all there, as in the density passes."""
+    rows = bootstrap_draw(population.na.drop(subset=features), key, size, seed).select("draw", *features).collect()
     return [(int(r["draw"]), [float(r[f]) for f in features]) for r in rows]
 
 
@@ -106,10 +107,10 @@ def knn_1d(train: DataFrame, test: DataFrame, key: str, x: str, label: str,
     qs = test.select(F.col(x).cast("double").alias("q")).distinct()
     u = vals.select(F.col("v").alias("s"), F.lit(1).alias("t")).unionByName(
         qs.select(F.col("q").alias("s"), F.lit(0).alias("t")))
-    u = quantile_bucket(u, "s", "_qb")
+    u = range_bucket(u, "s", "_qb")
     qpos = (running_total(u, [], ["s", "t"], "t", "_qb", out="c_lt")
             .filter(F.col("t") == 0).select(F.col("s").alias("q"), "c_lt"))
-    vpos = ranked(quantile_bucket(vals, "v", "_qb"), [], ["v"], "_qb", out="pos").drop("_qb")
+    vpos = ranked(range_bucket(vals, "v", "_qb"), [], ["v"], "_qb", out="pos").drop("_qb")
     cand = (qpos.select("q", F.explode(F.sequence(F.col("c_lt") - k, F.col("c_lt") + k)).alias("pos"))
                 .join(vpos, "pos").join(topv, "v")
                 .select("q", "tkey", "lab", F.abs(F.col("v") - F.col("q")).alias("distance")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equigroup.functions.ordering import quantile_bucket, running_total
+from equigroup.functions.ordering import range_bucket, running_total
 
 
 def confusion(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
@@ -51,12 +51,14 @@ def roc_auc(df: DataFrame, y_true: str, score: str) -> DataFrame:
     """One row: exact ROC AUC of ``score`` for the greater of exactly two truth
     labels (mid-ranks for ties); NULL unless the truth has two labels.
     Scores are first counted per distinct value (ties collapse there), then a
-    bucketed running count gives each value the number of lower scores."""
+    bucketed running count gives each value the number of lower scores. Rows
+    without a truth label or without a score are left out of all counts."""
+    df = df.where(F.col(y_true).isNotNull() & F.col(score).isNotNull())
     labels = df.agg(F.count_distinct(y_true).alias("_k"), F.max(y_true).alias("_pos"))
     t = (df.crossJoin(F.broadcast(labels))
            .groupBy(F.col(score).cast("double").alias("s"))
            .agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(y_true) == F.col("_pos")).cast("long")).alias("np")))
-    t = quantile_bucket(t.filter(F.col("s").isNotNull()), "s", "_qb")
+    t = range_bucket(t, "s", "_qb")
     r = running_total(t, [], ["s"], "n", "_qb", out="below")
     mid = F.col("below") + (F.col("n") + F.lit(1)) / F.lit(2.0)
     agg = r.agg(F.sum(F.col("np") * mid).alias("_sr"), F.sum("np").alias("_p"),

@@ -22,7 +22,8 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -34,7 +35,11 @@ from pyspark.sql import functions as F
 from equigroup.vocab import MODEL_DEFAULTS, SEARCH_SPACES
 
 RFF_DIM = 64
+#: Depth of a forest without a depth of its own: the most that Spark allows.
+MAX_DEPTH = 30
 MODEL_NAMES = list(SEARCH_SPACES)
+#: The network is fitted by L-BFGS without a penalty, so it has neither.
+NO_COUNTERPART = {"MLP": ("alpha", "learning_rate_init")}
 
 
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -68,12 +73,15 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
 
 def draw_candidates(model: str, n: int = 30, seed: int = 42) -> list[dict]:
     """n parameter sets drawn deterministically from the model's search space
-    (u = md5(i|param|seed) / 2^128 mapped through the prior)."""
+    (u = md5(i|param|seed) / 2^128 mapped through the prior). Parameters that
+    the estimator has no counterpart for (``NO_COUNTERPART``) are not drawn."""
     import hashlib
     out = []
     for i in range(n):
         cand = {}
         for name, spec in SEARCH_SPACES[model].items():
+            if name in NO_COUNTERPART.get(model, ()):
+                continue
             h = int(hashlib.md5(f"{i}|{name}|{seed}".encode()).hexdigest(), 16) / float(1 << 128)
             kind = spec[0]
             if kind == "log-uniform":
@@ -95,11 +103,11 @@ def _classifier(model: str, params: dict, n_features: int, n_classes: int, n_row
     p = {**MODEL_DEFAULTS.get(model, {}), **params}
     if model == "LogisticRegression":
         reg = 1.0 / (float(p["C"]) * max(n_rows, 1))
-        return [LogisticRegression(featuresCol="scaled", labelCol="label", regParam=reg, maxIter=200)]
+        return [LogisticRegression(featuresCol="scaled", labelCol="label", regParam=reg, maxIter=2000)]
     if model == "RandomForest":
         mf = p.get("max_features", "sqrt")
         return [RandomForestClassifier(featuresCol="scaled", labelCol="label", numTrees=int(p["n_estimators"]),
-                                       maxDepth=int(p.get("max_depth", 10) or 10),
+                                       maxDepth=int(p.get("max_depth") or MAX_DEPTH),
                                        featureSubsetStrategy="all" if mf is None else mf, seed=seed)]
     if model == "XGBoost":
         gbt = GBTClassifier(featuresCol="scaled", labelCol="label", maxIter=int(p["n_estimators"]),
@@ -112,7 +120,7 @@ def _classifier(model: str, params: dict, n_features: int, n_classes: int, n_row
     if model == "MLP":
         h = int(p["hidden_layer_sizes"])
         return [MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label",
-                                               layers=[n_features, h, max(n_classes, 2)], maxIter=200, seed=seed)]
+                                               layers=[n_features, h, max(n_classes, 2)], maxIter=1000, seed=seed)]
     if model == "SVM":
         gamma = p.get("gamma", "scale")
         if gamma == "scale":
@@ -133,8 +141,11 @@ def _classifier(model: str, params: dict, n_features: int, n_classes: int, n_row
 
 def build_pipeline(model: str, features: list[str], params: dict, n_classes: int, n_rows: int,
                    seed: int = 42) -> Pipeline:
-    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"),
-              StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)]
+    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"),
+              StandardScaler(inputCol="features", outputCol="sample_scaled", withMean=True, withStd=True),
+              # from the sample to the population standard deviation of ``n_rows`` rows
+              ElementwiseProduct(scalingVec=Vectors.dense([math.sqrt(n_rows / max(n_rows - 1, 1))] * len(features)),
+                                 inputCol="sample_scaled", outputCol="scaled")]
     stages += _classifier(model, params, len(features), n_classes, n_rows, seed)
     return Pipeline(stages=stages)
 
@@ -150,14 +161,15 @@ def class_count(df: DataFrame, target: str) -> int:
 
 def fit(df: DataFrame, model: str, features: list[str], target: str, params: dict | None = None,
         seed: int = 42) -> PipelineModel:
-    d = _label(df, target)
+    d = _label(df, target).na.drop(subset=[*features, "label"])  # a row without a value teaches nothing
     n = d.count()
     return build_pipeline(model, features, params or {}, class_count(d, target), n, seed).fit(d)
 
 
 def predict(fitted: PipelineModel, df: DataFrame, target: str | None = None) -> DataFrame:
     """Adds ``prediction`` and ``p1`` (class-1 probability; from the class
-    margins when the model gives no probability)."""
+    margins when the model gives no probability). One row per input row; a
+    null feature is an error (impute it first)."""
     d = _label(df, target) if target else df
     out = fitted.transform(d)
     if "probability" in out.columns:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equigroup.functions.columns import is_numeric
+from equigroup.functions.ordering import range_bucket, ranked
 from equigroup.spec import CohortSpec
 
 # ------------------------------------------------------------------ P1-P13
@@ -80,7 +81,7 @@ def deviation_filter(df: DataFrame, value: str, group: Column, alpha: float, out
     possibly hot group)."""
     g = df.withColumn("_g", group)
     means = g.groupBy("_g").agg(F.avg(value).alias("_mu"))
-    return (g.join(F.broadcast(means), "_g")
+    return (g.join(means, "_g")
              .withColumn(out, F.col(value) - F.col("_mu"))
              .filter(F.abs(F.col(out)) > F.lit(alpha)).drop("_g", "_mu"))
 
@@ -88,10 +89,14 @@ def deviation_filter(df: DataFrame, value: str, group: Column, alpha: float, out
 # ------------------------------------------------------------------ E1-E7
 
 
-def fit_categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct non-null values (UTF-8 byte order for strings)."""
-    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct()
-            .orderBy(column).collect()]
+def fit_categories(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """Sorted distinct non-null values (UTF-8 byte order for strings). They
+    become columns or literals of a plan, so more than ``most`` is an error."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct()
+             .orderBy(column).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} different values: use label_code")
+    return found
 
 
 def one_hot_columns(column: str, categories: list) -> list[Column]:
@@ -122,31 +127,15 @@ def one_hot(df: DataFrame, column: str, categories: list | None = None) -> DataF
     return df.select(*[x for x in df.columns if x != column], *one_hot_columns(column, cats))
 
 
-MAX_COLLECTED_CATEGORIES = 10_000
-
-
-def label_code(df: DataFrame, column: str, categories: list | None = None,
-               max_collected: int = MAX_COLLECTED_CATEGORIES) -> DataFrame:
-    """Code 0..n-1 by sorted value. Small domains: the category list is
-    collected and applied as a map literal. Large domains (approximate
-    distinct count above ``max_collected``): the distinct values get exact
-    ranks in a distributed way (bucket = value prefix, monotone in the
-    order) and are joined back, so nothing large reaches the driver."""
-    if categories is None:
-        n = df.agg(F.approx_count_distinct(column).alias("n")).first()["n"]
-        if n > max_collected:
-            return label_code_distributed(df, column)
-        categories = fit_categories(df, column)
-    return df.select(*[label_code_column(x, categories) if x == column else F.col(x) for x in df.columns])
-
-
-def label_code_distributed(df: DataFrame, column: str) -> DataFrame:
-    from equigroup.functions.ordering import ranked
-    vals = df.select(column).where(F.col(column).isNotNull()).distinct()
-    bucket = F.substring(F.col(column).cast("string"), 1, 3) if isinstance(
-        df.schema[column].dataType, T.StringType) else F.col(column)
-    codes = ranked(vals, [], [column], bucket, out="_code").select(column, F.col("_code").cast("int").alias("_code"))
-    j = df.join(codes, column, "left")
+def label_code(df: DataFrame, column: str, categories: list | None = None) -> DataFrame:
+    """Code 0..n-1 by sorted value, null for null. The distinct values are
+    range partitioned, ranked and joined back, whatever their number; a given
+    (fitted) category list is applied as a literal instead."""
+    if categories is not None:
+        return df.select(*[label_code_column(x, categories) if x == column else F.col(x) for x in df.columns])
+    vals = df.select(F.col(column).alias("_v")).where("_v IS NOT NULL").distinct()
+    codes = ranked(range_bucket(vals, "_v", "_vb"), [], ["_v"], "_vb", out="_code").select("_v", "_code")
+    j = df.join(codes, F.col(column) == F.col("_v"), "left")
     return j.select(*[F.col("_code").alias(x) if x == column else F.col(x) for x in df.columns])
 
 

@@ -100,14 +100,15 @@ def benchmark_table(spark: SparkSession) -> DataFrame:
 
 def benchmark_compare(means: DataFrame, bench: DataFrame) -> DataFrame:
     """Per (model, grouping): value in percent against the benchmark range,
-    with the plot padding max(1, 2% of the span)."""
-    j = means.join(F.broadcast(bench), "model", "left")
+    with the plot padding max(1, 2% of the span of all models)."""
+    span = bench.agg((F.max("max") - F.min("min")).alias("span"))  # one row
+    j = means.join(bench, "model", "left").crossJoin(F.broadcast(span))
     pct = F.col("value") * 100.0
     return j.select("model", "grouping", pct.alias("value_pct"), "min", "mean", "max",
                     (pct < F.col("min")).alias("below_min"),
                     ((pct >= F.col("min")) & (pct <= F.col("max"))).alias("within"),
                     (pct > F.col("max")).alias("above_max"),
-                    F.greatest(F.lit(1.0), F.lit(0.02) * (F.col("max") - F.col("min"))).alias("pad"))
+                    F.greatest(F.lit(1.0), F.lit(0.02) * F.col("span")).alias("pad"))
 
 
 def overlay_long(means: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equigroup.functions.columns import quote
@@ -22,8 +22,8 @@ from equigroup.functions.columns import quote
 
 def kmeans_background(df: DataFrame, features: list[str], k: int = 50, seed: int = 42) -> list[list[float]]:
     """Up to k cluster centres of the (training) rows; weights are dropped."""
-    asm = VectorAssembler(inputCols=features, outputCol="_bgx", handleInvalid="skip")
-    x = asm.transform(df)
+    asm = VectorAssembler(inputCols=features, outputCol="_bgx", handleInvalid="error")
+    x = asm.transform(df.na.drop(subset=features))
     n = x.count()
     model = KMeans(featuresCol="_bgx", k=max(1, min(k, n)), seed=seed).fit(x)
     return [[float(v) for v in c] for c in model.clusterCenters()]
@@ -49,10 +49,12 @@ def shapley_sampling(model, rows: DataFrame, key: str, features: list[str], back
         f"case when _rk[{i}] < _j then cast({quote(f)} as double) else _bv[{i}] end as {quote(f)}"
         for i, f in enumerate(features)])
     scored = model(masked).select(key, "_perm", "_bg", "_j", "_rk", output)
-    w = Window.partitionBy(key, "_perm", "_bg").orderBy("_j")
-    diffs = scored.withColumn("delta", F.col(output) - F.lag(output).over(w)).filter(F.col("_j") > 0)
-    # the feature added at step j is the one whose rank is j - 1
-    feat_idx = (F.array_position(F.col("_rk"), F.col("_j") - 1) - 1).cast("int")
-    names = F.expr("array(" + ", ".join("'" + f + "'" for f in features) + ")")
-    contrib = diffs.select(key, F.element_at(names, feat_idx + 1).alias("feature"), "delta")
-    return contrib.groupBy(key, "feature").agg(F.avg("delta").alias("phi"))
+    # differences along a permutation telescope: the score of prefix j counts for
+    # the feature just added (rank j - 1) and against the one added next (rank j)
+    signs = F.array(F.struct((F.col("_j") - 1).alias("rank"), F.lit(1.0).alias("sign")),
+                    F.struct(F.col("_j").alias("rank"), F.lit(-1.0).alias("sign")))
+    part = scored.withColumn("_s", F.explode(signs)).filter((F.col("_s.rank") >= 0) & (F.col("_s.rank") < p))
+    names = F.array(*[F.lit(f) for f in features])
+    contrib = part.select(key, F.element_at(names, F.array_position("_rk", F.col("_s.rank")).cast("int")).alias("feature"),
+                          (F.col("_s.sign") * F.col(output)).alias("_v"))
+    return contrib.groupBy(key, "feature").agg((F.sum("_v") / F.lit(float(len(combos)))).alias("phi"))

@@ -1,6 +1,6 @@
 """Samples, hold-outs and folds (inventory 2.3), all hash-driven so they are
 reproducible and checkable: order = md5(key|seed). Exact ranks come from
-``ranked`` (range partitioning + per-partition offsets), never from a window
+``ranked`` (hash buckets of the order key with offsets), never from a window
 over a whole class."""
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def draw_test_from_clean(raw: DataFrame, clean: DataFrame, key: str, base_fracti
                  .crossJoin(clean.agg(F.count(F.lit(1)).alias("_n_clean"))))
     frac = F.lit(base_fraction) * F.col("_n_raw") / F.col("_n_clean")
     counts = counts.select(
-        F.when(frac > 1, F.raise_error(F.lit("Clean data is too small to make up the test data.")))
+        F.when(frac > 1, F.raise_error(F.lit("the clean rows are fewer than the test rows asked for")))
          .otherwise(F.bround(frac * F.col("_n_clean"), 0)).cast("bigint").alias("_take"))
     r = ranked(clean.withColumn("_h", key_hash(key, seed)), [], ["_h"], hash_bucket("_h"), out="_pos")
     return (r.crossJoin(F.broadcast(counts)).filter(F.col("_pos") < F.col("_take"))
@@ -63,10 +63,11 @@ def repeated_stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, r
                               seed: int = 42) -> DataFrame:
     """(row, repeat, fold) with repeat r hashed by seed + r."""
     reps = df.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat"))
-    x = df.crossJoin(F.broadcast(reps))
+    x = df.select(key, label).crossJoin(F.broadcast(reps))  # ``repeats`` rows; only what the ranks need is repeated
     x = x.withColumn("_h", salted_hash(key, F.lit(seed) + F.col("repeat")))
     r = ranked(x, ["repeat", label], ["_h"], hash_bucket("_h"), out="_pos")
-    return r.withColumn("fold", (F.col("_pos") % k).cast("int")).drop("_h", "_pos")
+    folds = r.select(F.col(key).alias("_key"), "repeat", (F.col("_pos") % k).cast("int").alias("fold"))
+    return df.join(folds, F.col(key) == F.col("_key")).drop("_key")
 
 
 def bootstrap_draw(df: DataFrame, key: str, size: int = 300, seed: int = 42) -> DataFrame:

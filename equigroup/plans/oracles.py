@@ -109,7 +109,7 @@ r as (select doc_id, quality, row_number() over (partition by quality order by {
       count(*) over (partition by quality) as n from d)
 select doc_id, quality, pos < round(0.15 * n, 0) as is_test from r""")
 oracle("m5_random_holdout", f"select doc_id, substr({H42.format(k='doc_id')}, 1, 8) < '33333333' as is_test "
-                            f"from ({S.C_DOC}) d")
+                            f"from ({S.ALL_DOC}) d")
 oracle("m6_stratified_kfold", f"""with d as ({S.C_DOC})
 select doc_id, quality, cast((row_number() over (partition by quality order by {H42.format(k='doc_id')}) - 1) % 5 as integer) as fold
 from d""")
@@ -117,7 +117,7 @@ oracle("m7_repeated_kfold", f"""with d as ({S.C_DOC}), reps as (select cast(rang
 select doc_id, repeat, cast((row_number() over (partition by repeat, quality
          order by md5(concat(cast(doc_id as varchar), '|', cast(42 + repeat as varchar)))) - 1) % 5 as integer) as fold
 from d cross join reps""")
-oracle("m8_bootstrap_draw", f"""with d as ({S.C_DOC}),
+oracle("m8_bootstrap_draw", f"""with d as ({S.ALL_DOC}),
 r as (select doc_id, row_number() over (order by md5(concat(cast(doc_id as varchar), '|42'))) - 1 as pos from d),
 n as (select count(*) as n from d),
 draws as (select range as draw, ('0x' || substr(md5(concat(cast(range as varchar), '|42')), 1, 8))::bigint % n as pos
@@ -131,9 +131,9 @@ oracle("j3_vertical_concat", f"""with d as ({S.C_DOC}),
 r as (select doc_id, quality, row_number() over (partition by quality order by {H42.format(k='doc_id')}) - 1 as pos,
       count(*) over (partition by quality) as n from d)
 select doc_id, quality, case when pos < round(0.15 * n, 0) then 'validation' else 'train' end as part from r""")
-oracle("j4_origin_union", f"""with d as ({S.C_DOC})
-select doc_id, n_chars, toxic, 0 as origin from d
-union all select doc_id, n_chars, toxic, 1 as origin from d where lang <> 'en'""")
+oracle("j4_origin_union", f"""with d as ({S.ALL_DOC})
+select doc_id, n_chars, source, 0 as origin from d
+union all select doc_id, n_chars, source, 1 as origin from d where lang <> 'en'""")
 
 # ---------------------------------------------------------------- E10 flow
 E10_ENC = """select o_orderkey, o_totalprice, c_acctbal, cast(n_regionkey as double) as n_regionkey,
@@ -515,7 +515,7 @@ oracle("f9_observation_bias", f"""with {KDE_CTE}
 select {r6('0.5 * avg(abs(coalesce(de.d, 0) - coalesce(dr.d, 0)))')} as "Observation Bias (TV)"
 from pts left join de using (point) left join dr using (point)""")
 oracle("j6_kernel_density", f"with {KDE_CTE} select cast(point as bigint) as point, {r6('d')} as density from de")
-KNN_CTE = f"""d as ({S.C_DOC}),
+KNN_CTE = f"""d as ({S.ALL_DOC}),
 bo as (select concat('0:', cast(doc_id as varchar)) as k, cast(n_chars as double) as x, 0 as origin from d
        union all select concat('1:', cast(doc_id as varchar)), cast(n_chars as double), 1 from d where lang <> 'en'),
 sp as (select *, substr(md5(concat(k, '|42')), 1, 8) < '{hash_threshold(0.3)}' as is_test from bo),

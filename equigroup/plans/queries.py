@@ -192,7 +192,7 @@ def m4_stratified_holdout(spark, sf):
 
 @query("m5_random_holdout")
 def m5_random_holdout(spark, sf):
-    return split.random_holdout(C.c_doc(spark, sf), "doc_id", 0.2).select("doc_id", "is_test")
+    return split.random_holdout(C.all_doc(spark, sf), "doc_id", 0.2).select("doc_id", "is_test")
 
 
 @query("m6_stratified_kfold")
@@ -208,7 +208,7 @@ def m7_repeated_kfold(spark, sf):
 
 @query("m8_bootstrap_draw")
 def m8_bootstrap_draw(spark, sf):
-    return split.bootstrap_draw(C.c_doc(spark, sf), "doc_id", 300).select("draw", "doc_id")
+    return split.bootstrap_draw(C.all_doc(spark, sf), "doc_id", 300).select("draw", "doc_id")
 
 
 # ---------------------------------------------------------------- 2.4 joins
@@ -232,9 +232,9 @@ def j3_vertical_concat(spark, sf):
 
 
 def two_populations(spark, sf):
-    d = C.c_doc(spark, sf)
-    emp = d.select("doc_id", "n_chars", "toxic", F.lit(0).alias("origin"))
-    rem = d.filter(F.col("lang") != "en").select("doc_id", "n_chars", "toxic", F.lit(1).alias("origin"))
+    d = C.all_doc(spark, sf)
+    emp = d.select("doc_id", "n_chars", "source", F.lit(0).alias("origin"))
+    rem = d.filter(F.col("lang") != "en").select("doc_id", "n_chars", "source", F.lit(1).alias("origin"))
     return emp, rem
 
 
@@ -253,7 +253,7 @@ GROUPS_K = 5
 
 def emb_matrix(spark, sf):
     """Dissimilarity of the 64 binned embedding features given the label."""
-    return info.dissimilarity(C.c_emb_binned(spark, sf), C.EMB_FEATURES, "label")
+    return materialize(info.dissimilarity(C.c_emb_binned(spark, sf), C.EMB_FEATURES, "label"))
 
 
 def emb_random_assignment(spark, sf):
@@ -685,7 +685,7 @@ def j6_kernel_density(spark, sf):
 
 
 def doc_populations(spark, sf):
-    d = materialize(C.c_doc(spark, sf).select("doc_id", "lang", "n_chars"))
+    d = materialize(C.all_doc(spark, sf).select("doc_id", "lang", "n_chars"))
     return d, d.filter(F.col("lang") != "en")
 
 

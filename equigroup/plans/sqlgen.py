@@ -14,6 +14,7 @@ from ({C_ORD}) c_ord"""
 
 C_LINE = "select l_quantity, l_discount, l_tax, l_linenumber, l_linestatus, l_returnflag from lineitem"
 
+ALL_DOC = "select doc_id, lang, source, n_chars from documents"
 C_DOC = "select doc_id, lang, source, n_chars, toxic, quality from labels join documents using (doc_id)"
 
 C_PRED = f"""select doc_id, lang, quality as y_true, case when n_chars > 1500 then 1 else 0 end as y_pred,

@@ -67,10 +67,27 @@ def test_null_audit(spark, sf_small):
     assert row["c_mktsegment"] > 0 and row["o_orderkey"] == 0
 
 
-def test_label_code_distributed_matches_collected(spark):
-    rows = [(i, f"v{(i * 7919) % 500:04d}") for i in range(2000)]
+def test_label_code_ranks_all_values(spark):
+    rows = [(i, f"Customer#{(i * 7919) % 500:09d}") for i in range(2000)] + [(5000, None)]
     d = spark.createDataFrame(rows, "k int, c string")
     a = {r["k"]: r["c"] for r in prep.label_code(d, "c").collect()}
-    b = {r["k"]: r["c"] for r in prep.label_code(d, "c", max_collected=10).collect()}
-    assert a == b
-    assert sorted(set(a.values())) == list(range(500))
+    b = {r["k"]: r["c"] for r in prep.label_code(d, "c", prep.fit_categories(d, "c")).collect()}
+    assert a == b and a[5000] is None and len(a) == 2001
+    assert sorted({v for v in a.values() if v is not None}) == list(range(500))
+
+
+def test_more_categories_than_a_plan_holds_is_an_error(spark):
+    with pytest.raises(ValueError):
+        prep.fit_categories(spark.range(20), "id", most=10)
+
+
+def test_null_labels_are_a_class_of_their_own(spark):
+    d = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(40)], "k int, y int")
+    folds = split.stratified_kfold(d, "y", "k", 5).collect()
+    assert len(folds) == 40
+    per = {}
+    for r in folds:
+        per.setdefault((r["y"], r["fold"]), []).append(r)
+    assert len([g for g in per if g[0] is None]) == 5 and {len(v) for g, v in per.items() if g[0] is None} == {2}
+    assert split.stratified_holdout(d, "y", "k", 0.2).count() == 40
+    assert split.repeated_stratified_kfold(d, "y", "k", 5, 3).count() == 120
