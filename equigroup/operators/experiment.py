@@ -21,21 +21,23 @@ def fold_metrics(pred: DataFrame, target: str) -> DataFrame:
 
 
 def repeated_kfold(df: DataFrame, key: str, model: str, features: list[str], target: str, k: int = 5,
-                   repeats: int = 10, seed: int = 42, params: dict | None = None) -> DataFrame:
+                   repeats: int = 10, seed: int = 42, params: dict | None = None, parallelism: int = 4) -> DataFrame:
     """(repeat, fold, accuracy, f1_score, precision, roc_auc) for a model
-    refitted on every (repeat, fold) split of a repeated stratified k-fold."""
+    refitted on every (repeat, fold) split of a repeated stratified k-fold.
+    The fits run ``parallelism`` at a time; one row of metrics comes back from each."""
     folds = materialize(split.repeated_stratified_kfold(df, target, key, k, repeats, seed))
-    out = None
-    for r in range(repeats):
+
+    def one(job: tuple[int, int]) -> tuple:
+        r, f = job
         fr = folds.filter(F.col("repeat") == r)
-        for f in range(k):
-            fitted = M.fit(fr.filter(F.col("fold") != f), model, features, target, params, seed)
-            pred = M.predict(fitted, fr.filter(F.col("fold") == f), target)
-            row = fold_metrics(pred, target).select(F.lit(r).alias("repeat"), F.lit(f).alias("fold"), "*")
-            row = row.cache()
-            row.count()
-            out = row if out is None else out.unionByName(row)
-    return out
+        fitted = M.fit(fr.filter(F.col("fold") != f), model, features, target, params, seed)
+        return (r, f, *fold_metrics(M.predict(fitted, fr.filter(F.col("fold") == f), target), target).first())
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(one, [(r, f) for r in range(repeats) for f in range(k)]))
+    return df.sparkSession.createDataFrame(
+        rows, "repeat int, fold int, accuracy double, f1_score double, precision double, roc_auc double")
 
 
 def run_experiment(train: DataFrame, test: DataFrame, key: str, model: str, features: list[str], target: str,

@@ -768,8 +768,8 @@ def t5_rff_svm(spark, sf):
 @query("t8_cv_tuning", rounded=False)
 def t8_cv_tuning(spark, sf):
     train, _ = doc_split(spark, sf)
-    folds = split.stratified_kfold(train, "y_true", "doc_id", 3)
-    return ML.tune(folds, "LogisticRegression", DOC_X, "y_true", "fold", n_iter=4)[2]
+    folds = split.stratified_kfold(train, "y_true", "doc_id", 5)
+    return ML.tune(folds, "LogisticRegression", DOC_X, "y_true", "fold", n_iter=30, parallelism=8)[2]
 
 
 @query("t9_predict_proba", rounded=False)
@@ -787,14 +787,13 @@ def t10_experiment(spark, sf):
 
 @query("v6_repeated_kfold", rounded=False)
 def v6_repeated_kfold(spark, sf):
-    return experiment.repeated_kfold(doc_features(spark, sf), "doc_id", "LogisticRegression", DOC_X, "y_true",
-                                     k=3, repeats=2)
+    return experiment.repeated_kfold(doc_features(spark, sf), "doc_id", "LogisticRegression", DOC_X, "y_true", parallelism=8)
 
 
 @query("e8_impute_classifier", rounded=False)
 def e8_impute_classifier(spark, sf):
     d = C.c_na(spark, sf)
-    return impute.impute_with_classifier(d, "c_mktsegment", ["o_totalprice", "n_regionkey"], num_trees=20) \
+    return impute.impute_with_classifier(d, "c_mktsegment", ["o_totalprice", "n_regionkey"]) \
         .select("o_orderkey", "c_mktsegment", "imputed")
 
 
@@ -829,14 +828,14 @@ def _lr_doc(spark, sf):
 @query("a3_kmeans_background", rounded=False)
 def a3_kmeans_background(spark, sf):
     train, _ = doc_split(spark, sf)
-    centres = shapley.kmeans_background(train, DOC_X, k=8)
+    centres = shapley.kmeans_background(train, DOC_X)
     return spark.createDataFrame([(i, f, float(c[j])) for i, c in enumerate(centres) for j, f in enumerate(DOC_X)],
                                  "centre int, feature string, value double")
 
 
 def _shap(spark, sf):
     train, test, fitted = _lr_doc(spark, sf)
-    bg = shapley.kmeans_background(train, DOC_X, k=8)
+    bg = shapley.kmeans_background(train, DOC_X)
     return shapley.shapley_sampling(lambda df: ML.predict(fitted, df), test, "doc_id", DOC_X, bg, n_permutations=4)
 
 
