@@ -83,9 +83,10 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
     maybe = flagged.where("_repeated")
-    groups = maybe.groupBy("text_sha256").agg(
+    # written out, so that Spark may split the rows of a hot text when it joins them
+    groups = materialize(maybe.groupBy("text_sha256").agg(
         F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("i"), (-F.col("_row")).alias("r"))).alias("_best"))
+        F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("i"), (-F.col("_row")).alias("r"))).alias("_best")))
     shared = maybe.join(groups, "text_sha256").select(
         "doc_id", (-F.col("_best.i")).alias("keep_id"), "group_size",
         (F.col("_row") == -F.col("_best.r")).alias("kept"), "text_sha256")
