@@ -106,14 +106,15 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star (each node's larger neighbours go to its least one)
     and small-star (its smaller neighbours go to it) until nothing changes; the
     number of rounds grows with the logarithm of a component's size. A hub's
-    neighbours are never gathered: the least one comes from a partial minimum
-    and is joined back."""
+    neighbours are never gathered: the least one comes from a partial minimum,
+    is written out and joined back, so that Spark may split the hub's rows."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         down = large.join(least, "u")
         new = materialize(down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                           .unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
@@ -133,9 +134,11 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "d
     rows = materialize(fingerprints(docs, words, id_col=id_col, text_col=text_col))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp"), bits)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = placed.join(least, "root").select("fp", "component_id")
+    linked = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).join(nodes, "fp")
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    # written out, as above: a third of all rows may share a fingerprint or a component
+    of = materialize(nodes.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left")
+                     .select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
