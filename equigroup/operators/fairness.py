@@ -96,6 +96,23 @@ def instance_bias(points: DataFrame) -> DataFrame:
                       F.avg(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).alias("Average distance from origin"))
 
 
+def full_record(df: DataFrame, y_true: str, y_pred: str, priv: Column, points: DataFrame | None = None,
+                observation: tuple | None = None, structural: tuple | None = None) -> DataFrame:
+    """One row: ``fairness_record`` and, where their inputs are given, the
+    instance bias of ``points``, the observation bias of ``observation`` =
+    (empirical, removal, key, features) and the structural bias of
+    ``structural`` = (empirical, removal, key, feature). Each part is one row."""
+    from equigroup.operators import kernels
+    out = fairness_record(df, y_true, y_pred, priv)
+    if points is not None:
+        out = out.crossJoin(instance_bias(points).select("Average distance from origin"))
+    if observation is not None:
+        out = out.crossJoin(kernels.observation_bias(*observation))
+    if structural is not None:
+        out = out.crossJoin(kernels.structural_bias(*structural))
+    return out
+
+
 def quadrant_counts(points: DataFrame) -> DataFrame:
     return points.groupBy("privileged", F.signum("x").cast("int").alias("x_sign"),
                           F.signum("y").cast("int").alias("y_sign")).agg(

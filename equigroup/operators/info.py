@@ -205,7 +205,7 @@ def _eigen(pdf: pd.DataFrame) -> pd.DataFrame:
     g = np.zeros((len(names), len(names)))
     g[pdf["fi"].map(idx).to_numpy(), pdf["fj"].map(idx).to_numpy()] = pdf["gram"].to_numpy()
     ev = np.linalg.eigvalsh(g)
-    pos = np.sort(ev[ev > 0])[::-1]
+    pos = np.sort(ev[ev > 1e-8])[::-1]  # a centred matrix has a zero; its rounding is no component
     tot = pos.sum() if len(pos) else np.nan
     ratio = pos / tot if len(pos) else pos
     return pd.DataFrame({

@@ -538,6 +538,13 @@ au as (select case when (select k from lab) = 2 then
           end as roc_auc from rk)
 select {r6('roc_auc')} as "Structural Bias (kNN AUC)" from au""")
 
+oracle("f11_fairness_record_full", f"""select r.*, o.*, s.* from ({ORACLES['f11_fairness_record']}) r
+cross join ({ORACLES['f9_observation_bias']}) o cross join ({ORACLES['f10_structural_bias']}) s""")
+oracle("a2_shapley_linear", f"""with {DOC_FEAT},
+v as (select doc_id, 'n_chars' as feature, cast(0.001 as double) * (n_chars - cast(1300 as double)) as phi from df
+      union all select doc_id, 'toxic', cast(-0.5 as double) * (toxic - cast(1 as double) / 3) from df
+      union all select doc_id, 'is_en', cast(0.25 as double) * (is_en - cast(1 as double) / 3) from df)
+select doc_id, feature, {r6('phi')} as phi from v""")
 oracle("p12_feature_presence", f"""with e as ({S.C_EMB}), v as (""" + " union all ".join(
     f"select 'f{i}' as feature, var_samp(f{i}) as variance from e" for i in range(64)) + """),
 feats as (select feature from v where variance > 0),

@@ -705,6 +705,16 @@ def j7_knn_join(spark, sf):
     return K.knn_1d(both.filter(~F.col("_test")), both.filter(F.col("_test")), "_k", "n_chars", "origin")
 
 
+@query("f11_fairness_record_full")
+def f11_fairness_record_full(spark, sf):
+    """The record with instance, observation and structural bias: predictions
+    on labelled documents, densities of the orders, neighbours of all documents."""
+    d, pts = _instance(spark, sf)
+    orders, docs = ord_populations(spark, sf), doc_populations(spark, sf)
+    return FA.full_record(d, "y_true", "y_pred", privileged(F.col("lang"), "en"), pts,
+                          (*orders, "o_orderkey", ORD_POINT_FEATURES), (*docs, "doc_id", "n_chars"))
+
+
 # ---------------------------------------------------------------- 2.9 models (rows-only checks)
 from equigroup.operators import embed_fit, experiment, impute, shapley  # noqa: E402
 from equigroup.operators import models as ML  # noqa: E402
@@ -844,6 +854,19 @@ def a2_shapley_sampling(spark, sf):
     return _shap(spark, sf)
 
 
+LINEAR_WEIGHTS = {"n_chars": 0.001, "toxic": -0.5, "is_en": 0.25}
+LINEAR_BACKGROUND = [[1000.0, 0.0, 1.0], [2500.0, 1.0, 0.0], [400.0, 0.0, 0.0]]
+
+
+@query("a2_shapley_linear")
+def a2_shapley_linear(spark, sf):
+    """Sampled Shapley values of a linear score: those have the closed form
+    weight * (value - background mean), whatever the permutations."""
+    score = " + ".join(f"{w!r}D * {f}" for f, w in LINEAR_WEIGHTS.items())
+    return shapley.shapley_sampling(lambda df: df.withColumn("p1", F.expr(score)), doc_features(spark, sf), "doc_id",
+                                    DOC_X, LINEAR_BACKGROUND)
+
+
 @query("a7_attribution_dispatch", rounded=False)
 def a7_attribution_dispatch(spark, sf):
     phi = _shap(spark, sf).withColumn("class", F.lit(1))
