@@ -3,7 +3,9 @@
 Features are n-gram indicators over a text's words and over their shapes (runs
 of lower case, upper case and digits collapsed; a word equal to the one before
 it has a shape of its own), so that layout, shouting, symbols and stuttering
-show in any language. Each indicator is scaled by its class log-count ratio,
+show in any language. Shapes are taken over the whole of a word, a long one as
+several in a row, and a word of more than ``LONG_WORD`` characters (a text with
+few or no blanks) adds all its pairs of neighbouring characters. Each indicator is scaled by its class log-count ratio,
 and a linear hinge-loss model is fitted on the scaled indicators by dual
 coordinate descent. A logistic curve over held-back margins makes it a score.
 
@@ -22,6 +24,7 @@ repeated rows score alike; extra columns are not read, or carried whole by
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,37 +34,49 @@ from pyspark.sql import functions as F
 
 from equigroup.llm.common import col, id_text, materialize
 
-FIT_ROWS, MAX_FEATURES, MIN_ROWS = 8_000, 30_000, 3
+FIT_ROWS, MAX_FEATURES, MIN_ROWS = 12_000, 30_000, 3
 THRESHOLD = 0.7
+#: Characters of one shape; longer ones go on in the next.
+SHAPE_CHARS = 12
+#: Words over this length also give character pairs; they are not kept by ``Shapes``.
+LONG_WORD = 20
 
 _RUNS = re.compile("a+|A+|0+")
 
 
 def shape(word: str) -> str:
-    """``word`` with runs of lower case, upper case and digits as one of a, A
-    and 0; other characters stay; cut after 12 characters of shape."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-    return _RUNS.sub(lambda m: m.group()[0], out)[:12]
+    """The whole ``word`` with runs of lower case, upper case and digits as one
+    of a, A and 0; other characters stay."""
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return _RUNS.sub(lambda m: m.group()[0], out)
 
 
 class Shapes(dict):
-    """word -> shape, worked out once; emptied when it gets large."""
+    """word -> its shape in consecutive parts of ``SHAPE_CHARS``, worked out
+    once for words that are not long; emptied when it gets large."""
 
-    def __missing__(self, word: str) -> str:
+    def __missing__(self, word: str) -> tuple:
         if len(self) > 300_000:
             self.clear()
-        s = self[word] = shape(word)
+        whole = shape(word)
+        s = tuple(whole[i:i + SHAPE_CHARS] for i in range(0, len(whole), SHAPE_CHARS))
+        if len(word) <= LONG_WORD:
+            self[word] = s
         return s
 
 
 def features(text: str, shapes: Shapes) -> set:
-    """The n-gram indicators of a text: single words, and one to three shapes
-    in a row. A word equal to the one before it has the shape '='."""
+    """The n-gram indicators of a text: single words, one to three shapes in a
+    row, and the character pairs of long words (each after a line feed, which
+    no word holds). A word equal to the one before it has the shape '='."""
     words = text.split()
-    s = [shapes[w] for w in words]
-    if len(set(words)) < 0.8 * len(words):
-        s = s[:1] + ["=" if a == b else t for a, b, t in zip(words, words[1:], s[1:])]
     out: set = set(words)
+    parts = [shapes[w] for w in words]
+    if len(out) < 0.8 * len(words):
+        parts = parts[:1] + [("=",) if a == b else t for a, b, t in zip(words, words[1:], parts[1:])]
+    s = list(chain.from_iterable(parts))
+    for w in [w for w in out if len(w) > LONG_WORD]:
+        out.update({"\n" + a + b for a, b in zip(w, w[1:])})
     out.update(zip(s), zip(s, s[1:]), zip(s, s[1:], s[2:]))
     return out
 
@@ -199,7 +214,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
                 text_col: str = "text") -> dict:
     """The model. Class counts of the features are taken by Spark; what comes
     to the driver is bounded: ``max_features`` counts and, for ``fit_rows``
-    rows, the numbers of their features among those."""
+    rows, the numbers of their features among those, as one Arrow table whose
+    flat number array the rows are views of."""
     rows = materialize(training_rows(docs, labels, label_col, fit_rows, id_col, text_col))
     counts = (rows.select("y", F.explode("features").alias("feature")).groupBy("feature")
               .agg(F.sum("y").alias("n1"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
@@ -215,9 +231,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(n, pa.list_(pa.int32()))],
                                              ["doc_id", "y", "numbers"])
 
-    fit = rows.mapInArrow(number, "doc_id long, y int, numbers array<int>").orderBy("doc_id").toPandas()
+    fit = rows.mapInArrow(number, "doc_id long, y int, numbers array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    lists = fit["numbers"].combine_chunks() if fit.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
     return fit_model(vocab, with_1, np.array([r["n"] for r in counts], float) - with_1,
-                     [np.asarray(x, np.int64) for x in fit["numbers"]], fit["y"].to_numpy(np.int64))
+                     [flat[a:b] for a, b in zip(ends, ends[1:])], fit["y"].to_numpy().astype(np.int64))
 
 
 def quality_score(model: dict, spark: SparkSession, text: Column) -> Column:

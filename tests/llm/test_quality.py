@@ -98,3 +98,20 @@ def test_odd_tables(spark):
 def test_shapes():
     assert [q.shape(w) for w in ("Word", "WORD!!", "abc123", "é$$$", "|", "x" * 99)] == ["Aa", "A!!", "a0", "a$$$", "|", "a"]
     assert ("a", "=", "=") in q.features("it it it it it", q.Shapes())
+
+
+def test_whole_long_words_count():
+    """What comes after the first characters of a word without blanks counts."""
+    shapes = q.Shapes()
+    head = "ab1-" * 30
+    a, b = q.features(head + "你好" * 40 + "!?" * 20, shapes), q.features(head + "zq" * 40 + "##" * 20, shapes)
+    assert {"\n你好", "\n!?"} <= a and {"\nzq", "\n##"} <= b and not {"\n你好", "\nzq"} & (a & b)
+    assert {f for f in a if isinstance(f, tuple)} != {f for f in b if isinstance(f, tuple)}
+    assert "".join(shapes[head]) == q.shape(head) == "a0-" * 30 and len(shapes[head]) == 8
+
+
+def test_long_words_change_the_score(spark):
+    head = "x1" * 60
+    docs = spark.createDataFrame([(i, f"{head}{'好的' * 9 if i % 2 else '#!' * 9}{i}") for i in range(80)], "doc_id long, text string")
+    model = q.fit_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(80)], LABELS), min_rows=2)
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in q.score_quality(docs, model).collect())
