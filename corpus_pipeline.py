@@ -5,9 +5,9 @@ go, personal data is replaced by its kind, and what is left is tokenised and
 packed into sequences. Each stage takes all that its predecessor kept, as it was
 written; all but the last return the columns of ``documents``.
 
-Null texts count as empty, rows without an id are kept as documents of their
-own, repeated rows are copies, and empty tables give empty results: the
-operators' modules say more.
+Null texts count as empty, rows that share an id or have none are documents of
+their own (copies and near copies go as any other's), repeated rows are copies,
+and empty tables give empty results: the operators' modules say more.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ are written to the checkpoint folder between rounds.
 Defined cases: null and empty texts have fingerprint zero and are linked like
 any other; texts with fewer words than a shingle use all their words; repeated
 rows and ids share a component; a null id is never the smallest (a component of
-null ids alone has a null id); extra columns are not read, or carried whole by
-``near_dedup``; an empty table gives an empty result.
+null ids alone has a null id); ``near_dedup`` keeps one row of each component,
+whatever its ids; extra columns are not read, or carried whole by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,13 +58,19 @@ def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = SEED, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long; one scan, no shuffle."""
+    return with_fingerprint(id_text(docs, id_col, text_col), words, seed)
+
+
+def with_fingerprint(src: DataFrame, words: int = 3, seed: int = SEED) -> DataFrame:
+    """The columns of ``src`` with fp in place of its last one, text."""
+    names = src.columns[:-1]
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return src.mapInArrow(run, src.drop("text").schema.add("fp", "long"))
 
 
 def variants(prints: DataFrame) -> DataFrame:
@@ -145,10 +151,16 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "d
 def near_dedup(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """One row of each component stays, with its columns as they were: the one
-    with the smallest id; of rows that share it, one. Rows without an id stay:
-    the grouping can't name them."""
-    keep = near_groups(docs, words, bits, id_col, text_col).select("component_id").distinct()
-    rows = docs.select(pack_rows(docs), col(id_col).cast("long").alias("component_id"))
-    stay = (rows.join(keep, "component_id", "left_semi").groupBy("component_id")
-            .agg(F.first("row").alias("row")).select("row"))
-    return unpack_rows(stay.unionByName(rows.where("component_id IS NULL").select("row")), docs.columns)
+    with the smallest id (a null id loses), of rows that share it the first.
+    Rows are told apart by a number that the checkpoint fixes, not by their id,
+    so rows that share an id or have none are documents of their own."""
+    base = materialize(docs.select(pack_rows(docs), F.monotonically_increasing_id().alias("_row")))
+    field = F.col("row").getField
+    rows = materialize(with_fingerprint(base.select(
+        "_row", field(id_col).cast("long").alias("id"), F.coalesce(field(text_col).cast("string"), F.lit("")).alias("text")), words))
+    # smallest id first, a null id last, then the row number
+    nodes = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first")))
+    roots = components(links(nodes.select("fp"), bits)).withColumnRenamed("node", "fp")
+    stay = (nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+            .agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")))
+    return unpack_rows(base.join(stay, "_row", "left_semi").select("row"), docs.columns)

@@ -125,3 +125,14 @@ def test_one_of_each_group_stays(spark):
 def test_query(spark, sf_small):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op10_simhash(spark, sf_small).collect())) == sorted(plain_groups(docs))
+
+
+def test_rows_not_ids_stay(spark):
+    """Ids that are shared or missing name no document."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (None, c), (None, c), (None, c), (None, a), (5, c.upper()), (None, "alone"), (None, "other")],
+                               "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in sh.near_dedup(df).collect()), key=key)
+    assert got == sorted([(1, a), (1, b), (5, c.upper()), (None, "alone"), (None, "other")], key=key)
+    one = sh.near_dedup(spark.createDataFrame([(None, a)] * 4, "doc_id long, text string"))
+    assert [tuple(r) for r in one.collect()] == [(None, a)]
