@@ -44,7 +44,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their place in a sequence."""
-    return best_fit_pack(docs, keep_ids=False)
+    return best_fit_pack(docs, keep_ids=False, added_tokens=True)
 
 
 STAGES = [

@@ -34,12 +34,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def token_pieces(docs: DataFrame, tokenizer_path: str = TOKENIZER, pattern: str = public_tokenizers.PATTERN,
                  end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id",
-                 text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+                 text_col: str = "text", keep_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """The ids of every whole text plus ``end_id``, cut into pieces of at most
     ``capacity``: all full but the first, which holds the rest. One row per
     piece: doc_id, piece, start, length, ids_crc32 (of the little-endian
     unsigned 32-bit ids) and with ``keep_ids`` the ids. A null text is empty:
-    one piece that holds ``end_id`` alone."""
+    one piece that holds ``end_id`` alone. ``added_tokens``: see
+    ``tokenizers_pieces``; the library's plain call has them."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
     source = shared_bytes(docs.sparkSession, tokenizer_path)
@@ -47,7 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str = TOKENIZER, pattern: str
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        tokens = tokenizers_pieces(source.value, pattern)
+        tokens = tokenizers_pieces(source.value, pattern, added_tokens)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):

@@ -14,7 +14,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from equigroup.llm.packing import best_fit_pack
-    return best_fit_pack(read_table(spark, sf_dir, "documents"), keep_ids=False)
+    return best_fit_pack(read_table(spark, sf_dir, "documents"), keep_ids=False, added_tokens=True)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,12 +65,21 @@ class Known(dict):
 
 class PieceTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes; ``encode``
-    gives those of one piece."""
+    gives those of one piece. Texts are parted at the strings of ``added``
+    first, which have the ids named there."""
 
-    def __init__(self, encode: Callable[[str], bytes], max_pieces: int = MAX_PIECES):
+    def __init__(self, encode: Callable[[str], bytes], max_pieces: int = MAX_PIECES, added: dict[str, int] | None = None):
         self.encode, self.known = encode, Known(encode, max_pieces)
+        self.added = {s: pack_ids([i]) for s, i in (added or {}).items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def ids(self, text: str) -> bytes:
+        if self.marks is None or not self.marks.search(text):
+            return self.plain_ids(text)
+        return b"".join(self.added[t] if i % 2 else self.plain_ids(t) for i, t in enumerate(self.marks.split(text)) if t)
+
+    def plain_ids(self, text: str) -> bytes:
         if _ODD.search(text):
             return self.encode(text)
         return b"".join([b"".join(map(self.known.__getitem__, _PIECE.findall(s))) for s in safe_slices(text)])
@@ -99,10 +108,12 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-def tokenizers_pieces(tokenizer_json: bytes, pattern: str) -> PieceTokenizer:
+def tokenizers_pieces(tokenizer_json: bytes, pattern: str, added_tokens: bool = False) -> PieceTokenizer:
     """Ids of a byte-level BPE file of the tokenizers library. The library's
     BPE model encodes each match of the pattern; matches are kept too, since
-    pieces share them."""
+    pieces share them. With ``added_tokens`` the file's added tokens have their
+    own ids wherever their strings stand in a text, as in the library's plain
+    call; without, these strings are text (its ``encode_special_tokens``)."""
     import regex
     from tokenizers import Tokenizer
 
@@ -110,6 +121,9 @@ def tokenizers_pieces(tokenizer_json: bytes, pattern: str) -> PieceTokenizer:
     kind = json.loads(tok.pre_tokenizer.__getstate__())
     if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or tok.normalizer is not None:
         raise ValueError("a byte-level tokenizer without normalizer or added space is needed")
+    added = tok.get_added_tokens_decoder() if added_tokens else {}
+    if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+        raise ValueError("added tokens that look at their neighbours are not supported")
     split, letters, model = regex.compile(pattern).findall, byte_letters(), tok.model
     known = Known(lambda match: pack_ids([t.id for t in model.tokenize(match.encode("utf-8").decode("latin-1").translate(letters))]))
 
@@ -118,7 +132,7 @@ def tokenizers_pieces(tokenizer_json: bytes, pattern: str) -> PieceTokenizer:
             return known[piece]
         return b"".join(map(known.__getitem__, split(piece)))
 
-    return PieceTokenizer(encode)
+    return PieceTokenizer(encode, added={t.content: i for i, t in added.items()})
 
 
 def id_list(packed: bytes) -> list[int]:

@@ -191,3 +191,28 @@ def test_token_counts(spark):
                             sum(max(0, x - limit) for x in n))
     assert rows(lengths.token_counts(empty(spark))) == []
     assert tuple(lengths.at_limit(lengths.token_counts(empty(spark)), 5).first()) == (0, 0, 0, 0)
+
+
+def test_added_tokens_equal_the_plain_call(spark, tmp_path):
+    """The registered query and the stage against the library as it comes."""
+    import corpus_pipeline as cp
+    from equigroup.llm.queries import op2_best_fit_pack
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(packing.TOKENIZER)
+
+    def plain(t):
+        return tok.encode(t, add_special_tokens=False).ids
+    mark = "<|endoftext|>"
+    assert plain(f"hello {mark} world") == [31373, 220, 50256, 995]
+    p = tokenizers_pieces(read("byte_bpe_50k.json"), public_tokenizers.PATTERN, added_tokens=True)
+    rng = random.Random(4)
+    parts = [mark, mark, mark[:-1], "<|", "|>", " ", "  ", "\n\n", "\x1c", "ab", " it's", "1", "é😀", "."]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert id_list(p.ids(t)) == plain(t), repr(t)
+    texts = [f"one {mark} two", mark, mark * 700 + " end", "none", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: plain(t or "") + [2] for i, t in enumerate(texts)}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    check_packing(op2_best_fit_pack(spark, str(tmp_path)).collect(), want)
+    check_packing(cp.packing_stage(spark, docs, str(tmp_path)).collect(), want)
