@@ -23,19 +23,27 @@ SLICE = 1 << 20
 #: Pieces kept for reuse by a task and the longest piece that is kept.
 MAX_PIECES, MAX_PIECE_CHARS = 250_000, 64
 
+#: The longest run of white space that the regex of tiktoken is given; from
+#: about a million characters on it overflows its stack.
+MAX_SPACE = 100_000
+
 #: White space here is Python's; it also counts U+001C to U+001F, which the
-#: tokenizers' patterns don't, so texts with those are encoded in one piece.
+#: tokenizers' patterns don't, so texts with those have patterns of their own.
 _PIECE = re.compile(r"\s*\S+|\s+")
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 _ODD = re.compile("[\x1c-\x1f]")
+_SPACE = r"[^\S\x1c-\x1f]"
+_ODD_PIECE = re.compile(rf"{_SPACE}*[\S\x1c-\x1f]+|{_SPACE}+")
+_ODD_CUT = re.compile(rf"(?<=[\S\x1c-\x1f])(?={_SPACE})")
+_LEAD = re.compile(f"{_SPACE}*")
 
 
-def safe_slices(text: str, size: int = SLICE) -> Iterator[str]:
+def safe_slices(text: str, size: int = SLICE, where: re.Pattern = _CUT) -> Iterator[str]:
     """Consecutive parts of ``text`` of at least ``size`` characters (but the
     last), cut only where white space follows another character."""
     at = 0
     while len(text) - at > size:
-        cut = _CUT.search(text, at + size)
+        cut = where.search(text, at + size)
         if cut is None:
             break
         yield text[at:cut.start()]
@@ -80,9 +88,8 @@ class PieceTokenizer:
         return b"".join(self.added[t] if i % 2 else self.plain_ids(t) for i, t in enumerate(self.marks.split(text)) if t)
 
     def plain_ids(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self.encode(text)
-        return b"".join([b"".join(map(self.known.__getitem__, _PIECE.findall(s))) for s in safe_slices(text)])
+        piece, cut = (_ODD_PIECE, _ODD_CUT) if _ODD.search(text) else (_PIECE, _CUT)
+        return b"".join([b"".join(map(self.known.__getitem__, piece.findall(s))) for s in safe_slices(text, where=cut)])
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -97,7 +104,19 @@ def rank_encoding(rank_file: bytes, pattern: str):
 
 
 def tiktoken_pieces(encoding) -> PieceTokenizer:
-    return PieceTokenizer(lambda piece: pack_ids(encoding.encode_ordinary(piece)))
+    """Pieces by the encoding's regex and merges. A long run of white space
+    never meets the regex: by the pattern all of it but its last character is
+    one match, or the whole run at the end of a text."""
+
+    def encode(piece: str) -> bytes:
+        if len(piece) > MAX_SPACE:
+            run = _LEAD.match(piece).end()
+            if run > MAX_SPACE:
+                at = run if run == len(piece) else run - 1
+                return pack_ids(encoding._encode_single_piece(piece[:at]) + encoding.encode_ordinary(piece[at:]))
+        return pack_ids(encoding.encode_ordinary(piece))
+
+    return PieceTokenizer(encode)
 
 
 def byte_letters() -> dict[int, int]:

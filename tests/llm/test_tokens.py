@@ -216,3 +216,22 @@ def test_added_tokens_equal_the_plain_call(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     check_packing(op2_best_fit_pack(spark, str(tmp_path)).collect(), want)
     check_packing(cp.packing_stage(spark, docs, str(tmp_path)).collect(), want)
+
+
+def test_long_white_space(ranks):
+    p = tiktoken_pieces(ranks)
+    for space in (" ", "\n", " \n", "\u3000"):
+        for n in (99_999, 100_000, 100_001, 150_000):
+            run = (space * n)[:n]
+            for t in (run, "a" + run, run + "b c", f"x{run}'s y", f"a\x1c{run}b", f"a{run}\x1cb{run}", run + "\x1f"):
+                assert id_list(p.ids(t)) == ranks.encode_ordinary(t), (space, n, t[:3], t[-3:])
+    run = " " * 2_000_000
+    for t in (run, "a" + run + "b", run + "\x1c" + run):
+        assert ranks.decode(id_list(p.ids(t))) == t
+
+
+def test_long_white_space_in_a_table(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b"), (2, "a b")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.bpe_round_trip(docs, keep_ids=False).collect()}
+    assert got[1]["decoded_sha256"] == hashlib.sha256(("a" + " " * 2_000_000 + "b").encode()).hexdigest()
+    assert sum(r["n_docs"] for r in lengths.token_counts(docs).collect()) == 2
