@@ -11,6 +11,9 @@ background are bounded by their parameters and travel as literals.
 
 from __future__ import annotations
 
+import math
+from itertools import permutations
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -33,10 +36,15 @@ def shapley_sampling(model, rows: DataFrame, key: str, features: list[str], back
                      n_permutations: int = 8, seed: int = 42, output: str = "p1") -> DataFrame:
     """(key, feature, phi): sampled Shapley values of ``output`` (a column the
     scoring function adds, e.g. the class-1 probability). ``model`` is a
-    callable DataFrame -> DataFrame (e.g. a fitted pipeline's predict)."""
+    callable DataFrame -> DataFrame (e.g. a fitted pipeline's predict). Where
+    the features have no more than ``n_permutations`` orders, all of them are
+    taken and the values are exact."""
     p = len(features)
     rng = np.random.default_rng(seed)
-    perms = [rng.permutation(p).tolist() for _ in range(n_permutations)]
+    if math.factorial(p) <= n_permutations:
+        perms = [list(o) for o in permutations(range(p))]
+    else:
+        perms = [rng.permutation(p).tolist() for _ in range(n_permutations)]
     # rank[perm][feature] = position of the feature in the permutation
     ranks = [[perm.index(f) for f in range(p)] for perm in perms]
     combos = [(pi, bi) for pi in range(len(perms)) for bi in range(len(background))]

@@ -741,12 +741,12 @@ def t1_logistic_regression(spark, sf):
 
 @query("t2_random_forest", rounded=False)
 def t2_random_forest(spark, sf):
-    return _fit_predict(spark, sf, "RandomForest", {"n_estimators": 50, "max_depth": 6})
+    return _fit_predict(spark, sf, "RandomForest", {})
 
 
 @query("t3_boosted_trees", rounded=False)
 def t3_boosted_trees(spark, sf):
-    return _fit_predict(spark, sf, "XGBoost", {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1})
+    return _fit_predict(spark, sf, "XGBoost", {})
 
 
 def ord_encoded(spark, sf):
@@ -759,8 +759,7 @@ ORD_X = ["o_totalprice", "c_acctbal", "n_regionkey", "o_orderpriority"]
 @query("t3_boosted_trees_multiclass", rounded=False)
 def t3_boosted_trees_multiclass(spark, sf):
     d = ord_encoded(spark, sf).withColumn("is_test", hash_below("o_orderkey", 0.2, 42))
-    fitted = ML.fit(d.filter(~F.col("is_test")), "XGBoost", ORD_X, "o_orderstatus",
-                    {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.2})
+    fitted = ML.fit(d.filter(~F.col("is_test")), "XGBoost", ORD_X, "o_orderstatus", {})
     return ML.predict(fitted, d.filter(F.col("is_test")), "o_orderstatus") \
         .select("o_orderkey", "o_orderstatus", "prediction", "p1")
 
@@ -784,7 +783,7 @@ def t8_cv_tuning(spark, sf):
 
 @query("t9_predict_proba", rounded=False)
 def t9_predict_proba(spark, sf):
-    return _fit_predict(spark, sf, "RandomForest", {"n_estimators": 20, "max_depth": 4})
+    return _fit_predict(spark, sf, "RandomForest", {})
 
 
 @query("t10_experiment", rounded=False)
@@ -792,7 +791,7 @@ def t10_experiment(spark, sf):
     train, test = flow.prepare(C.c_na(spark, sf), ORD_SPEC)
     feats = [c for c in train.columns if c not in ("o_orderkey", "o_orderstatus")]
     return experiment.run_experiment(train, test, "o_orderkey", "LogisticRegression", feats, "o_orderstatus",
-                                     sensitive=F.col("c_mktsegment_BUILDING") == 1.0, cv_splits=2, n_iter=2)
+                                     sensitive=F.col("c_mktsegment_BUILDING") == 1.0)
 
 
 @query("v6_repeated_kfold", rounded=False)
@@ -819,13 +818,13 @@ def emb_groups():
 
 @query("b1_autoencoder_fit", rounded=False)
 def b1_autoencoder_fit(spark, sf):
-    res = embed_fit.embed_feature_groups(C.c_emb(spark, sf), "vec_id", emb_groups(), iterations=25, max_dim=2)
+    res = embed_fit.embed_feature_groups(C.c_emb(spark, sf), "vec_id", emb_groups(), iterations=2000)
     return res["decoder"]
 
 
 @query("b2_dim_choice", rounded=False)
 def b2_dim_choice(spark, sf):
-    res = embed_fit.embed_feature_groups(C.c_emb(spark, sf), "vec_id", emb_groups(), iterations=25, max_dim=2)
+    res = embed_fit.embed_feature_groups(C.c_emb(spark, sf), "vec_id", emb_groups(), iterations=2000)
     return res["choice"]
 
 
@@ -846,7 +845,7 @@ def a3_kmeans_background(spark, sf):
 def _shap(spark, sf):
     train, test, fitted = _lr_doc(spark, sf)
     bg = shapley.kmeans_background(train, DOC_X)
-    return shapley.shapley_sampling(lambda df: ML.predict(fitted, df), test, "doc_id", DOC_X, bg, n_permutations=4)
+    return shapley.shapley_sampling(lambda df: ML.predict(fitted, df), test, "doc_id", DOC_X, bg)
 
 
 @query("a2_shapley_sampling", rounded=False)

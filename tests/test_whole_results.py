@@ -77,3 +77,40 @@ def test_no_checkpoint_folder_of_its_own_on_a_cluster():
 
     with pytest.raises(ValueError):
         checkpoint_dir(Session())
+
+
+def test_all_orders_of_few_features_are_taken(spark):
+    """A score with interactions against its exact Shapley values."""
+    from itertools import permutations
+
+    from equigroup.operators import shapley
+    d = spark.createDataFrame([(1, 2.0, 3.0, 5.0)], "k int, a double, b double, c double")
+    got = {r["feature"]: r["phi"] for r in shapley.shapley_sampling(
+        lambda df: df.selectExpr("*", "a * b * c + a * b AS p1"), d, "k", ["a", "b", "c"], [[1.0, 0.5, 2.0]]).collect()}
+    x, base, want = {"a": 2.0, "b": 3.0, "c": 5.0}, {"a": 1.0, "b": 0.5, "c": 2.0}, dict.fromkeys("abc", 0.0)
+    for order in permutations("abc"):
+        now = dict(base)
+        for f in order:
+            before = now["a"] * now["b"] * now["c"] + now["a"] * now["b"]
+            now[f] = x[f]
+            want[f] += (now["a"] * now["b"] * now["c"] + now["a"] * now["b"] - before) / 6
+    assert all(abs(got[f] - want[f]) < 1e-9 for f in "abc")
+
+
+def test_registered_fits_have_no_smaller_sizes(monkeypatch):
+    """The queries that stand for an operator run it at its defaults."""
+    from equigroup.operators import embed_fit, experiment, flow, shapley
+    from equigroup.plans import queries as Q
+    seen = []
+    monkeypatch.setattr(Q, "_fit_predict", lambda spark, sf, model, params: seen.append(params))
+    Q.t2_random_forest(None, ""), Q.t3_boosted_trees(None, ""), Q.t9_predict_proba(None, "")
+    assert seen == [{}, {}, {}]
+    monkeypatch.setattr(embed_fit, "embed_feature_groups", lambda *a, **k: seen.append(k) or {"decoder": 0, "choice": 0})
+    monkeypatch.setattr(Q.C, "c_emb", lambda *a: None)
+    Q.b1_autoencoder_fit(None, ""), Q.b2_dim_choice(None, "")
+    assert seen[3:] == [{"iterations": 2000}] * 2
+    monkeypatch.setattr(Q, "_lr_doc", lambda *a: (None, None, None))
+    monkeypatch.setattr(shapley, "kmeans_background", lambda *a: [])
+    monkeypatch.setattr(shapley, "shapley_sampling", lambda *a, **k: seen.append(k))
+    Q.a2_shapley_sampling(None, "")
+    assert seen[5:] == [{}]
