@@ -3,7 +3,9 @@
 A forgiving reader, since pages from the web are often broken: a tag that was
 never closed ends with its parent, ``<p>`` and list or table parts end where the
 next begins, and stray end tags are ignored. Scripts, styles, comments and
-declarations are markup and never text.
+declarations are markup and never text; nothing else is left out. What stands in
+``xmp`` is text as written; ``EMBEDDED`` elements are blocks like any other,
+and a formula in ``math`` is text of its paragraph.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ BLOCK = frozenset("""address article aside blockquote body button caption center
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option
 p pre search section select summary table tbody td textarea tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math canvas object audio video noembed noframes xmp".split())
+RAW = frozenset("script style".split())
+EMBEDDED = frozenset("noscript template iframe svg canvas object audio video noembed noframes xmp".split())
 ENDS_P = BLOCK - frozenset("body button caption head html label legend optgroup option select td th tr tbody thead tfoot title textarea".split())
+BLOCK |= EMBEDDED  # but they don't end a paragraph
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
         "option": ("option",), "optgroup": ("option", "optgroup")}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"),
@@ -110,7 +114,16 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float]]:
             flush()
         elif tag == "br":
             buffer.append(" ")
-        if tag not in VOID:
+        if tag == "xmp":  # what it holds is no markup
+            end = re.compile(r"</xmp\s*>", re.I).search(page, at)
+            stack.append((tag, _marks(tag, attributes)))
+            buffer.append(page[at:end.start() if end else len(page)].replace("&", "&amp;"))
+            flush()
+            stack.pop()
+            at = end.end() if end else len(page)
+        elif tag in EMBEDDED and attributes.rstrip().endswith("/"):
+            pass
+        elif tag not in VOID:
             stack.append((tag, _marks(tag, attributes)))
             links += tag == "a"
     flush()

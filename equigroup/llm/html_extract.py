@@ -30,6 +30,8 @@ from equigroup.llm.common import col
 from equigroup.llm.html_blocks import blocks
 
 TRAIN_PAGES, MADE_PAGES, EPOCHS, BATCH = 300, 800, 15, 128
+#: Pages times blocks that are labelled at a time, unless one page has more.
+BATCH_CELLS = 1 << 16
 PATHS, WORDS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 2048, 1024, 24, 6, 4, 20
 
 # Fixed lists: elements that hold the parts of a page, as tag and class words.
@@ -206,8 +208,9 @@ def new_model(seed: int = 5) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in model.items()}
 
 
-def _lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states of x (steps, pages, inputs); where mask is 0 the state stays."""
+def _lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, a: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+    """Hidden states of x (steps, pages, inputs); where mask is 0 the state
+    stays. What training needs of each step is kept only with ``keep``."""
     steps, n, _ = x.shape
     h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
     out, kept = np.empty((steps, n, HIDDEN), np.float32), []
@@ -219,7 +222,8 @@ def _lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, a: np.ndarray) -> tupl
         new = f * c + i * u
         th = np.tanh(new)
         m = mask[t][:, None]
-        kept.append((z, i, f, o, u, c, th, m))
+        if keep:
+            kept.append((z, i, f, o, u, c, th, m))
         c = m * new + (1 - m) * c
         h = m * (o * th) + (1 - m) * h
         out[t] = h
@@ -265,10 +269,10 @@ def _padded(pages: list, model: dict, heard: np.ndarray | None) -> tuple[np.ndar
     return x, mask
 
 
-def forward(pages: list, model: dict, heard: np.ndarray | None = None):
+def forward(pages: list, model: dict, heard: np.ndarray | None = None, keep: bool = True):
     x, mask = _padded(pages, model, heard)
-    hf, kf = _lstm(x, mask, model["wf"], model["af"])
-    hb, kb = _lstm(x[::-1], mask[::-1], model["wb"], model["ab"])
+    hf, kf = _lstm(x, mask, model["wf"], model["af"], keep)
+    hb, kb = _lstm(x[::-1], mask[::-1], model["wb"], model["ab"], keep)
     features = np.concatenate([hf, hb[::-1], x], 2)
     return _sigmoid((features @ model["out"])[:, :, 0] + model["bias"][0]), (x, mask, features, kf, kb)
 
@@ -345,9 +349,14 @@ def extract_text(htmls: list, model: dict, path_hash: Hashes, word_hash: Hashes)
     pages = [blocks(h or "") for h in htmls]
     out = [""] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-    for k in range(0, len(order), BATCH):
-        part = order[k:k + BATCH]
-        p, _ = forward([vectors(pages[i], path_hash, word_hash) for i in part], model)
+    k = 0
+    while k < len(order):
+        n = 1  # pages are padded to the longest, the last
+        while n < BATCH and k + n < len(order) and (n + 1) * len(pages[order[k + n]]) <= BATCH_CELLS:
+            n += 1
+        part = order[k:k + n]
+        k += n
+        p, _ = forward([vectors(pages[i], path_hash, word_hash) for i in part], model, keep=False)
         for j, i in enumerate(part):
             out[i] = " ".join(b[1] for b, s in zip(pages[i], p[:len(pages[i]), j]) if s >= 0.5)
     return out

@@ -123,3 +123,37 @@ def test_no_pages(spark):
 def test_no_pages_to_learn_from(spark, monkeypatch):
     src = spark.createDataFrame([(1, "u", None)], "page_id long, url string, html string")
     assert set(hx.fit_labeller(src, made_pages=20)) == set(hx.new_model())
+
+
+def test_only_scripts_and_styles_are_left_out():
+    from equigroup.llm.html_blocks import blocks
+
+    def texts(page):
+        return [(p[-1][0] if p else None, t) for p, t, _ in blocks(page)]
+    assert texts("<p>It is <math><mi>a</mi> + <mi>b</mi></math> here</p>") == [("p", "It is a + b here")]
+    assert texts("<p>list</p><xmp>if a < b && c: <i> &lt;</xmp><p>end</p>") == [
+        ("p", "list"), ("xmp", "if a < b && c: <i> &lt;"), ("p", "end")]
+    assert texts("<svg><p>whole article</p><p>more</p>") == [("p", "whole article"), ("p", "more")]
+    assert texts("<object data=x><object>in</object> out</object><p>end</p>") == [("object", "in"), ("object", "out"), ("p", "end")]
+    assert texts("<svg width=1 /><p>kept</p><noscript>plain</noscript>") == [("p", "kept"), ("noscript", "plain")]
+    assert texts("<p>a</p><script>no <p>x</p></script><style>p {}</style><p>b</p>") == [("p", "a"), ("p", "b")]
+    assert ("svg",) in blocks("<svg><p>whole</p></svg>")[0][0]
+
+
+def test_batches_are_bounded_by_blocks(monkeypatch):
+    from equigroup.llm import html_extract as hx
+    htmls = ["".join(f"<p>w{j} x</p>" for j in range(n)) for n in (1, 2, 3, 40, 50, 200)]
+    model, seen, run = hx.new_model(), [], hx.forward
+
+    def call():
+        return hx.extract_text(htmls, model, hx.Hashes(hx.PATHS), hx.Hashes(hx.WORDS))
+
+    def watch(pages, *a, **k):
+        seen.append(len(pages) * max(len(p[0]) for p in pages))
+        out = run(pages, *a, **k)
+        assert not out[1][3] and not out[1][4]  # no states kept
+        return out
+    want = call()
+    monkeypatch.setattr(hx, "BATCH_CELLS", 100)
+    monkeypatch.setattr(hx, "forward", watch)
+    assert call() == want and len(seen) == 3 and sorted(seen) == [9, 100, 200]
