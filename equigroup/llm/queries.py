@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from equigroup.llm.common import read_table
 
@@ -64,10 +65,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with an id divisible by 7 move to the next of ten labels; those with
+    an id divisible by 100 are the anchors."""
+    from equigroup.llm.hard_negatives import mine_hard_negatives
+    moved = "IF(vec_id % 7 = 0, (CAST(label AS LONG) + 1) % 10, label)"
+    rows = read_table(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding", f"{moved} AS label")
+    return mine_hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equigroup.llm.toxicity import fit_toxicity, score_toxicity
+    docs = read_table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from equigroup.llm.whitening import whiten
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def all_oracles() -> dict[str, str]:
-    from equigroup.llm import chat, exact_dedup
-    return {"op4_chat_format": chat.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    from equigroup.llm import chat, exact_dedup, hard_negatives
+    return {"op4_chat_format": chat.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
