@@ -11,8 +11,8 @@ normalised by length, so a few words tell in a long text as in a short one.
 
 The fit takes at most ``fit_rows`` labelled rows (those whose ids hash lowest).
 Their slots stay in Spark (``FIT_PARTS`` partitions, written out); every step of
-the optimiser (L-BFGS) is one job whose tasks return a loss and a gradient. The
-driver and the tasks hold a few arrays of 2^20 numbers, whatever the rows.
+the optimiser (L-BFGS) is one job that adds up the tasks' losses and gradients. The
+driver and the tasks hold some arrays of 2^20 numbers, whatever the rows.
 Scoring is one scan without a shuffle; the broadcast model has 4 MB.
 
 Defined cases: null text is empty; an empty or blank text has no feature and
@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ from equigroup.llm.common import col, id_text, materialize
 
 FIT_ROWS, FIT_PARTS, THRESHOLD = 12_000, 8, 0.7
 SPACE_BITS, SIZES, SLICE = 20, (3, 4, 5, 6, 7), 1 << 18
+#: An array of all slots travels in so many rows.
+SLICES = 16
 #: Prior weight of a slot's counts, shared between the classes by their size.
 PRIOR = 20.0
 PENALTY = 0.1
@@ -97,7 +100,7 @@ def log_count_ratio(with_1: np.ndarray, with_0: np.ndarray, n_1: int, n_0: int)
     return np.log((with_1 + p1) / (n_1 + PRIOR * n_1 / n)) - np.log((with_0 + p0) / (n_0 + PRIOR * n_0 / n))
 
 
-def minimise(value_and_gradient, x: np.ndarray, steps: int = 40, memory: int = 6, tolerance: float = 1e-4) -> np.ndarray:
+def minimise(value_and_gradient, x: np.ndarray, steps: int = 40, memory: int = 4, tolerance: float = 1e-4) -> np.ndarray:
     """L-BFGS with step halving; ends when a step gains less than ``tolerance`` of the value."""
     value, g = value_and_gradient(x)
     past: list[tuple[np.ndarray, np.ndarray]] = []
@@ -169,23 +172,48 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     return texts.repartition(FIT_PARTS).mapInArrow(extract, "y int, slots binary")
 
 
+def _summed(rows: DataFrame, sums) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all partitions of the numbers and the arrays that ``sums``
+    makes of one. The arrays are added up by slices on the executors, in the
+    order of the partitions, so that the driver gets one of each."""
+    def part(batches):
+        few, arrays = sums(batches)
+        width = len(arrays) * (1 << SPACE_BITS) // SLICES
+        flat = np.concatenate(arrays).astype(np.float32)
+        data = [np.array(few, float).tobytes(), *(flat[i:i + width].tobytes() for i in range(0, len(flat), width))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(data) - 1, dtype=np.int32)),
+                                          pa.array([TaskContext.get().partitionId()] * len(data), pa.int32()),
+                                          pa.array(data, pa.binary())], ["slice", "part", "data"])
+
+    def add(table):
+        table = table.sort_by("part")
+        at = table["slice"][0].as_py()
+        kind = np.float64 if at < 0 else np.float32
+        total = sum(np.frombuffer(d.as_buffer(), kind).astype(float) for d in table["data"])
+        return pa.table({"slice": pa.array([at], pa.int32()), "data": pa.array([total.astype(kind).tobytes()], pa.binary())})
+
+    got = (rows.mapInArrow(part, "slice int, part int, data binary").groupBy("slice")
+           .applyInArrow(add, "slice int, data binary").collect())  # SLICES + 1 rows
+    got.sort(key=lambda r: r["slice"])
+    if not got:  # no partition at all
+        return np.empty(0), np.empty(0, np.float32)
+    return np.frombuffer(got[0]["data"]), np.frombuffer(b"".join(r["data"] for r in got[1:]), np.float32)
+
+
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """For each slot the rows of class 1 and of class 0 that have it; the classes' sizes."""
-    def part(batches):
-        n, counts = [0, 0], np.zeros((2, 1 << SPACE_BITS), np.int32)
+    def sums(batches):
+        n, counts = [0, 0], np.zeros((2, 1 << SPACE_BITS), np.float32)
         for batch in batches:
             for y, s in zip(batch.column("y").to_pylist(), batch.column("slots")):
                 counts[y][np.frombuffer(s.as_buffer(), np.int32)] += 1
                 n[y] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n[1]]), pa.array([n[0]]), pa.array([counts[1].tobytes()]),
-                                          pa.array([counts[0].tobytes()])], ["n1", "n0", "c1", "c0"])
+        return n, list(counts)
 
-    c1, c0, n1, n0 = np.zeros(1 << SPACE_BITS), np.zeros(1 << SPACE_BITS), 0, 0
-    for r in rows.mapInArrow(part, "n1 long, n0 long, c1 binary, c0 binary").collect():  # FIT_PARTS rows
-        c1 += np.frombuffer(r["c1"], np.int32)
-        c0 += np.frombuffer(r["c0"], np.int32)
-        n1, n0 = n1 + r["n1"], n0 + r["n0"]
-    return c1, c0, n1, n0
+    n, counts = _summed(rows, sums)
+    if not len(n):
+        n, counts = [0, 0], np.zeros(2 << SPACE_BITS, np.float32)
+    return counts[1 << SPACE_BITS:], counts[:1 << SPACE_BITS], int(n[1]), int(n[0])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fit_rows: int = FIT_ROWS,
@@ -201,29 +229,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", f
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         """Value and gradient at the weights x (the intercept is the last)."""
-        shared = spark.sparkContext.broadcast((x[:-1] * ratio, float(x[-1])))
+        shared = spark.sparkContext.broadcast(((x[:-1] * ratio).astype(np.float32), float(x[-1])))
 
-        def part(batches):
+        def sums(batches):
             v, b = shared.value
             pull, total, offset = np.zeros(len(v)), 0.0, 0.0
             for batch in batches:
                 for y, s in zip(batch.column("y").to_pylist(), batch.column("slots")):
                     slots = np.frombuffer(s.as_buffer(), np.int32)
-                    z = b + v[slots].sum()
+                    z = b + float(v[slots].sum(dtype=float))
                     total += weigh[y] * np.logaddexp(0.0, -z if y else z)
                     error = weigh[y] * (1 / (1 + math.exp(-min(max(z, -30.0), 30.0))) - y)
                     pull[slots] += error
                     offset += error
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([offset]), pa.array([pull.astype(np.float32).tobytes()])],
-                                             ["total", "offset", "pull"])
-
-        value, g = 0.5 * penalty * float(x[:-1] @ x[:-1]), np.append(penalty * x[:-1], 0.0)
-        for r in rows.mapInArrow(part, "total double, offset double, pull binary").collect():  # FIT_PARTS rows
-            value += r["total"]
-            g[:-1] += ratio * np.frombuffer(r["pull"], np.float32)
-            g[-1] += r["offset"]
+            return [total, offset], [pull]
+
+        (total, offset), pull = _summed(rows, sums)
         shared.destroy()
-        return value, g
+        g = np.append(penalty * x[:-1], offset)
+        g[:-1] += ratio * pull
+        return 0.5 * penalty * float(x[:-1] @ x[:-1]) + total, g
 
     x = minimise(loss, np.zeros(len(ratio) + 1))
     return ToxicityModel(float(x[-1]), (x[:-1] * ratio).astype(np.float32))
