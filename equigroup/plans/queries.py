@@ -818,14 +818,13 @@ def emb_groups():
 
 @query("b1_autoencoder_fit", rounded=False)
 def b1_autoencoder_fit(spark, sf):
-    res = embed_fit.embed_feature_groups(C.c_emb(spark, sf), "vec_id", emb_groups(), iterations=2000)
-    return res["decoder"]
+    return embed_fit.embed_feature_groups(C.c_emb(spark, sf), "vec_id", emb_groups())["decoder"]
 
 
 @query("b2_dim_choice", rounded=False)
 def b2_dim_choice(spark, sf):
-    res = embed_fit.embed_feature_groups(C.c_emb(spark, sf), "vec_id", emb_groups(), iterations=2000)
-    return res["choice"]
+    scaled, _ = embed_fit.scaled_features(C.c_emb(spark, sf), "vec_id", emb_groups())
+    return spark.createDataFrame(embed_fit.choose_widths(scaled.persist(), "vec_id", emb_groups()), embed_fit.CHOICE)
 
 
 def _lr_doc(spark, sf):

@@ -51,6 +51,6 @@ def test_autoencoder_training_reduces_loss(spark):
     x = np.hstack([z, 2 * z + 0.01 * rng.normal(size=(300, 1)), -z])
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
     groups = {0: ["a", "b", "c"]}
-    short = embed_fit.train_autoencoders(df, groups, {0: [1]}, iterations=3, lr=0.05)
-    long = embed_fit.train_autoencoders(df, groups, {0: [1]}, iterations=60, lr=0.05)
+    short = embed_fit.train_autoencoders(df, groups, {0: 1}, rounds=1)
+    long = embed_fit.train_autoencoders(df, groups, {0: 1}, rounds=10)
     assert long["losses"][(0, 1)] < short["losses"][(0, 1)]

@@ -105,12 +105,12 @@ def test_registered_fits_have_no_smaller_sizes(monkeypatch):
     monkeypatch.setattr(Q, "_fit_predict", lambda spark, sf, model, params: seen.append(params))
     Q.t2_random_forest(None, ""), Q.t3_boosted_trees(None, ""), Q.t9_predict_proba(None, "")
     assert seen == [{}, {}, {}]
-    monkeypatch.setattr(embed_fit, "embed_feature_groups", lambda *a, **k: seen.append(k) or {"decoder": 0, "choice": 0})
+    monkeypatch.setattr(embed_fit, "embed_feature_groups", lambda *a, **k: seen.append((len(a), k)) or {"decoder": 0})
     monkeypatch.setattr(Q.C, "c_emb", lambda *a: None)
-    Q.b1_autoencoder_fit(None, ""), Q.b2_dim_choice(None, "")
-    assert seen[3:] == [{"iterations": 2000}] * 2
+    Q.b1_autoencoder_fit(None, "")
+    assert seen[3:] == [(3, {})]
     monkeypatch.setattr(Q, "_lr_doc", lambda *a: (None, None, None))
     monkeypatch.setattr(shapley, "kmeans_background", lambda *a: [])
     monkeypatch.setattr(shapley, "shapley_sampling", lambda *a, **k: seen.append(k))
     Q.a2_shapley_sampling(None, "")
-    assert seen[5:] == [{}]
+    assert seen[4:] == [{}]
