@@ -1,10 +1,9 @@
 """Attribution (inventory 2.12) on long tables ``(key, class, feature, phi)``.
 
 Per-row work is generated column arithmetic (one ``inline`` of p structs per
-row); every summary is a grouped aggregate. Percentiles are exact without
-collecting a feature's values into one task: values are counted per distinct
-value, a bucketed running count gives each value its rank span, and the two
-order statistics around ``(n-1) q`` are joined back and interpolated.
+row); every summary is a grouped aggregate. Percentiles are exact, from counts
+of narrowing value ranges (``functions.quantiles``); null attributions are left
+out of them.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equigroup.functions.columns import quote
-from equigroup.functions.ordering import range_bucket, running_total
+from equigroup.functions.quantiles import percentiles
 
 
 def linear_attribution(df: DataFrame, key: str, coefs: dict, background: DataFrame | None = None) -> DataFrame:
@@ -71,25 +70,6 @@ def collapse_classes(attr: DataFrame, key: str, class_weights: dict | None = Non
     return attr.groupBy(key, "feature").agg(val.alias("phi"))
 
 
-def percentiles(attr: DataFrame, group_cols: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Exact linear-interpolation percentiles per group: (group..., q, value)."""
-    g = list(group_cols)
-    counts = attr.groupBy(*g, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ranked = running_total(range_bucket(counts, "v", "_qb"), g, ["v"], "c", "_qb", out="below")
-    n = counts.groupBy(*g).agg(F.sum("c").alias("n"))
-    qdf = attr.sparkSession.createDataFrame([(float(q),) for q in qs], "q double")
-    want = n.crossJoin(F.broadcast(qdf)).select(
-        *g, "q", (F.col("q") * (F.col("n") - 1)).alias("h"))
-    want = want.select(*g, "q", "h", F.floor("h").cast("bigint").alias("r_lo"), F.ceil("h").cast("bigint").alias("r_hi"))
-    spans = ranked.select(*g, "v", F.col("below").alias("lo"), (F.col("below") + F.col("c") - 1).alias("hi"))
-    lo = want.join(spans, g).filter((F.col("r_lo") >= F.col("lo")) & (F.col("r_lo") <= F.col("hi"))) \
-             .select(*g, "q", "h", "r_lo", F.col("v").alias("v_lo"))
-    hi = want.join(spans, g).filter((F.col("r_hi") >= F.col("lo")) & (F.col("r_hi") <= F.col("hi"))) \
-             .select(*g, "q", F.col("v").alias("v_hi"))
-    return lo.join(hi, [*g, "q"]).select(
-        *g, "q", (F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo"))).alias("value"))
-
-
 def feature_ranges(attr: DataFrame, lower: float = 5, upper: float = 95, by: list[str] = ()) -> DataFrame:
     """(by..., feature, range, rank): p_upper - p_lower per feature, ranked
     by range (largest first)."""

@@ -3,7 +3,9 @@
 The privileged mask splits rows into two groups (a NULL sensitive value is
 unprivileged), so every measure is one grouped aggregate with at most two
 output rows, pivoted to one row. Rates use only rows whose truth and
-prediction are both 0 or 1; disparate impact and the error spread use all.
+prediction are both 0 or 1; disparate impact and the error spread use all: a
+missing prediction is not positive, and a missing truth or prediction is an
+error.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ def group_rates(df: DataFrame, y_true: str, y_pred: str, priv: Column, by: list[
     def cnt(cond):
         return F.sum(F.when(binary & cond, 1).otherwise(0)).cast("bigint")
 
-    err = F.when(yt != yp, 1.0).otherwise(0.0)
+    err = F.when(yt == yp, 0.0).otherwise(1.0)
     g = df.groupBy(*by, priv.alias("privileged")).agg(
         cnt((yt == 1) & (yp == 1)).alias("tp"), cnt((yt == 0) & (yp == 1)).alias("fp"),
         cnt((yt == 0) & (yp == 0)).alias("tn"), cnt((yt == 1) & (yp == 0)).alias("fn"),

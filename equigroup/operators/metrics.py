@@ -14,6 +14,8 @@ from equigroup.functions.ordering import range_bucket, running_total
 
 
 def confusion(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
+    """Counts by truth and prediction; rows without either are left out."""
+    df = df.where(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull())
     return df.groupBy(F.col(y_true).alias("y"), F.col(y_pred).alias("yhat")).agg(
         F.count(F.lit(1)).alias("n"))
 

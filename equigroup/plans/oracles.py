@@ -235,6 +235,11 @@ oracle("v4_roc_auc", f"with d as ({S.C_PRED}), {AUC.format(s='p1')} select {r6('
 oracle("v5_metric_record", f"""with d as ({S.C_PRED}), {PER_CLASS}, {AUC.format(s='p1')}
 select 'LengthRule' as "Model", {r6('(select avg(case when y_true = y_pred then 1.0 else 0.0 end) from d)')} as "Accuracy",
   {r6('macro_precision')} as "Precision", {r6('macro_f1')} as "F1-score", {r6('roc_auc')} as "ROC AUC" from mac, au""")
+oracle("v5_metric_record_nulls", f"""with d0 as (select case when o_orderkey % 7 = 0 then null else y_true end as y_true,
+    case when o_orderkey % 11 = 0 then null else y_pred end as y_pred, cast(y_pred as double) as score from ({S.C_PRED3}) t),
+d as (select * from d0 where y_true is not null and y_pred is not null), {PER_CLASS}
+select 'PriceRule' as "Model", {r6('(select avg(case when y_true = y_pred then 1.0 else 0.0 end) from d)')} as "Accuracy",
+  {r6('macro_precision')} as "Precision", {r6('macro_f1')} as "F1-score", cast(null as double) as "ROC AUC" from mac""")
 oracle("v5_metric_record_multiclass", f"""with d as (select *, cast(y_pred as double) as score from ({S.C_PRED3}) t),
 {PER_CLASS}, {AUC.format(s='score')}
 select 'PriceRule' as "Model", {r6('(select avg(case when y_true = y_pred then 1.0 else 0.0 end) from d)')} as "Accuracy",
@@ -313,6 +318,10 @@ attr as (select vec_id, 1 as class, feature, c * (v - m) as phi from lv join bg
 rng as (select class, feature, quantile_cont(phi, 0.95) - quantile_cont(phi, 0.05) as range from attr group by class, feature)"""
 oracle("a1_linear_attribution", f"with {EMB_ATTR} select vec_id, class, feature, {r6('phi')} as phi from attr")
 oracle("a5_feature_ranges", f"""with {EMB_ATTR}
+select class, feature, {r6('range')} as range,
+  cast(row_number() over (partition by class order by range desc, feature) as integer) as rank from rng""")
+oracle("a5_feature_ranges_nulls", f"""with {EMB_ATTR.rsplit("rng as", 1)[0]}
+rng as (select class, feature, quantile_cont(phi, 0.75) - quantile_cont(phi, 0.1) as range from attr where vec_id % 5 <> 0 group by class, feature)
 select class, feature, {r6('range')} as range,
   cast(row_number() over (partition by class order by range desc, feature) as integer) as rank from rng""")
 oracle("a5_range_stats", f"""with {EMB_ATTR}

@@ -367,6 +367,14 @@ def v5_metric_record(spark, sf):
     return V.metric_record(C.c_pred(spark, sf), "y_true", "y_pred", "p1", "LengthRule")
 
 
+@query("v5_metric_record_nulls")
+def v5_metric_record_nulls(spark, sf):
+    """The record where every seventh truth and every eleventh prediction is missing."""
+    d = C.c_pred3(spark, sf).selectExpr("IF(o_orderkey % 7 = 0, NULL, y_true) AS y_true", "IF(o_orderkey % 11 = 0, NULL, y_pred) AS y_pred",
+                                        "cast(y_pred AS double) AS score")
+    return V.metric_record(d, "y_true", "y_pred", "score", "PriceRule")
+
+
 @query("v5_metric_record_multiclass")
 def v5_metric_record_multiclass(spark, sf):
     d = C.c_pred3(spark, sf).withColumn("score", F.col("y_pred").cast("double"))
@@ -491,6 +499,13 @@ def a5_feature_ranges(spark, sf):
     return A.feature_ranges(emb_attribution(spark, sf), 5, 95, by=["class"])
 
 
+@query("a5_feature_ranges_nulls")
+def a5_feature_ranges_nulls(spark, sf):
+    """Ranges where a fifth of the attributions is missing."""
+    phi = emb_attribution(spark, sf).withColumn("phi", F.expr("IF(vec_id % 5 = 0, NULL, phi)"))
+    return A.feature_ranges(phi, 10, 75, by=["class"])
+
+
 @query("a5_range_stats")
 def a5_range_stats(spark, sf):
     return A.range_stats(A.feature_ranges(emb_attribution(spark, sf), 5, 95, by=["class"]), by=["class"])
