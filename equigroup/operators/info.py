@@ -1,9 +1,9 @@
 """Information theory over feature columns (plug-in estimates, base-2 logs).
 
 Plan shape (scales with rows, not with the square of rows):
-* every row is exploded into (feature id, value symbol) or (pair id, x, y)
-  cells, and ``groupBy.count`` runs with map-side partial aggregation, so
-  each task ships one row per distinct cell, not per input row;
+* every row is one array of value symbols; a task counts the cells of all pairs
+  batch by batch on dictionary codes (``functions.cells``) and ships one row per
+  distinct cell;
 * conditional mutual information is assembled from entropies of the pair
   contingency table, ``I(X;Y|Z) = (S_xyz + S_z - S_xz - S_yz) / N`` with
   ``S = sum n log2 n`` over the cells of each marginal, which needs only
@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from equigroup.functions.columns import symbol_sql
+from equigroup.functions.cells import count_cells
+from equigroup.functions.columns import quote, symbol_sql
 from equigroup.vocab import DISSIM_EPS
 
 
@@ -27,10 +30,6 @@ def _str_array(values: list[str]) -> F.Column:
     return F.expr("array(" + ",".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")")
 
 
-def _int_array(values: list[int]) -> F.Column:
-    return F.expr("array(" + ",".join(str(int(v)) for v in values) + ")")
-
-
 def _names_col(names: list[str], idx) -> F.Column:
     return F.element_at(_str_array(names), idx + 1)
 
@@ -52,27 +51,19 @@ def entropy(df: DataFrame, features: list[str]) -> DataFrame:
 def cell_counts(df: DataFrame, features: list[str], target: str | None, segment: str | None = None) -> DataFrame:
     """(a, b, x, y, z, n) from ONE scan: pair cells (a < b feature indices,
     counted where x, y and z are set) and single-feature cells (b = -1, y = z
-    = 0, counted where x is set). Each row carries one array of p value
-    symbols; the cells come from exploding a cell index and looking both ends
-    up, so the plan stays O(p) in size whatever the number of pairs."""
+    = 0, counted where x is set); with ``segment``, for each of its values."""
     types = {f.name: f.dataType for f in df.schema.fields}
     p = len(features)
     pairs = [(i, j) for i in range(p) for j in range(i + 1, p)] if target else []
-    a_idx = [i for i, _ in pairs] + list(range(p))
-    b_idx = [j for _, j in pairs] + [-1] * p
     z = F.expr(symbol_sql(target, types[target])) if target else F.lit(0).cast("long")
-    sg = [segment] if segment else []
-    rows = df.select(*sg, _symbols(df, features).alias("_v"), z.alias("_z"))
-    k = F.explode(F.sequence(F.lit(0), F.lit(len(a_idx) - 1))).alias("_k")
-    cells = (rows.select(*sg, k, "_v", "_z")
-                 .select(*sg, F.element_at(_int_array(a_idx), F.col("_k") + 1).alias("a"),
-                         F.element_at(_int_array(b_idx), F.col("_k") + 1).alias("b"), "_v", "_z")
-                 .select(*sg, "a", "b", F.element_at("_v", F.col("a") + 1).alias("x"),
-                         F.when(F.col("b") >= 0, F.element_at("_v", F.col("b") + 1)).otherwise(F.lit(0).cast("long"))
-                          .alias("y"),
-                         F.when(F.col("b") >= 0, F.col("_z")).otherwise(F.lit(0).cast("long")).alias("z")))
-    return (cells.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
-                 .groupBy(*sg, "a", "b", "x", "y", "z").agg(F.count(F.lit(1)).alias("n")))
+    s = F.col(quote(segment)) if segment else F.lit(0)
+    kind = types[segment].simpleString() if segment else "int"
+    arrow = to_arrow_type(types[segment]) if segment else pa.int32()
+    rows = df.select(s.alias("s"), _symbols(df, features).alias("_v"), z.alias("_z"))
+    sg = [F.col("s").alias(segment)] if segment else []
+    cells = rows.mapInArrow(lambda batches: count_cells(batches, p, pairs, arrow),
+                            f"s {kind}, a int, b int, x long, y long, z long, n long")
+    return cells.groupBy(*sg, "a", "b", "x", "y", "z").agg(F.sum("n").alias("n"))
 
 
 def _entropy_from(counts: DataFrame, features: list[str]) -> DataFrame:
