@@ -34,12 +34,12 @@ def i3_dissimilarity(spark, sf):
 
 @query("i4_gram_centring")
 def i4_gram_centring(spark, sf):
-    return info.centred_gram(line_matrix(spark, sf))
+    return info.centred_gram(materialize(line_matrix(spark, sf)))
 
 
 @query("i4_gram_spectrum")
 def i4_gram_spectrum(spark, sf):
-    return info.gram_spectrum(info.centred_gram(line_matrix(spark, sf)))
+    return info.gram_spectrum(info.centred_gram(materialize(line_matrix(spark, sf))))
 
 
 def all_queries():
@@ -257,8 +257,8 @@ def emb_matrix(spark, sf):
 
 
 def emb_random_assignment(spark, sf):
-    m = emb_matrix(spark, sf)
-    return m, G.random_grouping(G.features_of(m), GROUPS_K)
+    features = G.columns_of(C.c_emb(spark, sf).select(*C.EMB_FEATURES))
+    return emb_matrix(spark, sf), G.random_grouping(features, GROUPS_K)
 
 
 @query("i3_dissimilarity_wide")
@@ -268,7 +268,7 @@ def i3_dissimilarity_wide(spark, sf):
 
 @query("g1_random_grouping")
 def g1_random_grouping(spark, sf):
-    return emb_random_assignment(spark, sf)[1]
+    return G.random_grouping(G.columns_of(C.c_emb(spark, sf).select(*C.EMB_FEATURES)), GROUPS_K)
 
 
 @query("g3_diversity")
@@ -907,7 +907,7 @@ def g11_k_sweep_greedy(spark, sf):
 @query("g6_searched_grouping_report", rounded=False)
 def g6_searched_grouping_report(spark, sf):
     """Grouping report for the bicriterion groups of the line-item matrix."""
-    m = line_matrix(spark, sf)
+    m = materialize(line_matrix(spark, sf))
     assign = G.bicriterion_grouping(m, [2], restarts=10).select("k", "group_id", "feature")
     return G.grouping_report(G.group_quality(assign, m, by=["k"]), m, normalize=True, by=["k"])
 
