@@ -229,19 +229,26 @@ def choose_widths(scaled: DataFrame, key: str, groups: dict[int, list[str]], los
 CHOICE = "group_id int, dim int, holdout_mse double, chosen boolean"
 
 
-def embed_feature_groups(df: DataFrame, key: str, groups: dict[int, list[str]], loss_threshold: float = 1e-2,
-                         max_dim: int = 5, seed: int = 42, **training) -> dict:
+def fit_groups(df: DataFrame, key: str, groups: dict[int, list[str]], loss_threshold: float = 1e-2, max_dim: int = 5,
+               seed: int = 42, **training) -> tuple[dict, list[tuple], list[tuple]]:
     """B1 + B2: z-score, choose each group's width, refit the chosen widths on
-    all rows. Returns the weight tables, the moments and the choice table."""
+    all rows: (models by (group, width), (feature, mean, scale) rows, widths tried)."""
     scaled, moments = scaled_features(df, key, groups)
     scaled = scaled.persist()
     tried = choose_widths(scaled, key, groups, loss_threshold, max_dim, seed, **training)
     chosen = {g: d for g, d, _, done in tried if done}
     final = train_autoencoders(scaled, groups, chosen, seed=seed, **training)
     scaled.unpersist()
-    spark = df.sparkSession
     one = moments.first()
     mom = [(f, float(one[f"{f}__mean"]), float(one[f"{f}__scale"])) for f in sorted({f for fs in groups.values() for f in fs})]
-    return {**weight_tables(spark, groups, final["models"]),
+    return final["models"], mom, tried
+
+
+def embed_feature_groups(df: DataFrame, key: str, groups: dict[int, list[str]], loss_threshold: float = 1e-2,
+                         max_dim: int = 5, seed: int = 42, **training) -> dict:
+    """``fit_groups`` as the weight tables, the moments and the choice table."""
+    models, mom, tried = fit_groups(df, key, groups, loss_threshold, max_dim, seed, **training)
+    spark = df.sparkSession
+    return {**weight_tables(spark, groups, models),
             "moments": spark.createDataFrame(mom, "feature string, mean double, scale double"),
             "choice": spark.createDataFrame(tried, CHOICE)}

@@ -17,10 +17,12 @@ from itertools import permutations
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equigroup.functions.columns import quote
+from equigroup.operators import attribution as A
 
 
 def kmeans_background(df: DataFrame, features: list[str], k: int = 50, seed: int = 42) -> list[list[float]]:
@@ -32,13 +34,13 @@ def kmeans_background(df: DataFrame, features: list[str], k: int = 50, seed: int
     return [[float(v) for v in c] for c in model.clusterCenters()]
 
 
-def shapley_sampling(model, rows: DataFrame, key: str, features: list[str], background: list[list[float]],
-                     n_permutations: int = 8, seed: int = 42, output: str = "p1") -> DataFrame:
-    """(key, feature, phi): sampled Shapley values of ``output`` (a column the
-    scoring function adds, e.g. the class-1 probability). ``model`` is a
-    callable DataFrame -> DataFrame (e.g. a fitted pipeline's predict). Where
-    the features have no more than ``n_permutations`` orders, all of them are
-    taken and the values are exact."""
+def shapley_by_class(model, rows: DataFrame, key: str, features: list[str], background: list[list[float]],
+                     n_classes: int, n_permutations: int = 8, seed: int = 42, output: str = "scores") -> DataFrame:
+    """(key, class, feature, phi): sampled Shapley values of every class at once.
+    ``model`` is a callable DataFrame -> DataFrame that adds ``output``, an array
+    of ``n_classes`` doubles (a probability vector, margins); each masked row is
+    scored once, whatever the classes. Where the features have no more than
+    ``n_permutations`` orders, all of them are taken and the values are exact."""
     p = len(features)
     rng = np.random.default_rng(seed)
     if math.factorial(p) <= n_permutations:
@@ -63,6 +65,43 @@ def shapley_sampling(model, rows: DataFrame, key: str, features: list[str], back
                     F.struct(F.col("_j").alias("rank"), F.lit(-1.0).alias("sign")))
     part = scored.withColumn("_s", F.explode(signs)).filter((F.col("_s.rank") >= 0) & (F.col("_s.rank") < p))
     names = F.array(*[F.lit(f) for f in features])
-    contrib = part.select(key, F.element_at(names, F.array_position("_rk", F.col("_s.rank")).cast("int")).alias("feature"),
-                          (F.col("_s.sign") * F.col(output)).alias("_v"))
-    return contrib.groupBy(key, "feature").agg((F.sum("_v") / F.lit(float(len(combos)))).alias("phi"))
+    moved = part.select(key, F.element_at(names, F.array_position("_rk", F.col("_s.rank")).cast("int")).alias("feature"),
+                        F.col("_s.sign").alias("_sign"), F.col(output).alias("_o"))
+    share = F.array(*[F.sum(F.col("_sign") * F.get("_o", F.lit(c))) / F.lit(float(len(combos))) for c in range(n_classes)])
+    return (moved.groupBy(key, "feature").agg(share.alias("_phi"))
+            .select(key, F.posexplode("_phi").alias("class", "phi"), "feature").select(key, "class", "feature", "phi"))
+
+
+def shapley_sampling(model, rows: DataFrame, key: str, features: list[str], background: list[list[float]],
+                     n_permutations: int = 8, seed: int = 42, output: str = "p1") -> DataFrame:
+    """(key, feature, phi): ``shapley_by_class`` of one score column, e.g. the
+    class-1 probability that a fitted pipeline's predict adds."""
+    one = shapley_by_class(lambda df: model(df).withColumn("_score", F.array(F.col(output))), rows, key, features, background,
+                           1, n_permutations, seed, "_score")
+    return one.drop("class")
+
+
+def class_scores(fitted, df: DataFrame, output: str = "scores") -> DataFrame:
+    """``output``: a fitted pipeline's probability vector as an array (its class
+    margins where the model gives no probability)."""
+    scored = fitted.transform(df)
+    return scored.withColumn(output, vector_to_array("probability" if "probability" in scored.columns else "rawPrediction"))
+
+
+def attribute(model, rows: DataFrame, key: str, features: list[str], background: list[list[float]], n_classes: int,
+              mode: str = "each_label", latents: list[tuple[str, int, int]] | None = None, decoder: DataFrame | None = None,
+              class_weights: dict | None = None, **sampling) -> DataFrame:
+    """A7: (key, class, feature, phi) of raw features, or, with ``latents`` (name,
+    group, dim of each feature scored) and ``decoder``, of the original features
+    behind latent ones. ``each_label`` keeps the classes; ``aggregated``
+    collapses them first (weighted sum, else sum of absolute values) under a
+    null class, before latent values are pushed to the features."""
+    if mode not in ("each_label", "aggregated"):
+        raise ValueError(f"unknown mode {mode!r}")
+    phi = shapley_by_class(model, rows, key, features, background, n_classes, **sampling)
+    if mode == "aggregated":
+        phi = A.collapse_classes(phi, key, class_weights).withColumn("class", F.lit(None).cast("int"))
+    if latents is not None:
+        table = rows.sparkSession.createDataFrame(latents, "feature string, group_id int, dim int")
+        phi = A.decompose(phi.join(F.broadcast(table), "feature").drop("feature"), decoder, key)
+    return phi.select(key, "class", "feature", "phi")

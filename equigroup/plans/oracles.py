@@ -554,6 +554,22 @@ v as (select doc_id, 'n_chars' as feature, cast(0.001 as double) * (n_chars - ca
       union all select doc_id, 'toxic', cast(-0.5 as double) * (toxic - cast(1 as double) / 3) from df
       union all select doc_id, 'is_en', cast(0.25 as double) * (is_en - cast(1 as double) / 3) from df)
 select doc_id, feature, {r6('phi')} as phi from v""")
+oracle("a7_attribution_modes", f"""with {DOC_FEAT},
+mw as (select * from (values (0, 0.001, -0.5, 0.25), (1, -0.002, 0.5, 0.1), (2, 0.0005, 0.25, -1.0)) t(class, wn, wt, we)),
+lw as (select * from (values (0, 1.0, -0.5, 0.25), (1, -2.0, 0.5, 0.1), (2, 0.5, 0.25, -1.0)) t(class, w0, w1, w2)),
+raw as (select doc_id, class, 'n_chars' as feature, cast(wn as double) * (n_chars - 1300) as phi from df, mw
+        union all select doc_id, class, 'toxic', cast(wt as double) * (toxic - cast(1 as double) / 3) from df, mw
+        union all select doc_id, class, 'is_en', cast(we as double) * (is_en - cast(1 as double) / 3) from df, mw),
+lat as (select doc_id, class, cast(w0 as double) * (cast(0.001 as double) * n_chars + toxic - cast(4.9 as double) / 3) as p0,
+               cast(w1 as double) * (toxic - is_en) as p1, cast(w2 as double) * (is_en - cast(1 as double) / 3) as p2 from df, lw),
+lag as (select doc_id, cast(null as integer) as class, sum(abs(p0)) as p0, sum(abs(p1)) as p1, sum(abs(p2)) as p2 from lat group by doc_id),
+g as (select 'grouped each_label' as mode, * from lat union all select 'grouped aggregated', * from lag),
+v as (select 'raw each_label' as mode, doc_id, class, feature, phi from raw
+      union all select 'raw aggregated', doc_id, null, feature, sum(abs(phi)) from raw group by doc_id, feature
+      union all select mode, doc_id, class, 'n_chars', p0 from g
+      union all select mode, doc_id, class, 'toxic', 0.75 * p0 + 0.25 * p1 from g
+      union all select mode, doc_id, class, 'is_en', p2 from g)
+select mode, doc_id, class, feature, {r6('phi')} as phi from v""")
 oracle("p12_feature_presence", f"""with e as ({S.C_EMB}), v as (""" + " union all ".join(
     f"select 'f{i}' as feature, var_samp(f{i}) as variance from e" for i in range(64)) + """),
 feats as (select feature from v where variance > 0),

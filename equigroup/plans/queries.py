@@ -3,12 +3,14 @@ tables through a cohort and returns a DataFrame (doubles rounded to 6)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from equigroup import cohorts as C
 from equigroup.operators import info
 from equigroup.plans.registry import QUERIES, query
-from equigroup.session import materialize
+from equigroup.session import checkpoint_dir, materialize
 
 
 # ---------------------------------------------------------------- 2.6 info
@@ -880,6 +882,52 @@ def a2_shapley_linear(spark, sf):
                                     DOC_X, LINEAR_BACKGROUND)
 
 
+@query("t10_grouped_experiment", rounded=False)
+def t10_grouped_experiment(spark, sf):
+    """Both flows over the documents, with attributions, the average distance of
+    the protected feature's points, and the embedded model saved as one pipeline."""
+    train, test = doc_split(spark, sf)
+    own = {"sensitive": privileged(F.col("lang"), "en"), "protected": "is_en"}
+    plain = experiment.run_experiment(train, test, "doc_id", "LogisticRegression", DOC_X, "y_true", mode="each_label", **own)
+    grouped = experiment.run_grouped_experiment(
+        train, test, "doc_id", "LogisticRegression", {0: ["n_chars", "toxic"], 1: ["is_en"]}, "y_true",
+        save_to=f"{checkpoint_dir(spark)}/grouped-{uuid.uuid4().hex}", **own)
+    return plain.withColumn("flow", F.lit("ungrouped")).unionByName(grouped.withColumn("flow", F.lit("grouped")))
+
+
+#: Margins of three classes over the features and over latent columns of them.
+MARGINS = {"n_chars": (0.001, -0.002, 0.0005), "toxic": (-0.5, 0.5, 0.25), "is_en": (0.25, 0.1, -1.0)}
+LATENTS = {"group_0_dim0": ("0.001D * n_chars + toxic", 0, 0, (1.0, -2.0, 0.5)), "group_0_dim1": ("toxic - is_en", 0, 1, (-0.5, 0.5, 0.25)),
+           "group_1": ("is_en", 1, 0, (0.25, 0.1, -1.0))}
+LATENT_DECODER = [(0, 0, "n_chars", 1.0), (0, 1, "n_chars", 0.0), (0, 0, "toxic", 3.0), (0, 1, "toxic", -1.0), (1, 0, "is_en", 0.5)]
+
+
+@query("a7_attribution_modes")
+def a7_attribution_modes(spark, sf):
+    """Raw and grouped, by class and aggregated: Shapley values of three linear
+    margins at once, which have closed forms."""
+    d = doc_features(spark, sf)
+    inner = d.selectExpr("doc_id", *[f"{e} AS {name}" for name, (e, _, _, _) in LATENTS.items()])
+    back = spark.createDataFrame(LINEAR_BACKGROUND, "n_chars double, toxic double, is_en double")
+    inner_back = [list(r) for r in back.selectExpr(*[e for e, _, _, _ in LATENTS.values()]).collect()]
+    decoder = spark.createDataFrame(LATENT_DECODER, "group_id int, dim int, feature string, w double")
+    places = [(name, g, k) for name, (_, g, k, _) in LATENTS.items()]
+
+    def margins(weights):
+        sums = [" + ".join(f"{w[c]!r}D * {f}" for f, w in weights.items()) for c in range(3)]
+        return lambda df: df.withColumn("scores", F.expr(f"array({', '.join(sums)})"))
+
+    out = None
+    for mode in ("each_label", "aggregated"):
+        raw = shapley.attribute(margins(MARGINS), d, "doc_id", DOC_X, LINEAR_BACKGROUND, 3, mode)
+        grouped = shapley.attribute(margins({n: w for n, (_, _, _, w) in LATENTS.items()}), inner, "doc_id", list(LATENTS), inner_back,
+                                    3, mode, places, decoder)
+        for kind, phi in (("raw", raw), ("grouped", grouped)):
+            phi = phi.select(F.lit(f"{kind} {mode}").alias("mode"), "doc_id", "class", "feature", "phi")
+            out = phi if out is None else out.unionByName(phi)
+    return out
+
+
 @query("a7_attribution_dispatch", rounded=False)
 def a7_attribution_dispatch(spark, sf):
     phi = _shap(spark, sf).withColumn("class", F.lit(1))
