@@ -171,7 +171,7 @@ def holdout_mse(scaled: DataFrame, groups: dict[int, list[str]], models: dict, r
         yield pd.DataFrame([(g, d, t, n * len(cols[g])) for (g, d), t in total.items()], columns=["group_id", "dim", "e", "n"])
 
     return (scaled.filter(row_filter).select(*feats).na.drop().mapInPandas(partial, "group_id int, dim int, e double, n long")
-            .groupBy("group_id", "dim").agg((F.sum("e") / F.sum("n")).alias("mse")))
+            .groupBy("group_id", "dim").agg(F.try_divide(F.sum("e"), F.sum("n")).alias("mse")))
 
 
 def weight_tables(spark, groups: dict[int, list[str]], models: dict) -> dict:
@@ -211,7 +211,7 @@ def choose_widths(scaled: DataFrame, key: str, groups: dict[int, list[str]], los
     tried in order, all open groups at once, on a hash-drawn 80 % split; a group
     is closed by the first width whose MSE on the other 20 % is within
     ``loss_threshold``, else by ``max_dim``."""
-    test = hash_below(key, 0.2, seed)
+    test = hash_below(key, 0.2, f"width{seed}")  # not the draw that other splits make with this seed
     tried: list[tuple] = []
     open_groups = sorted(groups)
     for d in range(1, max_dim + 1):

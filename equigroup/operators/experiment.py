@@ -30,13 +30,13 @@ def repeated_kfold(df: DataFrame, key: str, model: str, features: list[str], tar
     """(repeat, fold, accuracy, f1_score, precision, roc_auc) for a model
     refitted on every (repeat, fold) split of a repeated stratified k-fold.
     The fits run ``parallelism`` at a time; one row of metrics comes back from each."""
-    folds = materialize(split.repeated_stratified_kfold(df, target, key, k, repeats, seed))
+    folds = materialize(split.repeated_folds(df, target, key, k, repeats, seed, "_folds"))
 
     def one(job: tuple[int, int]) -> tuple:
         r, f = job
-        fr = folds.filter(F.col("repeat") == r)
-        fitted = M.fit(fr.filter(F.col("fold") != f), model, features, target, params, seed)
-        return (r, f, *fold_metrics(M.predict(fitted, fr.filter(F.col("fold") == f), target), target).first())
+        own = F.col("_folds")[r]
+        fitted = M.fit(folds.filter(own != f), model, features, target, params, seed)
+        return (r, f, *fold_metrics(M.predict(fitted, folds.filter(own == f), target), target).first())
 
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -51,7 +51,7 @@ def tuned_params(train: DataFrame, key: str, model: str, features: list[str], ta
     stratified validation hold-out."""
     tv = split.stratified_holdout(train, target, key, val_fraction, seed)
     sub = split.stratified_kfold(tv.filter(~F.col("is_test")).drop("is_test"), target, key, cv_splits, seed)
-    return M.tune(materialize(sub), model, features, target, "fold", n_iter, seed)[1]
+    return M.tune(materialize(sub), model, features, target, "fold", n_iter, seed, parallelism=8)[1]
 
 
 def _record(pred: DataFrame, key: str, target: str, name: str, sensitive: Column | None, phi: DataFrame | None,

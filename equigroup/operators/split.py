@@ -5,7 +5,10 @@ over a whole class."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import bisect_right
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from equigroup.functions.hashing import hash_below, hash_int, key_hash, salted_hash
@@ -59,22 +62,45 @@ def stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     return r.withColumn(out, (F.col("_pos") % k).cast("int")).drop("_h", "_pos")
 
 
-def repeated_stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, repeats: int = 10,
-                              seed: int = 42) -> DataFrame:
-    """(row, repeat, fold) with repeat r hashed by seed + r."""
+def repeated_folds(df: DataFrame, label: str, key: str, k: int = 5, repeats: int = 10, seed: int = 42,
+                   out: str = "folds") -> DataFrame:
+    """``df`` once, with an array of its fold in each repeat (repeat r hashed by
+    seed + r). Only key and label are ranked ``repeats`` times."""
     reps = df.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat"))
-    x = df.select(key, label).crossJoin(F.broadcast(reps))  # ``repeats`` rows; only what the ranks need is repeated
+    x = df.select(key, label).crossJoin(F.broadcast(reps))  # ``repeats`` rows
     x = x.withColumn("_h", salted_hash(key, F.lit(seed) + F.col("repeat")))
     r = ranked(x, ["repeat", label], ["_h"], hash_bucket("_h"), out="_pos")
-    folds = r.select(F.col(key).alias("_key"), "repeat", (F.col("_pos") % k).cast("int").alias("fold"))
+    fold = F.struct("repeat", (F.col("_pos") % k).cast("int").alias("fold"))
+    folds = r.groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(fold))["fold"].alias(out))  # ``repeats`` numbers
     return df.join(folds, F.col(key) == F.col("_key")).drop("_key")
 
 
+def repeated_stratified_kfold(df: DataFrame, label: str, key: str, k: int = 5, repeats: int = 10,
+                              seed: int = 42) -> DataFrame:
+    """``repeated_folds`` in long form: (row, repeat, fold)."""
+    folds = repeated_folds(df, label, key, k, repeats, seed, "_folds")
+    return folds.select(*df.columns, F.posexplode("_folds").alias("repeat", "fold"))
+
+
 def bootstrap_draw(df: DataFrame, key: str, size: int = 300, seed: int = 42) -> DataFrame:
     """``size`` rows drawn with replacement: draw i takes the row at position
-    hash(i|seed) mod n in md5(key|seed) order. Output adds ``draw``."""
-    r = ranked(df.withColumn("_h", key_hash(key, seed)), [], ["_h"], hash_bucket("_h"), out="_pos").drop("_h")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    draws = (df.sparkSession.range(size).select(F.col("id").alias("draw"))
-               .crossJoin(n).select("draw", (hash_int(F.col("draw"), seed) % F.col("_n")).alias("_pos")))
-    return r.join(F.broadcast(draws), "_pos").drop("_pos")
+    hash(i|seed) mod n in md5(key|seed) order. Output adds ``draw``.
+
+    The table is counted by hash bucket (at most 65,536 counts, map-side
+    combined); the counts tell in which buckets the positions lie and at which
+    rank there. Only rows of those buckets are read on and numbered: ``size``
+    buckets at most, each 1/65,536 of the table."""
+    spark = df.sparkSession
+    h = df.withColumn("_h", key_hash(key, seed)).withColumn("_b", hash_bucket("_h"))
+    counts = sorted((r["_b"] or "", r["_b"], r["n"]) for r in h.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
+    n = sum(c for _, _, c in counts)
+    ends = list(accumulate(c for _, _, c in counts))
+    places = []
+    for r in spark.range(size).select("id", hash_int(F.col("id"), seed).alias("v")).collect() if n else ():
+        at = r["v"] % n
+        i = bisect_right(ends, at)
+        places.append((r["id"], counts[i][1], at - (ends[i] - counts[i][2])))
+    draws = spark.createDataFrame(places, "draw long, _b string, _at long")
+    hit = h.join(F.broadcast(draws.select("_b").distinct()), "_b", "left_semi")
+    numbered = hit.withColumn("_at", F.row_number().over(Window.partitionBy("_b").orderBy("_h")).cast("long") - 1)
+    return numbered.join(F.broadcast(draws), ["_b", "_at"]).select(*df.columns, "draw")

@@ -4,6 +4,7 @@ tables through a cohort and returns a DataFrame (doubles rounded to 6)."""
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -888,11 +889,15 @@ def t10_grouped_experiment(spark, sf):
     the protected feature's points, and the embedded model saved as one pipeline."""
     train, test = doc_split(spark, sf)
     own = {"sensitive": privileged(F.col("lang"), "en"), "protected": "is_en"}
-    plain = experiment.run_experiment(train, test, "doc_id", "LogisticRegression", DOC_X, "y_true", mode="each_label", **own)
-    grouped = experiment.run_grouped_experiment(
-        train, test, "doc_id", "LogisticRegression", {0: ["n_chars", "toxic"], 1: ["is_en"]}, "y_true",
-        save_to=f"{checkpoint_dir(spark)}/grouped-{uuid.uuid4().hex}", **own)
-    return plain.withColumn("flow", F.lit("ungrouped")).unionByName(grouped.withColumn("flow", F.lit("grouped")))
+    flows = {
+        "ungrouped": lambda: experiment.run_experiment(train, test, "doc_id", "LogisticRegression", DOC_X, "y_true", mode="each_label", **own),
+        "grouped": lambda: experiment.run_grouped_experiment(
+            train, test, "doc_id", "LogisticRegression", {0: ["n_chars", "toxic"], 1: ["is_en"]}, "y_true",
+            save_to=f"{checkpoint_dir(spark)}/grouped-{uuid.uuid4().hex}", **own)}
+    with ThreadPoolExecutor(max_workers=2) as pool:  # the flows share nothing but their input
+        plain, grouped = (f.result().withColumn("flow", F.lit(name)) for name, f in
+                          [(name, pool.submit(run)) for name, run in flows.items()])
+    return plain.unionByName(grouped)
 
 
 #: Margins of three classes over the features and over latent columns of them.
