@@ -493,6 +493,23 @@ MODEL_POS = "mp as (select * from (values " + ", ".join(f"({i}, '{m}')" for i, m
     ") t(model_pos, model) where model in (select model from bc))"
 GROUP_POS = "gp as (select * from (values " + ", ".join(f"({i}, '{g}')" for i, g in enumerate(BENCH_GROUPING_ORDER)) + \
     ") t(grouping_pos, grouping))"
+oracle("s4_benchmark_csv", ORACLES["r6_benchmark_compare"])
+oracle("s5_csv_sink", ORACLES["r2_performance_report"])
+oracle("s6_metric_json", f"""with {RUN_CTE}
+select cast(case grouping when 'Random' then 0 when 'K-plus' then 1 else 2 end as integer) as run_id, grouping, dataset,
+  count(*) as n, {r6('sum("Accuracy")')} as accuracy, {r6('sum("F1-score")')} as f1
+from rec where grouping in ('Random', 'K-plus', 'Ungrouped') group by 1, 2, 3""")
+oracle("s8_summary_json", f"""with {RUN_CTE}, {_P7[:_P7_SEL].rstrip()}, rep as ({_P7[_P7_SEL:]})
+select metric, grouping, dataset, value from (unpivot rep on {', '.join(f'"{d}"' for d in DS_COLS)} into name dataset value value)""")
+oracle("s2_run_tree", f"""with runs as (select file_name, max(acc) as acc, max(prec) as prec, max(f1) as f1,
+    cast(('0x' || substr(md5(file_name), 1, 4)) as integer) % 7 as k from ({S.C_RUN}) c0 group by file_name),
+{RUN_CTE.replace(f"({S.C_RUN})", "(select * from runs where k <> 2)")}
+select dataset, case when dataset is not null then model end as model,
+  case when dataset is not null then grouping end as grouping, count(*) filter (where dataset is not null and k > 2) as parsed,
+  count(*) filter (where dataset is null or k < 2) as skipped,
+  {r6('sum(case when dataset is not null and k > 2 then runs.acc end)')} as accuracy,
+  {r6('sum(case when dataset is not null and k > 2 then runs.f1 end)')} as f1
+from pr join runs using (file_name) group by 1, 2, 3""")
 oracle("s9_overlay_long", f"""with {RUN_CTE}, {BC}, {MODEL_POS}, {GROUP_POS}
 select gp.grouping, cast(grouping_pos as integer) as grouping_pos, mp.model, cast(model_pos as integer) as model_pos,
   {r6('round(value * 100.0, 3)')} as value_pct

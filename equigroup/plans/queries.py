@@ -661,6 +661,67 @@ def j8_benchmark_join(spark, sf):
         .select("model", "grouping", "value_pct", "min", "mean", "max")
 
 
+def scratch(spark, name):
+    """A fresh folder beside the checkpoints, which all executors share."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s2_run_tree")
+def s2_run_tree(spark, sf):
+    """One JSON run a file name of the log, every seventh broken or of another
+    kind; written as a tree, read back by pattern, unreadable runs skipped."""
+    runs = C.c_run(spark, sf).groupBy("file_name").agg(F.max("acc").alias("a"), F.max("prec").alias("p"), F.max("f1").alias("f"))
+    number = F.conv(F.substring(F.md5("file_name"), 1, 4), 16, 10).cast("int") % 7
+    record = F.to_json(F.array(F.struct(F.col("a").alias("Accuracy"), F.col("p").alias("Precision"), F.col("f").alias("F1-score"))))
+    text = F.when(number == 0, F.lit('[{"Accuracy": ')).when(number == 1, F.lit("[]")).otherwise(record)
+    root = scratch(spark, "runs")
+    name = F.when(number == 2, F.concat("file_name", F.lit(".bak"))).otherwise(F.col("file_name"))
+    runlog.save_run_folders(runs.select(name.alias("file_name"), text.alias("text")), root)
+    rec = runlog.performance_records(runlog.read_run_folders(spark, root, "performance_metrics_*.json"))
+    return rec.groupBy("dataset", "model", "grouping").agg(
+        F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("skipped"),
+        F.sum(F.when(F.col("ok"), F.col("Accuracy"))).alias("accuracy"), F.sum(F.when(F.col("ok"), F.col("F1-score"))).alias("f1"))
+
+
+@query("s4_benchmark_csv")
+def s4_benchmark_csv(spark, sf):
+    """The benchmark written as CSV under longer headings, read back, compared."""
+    path = scratch(spark, "benchmark")
+    b = R.benchmark_table(spark)
+    runlog.save_csv(b.select(F.col("model").alias("Model name"), F.col("min").alias("Min (%)"), F.lit("x").alias("note"),
+                             F.col("mean").alias("Mean (%)"), F.col("max").alias("MAX")), path)
+    return R.benchmark_compare(bc_precision(spark, sf), runlog.load_benchmark_csv(spark, path))
+
+
+@query("s5_csv_sink")
+def s5_csv_sink(spark, sf):
+    path = scratch(spark, "report")
+    report = perf_report(spark, sf)
+    runlog.save_csv(report, path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in report.schema.fields])
+
+
+@query("s6_metric_json")
+def s6_metric_json(spark, sf):
+    """Records of three runs and of none appended to one JSON table, read back."""
+    path = scratch(spark, "metrics")
+    rec = materialize(run_records(spark, sf).select("dataset", "grouping", "model", "Accuracy", "F1-score"))
+    for i, run in enumerate(["Random", "K-plus", "Ungrouped"]):
+        runlog.save_metrics(rec.where(F.col("grouping") == run), path, run_id=i)
+    back = spark.read.schema("dataset string, grouping string, model string, Accuracy double, `F1-score` double, run_id int").json(path)
+    return back.groupBy("run_id", "grouping", "dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("Accuracy").alias("accuracy"), F.sum("F1-score").alias("f1"))
+
+
+@query("s8_summary_json")
+def s8_summary_json(spark, sf):
+    """The nested summary, read back cell by cell."""
+    nested = R.summary_json(perf_report(spark, sf), PERFORMANCE_KEYS)
+    per_metric = nested.select("metric", F.explode(F.from_json("json", "map<string,map<string,double>>")).alias("grouping", "cells"))
+    return per_metric.select("metric", "grouping", F.explode("cells").alias("dataset", "value"))
+
+
 @query("s9_overlay_long")
 def s9_overlay_long(spark, sf):
     return R.overlay_long(bc_precision(spark, sf))

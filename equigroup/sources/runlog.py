@@ -5,6 +5,8 @@ parsed with ``from_json`` so unreadable files become NULL and are counted."""
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,21 @@ def read_run_files(spark: SparkSession, root: str, pattern: str = "*.json") -> D
                      F.col("value").alias("text"))
 
 
+def save_run_folders(runs: DataFrame, root: str) -> None:
+    """Write (file_name, text) as one folder a run, ``file_name=<name>``, the
+    way Spark writes a tree of runs."""
+    runs.select("file_name", F.col("text").alias("value")).repartition("file_name") \
+        .write.mode("append").partitionBy("file_name").text(root)
+
+
+def read_run_folders(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """(file_name, text) of the runs that ``save_run_folders`` wrote and whose
+    name matches the glob ``pattern``."""
+    df = spark.read.schema("value string, file_name string").text(root, wholetext=True)
+    return df.where(F.col("file_name").rlike("^" + fnmatch.translate(pattern).replace(r"\z", r"\Z"))) \
+        .select("file_name", F.rtrim("value").alias("text"))
+
+
 def performance_records(files: DataFrame) -> DataFrame:
     """(file_name, ok, dataset, grouping, model, Accuracy, Precision, F1-score):
     the first object of each file's JSON array; ``ok`` is false for names that
