@@ -12,7 +12,8 @@ seven rows a word.
 Defined cases: null text is empty; texts are equal when they are identical
 after deleting every white-space character (so all blank texts are equal); the
 row with the most code points in its original text stays, then the smallest id
-(a null id loses), and of wholly repeated rows one; extra columns are carried
+(a null id loses); of rows equal in both ``dedup_groups`` keeps the first and
+``exact_dedup`` the one whose text has the greatest hash; any id will do; extra columns are carried
 whole under their own names; an empty table gives an empty result.
 """
 
@@ -65,9 +66,15 @@ def flag_repeated(rows: DataFrame, bloom: DataFrame, words: int = FILTER_WORDS)
             .drop("word", "bits", "_mask"))
 
 
-def _order(n_chars: Column, doc_id: Column) -> Column:
-    """Larger is better: most code points, then the smallest id (null last)."""
-    return F.struct(n_chars.alias("n"), (-doc_id).alias("i"))
+def _falling(number: Column) -> Column:
+    """A long that falls as ``number`` rises, for every long (a negative would overflow)."""
+    return F.bitwise_not(number)
+
+
+def _order(text: Column, doc_id: Column) -> Column:
+    """Larger is better: most code points, then the smallest id (null last),
+    then the greatest hash of the text as it is."""
+    return F.struct(F.length(text).alias("n"), _falling(doc_id).alias("i"), F.xxhash64(text).alias("h"))
 
 
 def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -86,10 +93,10 @@ def dedup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # written out, so that Spark may split the rows of a hot text when it joins them
     groups = materialize(maybe.groupBy("text_sha256").agg(
         F.count(F.lit(1)).alias("group_size"),
-        F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("i"), (-F.col("_row")).alias("r"))).alias("_best")))
+        F.max(F.struct(F.col("n_chars"), _falling(F.col("doc_id")).alias("i"), _falling(F.col("_row")).alias("r"))).alias("_best")))
     shared = maybe.join(groups, "text_sha256").select(
-        "doc_id", (-F.col("_best.i")).alias("keep_id"), "group_size",
-        (F.col("_row") == -F.col("_best.r")).alias("kept"), "text_sha256")
+        "doc_id", _falling(F.col("_best.i")).alias("keep_id"), "group_size",
+        (F.col("_row") == _falling(F.col("_best.r"))).alias("kept"), "text_sha256")
     return single.unionByName(shared)
 
 
@@ -100,7 +107,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its best row of a hash, so a hot text costs one row a task."""
     d = text_digest(col(text_col)).alias("text_sha256")
     bloom = materialize(repeated_filter(docs.select(d), filter_words))
-    order = _order(F.length(F.coalesce(col(text_col).cast("string"), F.lit(""))), col(id_col).cast("long"))
+    order = _order(F.coalesce(col(text_col).cast("string"), F.lit("")), col(id_col).cast("long"))
     flagged = flag_repeated(docs.select(pack_rows(docs), d, order.alias("_order")), bloom, filter_words)
     single = flagged.where(~F.col("_repeated")).select("row")
     best = flagged.where("_repeated").groupBy("text_sha256").agg(F.max_by("row", "_order").alias("row")).select("row")

@@ -138,7 +138,8 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "d
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id
     (the smallest id reachable through links)."""
     rows = materialize(fingerprints(docs, words, id_col=id_col, text_col=text_col))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    # written out: straight from an aggregate, their spreading in ``links`` would be dropped as done already
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes.select("fp"), bits)).withColumnRenamed("node", "fp")
     linked = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).join(nodes, "fp")
     least = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")))
