@@ -35,6 +35,8 @@ from equigroup.session import num_partitions
 SEED = 42
 #: Shingles hashed at a time.
 CHUNK = 1 << 18
+#: Crowded variants (8 bytes each) that are broadcast at most.
+CROWDED = 1 << 20
 
 
 def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
@@ -94,7 +96,10 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
         F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     pairs = shared.where("n = 2").select("a", "b").distinct()
     verified = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    crowd = v.join(shared.where("n > 2").select("variant"), "variant", "left_semi").select("fp").distinct()
+    crowded = shared.where("n > 2").select("variant")
+    if crowded.count() <= CROWDED:
+        crowded = F.broadcast(crowded)  # else the variants are shuffled once more, some 0.4 times the input
+    crowd = v.join(crowded, "variant", "left_semi").select("fp").distinct()
     near = "transform(sequence(0, 63), b -> fp ^ shiftleft(1L, b))"
     if bits == 2:
         meet = crowd.selectExpr("fp", f"explode(array_append({near}, fp)) AS at")
