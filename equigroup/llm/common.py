@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from equigroup.session import materialize
 from equigroup.sources.tables import read_table
 
-__all__ = ["col", "id_text", "materialize", "pack_rows", "read_table", "shared_bytes", "unpack_rows"]
+__all__ = ["col", "id_text", "let", "materialize", "pack_rows", "read_table", "shared_bytes", "unpack_rows"]
 
 #: The characters of ``[\x20\x09-\x0D]`` as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -26,6 +26,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``value`` worked out once, as ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def pack_rows(docs: DataFrame, name: str = "row") -> Column:
     """The whole input row as one struct column: carried through joins and
     aggregates under one name, its own column names can't clash."""

@@ -12,6 +12,10 @@ run of characters is entered only at its start or where the last match ended
 (``\G``), which finds the same matches as trying every character, and
 repetitions give nothing back where nothing that follows could use it.
 
+Places are running sums over blocks of matches, and what stands beside a span is
+cut from a text's pieces of ``CHUNK`` characters, so a text with very many
+matches costs little more than as many short ones.
+
 Defined cases: null and empty texts have no span; very long texts are searched
 whole; repeated rows are reported each; the spans of one kind don't overlap,
 those of different kinds may; extra columns are not read, or carried whole by
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equigroup.llm.common import id_text, pack_rows
+from equigroup.llm.common import id_text, let, pack_rows
 
 THRESHOLD = 0.5
 #: Characters before and after a span that are searched for context words.
@@ -75,24 +79,52 @@ KINDS = (
 )
 BASE = 4
 
-_FOUND = "array<struct<start:bigint,end:bigint,v:string>>"
 _SPANS = "array<struct<start:bigint,end:bigint,no:int,kind:string,score:double>>"
+#: Code points of a piece of a text that is cut at many places.
+CHUNK = 256
+
+
+def _before(values: str, op: str) -> str:
+    """SQL: for each of an array of longs, ``op`` of 0 and all before it. Blocks
+    of the root of their number are run through one by one, so that n values
+    take n * sqrt(n) steps of copying a long."""
+    def run(xs: str, start: str) -> str:
+        return (f"aggregate({xs}, named_struct('at', {start}, 'seen', CAST(array() AS array<bigint>)), "
+                f"(acc, x) -> named_struct('at', {op.format('acc.at', 'x')}, 'seen', concat(acc.seen, array(acc.at))), acc -> acc.seen)")
+    block = "slice(ns, int(j * root + 1), root)"
+    whole = f"transform(sequence(0, (size(ns) - 1) div root), j -> aggregate({block}, 0L, (a, x) -> {op.format('a', 'x')}))"
+    return let("ns", values, "CASE WHEN size(ns) = 0 THEN ns ELSE " + let("root", "int(ceil(sqrt(size(ns))))", (
+        f"flatten(transform({run(whole, '0L')}, (o, j) -> {run(block, 'o')}))")) + " END")
+
+
+def _chunks(text: str) -> str:
+    """SQL: the text as pieces of ``CHUNK`` code points."""
+    return f"regexp_extract_all({text}, r'(?s).{{1,{CHUNK}}}', 0)"
+
+
+def _cut(chunks: str, start: str, end: str) -> str:
+    """SQL: the code points from start up to end, from the pieces they lie in."""
+    pieces = f"slice({chunks}, int({start} div {CHUNK} + 1), int(({end} - 1) div {CHUNK} - {start} div {CHUNK} + 1))"
+    return (f"CASE WHEN {end} <= {start} THEN '' ELSE "
+            f"substring(array_join({pieces}, ''), int({start} % {CHUNK} + 1), int({end} - {start})) END")
 
 
 def _kind_spans(k: Kind, number: int) -> str:
     """SQL for the spans of one kind (_SPANS) over the columns t (text) and
     digits (whether it has any)."""
-    found = (f"aggregate(zip_with(split(t, r'{k.pattern}', -1), regexp_extract_all(t, r'{k.pattern}', 0), "
-             "(gap, v) -> named_struct('gap', gap, 'v', v)), "
-             f"named_struct('at', 0L, 'found', CAST(array() AS {_FOUND})), "
-             "(acc, p) -> CASE WHEN p.v IS NULL THEN acc ELSE named_struct('at', acc.at + length(p.gap) + length(p.v), "
-             "'found', concat(acc.found, array(named_struct('start', acc.at + length(p.gap), "
-             "'end', acc.at + length(p.gap) + length(p.v), 'v', p.v)))) END, acc -> acc.found)")
-    near = (f"CASE WHEN lower(concat_ws('\n', substring(t, int(greatest(s.start - {NEAR} + 1, 1)), int(least(s.start, {NEAR}))), "
-            f"substring(t, int(s.end + 1), {NEAR}))) RLIKE '(?<![a-z])(?:{k.words})' THEN {k.near}D ELSE 0D END")
-    rated = (f"transform(filter({found}, s -> {k.check.replace('@v', 's.v')}), s -> named_struct('start', s.start, 'end', s.end, "
-             f"'no', {number}, 'kind', '{k.name}', 'score', {k.score}D + {near}))")
-    return f"CASE WHEN {k.hint} THEN filter({rated}, s -> s.score >= {THRESHOLD}D) ELSE CAST(array() AS {_SPANS}) END"
+    found = let("vs", f"regexp_extract_all(t, r'{k.pattern}', 0)", f"CASE WHEN size(vs) = 0 THEN CAST(array() AS {_SPANS}) ELSE "
+                + let("ls", f"zip_with(slice(split(t, r'{k.pattern}', -1), 1, size(vs)), vs, (gap, v) -> "
+                      "named_struct('v', v, 'gap', bigint(length(gap)), 'n', bigint(length(v))))", let(
+                          "good", "filter(zip_with(ls, " + _before("transform(ls, l -> l.gap + l.n)", "{0} + {1}")
+                          + ", (l, b) -> named_struct('v', l.v, 'start', b + l.gap, 'end', b + l.gap + l.n)), "
+                          f"s -> {k.check.replace('@v', 's.v')})", "CASE WHEN size(good) = 0 THEN CAST(array() AS "
+                          f"{_SPANS}) ELSE @rated END")) + " END")
+    beside = (_cut("cs", f"greatest(s.start - {NEAR}, 0L)", "s.start") + ", " + _cut("cs", "s.end", f"least(s.end + {NEAR}, total)"))
+    near = f"CASE WHEN lower(concat_ws('\n', {beside})) RLIKE '(?<![a-z])(?:{k.words})' THEN {k.near}D ELSE 0D END"
+    rated = let("cs", _chunks("t"), let("total", "bigint(length(t))", (
+        "filter(transform(good, s -> named_struct('start', s.start, 'end', s.end, "
+        f"'no', {number}, 'kind', '{k.name}', 'score', {k.score}D + {near})), s -> s.score >= {THRESHOLD}D)")))
+    return f"CASE WHEN {k.hint} THEN {found.replace('@rated', rated)} ELSE CAST(array() AS {_SPANS}) END"
 
 
 def with_spans(rows: DataFrame, text: Column) -> DataFrame:
@@ -125,12 +157,11 @@ def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n
     the number of code points brought up to date. Other columns stay; so do
     texts without a span, null included."""
     found = with_spans(docs.select(pack_rows(docs)), F.col("row").getField(text_col))
-    clean = F.expr(
-        "CASE WHEN size(spans) = 0 THEN t ELSE aggregate(spans, named_struct('at', 0L, 'out', ''), (acc, s) -> "
-        "CASE WHEN s.start >= acc.at THEN named_struct('at', s.end, 'out', concat(acc.out, "
-        "substring(t, int(acc.at + 1), int(s.start - acc.at)), '<', s.kind, '>')) "
-        "ELSE named_struct('at', greatest(acc.at, s.end), 'out', acc.out) END, "
-        "acc -> concat(acc.out, substring(t, int(acc.at + 1)))) END")
+    ends = _before("transform(spans, s -> s.end)", "greatest({0}, {1})")
+    filled = ("array_join(transform(zip_with(spans, prior, (s, b) -> named_struct('s', s, 'b', b)), p -> CASE WHEN p.s.start >= p.b THEN concat("
+              + _cut("cs", "p.b", "p.s.start") + ", '<', p.s.kind, '>') ELSE '' END), '')")
+    rest = let("last", "array_max(transform(spans, s -> s.end))", _cut("cs", "last", "bigint(length(t))"))
+    clean = F.expr("CASE WHEN size(spans) = 0 THEN t ELSE " + let("cs", _chunks("t"), let("prior", ends, f"concat({filled}, {rest})")) + " END")
     out = found.withColumn("_clean", clean).withColumn("_hit", F.size("spans") > 0)
     cols = []
     for f in docs.schema.fields:

@@ -83,3 +83,31 @@ def test_query(spark, sf_small):
     got = queries.op9_pii(spark, sf_small)
     assert "Python" not in got._jdf.queryExecution().toString()
     check(spark.read.parquet(f"{sf_small}/documents.parquet"), texts)
+
+
+def test_very_many_matches(spark):
+    """100,000 addresses in one text, and spans that overlap or touch."""
+    many = "".join(f"u{i}@host{i % 7}.example.org, " for i in range(100_000))
+    mixed = "😀 call +1 509 555 6973 or mail a@b.co\n" * 5000 + "x" * 1000 + "4111111111111111"
+    texts = [many, mixed]
+    df = frame(spark, texts)
+    got = {r["doc_id"]: r for r in check(df, texts)}
+    assert got[0]["n_email"] == 100_000 and got[1]["n_phone"] == 5000 == got[1]["n_email"] and got[1]["n_card"] == 1
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[0] == "<email>, " * 100_000
+    assert clean[1] == "😀 call <phone> or mail <email>\n" * 5000 + "x" * 1000 + "<card>"
+
+
+def test_context_is_that_of_the_text(spark):
+    """Context words 40 characters away count, farther ones don't, also across pieces and other matches."""
+    rows, want = [], []
+    for lead in (0, 200, 255, 256, 300):
+        for gap in (1, 30, 36, 37, 38, 60):
+            before = " " * lead + "ssn" + "." * gap
+            rows.append(before + "123-45-6789")
+            want.append("ssn" in before[-pii.NEAR:])
+            after = " " * lead + "123-45-6789" + "." * gap + "ssn"
+            rows.append(after)
+            want.append("ssn" in after[lead + 11:lead + 11 + pii.NEAR])
+    got = {r["doc_id"]: r["spans"] != "" for r in pii.pii_report(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == want
