@@ -19,6 +19,7 @@ result (and a model of made layouts of filler words alone).
 """
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equigroup.llm.common import col
-from equigroup.llm.html_blocks import blocks
+from equigroup.llm.html_blocks import along, blocks
 
-TRAIN_PAGES, MADE_PAGES, EPOCHS, BATCH = 300, 800, 15, 128
+TRAIN_PAGES, MADE_PAGES, EPOCHS, BATCH = 300, 1800, 12, 128
 #: Pages times blocks that are labelled at a time, unless one page has more.
 BATCH_CELLS = 1 << 16
 PATHS, WORDS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 2048, 1024, 24, 6, 4, 20
@@ -60,11 +61,25 @@ BOILER_WORDS = {w for kind in PARTS.values() for part in kind for w in part.part
 def markup_labels(page: list) -> list[int] | None:
     """1 for blocks inside an article or main element and no part of
     ``PARTS``; None for pages that have no such element."""
-    inside = [any(m[0] in ("article", "main") for m in path) for path, _, _ in page]
+    inside, other = {}, {}
+    inside = [along(path, inside, False, lambda v, p: v or p.marks[0] in ("article", "main")) for path, _, _ in page]
     if not any(inside):
         return None
-    return [int(i and not any(m[0] in BOILER_TAGS or any(w[1:] in BOILER_WORDS for w in m[1:]) for m in path))
-            for i, (path, _, _) in zip(inside, page)]
+    other = [along(path, other, False, lambda v, p: v or p.marks[0] in BOILER_TAGS or any(w[1:] in BOILER_WORDS for w in p.marks[1:]))
+             for path, _, _ in page]
+    return [int(i and not o) for i, o in zip(inside, other)]
+
+
+def hide_holders(html: str, rng: random.Random) -> str:
+    """The page with its article and main elements as elements that don't say so."""
+    name = rng.choice(["div", "section"])
+    mark = rng.choice(["", f' class="{nonsense(rng)}"'])
+    return re.sub(r"<(/?)(?:article|main)\b[^>]*>", lambda m: f"</{name}>" if m[1] else f"<{name}{mark}>", html, flags=re.I)
+
+
+def nonsense(rng: random.Random) -> str:
+    """A class word that says nothing."""
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(1, 7)))
 
 
 def _open(holder: str, rng: random.Random) -> tuple[str, str]:
@@ -73,6 +88,10 @@ def _open(holder: str, rng: random.Random) -> tuple[str, str]:
     name, _, words = holder.partition(".")
     parts = words.split()
     nested = parts.pop() if parts and parts[-1] == "form" else None
+    if parts and rng.random() < 0.4:  # words of a site's own beside the known ones, at times instead of them
+        parts.insert(rng.randint(0, len(parts)), nonsense(rng))
+        if rng.random() < 0.1:
+            parts = [nonsense(rng)]
     kind = rng.choice(["class", "class", "id"])
     value = rng.choice(["-", " ", "_"]).join(parts)
     mark = f' {kind}="{value}"' if parts else ""
@@ -84,6 +103,10 @@ def _open(holder: str, rng: random.Random) -> tuple[str, str]:
 def made_page(rng: random.Random, long: list[str], short: list[str]) -> tuple[str, list[int]]:
     """A page put together from block texts, and its blocks' labels."""
     out, labels = [], []
+    plain = rng.random()
+    if plain < 0.04:  # no markup, or hardly any
+        body = " ".join(rng.choice(long if rng.random() < 0.7 else short).replace("&", "&amp;").replace("<", "&lt;") for _ in range(rng.randint(1, 3)))
+        return rng.choice(["{}", "{}", "<body>{}</body>", "<html><body>{}</body></html>", "<p>{}", "<div>{}</div>"]).format(body), [1]
 
     def text(words: list[str]) -> str:
         return rng.choice(words).replace("&", "&amp;").replace("<", "&lt;")
@@ -100,7 +123,9 @@ def made_page(rng: random.Random, long: list[str], short: list[str]) -> tuple[st
             out.append(f"{before}{text(short)}{after}<hr>")
             labels.append(0)
             return
-        out.append(before)
+        inner = {"menu": ["ul", "ul", "ol", "div"], "comments": ["div", "ul", "section"]}.get(kind)
+        inner = rng.choice(inner) if inner and rng.random() < 0.5 else None
+        out.append(before + (f"<{inner}>" if inner else ""))
         n = rng.randint(1, 6 if kind in ("menu", "comments") else 3)
         for _ in range(n):
             if kind == "menu":
@@ -110,13 +135,17 @@ def made_page(rng: random.Random, long: list[str], short: list[str]) -> tuple[st
             else:
                 block(rng.choice(["p", "p", "div", "li", "h3", "span"] if n == 1 else ["p", "div", "li", "h3"]),
                       long if rng.random() < 0.5 else short, 0, rng.random() < 0.2)
-        out.append(after)
+        out.append((f"</{inner}>" if inner else "") + after)
 
     for kind in ("header", "menu", "notice", "advert", "form", "side"):
         if rng.random() < 0.45:
             part(kind)
+    if rng.random() < 0.35:  # a site's own names: nothing but what it holds tells what a part is
+        hidden = f'<{(name := rng.choice(["div", "section"]))}{rng.choice(["", " class=" + nonsense(rng), " id=" + nonsense(rng)])}>', f"</{name}>"
+    else:
+        hidden = None
     wraps = [_open(rng.choice(["div", "div.wrapper", "div.container", "section", "div.page"]), rng) for _ in range(rng.randint(0, 2))]
-    holder = _open(rng.choice(HOLDERS), rng)
+    holder = hidden or _open(rng.choice(HOLDERS), rng)
     out += [w[0] for w in wraps]
     if rng.random() < 0.3:
         part("side")
@@ -124,26 +153,34 @@ def made_page(rng: random.Random, long: list[str], short: list[str]) -> tuple[st
     brief = rng.random() < 0.2  # a page of short texts
     if rng.random() < 0.7:
         block(rng.choice(["h1", "h1", "h2"]), short, 1)
-    for _ in range(rng.randint(1, 10)):
+    for _ in range(rng.randint(1, 3 if rng.random() < 0.3 else 10)):
         x = rng.random()
         if x < 0.07:
             part(rng.choice(["advert", "side", "notice", "form"]))
-        elif x < 0.15:
+        elif x < 0.12:  # words in the holder itself, a formula, a caption
+            tag = rng.choice(["", "", "math", "figcaption", "dd"])
+            if tag in ("", "math"):
+                body = text(long if rng.random() < 0.4 else short)
+                out.append(f"<hr>{f'<math><mi>{body}</mi></math>' if tag else body}<hr>")
+                labels.append(1)
+            else:
+                block(tag, short, 1)
+        elif x < 0.19:
             block(rng.choice(["h2", "h3", "h4"]), short, 1)
-        elif x < 0.23:
+        elif x < 0.26:
             tag = rng.choice(["ul", "ol"])
             out.append(f"<{tag}>")
             for _ in range(rng.randint(1, 4)):
                 block("li", short if rng.random() < 0.6 else long, 1)
             out.append(f"</{tag}>")
-        elif x < 0.28:
+        elif x < 0.31:
             out.append("<table><tr>")
             for _ in range(rng.randint(1, 3)):
                 block("td", short, 1)
             out.append("</tr></table>")
         else:
             block(rng.choice(["p", "p", "p", "p", "blockquote", "pre", "div"]), short if brief or rng.random() < 0.2 else long, 1)
-    if rng.random() < 0.25:
+    if rng.random() < 0.35:
         part("comments")
     out.append(holder[1])
     out += [w[1] for w in reversed(wraps)]
@@ -171,13 +208,20 @@ class Hashes(dict):
 def vectors(page: list, path_hash: Hashes, word_hash: Hashes) -> tuple[list, list, np.ndarray]:
     """Buckets of each block's path, buckets of its words, and measures."""
     paths, words, measures = [], [], np.empty((len(page), MEASURES), np.float32)
+    known: dict = {}
+
+    def grown(around: frozenset, p) -> frozenset:
+        new = {path_hash[w] for w in p.marks}
+        if p.up is not None:
+            new.add(path_hash[f"{p.up.marks[0]}>{p.marks[0]}"])
+        return around if new <= around else around | new
+
     for i, (path, text, linked) in enumerate(page):
-        keys = [w for m in path for w in m] + [f"{a[0]}>{b[0]}" for a, b in zip(path, path[1:])]
-        keys += ["last " + w for w in path[-1]] if path else []
-        paths.append(sorted({path_hash[k] for k in keys}))
+        own = {path_hash["last " + w] for w in path.marks} if path is not None else set()
+        paths.append(sorted(own | along(path, known, frozenset(), grown)))
         w = text.split()
         words.append([word_hash[x] for x in w])
-        measures[i] = (min(len(text), 2000) ** 0.5 / 20, linked, text.count(".") / (len(w) + 1), (i + 1) / len(page))
+        measures[i] = (np.log1p(len(text)) / 4, linked, text.count(".") / (len(w) + 1), (i + 1) / len(page))
     return paths, words, measures
 
 
@@ -333,14 +377,16 @@ def fit_labeller(pages: DataFrame, train_pages: int = TRAIN_PAGES, made_pages: i
         if labels:
             x.append(vectors(page, path_hash, word_hash))
             y.append(labels)
+            x.append(vectors(blocks(hide_holders(row["html"], rng)), path_hash, word_hash))
+            y.append(labels)
     filler = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) + "." for n in (3, 5, 8, 30, 60)]
     long, short = long or filler[3:], short or filler[:3]
     for _ in range(made_pages):
         html, labels = made_page(rng, long, short)
         page = blocks(html)
-        if len(page) == len(labels):
-            x.append(vectors(page, path_hash, word_hash))
-            y.append(labels)
+        assert len(page) == len(labels)
+        x.append(vectors(page, path_hash, word_hash))
+        y.append(labels)
     return train(x, y, seed=seed)
 
 
