@@ -11,7 +11,9 @@ populations apart, on one feature. In one dimension the k nearest training
 points of a query lie within k sorted positions on either side, so each query
 needs at most 3k candidates, looked up by rank with an equi-join on unique
 positions (no cross join, and no hot key whatever the value distribution).
-Ties in distance are broken by the training key.
+Ties in distance are broken by the training key. On several features the
+neighbours come from ``neighbours.knn``; there are at most a few more scores
+than k, since a score is a share of k neighbours.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 from equigroup.functions.hashing import hash_below
 from equigroup.functions.ordering import range_bucket, ranked, running_total
 from equigroup.operators.metrics import roc_auc
+from equigroup.operators.neighbours import knn
 from equigroup.operators.split import bootstrap_draw
 from equigroup.vocab import KDE_BANDWIDTH, KDE_SAMPLE_POINTS, KNN_NEIGHBOURS, KNN_TEST_FRACTION
 
@@ -120,6 +123,35 @@ def knn_1d(train: DataFrame, test: DataFrame, key: str, x: str, label: str,
                         F.col("lab").alias("neighbour_label")))
 
 
+def two_populations(empirical: DataFrame, removal: DataFrame, key: str, features: list[str],
+                    test_fraction: float = KNN_TEST_FRACTION, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and hash-drawn hold-out rows of both: features, origin (0 =
+    empirical, 1 = removal) and the key _k."""
+    both = (empirical.select(key, *features).withColumn("origin", F.lit(0))
+            .unionByName(removal.select(key, *features).withColumn("origin", F.lit(1))))
+    both = both.withColumn("_k", F.concat(F.col("origin").cast("string"), F.lit(":"), F.col(key).cast("string")))
+    held_out = hash_below("_k", test_fraction, seed)
+    return both.filter(~held_out), both.filter(held_out)
+
+
+def structural_bias_on(empirical: DataFrame, removal: DataFrame, key: str, features: list[str],
+                       k: int = KNN_NEIGHBOURS, test_fraction: float = KNN_TEST_FRACTION, seed: int = 42) -> DataFrame:
+    """As ``structural_bias``, with neighbours on several features. Hold-out
+    rows without all of them are left out. Equal hold-out rows are counted
+    before they meet their score, so no point is a hot key."""
+    train, test = two_populations(empirical, removal, key, features, test_fraction, seed)
+    point = F.array(*[F.col(f).cast("double") + F.lit(0.0) for f in features])
+    proba = knn(train, test, "_k", features, "origin", k).groupBy("q").agg(F.avg(F.col("neighbour_label").cast("double")).alias("p1"))
+    counts = test.groupBy(point.alias("q"), "origin").agg(F.count(F.lit(1)).alias("n"))
+    scored = counts.join(proba, "q").select("origin", "p1", "n").groupBy("p1").pivot("origin", [0, 1]).agg(F.sum("n")).na.fill(0, ["0", "1"])
+    # a score's rows of the removal population beat the lower ones of the other, half of the equal ones
+    below = scored.select("p1", F.col("0").alias("n0"), F.col("1").alias("n1"),
+                          F.coalesce(F.sum("0").over(Window.orderBy("p1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("under"))
+    sums = below.agg(F.sum(F.col("n1") * (F.col("under") + F.col("n0") / 2)).alias("won"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return sums.select(F.when((F.col("n0") > 0) & (F.col("n1") > 0), F.col("won") / (F.col("n0") * F.col("n1")))
+                       .alias("Structural Bias (kNN AUC)"))
+
+
 def structural_bias(empirical: DataFrame, removal: DataFrame, key: str, x: str,
                     k: int = KNN_NEIGHBOURS, test_fraction: float = KNN_TEST_FRACTION, seed: int = 42) -> DataFrame:
     """One row: AUC of a k-NN classifier separating the two populations

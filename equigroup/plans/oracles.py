@@ -564,6 +564,25 @@ au as (select case when (select k from lab) = 2 then
           end as roc_auc from rk)
 select {r6('roc_auc')} as "Structural Bias (kNN AUC)" from au""")
 
+KNN3_CTE = f"""d as (select vec_id, label, cast(embedding[1] as double) as e0, cast(embedding[2] as double) as e1, cast(embedding[3] as double) as e2 from embeddings),
+bo as (select concat('0:', cast(vec_id as varchar)) as k, e0, e1, e2, 0 as origin from d
+       union all select concat('1:', cast(vec_id as varchar)), e0, e1, e2, 1 from d where label <> 0),
+sp as (select *, substr(md5(concat(k, '|42')), 1, 8) < '{hash_threshold(0.3)}' as is_test from bo
+       where e0 is not null and e1 is not null and e2 is not null),
+tr as (select * from sp where not is_test), te as (select * from sp where is_test),
+qv as (select distinct e0, e1, e2 from te),
+ds as (select q.e0, q.e1, q.e2, tr.k as tkey, tr.origin as lab, sqrt((q.e0 - tr.e0) * (q.e0 - tr.e0)
+              + (q.e1 - tr.e1) * (q.e1 - tr.e1) + (q.e2 - tr.e2) * (q.e2 - tr.e2)) as dist from qv q cross join tr),
+nb as (select *, row_number() over (partition by e0, e1, e2 order by dist, tkey) as rn from ds)"""
+oracle("j7_knn_features", f"""with {KNN3_CTE}
+select {r6('e0')} as e0, {r6('e1')} as e1, {r6('e2')} as e2, cast(rn as integer) as rank, tkey as neighbour,
+{r6('dist')} as distance, lab as neighbour_label from nb where rn <= 5""")
+oracle("f10_structural_bias_features", f"""with {KNN3_CTE},
+pr as (select e0, e1, e2, avg(cast(lab as double)) as p1 from nb where rn <= 5 group by e0, e1, e2),
+sc as (select te.origin, pr.p1 from te join pr using (e0, e1, e2)),
+pairs as (select case when b.p1 > a.p1 then 1.0 when b.p1 = a.p1 then 0.5 else 0.0 end as won
+          from sc a cross join sc b where a.origin = 0 and b.origin = 1)
+select {r6('avg(won)')} as "Structural Bias (kNN AUC)" from pairs""")
 oracle("f11_fairness_record_full", f"""select r.*, o.*, s.* from ({ORACLES['f11_fairness_record']}) r
 cross join ({ORACLES['f9_observation_bias']}) o cross join ({ORACLES['f10_structural_bias']}) s""")
 oracle("a2_shapley_linear", f"""with {DOC_FEAT},

@@ -784,6 +784,29 @@ def j7_knn_join(spark, sf):
     return K.knn_1d(both.filter(~F.col("_test")), both.filter(F.col("_test")), "_k", "n_chars", "origin")
 
 
+POINT = ["e0", "e1", "e2"]
+
+
+def emb_populations(spark, sf):
+    """All vectors and those of a label other than 0, by their first three components."""
+    d = materialize(read_table(spark, sf, "embeddings").select("vec_id", "label", *[
+        F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(POINT)]))
+    return d, d.filter(F.col("label") != 0)
+
+
+@query("f10_structural_bias_features")
+def f10_structural_bias_features(spark, sf):
+    emp, rem = emb_populations(spark, sf)
+    return K.structural_bias_on(emp, rem, "vec_id", POINT)
+
+
+@query("j7_knn_features")
+def j7_knn_features(spark, sf):
+    train, test = K.two_populations(*emb_populations(spark, sf), "vec_id", POINT)
+    return K.knn(train, test, "_k", POINT, "origin").select(
+        *[F.col("q")[i].alias(c) for i, c in enumerate(POINT)], "rank", "neighbour", "distance", "neighbour_label")
+
+
 @query("f11_fairness_record_full")
 def f11_fairness_record_full(spark, sf):
     """The record with instance, observation and structural bias: predictions
