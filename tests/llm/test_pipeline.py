@@ -83,6 +83,6 @@ def test_entry_lives_without_the_subpackage(tmp_path):
 def test_queries_are_registered():
     import __spark_entry__ as e
     names = set(e.queries())
-    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11)) and "pipeline" in names
-    assert {"op4_chat_format", "op8_exact_dedup"} <= set(e.oracle_sql())
+    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14)) and "pipeline" in names
+    assert {"op4_chat_format", "op8_exact_dedup", "op11_hard_negatives"} <= set(e.oracle_sql())
     assert packing.CAPACITY == 1024
