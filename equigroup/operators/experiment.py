@@ -51,7 +51,7 @@ def tuned_params(train: DataFrame, key: str, model: str, features: list[str], ta
     stratified validation hold-out."""
     tv = split.stratified_holdout(train, target, key, val_fraction, seed)
     sub = split.stratified_kfold(tv.filter(~F.col("is_test")).drop("is_test"), target, key, cv_splits, seed)
-    return M.tune(materialize(sub), model, features, target, "fold", n_iter, seed, parallelism=8)[1]
+    return M.tune(sub, model, features, target, "fold", n_iter, seed, parallelism=8)[1]
 
 
 def _record(pred: DataFrame, key: str, target: str, name: str, sensitive: Column | None, phi: DataFrame | None,

@@ -2,7 +2,7 @@
 
 Estimators are ``ml.Pipeline``s: VectorAssembler -> StandardScaler (the
 z-score step) -> classifier. Everything is fitted by MLlib's distributed
-optimisers; tuning is ``CrossValidator`` over a deterministic, hash-drawn
+optimisers; tuning is cross-validation over a deterministic, hash-drawn
 candidate list (the same search spaces; the Bayesian surrogate is replaced
 by sampling) with the stratified ``fold`` column, in parallel.
 
@@ -21,20 +21,21 @@ from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equigroup.session import materialize
 from equigroup.vocab import MODEL_DEFAULTS, SEARCH_SPACES
 
 RFF_DIM = 64
+#: Rows that a partition holds at least, where there are as many, while a model is fitted.
+FIT_ROWS = 1 << 16
 #: Depth of a forest without a depth of its own: the most that Spark allows.
 MAX_DEPTH = 30
 MODEL_NAMES = list(SEARCH_SPACES)
@@ -139,15 +140,18 @@ def _classifier(model: str, params: dict, n_features: int, n_classes: int, n_row
     raise ValueError(f"unknown model {model}")
 
 
+def _scaling(features: list[str], n_rows: int) -> list:
+    """The stages before the classifier, the same for every set of parameters."""
+    return [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"),
+            StandardScaler(inputCol="features", outputCol="sample_scaled", withMean=True, withStd=True),
+            # from the sample to the population standard deviation of ``n_rows`` rows
+            ElementwiseProduct(scalingVec=Vectors.dense([math.sqrt(n_rows / max(n_rows - 1, 1))] * len(features)),
+                               inputCol="sample_scaled", outputCol="scaled")]
+
+
 def build_pipeline(model: str, features: list[str], params: dict, n_classes: int, n_rows: int,
                    seed: int = 42) -> Pipeline:
-    stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"),
-              StandardScaler(inputCol="features", outputCol="sample_scaled", withMean=True, withStd=True),
-              # from the sample to the population standard deviation of ``n_rows`` rows
-              ElementwiseProduct(scalingVec=Vectors.dense([math.sqrt(n_rows / max(n_rows - 1, 1))] * len(features)),
-                                 inputCol="sample_scaled", outputCol="scaled")]
-    stages += _classifier(model, params, len(features), n_classes, n_rows, seed)
-    return Pipeline(stages=stages)
+    return Pipeline(stages=_scaling(features, n_rows) + _classifier(model, params, len(features), n_classes, n_rows, seed))
 
 
 def _label(df: DataFrame, target: str) -> DataFrame:
@@ -159,11 +163,22 @@ def class_count(df: DataFrame, target: str) -> int:
     return int(df.agg(F.max(target)).first()[0]) + 1
 
 
+def spread(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` in as many partitions as its rows fill: an optimiser runs a job a
+    step, so a small table left in a partition per shuffle bucket costs its
+    scheduling hundreds of times over."""
+    return df.coalesce(max(1, -(-n_rows // FIT_ROWS)))
+
+
 def fit(df: DataFrame, model: str, features: list[str], target: str, params: dict | None = None,
         seed: int = 42) -> PipelineModel:
     d = _label(df, target).na.drop(subset=[*features, "label"])  # a row without a value teaches nothing
-    n = d.count()
-    return build_pipeline(model, features, params or {}, class_count(d, target), n, seed).fit(d)
+    d = d.select(*dict.fromkeys([*features, "label"])).persist()
+    try:
+        n, top = d.agg(F.count(F.lit(1)), F.max("label")).first()
+        return build_pipeline(model, features, params or {}, int(top) + 1, n, seed).fit(spread(d, n))
+    finally:
+        d.unpersist()
 
 
 def predict(fitted: PipelineModel, df: DataFrame, target: str | None = None) -> DataFrame:
@@ -182,29 +197,46 @@ def predict(fitted: PipelineModel, df: DataFrame, target: str | None = None) ->
 def tune(df: DataFrame, model: str, features: list[str], target: str, fold_col: str = "fold",
          n_iter: int = 30, seed: int = 42, parallelism: int = 4):
     """Pick the candidate with the best mean accuracy over the folds in
-    ``fold_col`` and refit it on all rows. Returns (model, params, cv table)."""
+    ``fold_col`` and refit it on all rows. Returns (model, params, cv table).
+
+    The rows are written to the checkpoint folder once and scaled once a fold,
+    since candidates differ in the classifier alone; candidates may change its
+    shape (RFF width, network layers), so each (candidate, fold) is a fit of its
+    own, ``parallelism`` at a time."""
     d = _label(df, target).withColumn(fold_col, F.col(fold_col).cast("int"))
-    n = d.count()
-    k = class_count(d, target)
-    n_folds = int(d.agg(F.max(fold_col)).first()[0]) + 1
+    d = materialize(d.select(*dict.fromkeys([*features, "label", fold_col])))
+    sizes = {r[fold_col]: (r["n"], r["top"]) for r in  # a row per fold
+             d.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("top")).collect()}
+    if any(f is None or f < 0 for f in sizes):
+        raise ValueError("a fold is a number from 0")
+    n_folds, n = max(sizes) + 1, sum(size for size, _ in sizes.values())
+    if len(sizes) < max(n_folds, 2):
+        raise ValueError("every fold needs rows, and rows outside it")
+    k = int(max(top for _, top in sizes.values() if top is not None)) + 1
     cands = draw_candidates(model, n_iter, seed)
-    evaluator = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    d = d.persist()
+    d = spread(d, n)
+
+    def scaled(f: int) -> tuple[DataFrame, DataFrame]:
+        train = d.where(F.col(fold_col) != f)
+        scaler = Pipeline(stages=_scaling(features, n)).fit(train)
+        return tuple(scaler.transform(part).select("scaled", "label").persist() for part in (train, d.where(F.col(fold_col) == f)))
 
-    def score(i):
-        # one CrossValidator per candidate: candidates may change the pipeline
-        # shape (RFF width, network layers), which a param grid cannot express
-        pipe = build_pipeline(model, features, cands[i], k, n, seed)
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{}], evaluator=evaluator, foldCol=fold_col,
-                            numFolds=n_folds, parallelism=1, seed=seed)
-        return i, float(cv.fit(d).avgMetrics[0])
+    def score(job: tuple[int, int]) -> float:
+        i, f = job
+        train, held = folds[f]
+        fitted = Pipeline(stages=_classifier(model, cands[i], len(features), k, n, seed)).fit(train)
+        return fitted.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
 
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        scores = list(pool.map(score, range(len(cands))))
+        folds = list(pool.map(scaled, range(n_folds)))
+        each = list(pool.map(score, [(i, f) for i in range(len(cands)) for f in range(n_folds)]))
+    for parts in folds:
+        for part in parts:
+            part.unpersist()
+    scores = [(i, float(np.mean(each[i * n_folds:(i + 1) * n_folds]))) for i in range(len(cands))]
     best_i = max(scores, key=lambda t: (t[1], -t[0]))[0]
     best = build_pipeline(model, features, cands[best_i], k, n, seed).fit(d)
-    d.unpersist()
     spark = df.sparkSession
     table = spark.createDataFrame([(i, s, str(cands[i])) for i, s in scores],
                                   "candidate int, mean_accuracy double, params string")
