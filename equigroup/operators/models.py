@@ -116,7 +116,7 @@ def _classifier(model: str, params: dict, n_features: int, n_classes: int, n_row
                             subsamplingRate=float(p.get("subsample", 1.0)),
                             featureSubsetStrategy=str(round(float(p.get("colsample_bytree", 1.0)), 4)), seed=seed)
         if n_classes > 2:
-            return [OneVsRest(classifier=gbt, featuresCol="scaled", labelCol="label")]
+            return [OneVsRest(classifier=gbt, featuresCol="scaled", labelCol="label", parallelism=n_classes)]
         return [gbt]
     if model == "MLP":
         h = int(p["hidden_layer_sizes"])
@@ -132,7 +132,7 @@ def _classifier(model: str, params: dict, n_features: int, n_classes: int, n_row
         svc = LinearSVC(featuresCol="rff", labelCol="label", regParam=reg, maxIter=100)
         if n_classes > 2:
             svm = OneVsRest(classifier=svc, featuresCol="rff", labelCol="label",
-                            rawPredictionCol="svm_raw", predictionCol="svm_pred")
+                            rawPredictionCol="svm_raw", predictionCol="svm_pred", parallelism=n_classes)
         else:
             svm = svc.setRawPredictionCol("svm_raw").setPredictionCol("svm_pred")
         platt = LogisticRegression(featuresCol="svm_raw", labelCol="label", maxIter=100)
