@@ -5,6 +5,7 @@ sequences them and keeps fitted parameters."""
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,9 @@ from equigroup.operators.group_embedding import GroupEmbedding
 from equigroup.session import materialize
 
 
-def fold_metrics(pred: DataFrame, target: str) -> DataFrame:
-    rec = V.metric_record(pred, target, "prediction", "p1", "m")
-    return rec.select(F.col("Accuracy").alias("accuracy"), F.col("F1-score").alias("f1_score"),
+def fold_metrics(pred: DataFrame, target: str, by: tuple[str, ...]) -> DataFrame:
+    rec = V.metric_record(pred, target, "prediction", "p1", "m", by)
+    return rec.select(*by, F.col("Accuracy").alias("accuracy"), F.col("F1-score").alias("f1_score"),
                       F.col("Precision").alias("precision"), F.col("ROC AUC").alias("roc_auc"))
 
 
@@ -29,20 +30,25 @@ def repeated_kfold(df: DataFrame, key: str, model: str, features: list[str], tar
                    repeats: int = 10, seed: int = 42, params: dict | None = None, parallelism: int = 4) -> DataFrame:
     """(repeat, fold, accuracy, f1_score, precision, roc_auc) for a model
     refitted on every (repeat, fold) split of a repeated stratified k-fold.
-    The fits run ``parallelism`` at a time; one row of metrics comes back from each."""
-    folds = materialize(split.repeated_folds(df, target, key, k, repeats, seed, "_folds"))
-
-    def one(job: tuple[int, int]) -> tuple:
+    The fits run ``parallelism`` at a time; the scored rows of all folds are
+    written to the checkpoint folder, and one job counts every fold's metrics."""
+    needed = df.select(*dict.fromkeys([key, *features, target]))
+    folds = materialize(split.repeated_folds(needed, target, key, k, repeats, seed, "_folds"))
+    folds = M.spread(folds, folds.count())
+    jobs = [(r, f) for r in range(repeats) for f in range(k)]
+
+    def one(job: tuple[int, int]) -> DataFrame:
         r, f = job
         own = F.col("_folds")[r]
         fitted = M.fit(folds.filter(own != f), model, features, target, params, seed)
-        return (r, f, *fold_metrics(M.predict(fitted, folds.filter(own == f), target), target).first())
+        return M.predict(fitted, folds.filter(own == f), target).select(
+            F.lit(r).alias("repeat"), F.lit(f).alias("fold"), target, "prediction", "p1")
 
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(one, [(r, f) for r in range(repeats) for f in range(k)]))
-    return df.sparkSession.createDataFrame(
-        rows, "repeat int, fold int, accuracy double, f1_score double, precision double, roc_auc double")
+        scored = materialize(reduce(DataFrame.union, pool.map(one, jobs)))
+    every = df.sparkSession.createDataFrame(jobs, "repeat int, fold int")
+    return every.join(fold_metrics(scored, target, ("repeat", "fold")), ["repeat", "fold"], "left")
 
 
 def tuned_params(train: DataFrame, key: str, model: str, features: list[str], target: str, val_fraction: float,

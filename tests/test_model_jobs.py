@@ -54,3 +54,15 @@ def test_folds_must_all_have_rows(spark):
     for bad in ("IF(fold = 1, 0, fold)", "-1", "0", "CAST(null AS int)"):
         with pytest.raises(Exception):
             models.tune(points(spark, 30).selectExpr("a", "b", "y", f"{bad} AS fold"), "LogisticRegression", ["a"], "y", n_iter=1)
+
+
+def test_repeated_folds_are_fitted_in_few_partitions_and_measured_at_once(spark, seen, monkeypatch):
+    from equigroup.operators import experiment, metrics
+    scored, measure = [], experiment.fold_metrics
+    monkeypatch.setattr(experiment, "fold_metrics", lambda pred, *a: (scored.append(pred), measure(pred, *a))[1])
+    got = {(r["repeat"], r["fold"]): r for r in experiment.repeated_kfold(points(spark), "k", "LogisticRegression", ["a", "b"], "y", k=2, repeats=1).collect()}
+    assert len(got) == 2 and seen == [(1, 60)] * 2 and len(scored) == 1
+    for (r, f), row in got.items():
+        one = metrics.metric_record(scored[0].where(f"repeat = {r} AND fold = {f}"), "y", "prediction", "p1", "m").first()
+        assert [row[c] for c in ("accuracy", "f1_score", "precision", "roc_auc")] == pytest.approx(
+            [one[c] for c in ("Accuracy", "F1-score", "Precision", "ROC AUC")])
