@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equigroup.llm.common import id_text, materialize, shared_bytes
+from equigroup.llm.common import id_text, materialize
 from equigroup.llm.tokens import tokenizers_pieces
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,12 +43,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str = TOKENIZER, pattern: str
     ``tokenizers_pieces``; the library's plain call has them."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    source = shared_bytes(docs.sparkSession, tokenizer_path)
+    with open(tokenizer_path, "rb") as f:  # a vocabulary of about 2 MB
+        shared = docs.sparkSession.sparkContext.broadcast({"file": f.read()})
     schema = PIECES + (", ids array<int>" if keep_ids else "")
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        tokens = tokenizers_pieces(source.value, pattern, added_tokens)
+        held = shared.value  # one a Python worker, so its later tasks find the tokenizer and the pieces it knows
+        if "tokens" not in held:
+            held["tokens"] = tokenizers_pieces(held["file"], pattern, added_tokens)
+        tokens = held["tokens"]
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
