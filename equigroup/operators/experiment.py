@@ -54,10 +54,11 @@ def repeated_kfold(df: DataFrame, key: str, model: str, features: list[str], tar
 def tuned_params(train: DataFrame, key: str, model: str, features: list[str], target: str, val_fraction: float,
                  cv_splits: int, n_iter: int, seed: int) -> dict:
     """The parameters chosen on stratified folds of the rows outside a
-    stratified validation hold-out."""
+    stratified validation hold-out; as many fits at a time as the session has cores, 8 at least."""
     tv = split.stratified_holdout(train, target, key, val_fraction, seed)
     sub = split.stratified_kfold(tv.filter(~F.col("is_test")).drop("is_test"), target, key, cv_splits, seed)
-    return M.tune(sub, model, features, target, "fold", n_iter, seed, parallelism=8)[1]
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return M.tune(sub, model, features, target, "fold", n_iter, seed, parallelism=max(8, cores), refit=False)[1]
 
 
 def _record(pred: DataFrame, key: str, target: str, name: str, sensitive: Column | None, phi: DataFrame | None,
@@ -83,13 +84,15 @@ def run_experiment(train: DataFrame, test: DataFrame, key: str, model: str, feat
                    n_iter: int = 30, seed: int = 42, protected: str | None = None, mode: str | None = None) -> DataFrame:
     """Ungrouped flow: stratified validation hold-out, tune on the training
     part (stratified folds), refit on train + validation, score the test rows.
+    Both tables go on in as many partitions as their rows fill.
     One row: Model, Accuracy, Precision, F1-score, ROC AUC (+ fairness); with an
     attribution ``mode`` (``each_label``, ``aggregated``) also the spread of the
     attributions and, for the ``protected`` feature, the average distance."""
     train, test = materialize(train), materialize(test)
-    params = tuned_params(train, key, model, features, target, val_fraction, cv_splits, n_iter, seed)
-    fitted = M.fit(train, model, features, target, params, seed)
-    pred = materialize(M.predict(fitted, test, target))
+    few, few_test = (M.spread(d, d.count()) for d in (train, test))
+    params = tuned_params(few, key, model, features, target, val_fraction, cv_splits, n_iter, seed)
+    fitted = M.fit(few, model, features, target, params, seed)
+    pred = materialize(M.predict(fitted, few_test, target))
     phi = None
     if mode is not None:
         phi = materialize(shapley.attribute(lambda df: shapley.class_scores(fitted, df), test, key, features,

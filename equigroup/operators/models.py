@@ -15,6 +15,7 @@ fit on the margin (Platt scaling).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark import keyword_only
@@ -36,6 +37,10 @@ from equigroup.vocab import MODEL_DEFAULTS, SEARCH_SPACES
 RFF_DIM = 64
 #: Rows that a partition holds at least, where there are as many, while a model is fitted.
 FIT_ROWS = 1 << 16
+#: The same for fits that run side by side, for rows of up to ``TUNE_CELLS`` values in all (``FIT_ROWS`` where rows are wider).
+TUNE_ROWS, TUNE_CELLS = 1 << 18, 1 << 22
+#: Models that are no more than vectors of weights, so the driver can hold those of all candidates.
+WEIGHTS_ONLY = ("LogisticRegression", "MLP", "SVM")
 #: Depth of a forest without a depth of its own: the most that Spark allows.
 MAX_DEPTH = 30
 MODEL_NAMES = list(SEARCH_SPACES)
@@ -163,11 +168,11 @@ def class_count(df: DataFrame, target: str) -> int:
     return int(df.agg(F.max(target)).first()[0]) + 1
 
 
-def spread(df: DataFrame, n_rows: int) -> DataFrame:
-    """``df`` in as many partitions as its rows fill: an optimiser runs a job a
-    step, so a small table left in a partition per shuffle bucket costs its
-    scheduling hundreds of times over."""
-    return df.coalesce(max(1, -(-n_rows // FIT_ROWS)))
+def spread(df: DataFrame, n_rows: int, rows: int | None = None) -> DataFrame:
+    """``df`` in as many partitions of ``rows`` (``FIT_ROWS``) as its rows fill: an
+    optimiser runs a job a step, so a small table left in a partition per shuffle
+    bucket costs its scheduling hundreds of times over."""
+    return df.coalesce(max(1, -(-n_rows // (rows or FIT_ROWS))))
 
 
 def fit(df: DataFrame, model: str, features: list[str], target: str, params: dict | None = None,
@@ -194,15 +199,25 @@ def predict(fitted: PipelineModel, df: DataFrame, target: str | None = None) ->
     return out.withColumn("p1", soft[1] / F.aggregate(soft, F.lit(0.0), lambda a, b: a + b))
 
 
+def accuracies(models: list[PipelineModel], held: DataFrame) -> list[float]:
+    """Accuracy of each model on the rows of ``held``, all in one job."""
+    hits = [m.transform(held).select(F.lit(i).alias("model"), (F.col("prediction") == F.col("label")).cast("double").alias("hit"))
+            for i, m in enumerate(models)]
+    shares = reduce(DataFrame.union, hits).groupBy("model").agg(F.avg("hit").alias("share")).collect()  # a row a model
+    return [share for _, share in sorted((r["model"], r["share"]) for r in shares)]
+
+
 def tune(df: DataFrame, model: str, features: list[str], target: str, fold_col: str = "fold",
-         n_iter: int = 30, seed: int = 42, parallelism: int = 4):
+         n_iter: int = 30, seed: int = 42, parallelism: int = 4, refit: bool = True):
     """Pick the candidate with the best mean accuracy over the folds in
-    ``fold_col`` and refit it on all rows. Returns (model, params, cv table).
+    ``fold_col`` and refit it on all rows. Returns (model, params, cv table);
+    without ``refit`` the model is None.
 
     The rows are written to the checkpoint folder once and scaled once a fold,
     since candidates differ in the classifier alone; candidates may change its
     shape (RFF width, network layers), so each (candidate, fold) is a fit of its
-    own, ``parallelism`` at a time."""
+    own, ``parallelism`` at a time. Models of weights alone are scored by one
+    job a fold, trees one by one, as only so many fit on the driver."""
     d = _label(df, target).withColumn(fold_col, F.col(fold_col).cast("int"))
     d = materialize(d.select(*dict.fromkeys([*features, "label", fold_col])))
     sizes = {r[fold_col]: (r["n"], r["top"]) for r in  # a row per fold
@@ -214,29 +229,33 @@ def tune(df: DataFrame, model: str, features: list[str], target: str, fold_col:
         raise ValueError("every fold needs rows, and rows outside it")
     k = int(max(top for _, top in sizes.values() if top is not None)) + 1
     cands = draw_candidates(model, n_iter, seed)
-    d = spread(d, n)
+    d = spread(d, n, min(TUNE_ROWS, max(FIT_ROWS, TUNE_CELLS // max(1, len(features)))))
 
     def scaled(f: int) -> tuple[DataFrame, DataFrame]:
         train = d.where(F.col(fold_col) != f)
         scaler = Pipeline(stages=_scaling(features, n)).fit(train)
         return tuple(scaler.transform(part).select("scaled", "label").persist() for part in (train, d.where(F.col(fold_col) == f)))
 
-    def score(job: tuple[int, int]) -> float:
+    def fitted(job: tuple[int, int]) -> PipelineModel:
         i, f = job
-        train, held = folds[f]
-        fitted = Pipeline(stages=_classifier(model, cands[i], len(features), k, n, seed)).fit(train)
-        return fitted.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        return Pipeline(stages=_classifier(model, cands[i], len(features), k, n, seed)).fit(folds[f][0])
 
+    jobs = [(i, f) for i in range(len(cands)) for f in range(n_folds)]
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         folds = list(pool.map(scaled, range(n_folds)))
-        each = list(pool.map(score, [(i, f) for i in range(len(cands)) for f in range(n_folds)]))
+        if model in WEIGHTS_ONLY:
+            found = list(pool.map(fitted, jobs))
+            per_fold = list(pool.map(lambda f: accuracies(found[f::n_folds], folds[f][1]), range(n_folds)))
+            each = [per_fold[f][i] for i, f in jobs]
+        else:
+            each = list(pool.map(lambda job: accuracies([fitted(job)], folds[job[1]][1])[0], jobs))
     for parts in folds:
         for part in parts:
             part.unpersist()
     scores = [(i, float(np.mean(each[i * n_folds:(i + 1) * n_folds]))) for i in range(len(cands))]
     best_i = max(scores, key=lambda t: (t[1], -t[0]))[0]
-    best = build_pipeline(model, features, cands[best_i], k, n, seed).fit(d)
+    best = build_pipeline(model, features, cands[best_i], k, n, seed).fit(d) if refit else None
     spark = df.sparkSession
     table = spark.createDataFrame([(i, s, str(cands[i])) for i, s in scores],
                                   "candidate int, mean_accuracy double, params string")

@@ -50,6 +50,32 @@ def test_tuning_scales_once_a_fold_and_fits_every_candidate(spark, seen):
     assert params == cands[int(np.argmax(want))]
 
 
+@pytest.mark.parametrize("model, jobs", [("LogisticRegression", 3), ("RandomForest", 6)])
+def test_candidates_of_weights_are_scored_by_one_job_a_fold(spark, monkeypatch, model, jobs):
+    calls, measure = [], models.accuracies
+    monkeypatch.setattr(models, "accuracies", lambda found, held: (calls.append(len(found)), measure(found, held))[1])
+    monkeypatch.setattr(models, "draw_candidates", lambda m, n, seed: [{"C": 1.0, "n_estimators": 2, "max_depth": 2}, {"C": 0.1, "n_estimators": 1, "max_depth": 1}])
+    best, _, table = models.tune(points(spark), model, ["a", "b"], "y", "fold", refit=False)
+    assert best is None and len(calls) == jobs and sum(calls) == 6 and table.count() == 2
+
+
+def test_side_by_side_fits_have_larger_partitions(spark, seen, monkeypatch):
+    monkeypatch.setattr(models, "FIT_ROWS", 20)
+    models.tune(points(spark), "LogisticRegression", ["a", "b"], "y", "fold", n_iter=1, refit=False)
+    assert seen and {n for n, _ in seen} == {1}
+    monkeypatch.setattr(models, "TUNE_CELLS", 60)  # 30 rows of two values
+    models.tune(points(spark), "LogisticRegression", ["a", "b"], "y", "fold", n_iter=1, refit=False)
+    assert seen[-1][0] == 4
+
+
+def test_the_flow_goes_on_in_few_partitions(spark, monkeypatch):
+    from equigroup.operators import experiment
+    found = []
+    monkeypatch.setattr(experiment, "tuned_params", lambda train, *a: (found.append(train.rdd.getNumPartitions()), {"C": 1.0})[1])
+    out = experiment.run_experiment(points(spark), points(spark, 30), "k", "LogisticRegression", ["a", "b"], "y")
+    assert found == [1] and out.count() == 1
+
+
 def test_folds_must_all_have_rows(spark):
     for bad in ("IF(fold = 1, 0, fold)", "-1", "0", "CAST(null AS int)"):
         with pytest.raises(Exception):
