@@ -2,9 +2,11 @@
 
 Every alternative of the byte-level split pattern that holds a character other
 than white space ends at the next white space, so a place between the two is
-always a boundary between matches. Texts are cut there and each distinct
-piece of a task is encoded once by the tokenizer's library; equal pieces are
-looked up. Texts longer than ``SLICE`` are cut at such places first, which
+always a boundary between matches. So is the end of a run of letters or number
+signs where ASCII punctuation or white space follows, as no match holds both
+(other followers may be letters to a newer Unicode than Python's). Texts are cut
+there, so that words don't come with their punctuation, and each distinct piece
+of a task is encoded once by the tokenizer's library; equal pieces are looked up. Texts longer than ``SLICE`` are cut at such places first, which
 bounds the list of pieces held at a time.
 """
 
@@ -29,7 +31,7 @@ MAX_SPACE = 100_000
 
 #: White space here is Python's; it also counts U+001C to U+001F, which the
 #: tokenizers' patterns don't, so texts with those have patterns of their own.
-_PIECE = re.compile(r"\s*\S+|\s+")
+_PIECE = re.compile(r" ?[^\W\d_]++(?![^\s!-/:-@[-`{-~])|\s*\S+|\s+")
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = r"[^\S\x1c-\x1f]"
@@ -129,8 +131,8 @@ def byte_letters() -> dict[int, int]:
 
 def tokenizers_pieces(tokenizer_json: bytes, pattern: str, added_tokens: bool = False) -> PieceTokenizer:
     """Ids of a byte-level BPE file of the tokenizers library. The library's
-    BPE model encodes each match of the pattern; matches are kept too, since
-    pieces share them. With ``added_tokens`` the file's added tokens have their
+    BPE model encodes each match of the pattern; the matches of pieces with
+    several are kept too, since pieces share them. With ``added_tokens`` the file's added tokens have their
     own ids wherever their strings stand in a text, as in the library's plain
     call; without, these strings are text (its ``encode_special_tokens``)."""
     import regex
@@ -144,11 +146,15 @@ def tokenizers_pieces(tokenizer_json: bytes, pattern: str, added_tokens: bool =
     if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
         raise ValueError("added tokens that look at their neighbours are not supported")
     split, letters, model = regex.compile(pattern).findall, byte_letters(), tok.model
-    known = Known(lambda match: pack_ids([t.id for t in model.tokenize(match.encode("utf-8").decode("latin-1").translate(letters))]))
+
+    def merged(match: str) -> bytes:
+        return pack_ids([t.id for t in model.tokenize(match.encode("utf-8").decode("latin-1").translate(letters))])
+
+    known = Known(merged)
 
     def encode(piece: str) -> bytes:
-        if piece[0] == " " and piece[1:].isalpha():  # one match, as most pieces are
-            return known[piece]
+        if piece.isalpha() or piece[0] == " " and piece[1:].isalpha():  # one match, as most pieces are
+            return merged(piece)
         return b"".join(map(known.__getitem__, split(piece)))
 
     return PieceTokenizer(encode, added={t.content: i for i, t in added.items()})

@@ -5,8 +5,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 
-from equigroup.llm import bpe, lengths, packing
+from equigroup.llm import bpe, lengths, packing, tokens
 from equigroup.llm.tokens import id_list, rank_encoding, safe_slices, tiktoken_pieces, tokenizers_pieces
 
 from .helpers import AWKWARD, awkward, clashing, empty, rows
@@ -235,3 +236,21 @@ def test_long_white_space_in_a_table(spark):
     got = {r["doc_id"]: r for r in bpe.bpe_round_trip(docs, keep_ids=False).collect()}
     assert got[1]["decoded_sha256"] == hashlib.sha256(("a" + " " * 2_000_000 + "b").encode()).hexdigest()
     assert sum(r["n_docs"] for r in lengths.token_counts(docs).collect()) == 2
+
+
+def test_words_are_kept_without_their_punctuation():
+    asked = []
+    tok = tokens.PieceTokenizer(lambda piece: (asked.append(piece), piece.encode())[1])
+    text = "eau eau, eau. (eau) eau! l'eau eau"
+    assert tok.ids(text) == text.encode()
+    assert asked.count(" eau") == 1 and not [p for p in asked if p in (" eau,", " eau.", " eau!")]
+
+
+def test_pieces_end_where_matches_end():
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    rng = random.Random(7)
+    letters = list(" \n\t  '\u2019._-,!(0123\u00b2\u00b3\u00b9\u00bd\u2167\u2173\u4e00\u00aa\u00df\u00ba\u00c9\u00e9\u0301\u0308\u0558\u058b\u0663\u07c0ab\U00010107\u3240") + ["'s", "'ll", " a", "  ", "a\u00b23"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(letters, k=rng.randint(1, 9)))
+        pieces = tokens._PIECE.findall(text)
+        assert "".join(pieces) == text and [m for p in pieces for m in find(p)] == find(text)
