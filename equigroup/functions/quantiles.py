@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equigroup.session import materialize
+from equigroup.session import gathered, materialize
 
 BINS, CELL, GROUPS = 1024, 10_000, 100_000
 
@@ -56,8 +56,8 @@ def order_statistics(rows: DataFrame, wanted: DataFrame, stats: DataFrame) -> Da
     """(_g, rank, value) for the 0-based ranks in ``wanted`` (_g, rank) of rows
     (_g, _v); ``stats`` is (_g, n, lo, hi) by group."""
     groups = stats.count()
-    cells = materialize(wanted.distinct().join(stats, "_g").withColumn("below", F.lit(0).cast("long"))
-                        .select("_g", "rank", "below", "n", "lo", "hi"))
+    cells = materialize(gathered(wanted.distinct().join(stats, "_g").withColumn("below", F.lit(0).cast("long"))
+                                 .select("_g", "rank", "below", "n", "lo", "hi")))
     while True:
         wide = cells.where((F.col("n") > CELL) & (F.col("lo") < F.col("hi")))
         if wide.isEmpty():
@@ -67,7 +67,7 @@ def order_statistics(rows: DataFrame, wanted: DataFrame, stats: DataFrame) -> Da
         narrowed = (_holding_rank(wide, parts, "bin")
                     .select("_g", "rank", "below", "n", F.col("least").alias("lo"), F.col("most").alias("hi")))
         rest = cells.where((F.col("n") <= CELL) | (F.col("lo") >= F.col("hi")))
-        cells = materialize(rest.unionByName(narrowed))
+        cells = materialize(gathered(rest.unionByName(narrowed)))
     single = cells.where(F.col("lo") >= F.col("hi")).select("_g", "rank", F.col("lo").alias("value"))
     small = cells.where(F.col("lo") < F.col("hi"))
     values = (_in_cells(rows, small, groups).groupBy("_g", F.col("c.lo").alias("lo"), F.col("c.hi").alias("hi"), F.col("_v").alias("v"))
@@ -81,11 +81,11 @@ def percentiles(df: DataFrame, group_cols: list[str], value: str, qs: list[float
     g = list(group_cols)
     rows = df.select(F.struct(F.lit(0).alias("_"), *g).alias("_g"), (F.col(value).cast("double") + F.lit(0.0)).alias("_v")) \
         .where(F.col("_v").isNotNull())
-    stats = materialize(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
+    stats = materialize(gathered(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))))
     h = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("n") - 1)).alias("h")) for q in qs]))
     want = stats.select("_g", h.alias("w")).select("_g", "w.q", "w.h", F.floor("w.h").alias("r_lo"), F.ceil("w.h").alias("r_hi"))
     ranks = want.select("_g", F.col("r_lo").alias("rank")).unionByName(want.select("_g", F.col("r_hi").alias("rank")))
-    found = materialize(order_statistics(rows, ranks, stats))
+    found = materialize(gathered(order_statistics(rows, ranks, stats)))
     lo = found.select("_g", F.col("rank").alias("r_lo"), F.col("value").alias("v_lo"))
     hi = found.select("_g", F.col("rank").alias("r_hi"), F.col("value").alias("v_hi"))
     between = F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(

@@ -17,7 +17,7 @@ from equigroup.operators import metrics as V
 from equigroup.operators import models as M
 from equigroup.operators import shapley, split
 from equigroup.operators.group_embedding import GroupEmbedding
-from equigroup.session import materialize
+from equigroup.session import gathered, materialize
 
 
 def fold_metrics(pred: DataFrame, target: str, by: tuple[str, ...]) -> DataFrame:
@@ -95,9 +95,9 @@ def run_experiment(train: DataFrame, test: DataFrame, key: str, model: str, feat
     pred = materialize(M.predict(fitted, few_test, target))
     phi = None
     if mode is not None:
-        phi = materialize(shapley.attribute(lambda df: shapley.class_scores(fitted, df), test, key, features,
-                                            shapley.kmeans_background(train, features, seed=seed),
-                                            M.class_count(train, target), mode))
+        phi = shapley.attribute(lambda df: shapley.class_scores(fitted, df), test, key, features,
+                                shapley.kmeans_background(train, features, seed=seed), M.class_count(train, target), mode)
+        phi = materialize(gathered(phi))
     return _record(pred, key, target, model, sensitive, phi, protected)
 
 
@@ -122,7 +122,8 @@ def run_grouped_experiment(train: DataFrame, test: DataFrame, key: str, model: s
     pred = materialize(M.predict(whole, test, target))
     phi = None
     if mode is not None:
-        phi = materialize(shapley.attribute(lambda df: shapley.class_scores(fitted, df), embedding.transform(test), key, latents,
-                                            shapley.kmeans_background(inner, latents, seed=seed), M.class_count(train, target),
-                                            mode, embedding.latents(), embedding.decoder(train.sparkSession)))
+        phi = shapley.attribute(lambda df: shapley.class_scores(fitted, df), embedding.transform(test), key, latents,
+                                shapley.kmeans_background(inner, latents, seed=seed), M.class_count(train, target),
+                                mode, embedding.latents(), embedding.decoder(train.sparkSession))
+        phi = materialize(gathered(phi))
     return _record(pred, key, target, model, sensitive, phi, protected)

@@ -31,7 +31,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equigroup.session import materialize
+from equigroup.session import gathered, materialize
 from equigroup.vocab import MODEL_DEFAULTS, SEARCH_SPACES
 
 RFF_DIM = 64
@@ -219,7 +219,7 @@ def tune(df: DataFrame, model: str, features: list[str], target: str, fold_col:
     own, ``parallelism`` at a time. Models of weights alone are scored by one
     job a fold, trees one by one, as only so many fit on the driver."""
     d = _label(df, target).withColumn(fold_col, F.col(fold_col).cast("int"))
-    d = materialize(d.select(*dict.fromkeys([*features, "label", fold_col])))
+    d = materialize(gathered(d.select(*dict.fromkeys([*features, "label", fold_col]))))
     sizes = {r[fold_col]: (r["n"], r["top"]) for r in  # a row per fold
              d.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("top")).collect()}
     if any(f is None or f < 0 for f in sizes):

@@ -92,3 +92,27 @@ def test_repeated_folds_are_fitted_in_few_partitions_and_measured_at_once(spark,
         one = metrics.metric_record(scored[0].where(f"repeat = {r} AND fold = {f}"), "y", "prediction", "p1", "m").first()
         assert [row[c] for c in ("accuracy", "f1_score", "precision", "roc_auc")] == pytest.approx(
             [one[c] for c in ("Accuracy", "F1-score", "Precision", "ROC AUC")])
+
+
+def test_attributions_and_percentiles_are_kept_in_few_partitions(spark, monkeypatch):
+    from equigroup.functions import quantiles
+    from equigroup.operators import experiment
+    seen, few = [], 2 * spark.sparkContext.defaultParallelism
+    keep = experiment.materialize
+
+    def noted(df):
+        out = keep(df)
+        seen.append(out.rdd.getNumPartitions())
+        return out
+
+    for module in (experiment, models, quantiles):
+        monkeypatch.setattr(module, "materialize", noted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        monkeypatch.setattr(models, "draw_candidates", lambda *a: [{"C": 1.0}])
+        d = points(spark, 60).coalesce(3)
+        out = experiment.run_experiment(d, d, "k", "LogisticRegression", ["a", "b"], "y", mode="each_label").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(out) == 1 and len(seen) >= 7 and max(seen) <= max(16, few)
