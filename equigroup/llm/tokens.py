@@ -6,8 +6,9 @@ always a boundary between matches. So is the end of a run of letters or number
 signs where ASCII punctuation or white space follows, as no match holds both
 (other followers may be letters to a newer Unicode than Python's). Texts are cut
 there, so that words don't come with their punctuation, and each distinct piece
-of a task is encoded once by the tokenizer's library; equal pieces are looked up. Texts longer than ``SLICE`` are cut at such places first, which
-bounds the list of pieces held at a time.
+of a task is encoded once by the tokenizer's library; equal pieces are looked up.
+Texts longer than ``SLICE`` are cut before white space first, which bounds the
+list of pieces held at a time.
 """
 
 from __future__ import annotations
@@ -132,9 +133,9 @@ def byte_letters() -> dict[int, int]:
 def tokenizers_pieces(tokenizer_json: bytes, pattern: str, added_tokens: bool = False) -> PieceTokenizer:
     """Ids of a byte-level BPE file of the tokenizers library. The library's
     BPE model encodes each match of the pattern; the matches of pieces with
-    several are kept too, since pieces share them. With ``added_tokens`` the file's added tokens have their
-    own ids wherever their strings stand in a text, as in the library's plain
-    call; without, these strings are text (its ``encode_special_tokens``)."""
+    several are kept too, since pieces share them. With ``added_tokens`` the
+    file's added tokens have their own ids wherever their strings stand in a
+    text, as in the library's plain call; without, these strings are text (its ``encode_special_tokens``)."""
     import regex
     from tokenizers import Tokenizer
 
