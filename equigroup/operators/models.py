@@ -6,6 +6,12 @@ optimisers; tuning is cross-validation over a deterministic, hash-drawn
 candidate list (the same search spaces; the Bayesian surrogate is replaced
 by sampling) with the stratified ``fold`` column, in parallel.
 
+Boosted trees see a feature only through its ``BINS`` bins, so rows of the same
+bins and label are the same row to them. Where the bins make fewer cells than
+there are rows, the rows are counted by cell in one pass and the trees are fitted
+on the cells, weighted by their rows (``counted_cells``): the rounds of a fit no
+longer read the rows.
+
 RBF-kernel SVM: random Fourier features (Rahimi & Recht, 2007) with
 D = ``RFF_DIM`` components approximate the kernel exp(-gamma |x-y|^2), then
 LinearSVC (OneVsRest for more classes); probabilities come from a logistic
@@ -31,6 +37,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equigroup.functions.columns import is_numeric
 from equigroup.session import gathered, materialize
 from equigroup.vocab import MODEL_DEFAULTS, SEARCH_SPACES
 
@@ -39,6 +46,9 @@ RFF_DIM = 64
 FIT_ROWS = 1 << 16
 #: The same for fits that run side by side, for rows of up to ``TUNE_CELLS`` values in all (``FIT_ROWS`` where rows are wider).
 TUNE_ROWS, TUNE_CELLS = 1 << 18, 1 << 22
+#: Trees are fitted on counted cells of the rows where there are more rows than this, in so many bins a feature
+#: (MLlib's own number); cuts of a feature are chosen from the values at so many even ranks. A partition holds so many cells.
+CELL_ROWS, BINS, GRID, PART_CELLS = 1 << 16, 32, 1 << 10, 1 << 15
 #: Models that are no more than vectors of weights, so the driver can hold those of all candidates.
 WEIGHTS_ONLY = ("LogisticRegression", "MLP", "SVM")
 #: Depth of a forest without a depth of its own: the most that Spark allows.
@@ -77,6 +87,32 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
         return out.withColumn(self.getOutputCol(), array_to_vector("_rff_arr")).drop("_rff_arr", "_rff_in")
 
 
+def _place(x: str, cuts: list[float], at: int = 0) -> str:
+    """SQL for the number of ascending ``cuts`` below ``x``, found by halving."""
+    if not cuts:
+        return f"{float(at)!r}D"
+    i = len(cuts) // 2
+    return f"IF({x} <= DOUBLE('{cuts[i]!r}'), {_place(x, cuts[:i], at)}, {_place(x, cuts[i + 1:], at + i + 1)})"
+
+
+class Binned(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The bin of each component: 0 up to its first cut, 1 above that and up to
+    the second, and so on; a column expression over the feature array."""
+
+    cuts = Param(Params._dummy(), "cuts", "ascending cuts of each component", typeConverter=TypeConverters.toList)
+
+    @keyword_only
+    def __init__(self, inputCol="scaled", outputCol="binned", cuts=None):
+        super().__init__()
+        self._setDefault(inputCol="scaled", outputCol="binned", cuts=[])
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        places = [_place(f"_bin_in[{j}]", cuts) for j, cuts in enumerate(self.getOrDefault(self.cuts))]
+        out = df.withColumn("_bin_in", vector_to_array(self.getInputCol())).withColumn("_bin_arr", F.expr(f"array({', '.join(places)})"))
+        return out.withColumn(self.getOutputCol(), array_to_vector("_bin_arr")).drop("_bin_arr", "_bin_in")
+
+
 def draw_candidates(model: str, n: int = 30, seed: int = 42) -> list[dict]:
     """n parameter sets drawn deterministically from the model's search space
     (u = md5(i|param|seed) / 2^128 mapped through the prior). Parameters that
@@ -104,8 +140,8 @@ def draw_candidates(model: str, n: int = 30, seed: int = 42) -> list[dict]:
     return out
 
 
-def _classifier(model: str, params: dict, n_features: int, n_classes: int, n_rows: int, seed: int):
-    """(stages after scaling, name of the probability column)."""
+def _classifier(model: str, params: dict, n_features: int, n_classes: int, n_rows: int, seed: int, cells: bool = False):
+    """The stages after scaling; with ``cells`` those of boosted trees on counted cells."""
     p = {**MODEL_DEFAULTS.get(model, {}), **params}
     if model == "LogisticRegression":
         reg = 1.0 / (float(p["C"]) * max(n_rows, 1))
@@ -116,12 +152,13 @@ def _classifier(model: str, params: dict, n_features: int, n_classes: int, n_row
                                        maxDepth=int(p.get("max_depth") or MAX_DEPTH),
                                        featureSubsetStrategy="all" if mf is None else mf, seed=seed)]
     if model == "XGBoost":
-        gbt = GBTClassifier(featuresCol="scaled", labelCol="label", maxIter=int(p["n_estimators"]),
+        column, weight = ("binned", {"weightCol": "weight"}) if cells else ("scaled", {})
+        gbt = GBTClassifier(featuresCol=column, labelCol="label", **weight, maxIter=int(p["n_estimators"]),
                             maxDepth=int(p["max_depth"]), stepSize=float(p["learning_rate"]),
                             subsamplingRate=float(p.get("subsample", 1.0)),
                             featureSubsetStrategy=str(round(float(p.get("colsample_bytree", 1.0)), 4)), seed=seed)
         if n_classes > 2:
-            return [OneVsRest(classifier=gbt, featuresCol="scaled", labelCol="label", parallelism=n_classes)]
+            return [OneVsRest(classifier=gbt, featuresCol=column, labelCol="label", **weight, parallelism=n_classes)]
         return [gbt]
     if model == "MLP":
         h = int(p["hidden_layer_sizes"])
@@ -175,23 +212,109 @@ def spread(df: DataFrame, n_rows: int, rows: int | None = None) -> DataFrame:
     return df.coalesce(max(1, -(-n_rows // (rows or FIT_ROWS))))
 
 
+def _cuts(values: list[float]) -> list[float]:
+    """The greatest values of ``BINS`` bins of as even a size as equal values
+    allow, without the last; fewer different values than that are a bin each.
+    A value that fills a bin or more has one of its own."""
+    xs, counts = np.unique(np.asarray(values, dtype=float), return_counts=True)
+    if len(xs) <= BINS:
+        return xs[:-1].tolist()
+    left, bins, held, out = int(counts.sum()), BINS, 0, []
+    for i in range(len(xs) - 1):
+        held += int(counts[i])
+        # closed where it is full, or would be fuller with the next value than it now lacks
+        if bins > 1 and (held * bins >= left or 2 * held * bins + int(counts[i + 1]) * bins > 2 * left and counts[i + 1] * bins > left):
+            out.append(float(xs[i]))
+            left, bins, held = left - held, bins - 1, 0
+    return out
+
+
+def feature_cuts(d: DataFrame, features: list[str]) -> list[list[float]]:
+    """The cuts of each feature, from all rows: between all its values where they
+    are ``BINS`` or fewer, else at even ranks (found to 1 in 10,000 rows)."""
+    x = {f: F.col(f"`{f}`").cast("double") for f in features}
+    ranks = [i / GRID for i in range(GRID + 1)]
+    row = d.agg(*[a for j, f in enumerate(features) for a in (
+        F.percentile_approx(x[f], ranks, 10_000).alias(f"g{j}"), F.approx_count_distinct(x[f]).alias(f"d{j}"), F.max(x[f]).alias(f"m{j}"))]).first()
+    few = [j for j in range(len(features)) if row[f"d{j}"] <= 2 * BINS]
+    # a set holds about 2 * BINS values at most
+    sets = d.agg(*[F.collect_set(x[features[j]]).alias(f"s{j}") for j in few]).first() if few else {}
+    values = [sets[f"s{j}"] if j in few and len(sets[f"s{j}"]) <= BINS else row[f"g{j}"] for j in range(len(features))]
+    return [[c for c in _cuts(v) if c < row[f"m{j}"]] for j, v in enumerate(values)]
+
+
+def counted_cells(d: DataFrame, features: list[str], n_rows: int, n_classes: int, scaler: PipelineModel):
+    """The rows of ``d`` counted by cell (the bins of all features, and the
+    label): (cells with ``binned``, ``label`` and ``weight``, the ``Binned`` stage
+    that finds a scaled row's bins). A cut lies halfway between the scaled rows
+    beside it. None where the bins allow more cells than there are rows."""
+    cuts = feature_cuts(d, features)
+    if math.prod(len(c) + 1 for c in cuts) * n_classes > n_rows:
+        return None
+    xs = [f"CAST(`{f}` AS DOUBLE)" for f in features]
+    bins = [f"_b{j}" for j in range(len(xs))]
+    rows = d.selectExpr("label", *[f"{x} AS _x{j}" for j, x in enumerate(xs)], *[f"{_place(x, c)} AS {b}" for x, c, b in zip(xs, cuts, bins)])
+    cells = rows.groupBy(*bins, "label").agg(F.count(F.lit(1)).cast("double").alias("weight"), *[
+        e for j in range(len(xs)) for e in (F.min(f"_x{j}").alias(f"_lo{j}"), F.max(f"_x{j}").alias(f"_hi{j}"))])
+    cells = materialize(gathered(cells))
+    ends = []  # of each feature: the least and greatest value of each bin, BINS rows at most
+    for j, b in enumerate(bins):
+        found = cells.groupBy(b).agg(F.min(f"_lo{j}").alias("lo"), F.max(f"_hi{j}").alias("hi")).collect()
+        ends.append([(r["lo"], r["hi"]) for r in sorted(found, key=lambda r: r[b])])
+    most = max(map(len, ends))
+    table = d.sparkSession.createDataFrame([(i, side, *[e[min(i, len(e) - 1)][side] for e in ends]) for i in range(most) for side in (0, 1)],
+                                           ", ".join(["_bin int", "_side int", *[f"`{f}` double" for f in features]]))
+    scaled = {(r["_bin"], r["_side"]): r["scaled"].toArray() for r in scaler.transform(table).select("_bin", "_side", "scaled").collect()}
+    halfway = [[float((scaled[i, 1][j] + scaled[i + 1, 0][j]) / 2) for i in range(len(e) - 1)] for j, e in enumerate(ends)]
+    cells = spread(cells, cells.count(), PART_CELLS).sortWithinPartitions(*bins, "label")  # sums in the same order in each run
+    return cells.select(array_to_vector(F.array(*bins)).alias("binned"), "label", "weight"), Binned(cuts=halfway)
+
+
 def fit(df: DataFrame, model: str, features: list[str], target: str, params: dict | None = None,
         seed: int = 42) -> PipelineModel:
+    """The model fitted on the rows that have all values. Boosted trees of whole
+    rows are fitted on counted cells where there are more than ``CELL_ROWS`` rows
+    and fewer cells."""
     d = _label(df, target).na.drop(subset=[*features, "label"])  # a row without a value teaches nothing
     d = d.select(*dict.fromkeys([*features, "label"])).persist()
     try:
         n, top = d.agg(F.count(F.lit(1)), F.max("label")).first()
-        return build_pipeline(model, features, params or {}, int(top) + 1, n, seed).fit(spread(d, n))
+        k, few, params = int(top) + 1, spread(d, n), params or {}
+        if model == "XGBoost" and n > CELL_ROWS and float(params.get("subsample", 1.0)) == 1.0 and all(is_numeric(d.schema[f].dataType) for f in features):
+            scaler = Pipeline(stages=_scaling(features, n)).fit(few)
+            found = counted_cells(d, features, n, k, scaler)
+            if found:
+                cells, binned = found
+                trees = Pipeline(stages=_classifier(model, params, len(features), k, n, seed, cells=True)).fit(cells)
+                return PipelineModel(stages=[*scaler.stages, binned, *trees.stages])
+        return build_pipeline(model, features, params, k, n, seed).fit(few)
     finally:
         d.unpersist()
 
 
+def _transformed(fitted: PipelineModel, d: DataFrame) -> DataFrame:
+    """``fitted.transform(d)``. Where the model sees bins, and these make no more
+    than ``CELL_ROWS`` cells, every cell is scored once and the rows look theirs up."""
+    at = next((i for i, stage in enumerate(fitted.stages) if isinstance(stage, Binned)), None)
+    sizes = [] if at is None else [len(c) + 1 for c in fitted.stages[at].getOrDefault("cuts")]
+    if at is None or math.prod(sizes) > CELL_ROWS:
+        return fitted.transform(d)
+    steps = [math.prod(sizes[:j]) for j in range(len(sizes))]
+    column = fitted.stages[at].getOutputCol()
+    every = d.sparkSession.range(math.prod(sizes)).select(F.col("id").alias("_cell"), array_to_vector(F.array(*[
+        F.expr(f"CAST(id DIV {step} % {size} AS DOUBLE)") for step, size in zip(steps, sizes)])).alias(column))
+    scored = PipelineModel(stages=fitted.stages[at + 1:]).transform(every).drop(column)
+    rows = PipelineModel(stages=fitted.stages[:at + 1]).transform(d).withColumn("_bin_in", vector_to_array(column))
+    rows = rows.withColumn("_cell", F.expr(" + ".join(f"CAST(_bin_in[{j}] AS BIGINT) * {step}" for j, step in enumerate(steps)))).drop("_bin_in")
+    return rows.join(F.broadcast(scored), "_cell", "left").drop("_cell")
+
+
 def predict(fitted: PipelineModel, df: DataFrame, target: str | None = None) -> DataFrame:
     """Adds ``prediction`` and ``p1`` (class-1 probability; from the class
     margins when the model gives no probability). One row per input row; a
     null feature is an error (impute it first)."""
     d = _label(df, target) if target else df
-    out = fitted.transform(d)
+    out = _transformed(fitted, d)
     if "probability" in out.columns:
         return out.withColumn("p1", vector_to_array("probability")[1])
     raw = vector_to_array("rawPrediction")
