@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equigroup.functions.columns import is_numeric
+from equigroup.operators import logistic
 from equigroup.session import gathered, materialize
 from equigroup.vocab import MODEL_DEFAULTS, SEARCH_SPACES
 
@@ -49,6 +50,8 @@ TUNE_ROWS, TUNE_CELLS = 1 << 18, 1 << 22
 #: Trees are fitted on counted cells of the rows where there are more rows than this, in so many bins a feature
 #: (MLlib's own number); cuts of a feature are chosen from the values at so many even ranks. A partition holds so many cells.
 CELL_ROWS, BINS, GRID, PART_CELLS = 1 << 16, 32, 1 << 10, 1 << 15
+#: Logistic candidates are fitted side by side, a pass for all of them, where there are more rows than this.
+SIDE_ROWS = 1 << 16
 #: Models that are no more than vectors of weights, so the driver can hold those of all candidates.
 WEIGHTS_ONLY = ("LogisticRegression", "MLP", "SVM")
 #: Depth of a forest without a depth of its own: the most that Spark allows.
@@ -330,6 +333,34 @@ def accuracies(models: list[PipelineModel], held: DataFrame) -> list[float]:
     return [share for _, share in sorted((r["model"], r["share"]) for r in shares)]
 
 
+def _one_by_one(d: DataFrame, model: str, features: list[str], fold_col: str, cands: list[dict], n_folds: int, n: int,
+                k: int, seed: int, parallelism: int) -> list[float]:
+    """The accuracy of each (candidate, fold) on the rows of the fold, a fit each."""
+    def scaled(f: int) -> tuple[DataFrame, DataFrame]:
+        train = d.where(F.col(fold_col) != f)
+        scaler = Pipeline(stages=_scaling(features, n)).fit(train)
+        return tuple(scaler.transform(part).select("scaled", "label").persist() for part in (train, d.where(F.col(fold_col) == f)))
+
+    def fitted(job: tuple[int, int]) -> PipelineModel:
+        i, f = job
+        return Pipeline(stages=_classifier(model, cands[i], len(features), k, n, seed)).fit(folds[f][0])
+
+    jobs = [(i, f) for i in range(len(cands)) for f in range(n_folds)]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        folds = list(pool.map(scaled, range(n_folds)))
+        if model in WEIGHTS_ONLY:
+            found = list(pool.map(fitted, jobs))
+            per_fold = list(pool.map(lambda f: accuracies(found[f::n_folds], folds[f][1]), range(n_folds)))
+            each = [per_fold[f][i] for i, f in jobs]
+        else:
+            each = list(pool.map(lambda job: accuracies([fitted(job)], folds[job[1]][1])[0], jobs))
+    for parts in folds:
+        for part in parts:
+            part.unpersist()
+    return each
+
+
 def tune(df: DataFrame, model: str, features: list[str], target: str, fold_col: str = "fold",
          n_iter: int = 30, seed: int = 42, parallelism: int = 4, refit: bool = True):
     """Pick the candidate with the best mean accuracy over the folds in
@@ -340,7 +371,9 @@ def tune(df: DataFrame, model: str, features: list[str], target: str, fold_col:
     since candidates differ in the classifier alone; candidates may change its
     shape (RFF width, network layers), so each (candidate, fold) is a fit of its
     own, ``parallelism`` at a time. Models of weights alone are scored by one
-    job a fold, trees one by one, as only so many fit on the driver."""
+    job a fold, trees one by one, as only so many fit on the driver. Logistic
+    models of more than ``SIDE_ROWS`` rows are fitted and scored side by side,
+    in passes over the rows that do all of them (``logistic``)."""
     d = _label(df, target).withColumn(fold_col, F.col(fold_col).cast("int"))
     d = materialize(gathered(d.select(*dict.fromkeys([*features, "label", fold_col]))))
     sizes = {r[fold_col]: (r["n"], r["top"]) for r in  # a row per fold
@@ -354,31 +387,18 @@ def tune(df: DataFrame, model: str, features: list[str], target: str, fold_col:
     cands = draw_candidates(model, n_iter, seed)
     d = spread(d, n, min(TUNE_ROWS, max(FIT_ROWS, TUNE_CELLS // max(1, len(features)))))
 
-    def scaled(f: int) -> tuple[DataFrame, DataFrame]:
-        train = d.where(F.col(fold_col) != f)
-        scaler = Pipeline(stages=_scaling(features, n)).fit(train)
-        return tuple(scaler.transform(part).select("scaled", "label").persist() for part in (train, d.where(F.col(fold_col) == f)))
-
-    def fitted(job: tuple[int, int]) -> PipelineModel:
-        i, f = job
-        return Pipeline(stages=_classifier(model, cands[i], len(features), k, n, seed)).fit(folds[f][0])
-
-    jobs = [(i, f) for i in range(len(cands)) for f in range(n_folds)]
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        folds = list(pool.map(scaled, range(n_folds)))
-        if model in WEIGHTS_ONLY:
-            found = list(pool.map(fitted, jobs))
-            per_fold = list(pool.map(lambda f: accuracies(found[f::n_folds], folds[f][1]), range(n_folds)))
-            each = [per_fold[f][i] for i, f in jobs]
-        else:
-            each = list(pool.map(lambda job: accuracies([fitted(job)], folds[job[1]][1])[0], jobs))
-    for parts in folds:
-        for part in parts:
-            part.unpersist()
+    each = None
+    if model == "LogisticRegression" and n > SIDE_ROWS and all(is_numeric(d.schema[f].dataType) for f in features):
+        penalties = [1.0 / (float(c["C"]) * n) for c in cands]
+        d = d.persist()
+        found = logistic.side_by_side(d, features, fold_col, penalties, n_folds, k)
+        each = None if found is None else found[0].ravel().tolist()
+    if each is None:
+        each = _one_by_one(d, model, features, fold_col, cands, n_folds, n, k, seed, parallelism)
     scores = [(i, float(np.mean(each[i * n_folds:(i + 1) * n_folds]))) for i in range(len(cands))]
     best_i = max(scores, key=lambda t: (t[1], -t[0]))[0]
     best = build_pipeline(model, features, cands[best_i], k, n, seed).fit(d) if refit else None
+    d.unpersist()
     spark = df.sparkSession
     table = spark.createDataFrame([(i, s, str(cands[i])) for i, s in scores],
                                   "candidate int, mean_accuracy double, params string")
